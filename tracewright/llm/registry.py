@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash, toxicity
+from . import bpe, embeddings, language, licences, media, mixing, pii, quality, simhash, toxicity
 from .common import fold, read_table
 
 #: The vocabulary file of the token queries; it must lie at this path on every executor.
@@ -39,5 +39,49 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs.select("doc_id", "text"), machine).drop("text"), F.coalesce(fold("doc_id", 5) == 0, F.lit(False)))
 
 
-QUERIES = {"op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op7_toxicity": op7_toxicity}
-ORACLES: dict[str, str] = {}
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "pages"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = media.store(read_table(spark, sf_dir, "documents"))
+    return media.features(media.load(spark, folder))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_row(pii.sanitised(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
+    "op3_quality": op3_quality,
+    "op4_bpe": op4_bpe,
+    "op5_simhash": op5_simhash,
+    "op6_media": op6_media,
+    "op7_toxicity": op7_toxicity,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_pii": op9_pii,
+    "op10_mixing": op10_mixing,
+    "pipeline": pipeline,
+}
+ORACLES: dict[str, str] = {"op2_license_scan": licences.oracle()}
