@@ -1,8 +1,8 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Targets follow from source weights and sizes. Each source is taken whole as often as its target allows; for the rest of the budget,
-documents are counted by their exact length, an even share of every length is taken, and a bounded-knapsack dynamic program over the lengths
-fills what remains. Which documents of a length are taken is decided by a seeded hash.
+documents are counted by their exact length, an even share of every length is taken for all but the last words, and a bounded-knapsack dynamic
+program over the lengths fills those. Which documents of a length are taken is decided by a seeded hash.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from .common import written
 
 #: Weights by order of the sources, share of all words that the mix holds, most passes over a source.
 WEIGHTS, SHARE, PASSES, SEED = (3, 1, 2), 1.5, 2, 11
-#: Largest remaining budget that the dynamic program fills; ranks are counted in buckets of about this many documents.
+#: Most words that the dynamic program fills; ranks are counted in buckets of about this many documents.
 BUDGET, BUCKET = 1 << 17, 64
 
 
@@ -37,41 +37,42 @@ def sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def fit_counts(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take (0..count) so that their words come as near ``budget`` from below as the dynamic program finds;
-    exact wherever what remains after an even share of each length fits BUDGET."""
+    """How many documents of each length to take (0..count) so that their words come nearest to ``budget``. All but the last BUDGET / 2 words
+    are an even share of every length; the program over bounded counts finds the sum of what is left nearest to the rest."""
     order = np.argsort(length)
     length, count = length[order].astype(np.int64), count[order].astype(np.int64)
     total = int((length * count).sum())
-    if budget >= total:
-        take = count.copy()
-    else:
-        take = np.floor(count * (budget / max(total, 1))).astype(np.int64)
+    take = count.copy()
+    if budget < total:
+        take = np.floor(count * (max(0, budget - BUDGET // 2) / total)).astype(np.int64)
         rest = budget - int((take * length).sum())
-        for i in range(len(length) - 1, -1, -1):  # longest first until the remainder fits the program
-            if rest <= BUDGET:
-                break
-            more = min(int(count[i] - take[i]), max(0, (rest - BUDGET // 2) // max(int(length[i]), 1)))
-            take[i] += more
-            rest -= more * int(length[i])
+        for i in range(len(length) - 1, -1, -1):  # what rounding left over, longest first, until the program can hold it
+            if rest > BUDGET:
+                more = min(int(count[i] - take[i]), max(0, (rest - BUDGET // 2) // max(int(length[i]), 1)))
+                take[i] += more
+                rest -= more * int(length[i])
         rest = min(rest, BUDGET)
-        items = []  # (length index, copies), each used at most once: binary parts of what is left of each length
+        items, top = [], rest + min(int(length[-1]), BUDGET)  # (length index, copies), each used at most once: binary parts of what is left
         for i in range(len(length)):
-            spare, k = min(int(count[i] - take[i]), rest // max(int(length[i]), 1)), 1
+            spare, k = min(int(count[i] - take[i]), top // max(int(length[i]), 1)), 1
             while length[i] and spare > 0:
                 items.append((i, min(k, spare)))
                 spare -= k
                 k *= 2
-        by = np.full(rest + 1, -1, np.int32)  # the item that first reached each sum
-        reached = np.zeros(rest + 1, bool)
+        items = [items[i] for i in np.random.default_rng(SEED).permutation(len(items))]
+        by = np.full(top + 1, -1, np.int32)  # the item that first reached each sum
+        reached = np.zeros(top + 1, bool)
         reached[0] = True
         for n, (i, k) in enumerate(items):
             w = int(length[i]) * k
-            new = np.flatnonzero(reached[: rest + 1 - w] & ~reached[w:]) + w if w <= rest else ()
-            reached[new] = True
-            by[new] = n
+            if w <= top:
+                new = np.flatnonzero(reached[: top + 1 - w] & ~reached[w:]) + w
+                reached[new] = True
+                by[new] = n
             if reached[rest]:
                 break
-        at = int(np.flatnonzero(reached)[-1])
+        sums = np.flatnonzero(reached)
+        at = int(sums[np.abs(sums - rest).argmin()])
         while at:
             i, k = items[by[at]]
             take[i] += k
@@ -107,22 +108,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
 
     lengths = by_length.join(goal, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
     plans = written(lengths.groupBy("source").applyInPandas(plan, "source string, size long, n long, words long, target double, whole long, extra long"), "plan")
-    p = plans.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), "n", "words", "target", "whole", "extra")
+    p = plans.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), *[F.col(c).alias(f"__{c}") for c in ("n", "words", "target", "whole", "extra")])
     d = sized.join(p, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))).drop("p_source", "p_size")
     d = d.withColumn("__h", F.xxhash64("doc_id", F.lit(seed)))
-    settled = d.where("extra = 0 or extra = n").withColumn("copies", F.col("whole") + (F.col("extra") > 0).cast("long"))
+    settled = d.where("__extra = 0 or __extra = __n").withColumn("__copies", F.col("__whole") + (F.col("__extra") > 0).cast("long"))
     # The extra documents of a length are those with the smallest hashes: buckets of the hash range are counted, and only within the
     # bucket where the count is reached are documents ranked; no length is gathered whole.
-    open_ = d.where("extra > 0 and extra < n").withColumn("__b", F.floor((F.shiftrightunsigned("__h", 1) / F.lit(float(1 << 63))) * F.ceil(F.col("n") / BUCKET)))
-    key = [F.coalesce("source", F.lit("")).alias("__s"), F.col("source").isNull().alias("__z"), "size", "__b"]
-    counts = open_.groupBy(*key).agg(F.count("*").alias("__m"))
+    o = d.where("__extra > 0 and __extra < __n").withColumn("__b", F.floor((F.shiftrightunsigned("__h", 1) / F.lit(float(1 << 63))) * F.ceil(F.col("__n") / BUCKET)))
+    o = o.withColumns({"__s": F.coalesce("source", F.lit("")), "__z": F.col("source").isNull()})
+    counts = o.groupBy("__s", "__z", "size", "__b").agg(F.count("*").alias("__m"))
     before = F.sum("__m").over(Window.partitionBy("__s", "__z", "size").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("__s", "__z", "size", "__b", F.coalesce(before, F.lit(0)).alias("__before"))
-    o = open_.withColumns({"__s": F.coalesce("source", F.lit("")), "__z": F.col("source").isNull()})
     o = o.withColumn("__r", F.row_number().over(Window.partitionBy("__s", "__z", "size", "__b").orderBy("__h", "doc_id")))
     o = o.join(counts, ["__s", "__z", "size", "__b"])
-    ranked = o.withColumn("copies", F.col("whole") + (F.col("__before") + F.col("__r") <= F.col("extra")).cast("long"))
-    cols = [*[c for c in sized.columns if c != "size"], "size", F.col("words").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken")]
+    ranked = o.withColumn("__copies", F.col("__whole") + (F.col("__before") + F.col("__r") <= F.col("__extra")).cast("long"))
+    copies = F.col("__copies")
+    cols = [*[c for c in sized.columns if c != "size"], "size", F.col("__words").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken")]
     return settled.select(cols).unionByName(ranked.select(cols))
 
 

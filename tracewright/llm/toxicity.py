@@ -200,8 +200,9 @@ def train(rows: list[tuple[int, str]]) -> KernelMachine:
             near = sorted({*near, *sorted(negative, key=lambda w: -margin[w])[:3000]}, key=hash_of)
             negative = near
         marks = sorted(positive, key=hash_of)[: LANDMARKS // 2] + negative[: LANDMARKS // 2]
-        items = sorted(positive) + near
-        machine = _machine(items, np.array([1] * len(positive) + [0] * len(near)), marks)
+        known = sorted({v for w in positive for v in (w, *broken(w))})  # also with a character put in
+        items = known + near
+        machine = _machine(items, np.array([1] * len(known) + [0] * len(near)), marks)
         margin = dict(zip(every, machine.margins(every).tolist(), strict=True))
         mine = [max(b, key=margin.get) for b in bags]
         found = sorted(usable)
@@ -211,6 +212,11 @@ def train(rows: list[tuple[int, str]]) -> KernelMachine:
     return machine
 
 
+def broken(w: str) -> list[str]:
+    """The word with one sign put in, at each place inside it."""
+    return [w[:at] + "*-._"[(at + hash_of(w)) % 4] + w[at:] for at in range(1, len(w))]
+
+
 def hash_of(w: str) -> int:
     h = 2166136261
     for b in w.encode("utf-8", "replace"):
