@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import evaluation_jobs, net_jobs, page_jobs, part_jobs, scalar_jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _jobs in (scalar_jobs, net_jobs, page_jobs, part_jobs, evaluation_jobs):
+    QUERIES |= {name: run for name, (run, _) in _jobs.JOBS.items()}
+    ORACLES |= {name: sql for name, (_, sql) in _jobs.JOBS.items() if sql}
