@@ -103,8 +103,8 @@ def oracle(table: str = "documents") -> str:
     known = ", ".join(f"({q(d)}, {q(i)})" for d, i in sorted(digests().items()))
     return f"""
 WITH known(kd, license) AS (VALUES {known}),
-d AS (SELECT doc_id, text, row_number() OVER () AS r, regexp_matches(text, {q(ANCHOR)}) AS some FROM {table}),
-l AS (SELECT r, {dig('line')} AS ld FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d WHERE some) WHERE regexp_matches(line, {q(ANCHOR)})),
+d AS (SELECT doc_id, text, row_number() OVER () AS r, regexp_matches(text, {q(ANCHOR)}) AS has FROM {table}),
+l AS (SELECT r, {dig('line')} AS ld FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d WHERE has) WHERE regexp_matches(line, {q(ANCHOR)})),
 n AS (SELECT r, string_agg(license, ',' ORDER BY license) AS notices FROM (SELECT DISTINCT r, license FROM l JOIN known ON ld = kd) GROUP BY r)
 SELECT doc_id, digest, license, notices
-FROM (SELECT doc_id, r, CASE WHEN some THEN {dig('text')} END AS digest FROM d) x LEFT JOIN known ON digest = kd LEFT JOIN n USING (r)"""
+FROM (SELECT doc_id, r, CASE WHEN has THEN {dig('text')} END AS digest FROM d) x LEFT JOIN known ON digest = kd LEFT JOIN n USING (r)"""
