@@ -23,7 +23,7 @@ from .common import with_columns
 
 END = 256  # the symbol after a word's last byte
 #: Words kept with their ids in a worker; longer words are encoded in groups of their own; slots of the pair cache.
-CACHE, CHUNK, SLOTS = 300_000, 50_000, 1 << 20
+CACHE, CHUNK, SLOTS = 100_000, 20_000, 1 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -271,8 +271,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", with_ids: bool =
     def run(batches):
         bpe = tokenizer(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 250):
+                b = whole.slice(at, 250)
                 got = bpe.encode([t or "" for t in b.column(b.schema.names.index(text_col)).to_pylist()])
                 cols = {"n_tokens": pa.array([g[2] for g in got], pa.int64())}
                 if with_ids:

@@ -48,7 +48,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            parts = (b.column(1).slice(at, 250).cast(pa.binary()).to_pylist() for at in range(0, b.num_rows, 250))
+            fps = [fingerprint(t, shingle) for part in parts for t in part]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")

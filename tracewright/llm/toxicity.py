@@ -23,7 +23,7 @@ from .common import labelled_ids, with_columns
 #: Subsequence length, longest span in a segment, weight of each place that a subsequence spans.
 LENGTH, SPAN, DECAY = 4, 6, 0.7
 PATTERNS = [(0, *inner, span - 1) for span in range(LENGTH, SPAN + 1) for inner in combinations(range(1, span - 1), LENGTH - 2)]
-LANDMARKS, ROUNDS, CACHE = 400, 3, 400_000
+LANDMARKS, ROUNDS, CACHE = 400, 3, 100_000
 SENTENCE = re.compile(r"[.!?\n]+")
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»¿¡“”„…"
 
@@ -252,8 +252,8 @@ def score(docs: DataFrame, machine: KernelMachine) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for at in range(0, b.num_rows, 250):
+                part = b.slice(at, 250)
                 yield with_columns(part, {"score": pa.array(held.value.score(part.column("text").to_pylist()), pa.float64())})
 
     schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c != "score"] + ["score double"])
