@@ -91,43 +91,54 @@ class WordBpe:
         self.cache: dict[str, tuple[str, str, int]] = {}
 
     def _automaton(self, spelled: dict[int, list[int]]) -> None:
-        """Trie of the tokens with suffix links: ``go`` leads from the longest known suffix of a prefix to that of the next;
-        ``token`` is the longest token that ends in a state, ``then`` the state of the next shorter one (0: none)."""
-        children: list[dict[int, int]] = [{}]
-        token, depth = [-1], [0]
-        for r, symbols in spelled.items():
+        """Trie of the tokens with suffix links: ``go`` leads from the longest known suffix of a prefix to that of the next, ``stop`` to that of
+        the finished word; ``token`` is the longest token that ends in a state, ``then`` the state of the next shorter one (0: none). States behind the
+        end of a word have no way on and come last, so that the table stays small."""
+        child: dict[int, int] = {}
+        plain = 1
+        for symbols in spelled.values():
             s = 0
             for c in symbols:
-                if c not in children[s]:
-                    children[s][c] = len(children)
-                    children.append({})
+                if c != END:
+                    s = child.setdefault(s << 9 | c, plain)
+                    plain += s == plain
+        n = plain
+        token, depth = [-1] * plain, [0] * plain
+        for r, symbols in spelled.items():
+            s = 0
+            for d, c in enumerate(symbols, 1):
+                s = child.setdefault(s << 9 | c, n)
+                if s == n:
+                    n += 1
                     token.append(-1)
-                    depth.append(depth[s] + 1)
-                s = children[s][c]
+                    depth.append(d)
+                depth[s] = d
             token[s] = r
-        n = len(children)
-        self.go, link = np.zeros((n, END + 1), np.int32), np.zeros(n, np.int32)
-        own, parent = np.array(token), [(s, c, k) for s, kids in enumerate(children) for c, k in kids.items()]
-        level = [0]
-        for c, k in children[0].items():
-            self.go[0, c] = k
-        by_depth: dict[int, list] = {}
-        for s, c, k in parent:
-            by_depth.setdefault(depth[k], []).append((s, c, k))
-        for d in sorted(by_depth):
-            s, c, k = (np.array(x) for x in zip(*by_depth[d], strict=True))
-            link[k] = self.go[link[s], c] if d > 1 else 0
-            level = k
-            self.go[level] = self.go[link[level]]
-            for a in level:
-                kids = children[a]
-                if kids:
-                    self.go[a, list(kids)] = list(kids.values())
-        self.then, self.token, self.width = np.zeros(n, np.int32), own, np.array(depth, np.int32)
-        order = np.argsort(self.width, kind="stable")
-        for s in order[1:]:
+        edges = np.array([(k >> 9, k & 511, v) for k, v in child.items()], np.int64)
+        self.plain, self.token, self.width = plain, np.array(token, np.int32), np.array(depth, np.int32)
+        inner = np.unique(np.append(0, edges[edges[:, 1] < END, 0]))  # a state without children goes on as its suffix does and needs no row
+        self.row, self.go = np.full(plain, -1, np.int32), np.zeros((len(inner), END), np.int32)
+        self.row[inner] = np.arange(len(inner))
+        self.stop, link = np.zeros(plain, np.int32), np.zeros(n, np.int32)
+        level = self.width[edges[:, 2]]
+        for d in range(1, int(level.max(initial=0)) + 1):
+            s, c, k = edges[level == d].T
+            byte = c < END
+            if d > 1:
+                link[k[byte]] = self.go[self.row[link[s[byte]]], c[byte]]
+            link[k[~byte]] = self.stop[link[s[~byte]]]
+            self.go[self.row[s[byte]], c[byte]] = k[byte]
+            self.stop[s[~byte]] = k[~byte]
+            # the states of this level start from the ways of their suffixes; their own ways are set with the next level
+            new = k[byte]
+            has = self.row[new] >= 0
+            self.go[self.row[new[has]]] = self.go[self.row[link[new[has]]]]
+            self.row[new[~has]] = self.row[link[new[~has]]]
+            self.stop[new] = self.stop[link[new]]
+        self.then = np.zeros(n, np.int32)
+        for s in np.argsort(self.width, kind="stable")[1:]:
             f = link[s]
-            self.then[s] = f if own[f] >= 0 else self.then[f]
+            self.then[s] = f if self.token[f] >= 0 else self.then[f]
 
     def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether tokens a then b stay apart: undo the later merge of the two again and again; across each seam that comes up, the pair
@@ -174,14 +185,14 @@ class WordBpe:
         last, state = np.full((top + 1, n), -1, np.int32), np.zeros(n, np.int32)
         for e in range(1, top + 1):
             live = int(np.searchsorted(-lens, -e, "right"))  # words with at least e bytes
-            state = self.go[state[:live], grid[:live, e - 1]]
+            state = self.go[self.row[state[:live]], grid[:live, e - 1]]
             ends = lens[:live] == e
-            cand = np.where(ends, self.go[state, END], state)
+            cand = np.where(ends, self.stop[state], state)
             cand = np.where(self.token[cand] >= 0, cand, self.then[cand])
             todo = np.arange(live)
             while len(todo):
                 s = cand[todo]
-                tok, begin = self.token[s], e - self.width[s] + ends[todo]
+                tok, begin = self.token[s].astype(np.int64), e - self.width[s] + ends[todo]
                 before = last[begin, todo]
                 # a token for the inside of a word can't end it, and the other way round: END is part of the spelling
                 fits = (begin == 0) | ((before >= 0) & self._compatible(np.maximum(before, 0).astype(np.int64), tok))
@@ -204,11 +215,8 @@ class WordBpe:
     def token_bytes(self) -> np.ndarray:
         if not hasattr(self, "_bytes"):
             self._bytes = np.zeros(self.size, np.int64)
-            has = self.token >= 0
-            is_end = np.zeros(len(self.token), bool)
-            is_end[np.unique(self.go[:, END])] = True
-            is_end[0] = False
-            self._bytes[self.token[has]] = self.width[has] - is_end[has]
+            has = np.flatnonzero(self.token >= 0)
+            self._bytes[self.token[has]] = self.width[has] - (has >= self.plain)
         return self._bytes
 
     def learn(self, words: set[str]) -> None:
