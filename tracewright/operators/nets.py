@@ -18,12 +18,13 @@ def number_nets(components: DataFrame) -> DataFrame:
 
 
 def extract(segs: DataFrame, dots: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The netlist of each page: segments with net_id, and labels with the segment they lie on and its net. Both are persisted: everything that
-    follows reads them more than once."""
+    """The netlist of each page: segments with net_id, and labels with the segment they lie on and its net. What is read more than once is
+    persisted."""
     segs = segs.persist()
     labels = label_along_wire(texts, segs).join(texts.select("page", "text_id", "str"), ["page", "text_id"]).persist()
     edges = contacts(segs, dots).unionByName(same_name_edges(labels))
-    wires = segs.join(number_nets(connected_components(segs, edges)), ["page", "seg_id"]).persist()
+    components = connected_components(segs, edges).persist()
+    wires = segs.join(number_nets(components), ["page", "seg_id"]).persist()
     return wires, labels.join(wires.select("page", "seg_id", "net_id"), ["page", "seg_id"]).persist()
 
 
