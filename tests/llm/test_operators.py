@@ -217,6 +217,18 @@ def test_pii_terms_that_disclose_a_value(spark):
     assert rows[306]["new"] == "zoltan alone stays"
 
 
+def test_pii_terms_of_rare_values_anywhere_in_a_text(spark):
+    far = "common words of all kinds " * 20
+    texts = ["Quux, first. " + far + "write to ab@c.example. " + far + "then QUUX\u0130 and quux again", "quux once; cd@e.example and ef@g.example", "cd@e.example again", "two zabble ij@k.example", "two zabble ij@k.example", "no value quux"] + [far] * 4000
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.sanitised(df).where("doc_id < 6").collect()}
+    got = {i: [r["text"][x["s"] : x["e"]] for x in r["spans"] if x["kind"] == "term"] for i, r in rows.items()}
+    assert got == {0: ["first", "write", "to", "then", "QUUX\u0130"], 1: ["once"], 2: [], 3: ["two", "zabble"], 4: ["two", "zabble"], 5: []}
+    rows = pii.sanitised(df.where("doc_id <> 5"), alpha=0.8).where("doc_id < 2").collect()
+    got = {r["doc_id"]: [r["text"][x["s"] : x["e"]] for x in r["spans"] if x["kind"] == "term"] for r in rows}
+    assert got[0].count("quux") == 1 and got[0].count("Quux") == 1 and "quux" in got[1]
+
+
 def brute_targets(words):
     w = [(3, 1, 2)[i % 3] for i in range(len(words))]
     out, free, budget = [0.0] * len(words), set(range(len(words))), 1.5 * sum(words)

@@ -1,7 +1,7 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms around them.
 
-The base spans (email, ip, card, phone) come from patterns. A term near a protected value can give it away as well: from
-co-occurrence counts over the whole corpus, a term whose pointwise mutual information with a value reaches the share ``alpha`` of the
+The base spans (email, ip, card, phone) come from patterns. A term in the documents of a protected value can give it away as well: from
+co-occurrence counts by document over the whole corpus, a term whose pointwise mutual information with a value reaches the share ``alpha`` of the
 value's own information content, log p(value | term) >= (1 - alpha) log p(value), discloses it and becomes a span too. Everything is DataFrame functions.
 """
 
@@ -20,8 +20,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: Context of a value on either side in characters; share of its information that discloses it; fewest co-occurrences; broadcast limit in rows.
-CONTEXT, ALPHA, SUPPORT, SMALL = 64, 0.9, 3, 50_000
+#: Share of a value's information that discloses it; most pseudo-documents in the smoothed estimate.
+ALPHA, PRIOR = 0.9, 5
 SPAN = "array<struct<s:int,k:int,e:int,kind:string,value:string>>"
 
 
@@ -87,50 +87,73 @@ def _value(kind: Column, value: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    """The distinct words in lower case."""
+    return F.array_distinct(F.transform(F.array_distinct(F.split(text, r"[^\p{L}\p{N}]+")), F.lower))
 
 
-def _contexts(some: DataFrame) -> DataFrame:
-    """(digest, copies, entity, term, s, e) for each word within CONTEXT characters of a base span and outside all base spans."""
-    x = some.select("digest", "copies", "text", "base", F.explode("base").alias("b"))
-    x = x.withColumn("entity", F.concat_ws(":", "b.kind", _value(F.col("b.kind"), F.col("b.value"))))
-    left = F.greatest(F.col("b.s") - CONTEXT, F.lit(0))
-    sides = F.array(F.struct(left.alias("o"), F.substr("text", left + 1, F.col("b.s") - left).alias("t")), F.struct(F.col("b.e").alias("o"), F.substr("text", F.col("b.e") + 1, F.lit(CONTEXT)).alias("t")))
-    x = x.withColumn("side", F.explode(sides)).select("digest", "copies", "base", "entity", "side.o", "side.t")
+def _blanked(text: Column, base: Column) -> Column:
+    """The text with blanks in place of its base spans, as long as before: what is left are the words outside, at their places."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, x):
+        s = F.greatest(acc["at"], x["s"])
+        more = F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, s - acc["at"]), F.repeat(F.lit(" "), x["e"] - s)))
+        return F.when(x["e"] > acc["at"], F.struct(x["e"].alias("at"), more.alias("out"))).otherwise(acc)
+
+    return F.aggregate(base, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
+
+
+def disclosing(docs: DataFrame, terms: DataFrame, held: DataFrame, alpha: float) -> DataFrame:
+    """The terms that disclose some value. ``terms`` (digest, copies, term) are the distinct words of each text with values, ``held`` (digest, copies, entity) its values.
+
+    All counts are of documents in the whole corpus, copies included: p(value) = of_entity / n, p(value | term) = both / (of_term + k) with k = min(of_entity, PRIOR)
+    pseudo-documents without the value. What is left out before the pairs are made cannot reach the bar: both is at most of_entity and at most the
+    documents that hold the term and any value. A term of one text has the same count with each of its values, so the rarest one decides without pairs.
+    """
+    n = F.lit(float(max(1, docs.where(F.col("text").isNotNull()).count())))
+    bar = lambda of: F.pow(of / n, F.lit(1 - alpha))
+    prior = lambda of: F.least(of, F.lit(PRIOR))
+    of_entity = held.groupBy("entity").agg(F.sum("copies").alias("of_entity"))
+    held = held.select("digest", "entity").join(of_entity, "entity")
+    count = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("of_term"))
+    near = terms.groupBy("term").agg(F.sum("copies").alias("near"), F.count("*").alias("n_texts"), F.min("digest").alias("digest"))
+    near = near.join(count, "term").withColumn("of_term", F.greatest("of_term", "near"))
+    near = written(near.where(F.col("near") / (F.col("of_term") + 1) >= bar(F.lit(1.0))), "near")
+    rarest = held.groupBy("digest").agg(F.min("of_entity").alias("of_entity"))
+    lone = near.where("n_texts = 1").join(rarest, "digest").select("term", "of_term", "of_entity", F.col("near").alias("both"))
+    pairs = terms.join(near.where("n_texts > 1").select("term", "of_term"), "term").join(held, "digest")
+    pairs = pairs.where(F.col("of_entity") / (F.col("of_term") + prior(F.col("of_entity"))) >= bar(F.col("of_entity")))
+    pairs = pairs.groupBy("entity", "term", "of_term", "of_entity").agg(F.sum("copies").alias("both")).select(lone.columns)
+    p = lone.unionByName(pairs)
+    return p.where(F.col("both") / (F.col("of_term") + prior(F.col("of_entity"))) >= bar(F.col("of_entity"))).select("term").distinct()
+
+
+def _places(texts: DataFrame, bad: DataFrame) -> DataFrame:
+    """(of, terms): for each text (digest, rest) with words in ``bad`` (term) the spans of all their occurrences. The words meet the terms in a join."""
     word = r"[\p{L}\p{N}]+"
-    hits, gaps = F.regexp_extract_all("t", F.lit(word), F.lit(0)), F.split("t", word, -1)
-    # At most 2 x CONTEXT characters: positions by summing the pieces before each word.
-    x = x.withColumns({"hits": hits, "gaps": F.transform(gaps, F.length)}).withColumn("sizes", F.transform("hits", F.length))
-    x = x.select("digest", "copies", "base", "entity", "o", "gaps", "sizes", F.posexplode("hits").alias("i", "word"))
-    sum_ = lambda c, n: F.aggregate(F.slice(c, F.lit(1), n), F.lit(0), lambda a, v: a + v)
-    s = F.col("o") + sum_("gaps", F.col("i") + 1) + sum_("sizes", F.col("i"))
-    x = x.withColumn("s", s).withColumn("e", F.col("s") + F.length("word"))
-    x = x.where(~F.exists("base", lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s"))))
-    return x.select("digest", "copies", "entity", F.lower("word").alias("term"), "s", "e")
-
-
-def disclosing(docs: DataFrame, context: DataFrame, entities: DataFrame, alpha: float, support: int) -> DataFrame:
-    """(entity, term) pairs whose term discloses the entity. Counts are over all occurrences in the whole corpus: p(value | term) by contexts,
-    p(value) by the number of words. Only terms near some value often enough are counted in the corpus; there may be many, so they are
-    broadcast only if few."""
-    near = context.groupBy("entity", "term").agg(F.sum("copies").alias("both")).where(F.col("both") >= support)
-    near = written(near, "near")
-    terms = near.select("term").distinct()
-    terms = F.broadcast(terms) if near.count() <= SMALL else terms
-    words = docs.select(F.explode(_words(F.col("text"))).alias("term")).where("term <> ''")
-    count = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("of_term"))
-    n_words = docs.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 1
-    p = near.join(count, "term").join(entities, "entity")
-    p = p.withColumn("given", F.least(F.lit(1.0), F.col("both") / F.greatest("of_term", "both"))).withColumn("alone", F.least(F.lit(0.5), F.col("of_entity") / F.lit(float(n_words))))
-    return p.where(F.log("given") >= (1 - alpha) * F.log("alone")).select("entity", "term")
-
-
-def sanitised(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    at = texts.select("digest", F.posexplode(F.regexp_extract_all("rest", F.lit(word), F.lit(0))).alias("i", "word"))
+    at = at.withColumn("term", F.lower("word")).join(bad, "term").groupBy("digest").agg(F.array_sort(F.collect_list("i")).alias("which"))
+    x = texts.join(at, "digest")
+    hits, gaps = F.regexp_extract_all("rest", F.lit(word), F.lit(0)), F.transform(F.split("rest", word, -1), F.length)
+    pairs = F.zip_with(hits, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))  # the gap at the end comes without a word
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(SPAN).alias("out"))
+
+    def step(acc, x):
+        s = acc["at"] + x["g"]
+        e = s + F.length(x["m"])
+        one = F.struct(s.alias("s"), F.lit(len(KINDS)).alias("k"), e.alias("e"), F.lit("term").alias("kind"), F.lower(x["m"]).alias("value"))
+        out = F.when(F.get("which", F.size(acc["out"])) == acc["i"], F.array_append(acc["out"], one)).otherwise(acc["out"])
+        return F.struct(e.alias("at"), (acc["i"] + 1).alias("i"), out.alias("out"))
+
+    return x.select(F.col("digest").alias("of"), F.aggregate(pairs, start, step, lambda acc: acc["out"]).alias("terms"))
+
+
+def sanitised(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """``docs`` with ``base`` and ``spans`` (arrays of struct s, k, e, kind, value), old columns of these names replaced.
 
-    spans holds the base spans and, for rows that have any, the disclosing terms (kind "term", k = 4) within CONTEXT characters of a
-    value that they disclose. Rows without a base span have no spans at all. Equal texts get equal spans; null texts count as empty. Terms are
-    counted by occurrence, copies included. Nothing is capped: a value in very many rows is only one key of pre-aggregated counts.
+    spans holds the base spans and, for rows that have any, every occurrence outside of them of a term (kind "term", k = 4) that discloses a value of the corpus, in
+    this row or another. Rows without a base span have no spans at all. Equal texts get equal spans; null texts count as empty. Terms are
+    counted by document, copies included. Nothing is capped: a value in very many rows is only one key of pre-aggregated counts.
     """
     docs = docs.select([c for c in docs.columns if c not in ("base", "spans")])
     maybe = F.coalesce(F.contains("text", F.lit("@")) | F.col("text").rlike("[0-9]"), F.lit(False))
@@ -139,12 +162,11 @@ def sanitised(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) ->
     hit = few.where("digest is not null")
     some = hit.groupBy("digest").agg(F.count("*").alias("copies"), F.min("row.text").alias("text"))
     some = some.withColumn("base", base_spans(F.col("text")))
-    context = written(_contexts(some), "context")
-    entities = some.select("copies", F.explode("base").alias("b")).groupBy(F.concat_ws(":", "b.kind", _value(F.col("b.kind"), F.col("b.value"))).alias("entity")).agg(F.sum("copies").alias("of_entity"))
-    bad = disclosing(docs, context, entities, alpha, support)
-    one = F.struct("s", F.lit(4).alias("k"), "e", F.lit("term").alias("kind"), F.col("term").alias("value"))
-    term = context.join(bad, ["entity", "term"]).groupBy(F.col("digest").alias("of")).agg(F.array_sort(F.collect_set(one)).cast(SPAN).alias("terms"))
-    named = hit.join(term, F.col("digest") == F.col("of"), "left")
+    entity = F.transform("base", lambda b: F.concat_ws(":", b["kind"], _value(b["kind"], b["value"])))
+    some = written(some.select("digest", "copies", F.array_distinct(entity).alias("entities"), _blanked(F.col("text"), F.col("base")).alias("rest")), "texts")
+    terms = written(some.select("digest", "copies", F.explode(_words(F.col("rest"))).alias("term")).where("term <> ''"), "terms")
+    bad = written(disclosing(docs, terms, some.select("digest", "copies", F.explode("entities").alias("entity")), alpha), "disclosing")
+    named = hit.join(_places(some.select("digest", "rest"), bad), F.col("digest") == F.col("of"), "left")
     none = F.array().cast(SPAN)
     new = named.select("row.*", "base", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("spans"))
     plain = few.where("digest is null").select("row.*", "base", F.col("base").alias("spans"))
