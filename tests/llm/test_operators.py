@@ -361,6 +361,14 @@ def test_language(spark):
     assert language.identify(odd.limit(0)).count() == 0
 
 
+def test_declared_language_lies_anywhere_in_the_page():
+    tag = b'<html class="x" lang="fi-FI">'
+    assert language.declared(b"<!-- " + b"licence " * 5000 + b'<html lang="en"> -->' + b" " * 5000 + tag) == "fi"
+    assert language.declared(b"<html><script>'<html lang=en>'</script>" + tag) == "fi"
+    assert language.declared(tag[:-1]) == "fi" and language.declared(b"<!-- " + tag) is None and language.declared(None) is None
+    assert language.declared(b"<html " * 200_000 + b"<!--" * 200_000) is None
+
+
 def test_licences(spark, odd, none):
     texts = ["Copyright (c) 2020 Some One\n" + licences._MIT.replace("sublicense", "sub-licence").upper(), "  Licensed under the Apache License, version 2.0", "prose\nReleased under the MIT License.\nmore\nLicensed under CC BY-NC 4.0.", "licence of another kind", None, ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")

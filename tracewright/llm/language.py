@@ -20,7 +20,10 @@ from .common import written
 #: language among the declared ones (so at most 100 languages are told apart).
 FEATURES, EVIDENCE, SMOOTHING, LEAST = 4096, 60.0, 5.0, 0.01
 _DROP = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#a-zA-Z0-9]+;", re.S | re.I)
-_LANG = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", re.I)
+#: What an <html> inside does not count of; without an end it runs to the end of the page.
+_HIDDEN = re.compile(rb"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HTML = re.compile(rb"<html\b[^>]*>", re.I)
+_LANG = re.compile(rb"\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", re.I)
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)")
 
 
@@ -35,8 +38,11 @@ def grams(html: bytes | None) -> np.ndarray:
 
 
 def declared(html: bytes | None) -> str | None:
-    m = _LANG.search((html or b"")[:4096])
-    return m[1].decode().lower() if m else None
+    """The language of the first <html> tag that names one, wherever it lies in the page; every tag ends, if only with the page, so this is linear."""
+    for tag in _HTML.finditer(_HIDDEN.sub(b" ", html or b"") + b">"):
+        if m := _LANG.search(tag[0]):
+            return m[1].decode().lower()
+    return None
 
 
 def places(url: str | None) -> tuple[str, str, str]:
