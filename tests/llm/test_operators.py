@@ -369,6 +369,13 @@ def test_declared_language_lies_anywhere_in_the_page():
     assert language.declared(b"<html " * 200_000 + b"<!--" * 200_000) is None
 
 
+def test_a_rare_language_is_told_apart_in_a_large_corpus(spark):
+    html = F.when(F.col("id") < 25, '<html lang="fi"><p>ja ei ole minun talo on suuri kaunis').when(F.col("id") < 35, '<html lang="xx">').otherwise('<html lang="en"><p>the house is not mine and it was large')
+    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id"), F.lit(".example/")).alias("url"), html.alias("html"))
+    got = {r["page_id"]: r["lang"] for r in language.identify(pages).where("page_id < 100").collect()}
+    assert all(got[i] == "fi" for i in range(25)) and all(got[i] == "en" for i in range(35, 100)) and "xx" not in got.values()
+
+
 def test_licences(spark, odd, none):
     texts = ["Copyright (c) 2020 Some One\n" + licences._MIT.replace("sublicense", "sub-licence").upper(), "  Licensed under the Apache License, version 2.0", "prose\nReleased under the MIT License.\nmore\nLicensed under CC BY-NC 4.0.", "licence of another kind", None, ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")

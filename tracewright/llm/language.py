@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Hash buckets; how many trigrams of a text count at most as independent evidence; pseudo-pages of each smoothing level; least share of a
-#: language among the declared ones (so at most 100 languages are told apart).
-FEATURES, EVIDENCE, SMOOTHING, LEAST = 4096, 60.0, 5.0, 0.01
+#: Hash buckets; how many trigrams of a text count at most as independent evidence; pseudo-pages of each smoothing level; pages with
+#: text that are enough for the model of a language, however large the corpus; in small corpora this share of the declaring pages is enough, too.
+FEATURES, EVIDENCE, SMOOTHING, ENOUGH, LEAST = 4096, 60.0, 5.0, 20, 0.01
 _DROP = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#a-zA-Z0-9]+;", re.S | re.I)
 #: What an <html> inside does not count of; without an end it runs to the end of the page.
 _HIDDEN = re.compile(rb"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -54,12 +54,13 @@ def places(url: str | None) -> tuple[str, str, str]:
 
 
 def text_model(pages: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages declared on at least LEAST of the pages that declare one, and log P(bucket | language). Every page counts, under the language it declares;
-    each task sends one row of counts for each language it saw; 100 x FEATURES numbers reach the driver at most."""
+    """Languages declared on ENOUGH pages with text or on LEAST of the pages that declare one, and log P(bucket | language). Every page counts, under the language
+    it declares; FEATURES numbers for each language reach the driver, whatever the number of pages."""
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         pages: dict[str, int] = {}
+        texts: dict[str, int] = {}
         for b in batches:
             for h in b.column(0).cast(pa.binary()).to_pylist():
                 lang = declared(h)
@@ -67,18 +68,21 @@ def text_model(pages: DataFrame) -> tuple[list[str], np.ndarray]:
                     c = grams(h)
                     sums[lang] = sums.get(lang, 0) + c / max(c.sum(), 1)  # a long page weighs no more than a short one
                     pages[lang] = pages.get(lang, 0) + 1
+                    texts[lang] = texts.get(lang, 0) + bool(c.any())
         for lang, c in sums.items():
             some = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(some) + 1)), pa.array([*some, -1], pa.int32()), pa.array([*c[some], float(pages[lang])])], ["lang", "k", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(some) + 2)), pa.array([*some, -1, -2], pa.int32()), pa.array([*c[some], float(pages[lang]), float(texts[lang])])], ["lang", "k", "c"])
 
     counts = pages.select("html").mapInArrow(run, "lang string, k int, c double").groupBy("lang", "k").agg(F.sum("c").alias("c"))
     counts = written(counts, "grams")
     n = counts.where("k = -1")
     total = n.agg(F.sum("c")).first()[0] or 0
-    langs = sorted(r["lang"] for r in n.where(F.col("c") >= LEAST * total).collect())
+    enough = ((F.col("k") == -1) & (F.col("c") >= LEAST * total)) | ((F.col("k") == -2) & (F.col("c") >= ENOUGH))
+    langs = sorted(r["lang"] for r in counts.where(enough).select("lang").distinct().collect())
     table = np.full((len(langs), FEATURES), 1e-3)
-    for r in counts.where(F.col("lang").isin(langs) & (F.col("k") >= 0)).collect() if langs else []:
-        table[langs.index(r["lang"]), r["k"]] += r["c"]
+    if langs:
+        found = counts.where(F.col("lang").isin(langs) & (F.col("k") >= 0)).toArrow()
+        table[np.searchsorted(langs, found["lang"].to_pylist()), found["k"].to_numpy()] += found["c"].to_numpy()
     return langs, np.log(table / table.sum(axis=1, keepdims=True))
 
 
