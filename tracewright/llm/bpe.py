@@ -14,6 +14,7 @@ import re
 import sys
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ from pyspark.sql import DataFrame
 
 from .common import with_columns
 
+# The steps of the tokenizer file that ``words_of`` carries out; another file is refused.
+NORMALIZER = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+SPLITTER = [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), ("ByteLevel", None)]
 END = 256  # the symbol after a word's last byte
 #: Words kept with their ids in a worker; longer words are encoded in groups of their own; slots of the pair cache.
 CACHE, CHUNK, SLOTS = 100_000, 20_000, 1 << 20
@@ -58,6 +62,12 @@ def words_of(text: str) -> list[str]:
     return _pattern(0xFFFF if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else sys.maxunicode).findall(text)
 
 
+def _steps(spec: dict | None) -> list[tuple]:
+    """Kind and pattern of each step of a normalizer or splitter."""
+    steps = (spec or {}).get("normalizers") or (spec or {}).get("pretokenizers") or [spec or {}]
+    return [(s.get("type"), (s.get("pattern") or {}).get("Regex")) for s in steps]
+
+
 class WordBpe:
     """Encoder for a tokenizers file whose model is BPE with an end-of-word suffix over the byte alphabet."""
 
@@ -65,6 +75,8 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if (_steps(spec["normalizer"]), _steps(spec["pre_tokenizer"])) != (NORMALIZER, SPLITTER) or spec["decoder"] or spec["post_processor"] or model["type"] != "BPE":
+            raise ValueError(f"{path}: words_of and decode follow another normalizer, splitter or decoder")
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         to_byte = {c: b for b, c in enumerate(byte_alphabet())}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -88,7 +100,8 @@ class WordBpe:
         self.size, self.pair_key, self.pair_to = size, keys[by], np.array(list(pairs.values()))[by]
         self._automaton({r: [to_byte[c] for c in t.removesuffix(suffix)] + [END] * t.endswith(suffix) for t, r in rank.items()})
         self.slot_key, self.slot_ok = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
-        self.cache: dict[str, tuple[str, str, int]] = {}
+        self.cache: dict[str, list[int]] = {}
+        self.digits = {i: str(i) for i in self.text}
 
     def _automaton(self, spelled: dict[int, list[int]]) -> None:
         """Trie of the tokens with suffix links: ``go`` leads from the longest known suffix of a prefix to that of the next, ``stop`` to that of
@@ -204,6 +217,8 @@ class WordBpe:
         at, rows = lens.copy(), np.arange(n)
         while len(rows):
             tok = last[at[rows], rows]
+            if (tok < 0).any():
+                raise ValueError("the vocabulary has no token for some byte")
             width = self.token_bytes[tok]
             for r, t in zip(rows.tolist(), self.id_of[tok].tolist(), strict=True):
                 out[order[r]].append(t)
@@ -220,7 +235,7 @@ class WordBpe:
         return self._bytes
 
     def learn(self, words: set[str]) -> None:
-        """Put words into the cache: ids as text, tokens as text, number of ids."""
+        """Put words and their ids into the cache."""
         new = sorted((w for w in words if w not in self.cache), key=len)
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
@@ -232,11 +247,11 @@ class WordBpe:
                 stop = at + (stop - at) // 2
             part = new[at:stop]
             for w, ids in zip(part, self._encode([w.encode("utf-8") for w in part]), strict=True):
-                self.cache[w] = (" ".join(map(str, ids)), " ".join(map(self.text.__getitem__, ids)), len(ids))
+                self.cache[w] = ids
             at = stop
 
-    def encode(self, texts: list[str]) -> list[tuple[str, str, int]]:
-        """For each text: ids joined by blanks, tokens joined by blanks (what decoding gives), number of ids."""
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
         marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         split, out = [], []
         for t in texts:
@@ -246,19 +261,21 @@ class WordBpe:
             else:
                 split.append(words_of(t))
         self.learn({w for ws in split for w in ws} - self.special.keys())
-        extra = {m: (str(i), m, 1) for m, i in self.special.items()}
+        extra = {m: [i] for m, i in self.special.items()}
         for ws in split:
             try:
                 got = list(map(self.cache.__getitem__, ws))
             except KeyError:
                 got = [extra.get(w) or self.cache[w] for w in ws]
-            ids, tokens, n = zip(*got, strict=True) if got else ((), (), ())
-            out.append((" ".join(ids), " ".join(tokens), sum(n)))
+            out.append(list(chain.from_iterable(got)))
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of ids joined by blanks, special ones included; unknown ids are passed over."""
-        return " ".join(self.text[i] for i in ids if i in self.text)
+        try:
+            return " ".join(map(self.text.__getitem__, ids))
+        except KeyError:
+            return " ".join(self.text[i] for i in ids if i in self.text)
 
 
 @lru_cache(maxsize=2)
@@ -267,14 +284,14 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """``docs`` with n_tokens and, with_ids, token_ids (array) and decoded (text); with_ids=False gives ids_sha256 and decoded_sha256 instead.
+def encode(docs: DataFrame, path: str, text_col: str = "text", with_ids: bool = True, decoded: bool = False) -> DataFrame:
+    """``docs`` with n_tokens and token_ids (array), with ``decoded`` also what the ids decode to; with_ids=False gives ids_sha256 and decoded_sha256 instead.
 
     ``path`` must name the vocabulary file on every executor. Whole texts are encoded; a null text counts as empty: no ids, decoded "". The special tokens'
     strings in a text become their ids. Old columns of these names are replaced; repeated rows get repeated results.
     """
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
-    new = {"n_tokens": "bigint"} | ({"token_ids": "array<int>", "decoded": "string"} if with_ids else {"ids_sha256": "string", "decoded_sha256": "string"})
+    new = {"n_tokens": "bigint"} | ({"token_ids": "array<int>"} if with_ids else {"ids_sha256": "string", "decoded_sha256": "string"}) | ({"decoded": "string"} if decoded else {})
 
     def run(batches):
         bpe = tokenizer(path)
@@ -282,12 +299,13 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", with_ids: bool =
             for at in range(0, whole.num_rows, 250):
                 b = whole.slice(at, 250)
                 got = bpe.encode([t or "" for t in b.column(b.schema.names.index(text_col)).to_pylist()])
-                cols = {"n_tokens": pa.array([g[2] for g in got], pa.int64())}
+                cols = {"n_tokens": pa.array(list(map(len, got)), pa.int64())}
                 if with_ids:
-                    ids = [list(map(int, g[0].split())) for g in got]
-                    cols |= {"token_ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([bpe.decode(i) for i in ids])}
+                    cols |= {"token_ids": pa.array(got, pa.list_(pa.int32()))}
                 else:
-                    cols |= {"ids_sha256": pa.array([sha(g[0]) for g in got]), "decoded_sha256": pa.array([sha(g[1]) for g in got])}
+                    cols |= {"ids_sha256": pa.array([sha(" ".join(map(bpe.digits.__getitem__, g))) for g in got]), "decoded_sha256": pa.array([sha(bpe.decode(g)) for g in got])}
+                if decoded:
+                    cols |= {"decoded": pa.array([bpe.decode(g) for g in got])}
                 yield with_columns(b, cols)
 
     kept = docs.select([c for c in docs.columns if c not in new])

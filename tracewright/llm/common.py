@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -12,15 +13,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of intermediate tables that this process has made.
+_MADE: list[str] = []
+
+
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tracewright-")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; where that is unset (local tests), under a folder of this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under ``spark.checkpoint.dir``. Only a session whose master is local, which runs in one process, may leave that unset: it gets a
+    folder of this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder()
+    _MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def remove_intermediate(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process and say how many; to be called once no result that reads them is needed any more."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +73,31 @@ def min_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return lab
 
 
+def runs(batches, keys):
+    """(columns, bounds) of whole runs of rows with equal ``keys`` in sorted batches. Parts of a run that is not finished are kept apart and joined once."""
+    held: list[dict] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        c = {n: b.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(b.schema.names)}
+        new = np.zeros(b.num_rows, bool)
+        new[0] = bool(held) and any(c[k][0] != held[-1][k][-1] for k in keys)
+        for k in keys:
+            new[1:] |= c[k][1:] != c[k][:-1]
+        at = np.flatnonzero(new)
+        if not len(at):
+            held.append(c)
+            continue
+        off = sum(len(h[keys[0]]) for h in held)
+        done = [*held, {k: v[: at[-1]] for k, v in c.items()}]
+        stops = (at + off).tolist()
+        yield {k: np.concatenate([x[k] for x in done]) for k in c}, [(i, j) for i, j in zip([0, *stops], stops, strict=False) if j > i]
+        held = [{k: v[at[-1] :] for k, v in c.items()}]
+    if held:
+        whole = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+        yield whole, [(0, len(whole[keys[0]]))]
+
+
 def _forest(batches):
     """Replace the links of one partition by a spanning forest of stars: what leaves a task is linear in its nodes."""
     us, vs = [], []

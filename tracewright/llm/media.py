@@ -218,9 +218,9 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("tracewright_archive").load(folder)
 
 
-def features(media: DataFrame) -> DataFrame:
+def features(media: DataFrame, strict: bool = False) -> DataFrame:
     """Per member: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, error. The payload is what
-    the stored image decodes to. A member that could not be read or decoded has nulls and its error."""
+    the stored image decodes to. A member that could not be read or decoded has nulls and its error; with ``strict`` it fails the job."""
 
     def row(image: bytes | None, error: str | None):
         if image is None:
@@ -237,6 +237,8 @@ def features(media: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             got = [row(m, e) for m, e in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            if strict and (bad := [g[-1] for g in got if g[-1] is not None]):
+                raise ValueError(f"{len(bad)} members cannot be read, the first: {bad[0]}")
             cols = list(zip(*got, strict=True)) or [()] * len(names)
             new = {n: pa.array(c, t) for (n, t), c in zip(names.items(), cols, strict=True)}
             yield with_columns(b.select(["doc_id", "n_bytes"]), new)

@@ -87,13 +87,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     The text itself is dropped unless ``with_text``.
 
     ``docs`` has doc_id and source. Sources are ordered by code point, null last (one source of its own). copies is 0..passes. Documents without words cost nothing
-    and are in as many passes as their source is taken whole, once at least. Ties are broken by a seeded hash of the id, then the id; repeated
-    rows are documents of their own and share the hash. The same rows give the same mix. An empty table gives an empty result.
+    and are in as many passes as their source is taken whole, once at least. Ties are broken by a seeded hash of id and text, then the id, then a hash of the text;
+    rows with both equal are documents of their own that nothing tells apart. The same rows give the same mix. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     new = ("size", "source_size", "target", "copies", "taken")
     kept = docs.select([c for c in docs.columns if c not in new])
-    sized = sizes(kept, text_col)
+    sized = sizes(kept.withColumn("__t", F.xxhash64(text_col)), text_col)
     sized = written(sized if with_text else sized.drop(text_col), "sizes")
     by_length = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     total = by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     plans = written(lengths.groupBy("source").applyInPandas(plan, "source string, size long, n long, words long, target double, whole long, extra long"), "plan")
     p = plans.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), *[F.col(c).alias(f"__{c}") for c in ("n", "words", "target", "whole", "extra")])
     d = sized.join(p, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))).drop("p_source", "p_size")
-    d = d.withColumn("__h", F.xxhash64("doc_id", F.lit(seed)))
+    d = d.withColumn("__h", F.xxhash64("doc_id", "__t", F.lit(seed)))
     settled = d.where("__extra = 0 or __extra = __n").withColumn("__copies", F.col("__whole") + (F.col("__extra") > 0).cast("long"))
     # The extra documents of a length are those with the smallest hashes: buckets of the hash range are counted, and only within the
     # bucket where the count is reached are documents ranked; no length is gathered whole.
@@ -119,11 +119,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     counts = o.groupBy("__s", "__z", "size", "__b").agg(F.count("*").alias("__m"))
     before = F.sum("__m").over(Window.partitionBy("__s", "__z", "size").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("__s", "__z", "size", "__b", F.coalesce(before, F.lit(0)).alias("__before"))
-    o = o.withColumn("__r", F.row_number().over(Window.partitionBy("__s", "__z", "size", "__b").orderBy("__h", "doc_id")))
+    o = o.withColumn("__r", F.row_number().over(Window.partitionBy("__s", "__z", "size", "__b").orderBy("__h", "doc_id", "__t")))
     o = o.join(counts, ["__s", "__z", "size", "__b"])
     ranked = o.withColumn("__copies", F.col("__whole") + (F.col("__before") + F.col("__r") <= F.col("__extra")).cast("long"))
     copies = F.col("__copies")
-    cols = [*[c for c in sized.columns if c != "size"], "size", F.col("__words").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken")]
+    cols = [*[c for c in sized.columns if c not in ("size", "__t")], "size", F.col("__words").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken")]
     return settled.select(cols).unionByName(ranked.select(cols))
 
 

@@ -104,7 +104,7 @@ def _blanked(text: Column, base: Column) -> Column:
 
 
 def disclosing(docs: DataFrame, terms: DataFrame, held: DataFrame, alpha: float) -> DataFrame:
-    """The terms that disclose some value. ``terms`` (digest, copies, term) are the distinct words of each text with values, ``held`` (digest, copies, entity) its values.
+    """(term, both): the terms that disclose some value and in how many documents they occur with one. ``terms`` (digest, copies, term) are the distinct words of each text with values, ``held`` (digest, copies, entity) its values.
 
     All counts are of documents in the whole corpus, copies included: p(value) = of_entity / n, p(value | term) = both / (of_term + k) with k = min(of_entity, PRIOR)
     pseudo-documents without the value. What is left out before the pairs are made cannot reach the bar: both is at most of_entity and at most the
@@ -125,7 +125,7 @@ def disclosing(docs: DataFrame, terms: DataFrame, held: DataFrame, alpha: float)
     pairs = pairs.where(F.col("of_entity") / (F.col("of_term") + prior(F.col("of_entity"))) >= bar(F.col("of_entity")))
     pairs = pairs.groupBy("entity", "term", "of_term", "of_entity").agg(F.sum("copies").alias("both")).select(lone.columns)
     p = lone.unionByName(pairs)
-    return p.where(F.col("both") / (F.col("of_term") + prior(F.col("of_entity"))) >= bar(F.col("of_entity"))).select("term").distinct()
+    return p.where(F.col("both") / (F.col("of_term") + prior(F.col("of_entity"))) >= bar(F.col("of_entity"))).groupBy("term").agg(F.max("both").alias("both"))
 
 
 def _places(texts: DataFrame, bad: DataFrame) -> DataFrame:
@@ -151,9 +151,10 @@ def _places(texts: DataFrame, bad: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """``docs`` with ``base`` and ``spans`` (arrays of struct s, k, e, kind, value), old columns of these names replaced.
 
-    spans holds the base spans and, for rows that have any, every occurrence outside of them of a term (kind "term", k = 4) that discloses a value of the corpus, in
-    this row or another. Rows without a base span have no spans at all. Equal texts get equal spans; null texts count as empty. Terms are
-    counted by document, copies included. Nothing is capped: a value in very many rows is only one key of pre-aggregated counts.
+    spans holds the base spans and every occurrence outside of them of a term (kind "term", k = 4) that discloses a value of the corpus, in this row or
+    another. In rows without a base span, which do not print the value, a term counts if it was met with the value in two documents or more: met once, it says nothing on others.
+    Equal texts get equal spans; null texts count as empty. Terms are counted by document, copies included. Nothing is capped: a value in very many rows is only one
+    key of pre-aggregated counts.
     """
     docs = docs.select([c for c in docs.columns if c not in ("base", "spans")])
     maybe = F.coalesce(F.contains("text", F.lit("@")) | F.col("text").rlike("[0-9]"), F.lit(False))
@@ -166,12 +167,17 @@ def sanitised(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     some = written(some.select("digest", "copies", F.array_distinct(entity).alias("entities"), _blanked(F.col("text"), F.col("base")).alias("rest")), "texts")
     terms = written(some.select("digest", "copies", F.explode(_words(F.col("rest"))).alias("term")).where("term <> ''"), "terms")
     bad = written(disclosing(docs, terms, some.select("digest", "copies", F.explode("entities").alias("entity")), alpha), "disclosing")
-    named = hit.join(_places(some.select("digest", "rest"), bad), F.col("digest") == F.col("of"), "left")
+    named = hit.join(_places(some.select("digest", "rest"), bad.select("term")), F.col("digest") == F.col("of"), "left")
     none = F.array().cast(SPAN)
     new = named.select("row.*", "base", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("spans"))
-    plain = few.where("digest is null").select("row.*", "base", F.col("base").alias("spans"))
-    rest = docs.where(~maybe).select("*", none.alias("base"), none.alias("spans"))
-    return new.unionByName(plain).unionByName(rest)
+    plain = few.where("digest is null").select("row.*").unionByName(docs.where(~maybe))
+    # Rows without a value: the words of all texts meet the terms in a join, and only texts with such a word are looked at again.
+    told = bad.where("both >= 2").select("term")
+    which = plain.select(F.md5("text").alias("digest"), F.explode(_words(F.col("text"))).alias("term")).join(told, "term", "left_semi").select("digest").distinct()
+    which = written(which, "texts_that_tell")
+    again = plain.select(F.md5("text").alias("digest"), F.col("text").alias("rest")).join(which, "digest", "left_semi").groupBy("digest").agg(F.min("rest").alias("rest"))
+    marked = plain.withColumn("__digest", F.md5("text")).join(_places(again, told), F.col("__digest") == F.col("of"), "left")
+    return new.unionByName(marked.select(docs.columns + [none.alias("base"), F.coalesce("terms", none).alias("spans")]))
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -1,6 +1,6 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A whole text becomes hashed byte-trigram counts, log-scaled and weighted by inverse document frequency, then a vector of
+A whole text becomes counts of its terms (hashed byte trigrams, and how often words recur), log-scaled and weighted by inverse document frequency, then a vector of
 the leading singular directions of the labelled sample. The labelled vectors are broadcast (their number is a parameter); every document is
 compared with all of them in blocks, and its nearest neighbours vote with their cosines as weights.
 """
@@ -17,22 +17,25 @@ from pyspark.sql import functions as F
 
 from .common import labelled_ids, with_columns
 
-#: Hash buckets for trigrams, latent dimensions, neighbours that vote, power of a cosine as weight, documents compared at once.
-FEATURES, DIMS, NEIGHBOURS, SHARPNESS, ROWS = 2048, 64, 15, 4, 256
+#: Hash buckets for trigrams, further terms for the recurrence of words (two scales of 20 steps), latent dimensions, neighbours that vote, power of a cosine as weight, documents compared at once.
+TRIGRAMS, RECUR, DIMS, NEIGHBOURS, SHARPNESS, ROWS = 2048, 20, 64, 15, 4, 256
+FEATURES = TRIGRAMS + 2 * RECUR
 
 
-def trigram_counts(text: bytes | None) -> np.ndarray:
-    """log(1 + count) of each hashed byte trigram of the whole text; white space counts as one blank, digits as one digit."""
+def term_counts(text: bytes | None) -> np.ndarray:
+    """log(1 + count) of each hashed byte trigram of the whole text; white space counts as one blank, digits as one digit. Then one of RECUR terms for
+    the share of words that repeat the one before, and one for the share of words seen before, each as heavy as a word in every place."""
     words = (text or b"").split()
     x = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
     x = np.where((x >= 48) & (x <= 57), np.uint8(48), x).astype(np.uint32)
     if len(x) < 3:
         return np.zeros(FEATURES, np.float32)
     code = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]
-    out = np.log1p(np.bincount((code * np.uint32(2654435761)) >> np.uint32(21), minlength=FEATURES)).astype(np.float32)
-    if len(words) > 3:  # how often words recur is a term of its own, as heavy as a word that is repeated
-        again = sum(map(eq, words, words[1:])) / len(words)
-        out[FEATURES - 40 + int(19 * again)] = out[FEATURES - 20 + int(19 * (1 - len(set(words)) / len(words)))] = 2 * np.sqrt(len(words))
+    out = np.zeros(FEATURES, np.float32)
+    out[:TRIGRAMS] = np.log1p(np.bincount((code * np.uint32(2654435761)) >> np.uint32(21), minlength=TRIGRAMS))
+    if len(words) > 3:
+        again, before = sum(map(eq, words, words[1:])) / len(words), 1 - len(set(words)) / len(words)
+        out[TRIGRAMS + int((RECUR - 1) * again)] = out[TRIGRAMS + RECUR + int((RECUR - 1) * before)] = 2 * np.sqrt(len(words))
     return out
 
 
@@ -55,7 +58,7 @@ class VoteModel:
             return out
         k = min(NEIGHBOURS, len(self.y))
         for at in range(0, len(texts), ROWS):
-            v = self.embed(np.stack([trigram_counts(t) for t in texts[at : at + ROWS]]))
+            v = self.embed(np.stack([term_counts(t) for t in texts[at : at + ROWS]]))
             cos = v @ self.vectors.T
             near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
             w = np.maximum(np.take_along_axis(cos, near, 1), 0).astype(float) ** SHARPNESS
@@ -66,15 +69,16 @@ class VoteModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "quality", per_class: int = 1500) -> VoteModel:
-    """Fit on at most ``per_class`` labelled documents of each class (3,000 rows of 2,048 floats reach the driver, at any size)."""
+    """Fit on at most ``per_class`` labelled documents of each class, the least text of each id (3,000 rows of 2,088 numbers reach the driver, at any size)."""
 
     def run(batches):
         for b in batches:
-            rows = [trigram_counts(t).astype(np.float16).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
+            rows = [term_counts(t).astype(np.float16).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["y", "x"])
 
     ids = labelled_ids(labels, label, keep, per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("y", "text").mapInArrow(run, "y int, x binary").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))  # one row for each id
+    rows = rows.select("y", "text").mapInArrow(run, "y int, x binary").collect()
     if not rows:
         return VoteModel(np.zeros((FEATURES, DIMS), np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0), 0.5)
     order = sorted(range(len(rows)), key=lambda i: (rows[i]["y"], bytes(rows[i]["x"])))  # the same model whatever order rows come in

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from . import bpe, embeddings, language, licences, media, mixing, pii, quality,
 from .common import fold, read_table
 
 #: The vocabulary file of the token queries; it must lie at this path on every executor.
-VOCABULARY = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "word_bpe_49k.json")
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _judged(scored: DataFrame, held) -> DataFrame:
@@ -49,7 +48,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = media.store(read_table(spark, sf_dir, "documents"))
-    return media.features(media.load(spark, folder))
+    return media.features(media.load(spark, folder), strict=True)
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +65,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+    from . import stages
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {

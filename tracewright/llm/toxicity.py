@@ -4,12 +4,12 @@ The kernel compares two segments (words, or runs of single characters such as "i
 four characters; one that spans more places than four weighs less, so inserted characters lower a match but do not
 hide it. Sentences are the training instances: a sentence counts by its most telling segment (multiple-instance learning). The
 Nystroem map is linear in the landmarks' subsequences, so the trained machine collapses, exactly, to one weight for each subsequence.
+Sentences, words and margins are counted and compared by Spark; the driver gets bounded lists of words, never texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -18,13 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_ids, with_columns
+from .common import labelled_ids, with_columns, written
 
 #: Subsequence length, longest span in a segment, weight of each place that a subsequence spans.
 LENGTH, SPAN, DECAY = 4, 6, 0.7
 PATTERNS = [(0, *inner, span - 1) for span in range(LENGTH, SPAN + 1) for inner in combinations(range(1, span - 1), LENGTH - 2)]
+WEIGHTS = [DECAY ** (p[-1] + 1) for p in PATTERNS]
 LANDMARKS, ROUNDS, CACHE = 400, 3, 100_000
-SENTENCE = re.compile(r"[.!?\n]+")
+#: Words that reach the driver: telling words of toxic sentences, clean words taken by hash, clean words taken by margin in each further round.
+TELLING, NEGATIVE, HARD = 5000, 6000, 3000
+#: Between sentences: closing punctuation before white space (not inside a word, where it may hide an insult), or a line break.
+SENTENCE = re.compile(r"(?:[.!?]+(?=\s|$)|\n)+")
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»¿¡“”„…"
 
 
@@ -45,48 +49,50 @@ def segments(text: str) -> set[str]:
     return found
 
 
-#: Characters as symbols 1..31: letters a-z, the rest by code point modulo 5; 0 parts segments.
-SYMBOLS = np.array([0] + [c - 96 if 97 <= c <= 122 else 27 + c % 5 for c in range(1, 1024)], np.int32)
-CODES = 1 << 5 * LENGTH
-WEIGHTS = [DECAY ** (p[-1] + 1) for p in PATTERNS]
+#: Subsequences are numbered by a linear hash of their four code points, so that every script keeps its letters apart; two of the few hundred
+#: thousand subsequences of a language share a number about as often as 1 in 20.
+BITS = 22
+CODES = 1 << BITS
+_FACTORS = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917), np.uint32(668265263))
 
 
 def codes(items: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all items, each with a mark before its first character and padded so that no subsequence crosses to the next; where each item starts; its norm (1 if
-    it has no subsequence), which follows from its length."""
+    """Code points of all items, each with a mark before its first character and padded with zeros so that no subsequence crosses to the next; where each item
+    starts; its norm (1 if it has no subsequence), which follows from its length."""
     bare = ["^" + w.strip(EDGES).replace("\0", "") for w in items]
-    sym = SYMBOLS[np.minimum(np.frombuffer(("\0" * (SPAN - 1)).join([*bare, ""]).encode("utf-32-le", "replace"), np.uint32), 1023)]
+    sym = np.frombuffer(("\0" * (SPAN - 1)).join([*bare, ""]).encode("utf-32-le", "replace"), np.uint32)
     lens = np.fromiter(map(len, bare), np.int64, len(bare))
     square = sum(np.maximum(lens - p[-1], 0) * w * w for p, w in zip(PATTERNS, WEIGHTS, strict=True))
-    return np.concatenate([sym, np.zeros(SPAN, np.int32)]), np.cumsum(lens + SPAN - 1) - lens - SPAN + 1, np.sqrt(np.where(square > 0, square, 1))
+    return np.concatenate([sym, np.zeros(SPAN, np.uint32)]), np.cumsum(lens + SPAN - 1) - lens - SPAN + 1, np.sqrt(np.where(square > 0, square, 1))
 
 
-def windows(sym: np.ndarray, p: tuple) -> np.ndarray:
-    """The code of the subsequence at places ``p`` from each position."""
+def windows(sym: np.ndarray):
+    """For each pattern the number of the subsequence from each position, and which positions have one: both its ends lie in an item, so no zero between."""
     n = len(sym) - SPAN
-    out = sym[:n]
-    for o in p[1:]:
-        out = out << 5 | sym[o : o + n]
-    return out
+    scaled = [sym * f for f in _FACTORS]
+    inside = sym > 0
+    for p in PATTERNS:
+        total = scaled[0][:n] + scaled[1][p[1] : p[1] + n] + scaled[2][p[2] : p[2] + n] + scaled[3][p[3] : p[3] + n]
+        yield (total ^ total >> np.uint32(15)) * np.uint32(2246822519) >> np.uint32(32 - BITS), inside[:n] & inside[p[3] : p[3] + n]
 
 
 def features(items: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(item, subsequence code, weight) of every subsequence occurrence, and the norm of each item."""
+    """(item, subsequence number, weight) of every subsequence occurrence, and the norm of each item."""
     sym, starts, norm = codes(items)
     own, at, keys, weights = np.zeros(len(sym), np.int64), [], [], []
     own[starts[1:]] = 1
     own = np.cumsum(own)
-    for p, w in zip(PATTERNS, WEIGHTS, strict=True):
-        i = np.flatnonzero((sym[: len(sym) - SPAN] > 0) & np.all([sym[o : len(sym) - SPAN + o] > 0 for o in p[1:]], axis=0))
+    for (code, ok), w in zip(windows(sym), WEIGHTS, strict=True):
+        i = np.flatnonzero(ok)
         at.append(own[i])
-        keys.append(windows(sym, p)[i])
+        keys.append(code[i])
         weights.append(np.full(len(i), w))
     return np.concatenate(at), np.concatenate(keys).astype(np.int64), np.concatenate(weights), norm
 
 
 @dataclass
 class KernelMachine:
-    """One weight for each of the 2^20 subsequence codes (4 MB at any size): safe to broadcast."""
+    """One weight for each of the 2^22 subsequence numbers (16 MB at any size): safe to broadcast."""
 
     values: np.ndarray
     bias: float
@@ -103,14 +109,14 @@ class KernelMachine:
             part = items[a : a + 20_000]
             sym, starts, norm = codes(part)
             total = np.zeros(len(sym) - SPAN, np.float32)
-            for p, w in zip(PATTERNS, WEIGHTS, strict=True):
-                total += self.values[windows(sym, p)] * np.float32(w)  # codes with a zero symbol weigh nothing
+            for (code, ok), w in zip(windows(sym), WEIGHTS, strict=True):
+                total += np.where(ok, self.values[code], np.float32(0)) * np.float32(w)
             out[a : a + len(part)] = np.add.reduceat(np.append(total, np.float32(0)), starts) / norm
         return out + self.bias
 
-    def best(self, texts: list[str]) -> np.ndarray:
-        """The largest margin of any segment of each text; the bias alone for a text without segments."""
-        seen, found = self.seen, [segments(t) for t in texts]
+    def of(self, found: list[set[str]]) -> np.ndarray:
+        """The largest margin in each set of segments; the bias alone for an empty one."""
+        seen = self.seen
         if len(seen) > CACHE:
             seen.clear()
         new = sorted({w for f in found for w in f if w not in seen})
@@ -118,10 +124,11 @@ class KernelMachine:
         return np.array([max(map(seen.__getitem__, f), default=self.bias) for f in found])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.best([t or "" for t in texts]) + self.shift, -50, 50)))
+        best = self.of([segments(t or "") for t in texts])
+        return 1 / (1 + np.exp(-np.clip(self.scale * best + self.shift, -50, 50)))
 
 
-def _kernel(items: list[str], marks: list[str]) -> np.ndarray:
+def kernel(items: list[str], marks: list[str]) -> np.ndarray:
     """Normalised kernel values, len(items) x len(marks)."""
     a, ka, wa, na = features(marks)
     keys, where = np.unique(ka, return_inverse=True)
@@ -132,19 +139,21 @@ def _kernel(items: list[str], marks: list[str]) -> np.ndarray:
     if len(keys) and len(kb):
         pos = np.searchsorted(keys, kb).clip(0, len(keys) - 1)
         hit = np.flatnonzero(keys[pos] == kb)
-        for s in range(0, len(items), 1000):
-            h = hit[(at[hit] >= s) & (at[hit] < s + 1000)]
-            n = min(1000, len(items) - s)
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        rows = max(1, (1 << 21) // len(keys))  # at most 16 MB of features at once
+        for s in range(0, len(items), rows):
+            h = hit[np.searchsorted(at[hit], s) : np.searchsorted(at[hit], s + rows)]
+            n = min(rows, len(items) - s)
             phi = np.bincount((at[h] - s) * len(keys) + pos[h], wb[h] / nb[at[h]], minlength=n * len(keys)).reshape(n, -1)
             out[s : s + n] = phi.astype(np.float32) @ table
     return out
 
 
-def _machine(items: list[str], y: np.ndarray, marks: list[str], c: float = 1.0) -> KernelMachine:
+def machine(items: list[str], y: np.ndarray, marks: list[str], c: float = 1.0) -> KernelMachine:
     """Squared-hinge machine on the Nystroem features of items, classes weighted alike, as weights of subsequences."""
-    val, vec = np.linalg.eigh(_kernel(marks, marks).astype(float))
+    val, vec = np.linalg.eigh(kernel(marks, marks).astype(float))
     root = vec * (1 / np.sqrt(np.maximum(val, 1e-3)))  # K^-1/2 up to a rotation
-    z = np.hstack([_kernel(items, marks) @ root, np.ones((len(items), 1))])
+    z = np.hstack([kernel(items, marks) @ root, np.ones((len(items), 1))])
     s, cost = np.where(y > 0, 1.0, -1.0), np.where(y > 0, len(y) / max(1, 2 * y.sum()), len(y) / max(1, 2 * (len(y) - y.sum()))) * c
     w, reg = np.zeros(z.shape[1]), np.append(np.ones(z.shape[1] - 1), 1e-3)
     for _ in range(25):
@@ -158,13 +167,13 @@ def _machine(items: list[str], y: np.ndarray, marks: list[str], c: float = 1.0)
     return KernelMachine(np.bincount(ka, wa / na[a] * (root @ w[:-1])[a], minlength=CODES).astype(np.float32), float(w[-1]))
 
 
-def _cover(toxic: list[str], usable: set[str]) -> set[str]:
-    """Words that between them occur in the toxic texts: again and again the one in most texts that none covers yet."""
-    bags = [segments(t) & usable for t in toxic]
-    count, where, chosen, covered = Counter(w for b in bags for w in b), {}, set(), set()
+def _cover(bags: list[set[str]]) -> set[str]:
+    """Words that between them occur in the toxic texts: again and again the one in most texts that none covers yet, down to three texts."""
+    where: dict[str, list[int]] = {}
     for i, b in enumerate(bags):
         for w in b:
             where.setdefault(w, []).append(i)
+    count, chosen, covered = {w: len(i) for w, i in where.items()}, set(), set()
     while count:
         w = max(sorted(count), key=count.get)
         if count[w] < 3:
@@ -173,43 +182,97 @@ def _cover(toxic: list[str], usable: set[str]) -> set[str]:
         for i in where[w]:
             if i not in covered:
                 covered.add(i)
-                count.subtract(bags[i])
-        del count[w]
+                for x in bags[i]:
+                    if x in count:
+                        count[x] -= 1
+        count.pop(w, None)
     return chosen
 
 
-def train(rows: list[tuple[int, str]]) -> KernelMachine:
-    """Train on (label, text). Sentences of texts with label 0 are negative, by their most toxic segment; the others are positive if they hold
-    a telling word: one of those that cover the toxic texts and hardly occur in clean ones, later also any that the machine itself finds."""
-    rows = sorted(rows)
-    toxic, clean = [t for y, t in rows if y], [t for y, t in rows if not y]
-    if not toxic or not clean:
-        return KernelMachine(np.zeros(CODES, np.float32), 1.0 if toxic else -1.0)
-    lines1, lines0 = ({x for t in some for x in SENTENCE.split(t)} for some in (toxic, clean))  # sentences of copies count once
-    n1, n0 = Counter(w for x in lines1 for w in segments(x)), Counter(w for x in lines0 for w in segments(x))
-    usable = {w for w, c in n1.items() if c >= 3 and len(w.strip(EDGES)) >= LENGTH and c / len(lines1) > 10 * (n0[w] + 0.2) / len(lines0)}
-    positive = _cover(toxic, usable) or {w for w, _ in n1.most_common(50)}
-    positive |= {w for w in usable if n1[w] > 0.5 * np.median([n1[x] for x in positive])}
-    bags = [sorted(w for w in segments(x) if len(w) >= LENGTH) for x in sorted(lines0)]
-    bags = [b for b in bags if b]
-    mine, every = [b[hash_of(b[0]) % len(b)] for b in bags], sorted({w for b in bags for w in b})
+def instances(docs: DataFrame, labels: DataFrame, keep, label: str, per_class: int) -> DataFrame:
+    """(y, doc_id, line, words): the sentences of at most ``per_class`` labelled documents of each class, whole texts of any length, as the hash of
+    the sentence and its segments. A document without sentences has one row without words. Of rows that share an id the least text stands for the document."""
+
+    def run(batches):
+        for b in batches:
+            for y, i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                lines = {x.strip() for x in SENTENCE.split(t or "")} - {""}
+                rows = [(hash_of(x), sorted(segments(x))) for x in sorted(lines)] or [(0, [])]
+                for at in range(0, len(rows), 2000):
+                    part = rows[at : at + 2000]
+                    cols = [pa.array([y] * len(part), pa.int32()), pa.array([i] * len(part), pa.int64()), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(cols, ["y", "doc_id", "line", "words"])
+
+    ids = F.broadcast(labelled_ids(labels, label, keep, per_class))  # 2 x per_class rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
+    return rows.select("y", "doc_id", "text").mapInArrow(run, "y int, doc_id long, line long, words array<string>")
+
+
+def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", per_class: int = 2000) -> KernelMachine:
+    """Train on at most ``per_class`` labelled documents of each class, whole texts. Sentences of documents with label 0 are negative, by their most toxic
+    segment; the others are positive if they hold a telling word: one of those that cover the toxic documents and hardly occur in clean
+    sentences, later also any that the machine itself finds. The driver gets words and one margin for each document: TELLING + NEGATIVE + ROUNDS x HARD
+    words and 2 x per_class rows, whatever the size of the corpus or of a text."""
+    rows = written(instances(docs, labels, keep, label, per_class), "sentences")
+    spark = rows.sparkSession
+    by_class = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count_distinct("doc_id").alias("n")).collect()}
+    if not by_class.get(0) or not by_class.get(1):
+        return KernelMachine(np.zeros(CODES, np.float32), 1.0 if by_class.get(1) else -1.0)
+    lines = rows.where(F.size("words") > 0).select("y", "line", "words").dropDuplicates(["y", "line"])  # sentences of copies count once
+    n_lines = {r["y"]: r["n"] for r in lines.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    words = lines.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum(F.col("y")).alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+    words = written(words.where(F.length(F.btrim("w", F.lit(EDGES))) >= LENGTH), "words")
+    share = (F.col("n1") / n_lines.get(1, 1)) / ((F.col("n0") + 0.2) / max(1, n_lines.get(0, 0)))
+    telling = words.where((F.col("n1") >= 3) & (share > 10)).orderBy(F.desc("n1"), "w").limit(TELLING).collect()
+    usable = {r["w"]: r["n1"] for r in telling}
+    if not usable:  # nothing recurs: the commonest words of toxic sentences stand in
+        usable = {r["w"]: r["n1"] for r in words.where("n1 > 0").orderBy(F.desc(share), F.desc("n1"), "w").limit(50).collect()}
+    held = spark.createDataFrame(sorted(usable.items()), "w string, n1 long").select("w")
+    bags: dict[int, set[str]] = {}
+    for r in rows.where("y = 1").select("doc_id", F.explode("words").alias("w")).join(F.broadcast(held), "w").groupBy("doc_id").agg(F.collect_set("w").alias("ws")).collect():
+        bags[r["doc_id"]] = set(r["ws"])
+    positive = _cover([bags[k] for k in sorted(bags)]) or set(usable)
+    positive |= {w for w, n in usable.items() if n > 0.5 * np.median([usable[x] for x in positive])}
+    clean = words.where("n0 > 0").select("w")
+    near = [r["w"] for r in clean.where(~F.col("w").isin(sorted(positive))).orderBy(F.xxhash64("w", F.lit(5)), "w").limit(NEGATIVE).collect()]
     for turn in range(ROUNDS):
-        negative = sorted(set(mine) - positive, key=hash_of)
-        near = negative[:6000]
         if turn:
-            near = sorted({*near, *sorted(negative, key=lambda w: -margin[w])[:3000]}, key=hash_of)
-            negative = near
-        marks = sorted(positive, key=hash_of)[: LANDMARKS // 2] + negative[: LANDMARKS // 2]
+            near = sorted({*near, *_hardest(lines.where("y = 0"), found)} - positive, key=hash_of)
+        marks = sorted(positive, key=hash_of)[: LANDMARKS // 2] + near[: LANDMARKS // 2]
         known = sorted({v for w in positive for v in (w, *broken(w))})  # also with a character put in
-        items = known + near
-        machine = _machine(items, np.array([1] * len(known) + [0] * len(near)), marks)
-        margin = dict(zip(every, machine.margins(every).tolist(), strict=True))
-        mine = [max(b, key=margin.get) for b in bags]
-        found = sorted(usable)
-        positive = positive | {w for w, m in zip(found, machine.margins(found), strict=True) if m > 0.3}
-    machine.scale, machine.shift = _platt(machine.best([t for _, t in rows]), np.array([y for y, _ in rows], float))
-    machine.seen = {}
-    return machine
+        found = machine(known + near, np.array([1] * len(known) + [0] * len(near)), marks)
+        some = sorted(usable)
+        positive = positive | {w for w, m in zip(some, found.margins(some), strict=True) if m > 0.3}
+    top = _tops(rows, found).groupBy("doc_id").agg(F.max("y").alias("y"), F.max("m").alias("m")).select("y", "m").toArrow()
+    y, m = top["y"].to_numpy(), top["m"].to_numpy()
+    order = np.lexsort((m, y))
+    found.scale, found.shift = _platt(m[order], y[order].astype(float))
+    found.seen = {}
+    return found
+
+
+def _tops(rows: DataFrame, found: KernelMachine) -> DataFrame:
+    """(y, doc_id, w, m): the segment with the largest margin of each sentence, by name among equals; the bias for one without segments."""
+    held = rows.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                lists = part.column(2).to_pylist()
+                held.value.of([set(x) for x in lists])
+                seen = held.value.seen
+                best = [max(x, key=lambda w: (seen[w], w), default=None) for x in lists]
+                m = [held.value.bias if w is None else seen[w] for w in best]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(best, pa.string()), pa.array(m, pa.float64())], ["y", "doc_id", "w", "m"])
+
+    return rows.select("y", F.col("doc_id") if "doc_id" in rows.columns else F.lit(0).cast("long").alias("doc_id"), "words").mapInArrow(run, "y int, doc_id long, w string, m double")
+
+
+def _hardest(lines: DataFrame, found: KernelMachine) -> list[str]:
+    """Of the most toxic segments of clean sentences the HARD ones with the largest margins."""
+    top = _tops(lines, found).where(F.length("w") >= LENGTH).groupBy("w").agg(F.max("m").alias("m"))
+    return [r["w"] for r in top.orderBy(F.desc("m"), "w").limit(HARD).collect()]
 
 
 def broken(w: str) -> list[str]:
@@ -237,14 +300,6 @@ def _platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(ab[0]), float(ab[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", per_class: int = 2000, longest: int = 20_000) -> KernelMachine:
-    """Train on at most ``per_class`` labelled documents of each class, of those with up to ``longest`` characters
-    (at most 80 million characters reach the driver, whatever the size of the corpus; in practice a few million)."""
-    ids = labelled_ids(labels, label, keep, per_class)
-    rows = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(ids), "doc_id").select("y", "text").collect()
-    return train([(r["y"], r["text"]) for r in rows])
-
-
 def score(docs: DataFrame, machine: KernelMachine) -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: toxic likelier), an old column of that name replaced. Whole texts count. Null, empty and blank
     texts get the score of the bias alone (low, unless no clean row was labelled); equal texts get equal scores."""
