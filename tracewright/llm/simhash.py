@@ -174,6 +174,7 @@ def plan(n: int, both: np.ndarray, radius: int) -> list[list[int]]:
     bits = len(both)
     if not 0 <= radius < bits:
         raise ValueError(f"a radius of 0 to {bits - 1} bits is needed, not {radius}")
+    n = max(n, 1)  # without fingerprints all plans would cost nothing, those of thousands of keys, too
     agree, best = Agreement(n, both), (np.inf, [])
     for m in (*range(2, 9), bits // 8):
         table = []
@@ -227,6 +228,7 @@ def chance(masks: list[list[int]], q: float, trials: int = 4000) -> float:
 def likely_plan(n: int, both: np.ndarray, similarity: float, recall: float) -> list[list[int]]:
     """Masks under at least one of which two texts of this similarity agree with probability ``recall``, at little cost. Parts of several groupings
     share bits, so their chances are not independent: the goal of ``_deal`` is raised until a simulation confirms the recall."""
+    n = max(n, 1)
     agree, goal = Agreement(n, both), 1 - (1 - recall) * 0.7
     for _ in range(12):
         masks = _masks(_deal(n, agree, flip(similarity), goal), len(both))
