@@ -7,6 +7,8 @@ value's own information content, log p(value | term) >= (1 - alpha) log p(value)
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,7 +106,7 @@ def _blanked(text: Column, base: Column) -> Column:
 
 
 def disclosing(docs: DataFrame, terms: DataFrame, held: DataFrame, alpha: float) -> DataFrame:
-    """(term, both): the terms that disclose some value and in how many documents they occur with one. ``terms`` (digest, copies, term) are the distinct words of each text with values, ``held`` (digest, copies, entity) its values.
+    """(term, texts): the terms that disclose some value and in how many different texts they occur with one. ``terms`` (digest, copies, term) are the distinct words of each text with values, ``held`` (digest, copies, entity) its values.
 
     All counts are of documents in the whole corpus, copies included: p(value) = of_entity / n, p(value | term) = both / (of_term + k) with k = min(of_entity, PRIOR)
     pseudo-documents without the value. What is left out before the pairs are made cannot reach the bar: both is at most of_entity and at most the
@@ -120,19 +122,30 @@ def disclosing(docs: DataFrame, terms: DataFrame, held: DataFrame, alpha: float)
     near = near.join(count, "term").withColumn("of_term", F.greatest("of_term", "near"))
     near = written(near.where(F.col("near") / (F.col("of_term") + 1) >= bar(F.lit(1.0))), "near")
     rarest = held.groupBy("digest").agg(F.min("of_entity").alias("of_entity"))
-    lone = near.where("n_texts = 1").join(rarest, "digest").select("term", "of_term", "of_entity", F.col("near").alias("both"))
+    lone = near.where("n_texts = 1").join(rarest, "digest").select("term", "of_term", "of_entity", F.col("near").alias("both"), F.lit(1).cast("long").alias("texts"))
     pairs = terms.join(near.where("n_texts > 1").select("term", "of_term"), "term").join(held, "digest")
     pairs = pairs.where(F.col("of_entity") / (F.col("of_term") + prior(F.col("of_entity"))) >= bar(F.col("of_entity")))
-    pairs = pairs.groupBy("entity", "term", "of_term", "of_entity").agg(F.sum("copies").alias("both")).select(lone.columns)
+    pairs = pairs.groupBy("entity", "term", "of_term", "of_entity").agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).select(lone.columns)
     p = lone.unionByName(pairs)
-    return p.where(F.col("both") / (F.col("of_term") + prior(F.col("of_entity"))) >= bar(F.col("of_entity"))).groupBy("term").agg(F.max("both").alias("both"))
+    return p.where(F.col("both") / (F.col("of_term") + prior(F.col("of_entity"))) >= bar(F.col("of_entity"))).groupBy("term").agg(F.max("texts").alias("texts"))
+
+
+def _maybe(terms: DataFrame, most: int = 1 << 23) -> Callable[[str], Column]:
+    """A test on a column of words that lets every one of ``terms`` (term) and few others pass, so that only those meet the terms in a join. It is a table
+    of at most ``most`` hash bits (1 MB at any size of the corpus); with more terms than bits more words pass and the join decides as before."""
+    bits = min(most, 1 << max(12, (16 * terms.count()).bit_length()))
+    at = lambda w: F.pmod(F.xxhash64(w, F.lit(9)), F.lit(bits))
+    held = terms.select(at("term").alias("at")).select(F.floor(F.col("at") / 64).alias("id"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+    rows = terms.sparkSession.range(bits // 64).join(held.groupBy("id").agg(F.bit_or("bit").alias("bit")), "id", "left")
+    table = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bit", F.lit(0).cast("long")).alias("bit")))), lambda x: x["bit"])).scalar()
+    return lambda w: F.getbit(F.get(table, F.floor(at(w) / 64).cast("int")), at(w) % 64) == 1
 
 
-def _places(texts: DataFrame, bad: DataFrame) -> DataFrame:
-    """(of, terms): for each text (digest, rest) with words in ``bad`` (term) the spans of all their occurrences. The words meet the terms in a join."""
+def _places(texts: DataFrame, bad: DataFrame, maybe: Callable[[str], Column]) -> DataFrame:
+    """(of, terms): for each text (digest, rest) with words in ``bad`` (term) the spans of all their occurrences. The words that pass ``maybe`` meet the terms in a join."""
     word = r"[\p{L}\p{N}]+"
     at = texts.select("digest", F.posexplode(F.regexp_extract_all("rest", F.lit(word), F.lit(0))).alias("i", "word"))
-    at = at.withColumn("term", F.lower("word")).join(bad, "term").groupBy("digest").agg(F.array_sort(F.collect_list("i")).alias("which"))
+    at = at.withColumn("term", F.lower("word")).where(maybe("term")).join(bad, "term").groupBy("digest").agg(F.array_sort(F.collect_list("i")).alias("which"))
     x = texts.join(at, "digest")
     hits, gaps = F.regexp_extract_all("rest", F.lit(word), F.lit(0)), F.transform(F.split("rest", word, -1), F.length)
     pairs = F.zip_with(hits, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))  # the gap at the end comes without a word
@@ -152,7 +165,7 @@ def sanitised(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """``docs`` with ``base`` and ``spans`` (arrays of struct s, k, e, kind, value), old columns of these names replaced.
 
     spans holds the base spans and every occurrence outside of them of a term (kind "term", k = 4) that discloses a value of the corpus, in this row or
-    another. In rows without a base span, which do not print the value, a term counts if it was met with the value in two documents or more: met once, it says nothing on others.
+    another. In rows without a base span, which do not print the value, a term counts if it was met with the value in two different texts or more: met in one, it says nothing on others.
     Equal texts get equal spans; null texts count as empty. Terms are counted by document, copies included. Nothing is capped: a value in very many rows is only one
     key of pre-aggregated counts.
     """
@@ -167,16 +180,17 @@ def sanitised(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     some = written(some.select("digest", "copies", F.array_distinct(entity).alias("entities"), _blanked(F.col("text"), F.col("base")).alias("rest")), "texts")
     terms = written(some.select("digest", "copies", F.explode(_words(F.col("rest"))).alias("term")).where("term <> ''"), "terms")
     bad = written(disclosing(docs, terms, some.select("digest", "copies", F.explode("entities").alias("entity")), alpha), "disclosing")
-    named = hit.join(_places(some.select("digest", "rest"), bad.select("term")), F.col("digest") == F.col("of"), "left")
+    named = hit.join(_places(some.select("digest", "rest"), bad.select("term"), _maybe(bad)), F.col("digest") == F.col("of"), "left")
     none = F.array().cast(SPAN)
     new = named.select("row.*", "base", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("spans"))
     plain = few.where("digest is null").select("row.*").unionByName(docs.where(~maybe))
     # Rows without a value: the words of all texts meet the terms in a join, and only texts with such a word are looked at again.
-    told = bad.where("both >= 2").select("term")
-    which = plain.select(F.md5("text").alias("digest"), F.explode(_words(F.col("text"))).alias("term")).join(told, "term", "left_semi").select("digest").distinct()
+    told = bad.where("texts >= 2").select("term")
+    tells = _maybe(told)
+    which = plain.select(F.md5("text").alias("digest"), F.explode(_words(F.col("text"))).alias("term")).where(tells("term")).join(told, "term", "left_semi").select("digest").distinct()
     which = written(which, "texts_that_tell")
     again = plain.select(F.md5("text").alias("digest"), F.col("text").alias("rest")).join(which, "digest", "left_semi").groupBy("digest").agg(F.min("rest").alias("rest"))
-    marked = plain.withColumn("__digest", F.md5("text")).join(_places(again, told), F.col("__digest") == F.col("of"), "left")
+    marked = plain.withColumn("__digest", F.md5("text")).join(_places(again, told, tells), F.col("__digest") == F.col("of"), "left")
     return new.unionByName(marked.select(docs.columns + [none.alias("base"), F.coalesce("terms", none).alias("spans")]))
 
 

@@ -22,7 +22,7 @@ from .common import components, min_labels, runs, written
 #: What one probed key costs next to one verified candidate pair.
 ROW_COST = 200.0
 #: Buckets over this many fingerprints are cut into blocks that are compared two by two; pairs that a task compares at once; keys of one part and threshold.
-BLOCK, AT_ONCE, MOST_KEYS = 256, 1 << 22, 5000
+BLOCK, AT_ONCE, MOST_KEYS = 256, 1 << 18, 5000
 #: Bits set in each byte value, low bit first.
 _SET = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 

@@ -15,6 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from .common import labelled_ids, with_columns, written
 LENGTH, SPAN, DECAY = 4, 6, 0.7
 PATTERNS = [(0, *inner, span - 1) for span in range(LENGTH, SPAN + 1) for inner in combinations(range(1, span - 1), LENGTH - 2)]
 WEIGHTS = [DECAY ** (p[-1] + 1) for p in PATTERNS]
-LANDMARKS, ROUNDS, CACHE = 400, 3, 100_000
+LANDMARKS, ROUNDS, CACHE = 400, 3, 50_000
 #: Words that reach the driver: telling words of toxic sentences, clean words taken by hash, clean words taken by margin in each further round.
 TELLING, NEGATIVE, HARD = 5000, 6000, 3000
 #: Between sentences: closing punctuation before white space (not inside a word, where it may hide an insult), or a line break.
@@ -194,7 +195,7 @@ def instances(docs: DataFrame, labels: DataFrame, keep, label: str, per_class: i
     the sentence and its segments. A document without sentences has one row without words. Of rows that share an id the least text stands for the document."""
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(at, 250) for whole in batches for at in range(0, whole.num_rows, 250)):
             for y, i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 lines = {x.strip() for x in SENTENCE.split(t or "")} - {""}
                 rows = [(hash_of(x), sorted(segments(x))) for x in sorted(lines)] or [(0, [])]
@@ -243,7 +244,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", per_clas
         found = machine(known + near, np.array([1] * len(known) + [0] * len(near)), marks)
         some = sorted(usable)
         positive = positive | {w for w, m in zip(some, found.margins(some), strict=True) if m > 0.3}
-    top = _tops(rows, found).groupBy("doc_id").agg(F.max("y").alias("y"), F.max("m").alias("m")).select("y", "m").toArrow()
+    tops, held = _tops(rows, found)
+    top = tops.groupBy("doc_id").agg(F.max("y").alias("y"), F.max("m").alias("m")).select("y", "m").toArrow()
+    held.destroy()
     y, m = top["y"].to_numpy(), top["m"].to_numpy()
     order = np.lexsort((m, y))
     found.scale, found.shift = _platt(m[order], y[order].astype(float))
@@ -251,8 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", per_clas
     return found
 
 
-def _tops(rows: DataFrame, found: KernelMachine) -> DataFrame:
-    """(y, doc_id, w, m): the segment with the largest margin of each sentence, by name among equals; the bias for one without segments."""
+def _tops(rows: DataFrame, found: KernelMachine) -> tuple[DataFrame, Broadcast]:
+    """(y, doc_id, w, m): the segment with the largest margin of each sentence, by name among equals; the bias for one without segments. Also the
+    broadcast machine, to be destroyed once the rows have been read, so that workers do not keep the machines of all rounds."""
     held = rows.sparkSession.sparkContext.broadcast(found)
 
     def run(batches):
@@ -266,13 +270,16 @@ def _tops(rows: DataFrame, found: KernelMachine) -> DataFrame:
                 m = [held.value.bias if w is None else seen[w] for w in best]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(best, pa.string()), pa.array(m, pa.float64())], ["y", "doc_id", "w", "m"])
 
-    return rows.select("y", F.col("doc_id") if "doc_id" in rows.columns else F.lit(0).cast("long").alias("doc_id"), "words").mapInArrow(run, "y int, doc_id long, w string, m double")
+    return rows.select("y", F.col("doc_id") if "doc_id" in rows.columns else F.lit(0).cast("long").alias("doc_id"), "words").mapInArrow(run, "y int, doc_id long, w string, m double"), held
 
 
 def _hardest(lines: DataFrame, found: KernelMachine) -> list[str]:
     """Of the most toxic segments of clean sentences the HARD ones with the largest margins."""
-    top = _tops(lines, found).where(F.length("w") >= LENGTH).groupBy("w").agg(F.max("m").alias("m"))
-    return [r["w"] for r in top.orderBy(F.desc("m"), "w").limit(HARD).collect()]
+    tops, held = _tops(lines, found)
+    top = tops.where(F.length("w") >= LENGTH).groupBy("w").agg(F.max("m").alias("m"))
+    hard = [r["w"] for r in top.orderBy(F.desc("m"), "w").limit(HARD).collect()]
+    held.destroy()
+    return hard
 
 
 def broken(w: str) -> list[str]:
