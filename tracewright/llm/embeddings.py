@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, min_labels, written
+from .common import components, min_labels, runs, written
 
-#: Dimensions accumulated between two tests; smallest block; a cell of n vectors is cut into blocks of about sqrt(16 n).
-STEP, BLOCK = 8, 128
+#: Dimensions accumulated between two tests; vectors of a block (what a task holds twice); vectors of a block compared at once; pairs whose components are gathered at once.
+STEP, BLOCK, ROWS, PAIRS = 8, 2048, 512, 1 << 16
 #: Slack of the bounds for rounding, far over 64 units in the last place.
 SLACK = 1e-9
 
@@ -46,10 +46,11 @@ def principal_axes(vecs: DataFrame) -> dict[int, np.ndarray]:
             for i in range(d):
                 yield pa.RecordBatch.from_arrays([pa.array([d] * d, pa.int32()), pa.array([i] * d, pa.int32()), pa.array(range(d), pa.int32()), pa.array(s[i])], ["d", "i", "j", "c"])
 
-    rows = vecs.select("embedding").mapInArrow(run, "d int, i int, j int, c double").groupBy("d", "i", "j").agg(F.sum("c").alias("c")).collect()
-    out: dict[int, np.ndarray] = {}
-    for r in rows:
-        out.setdefault(r["d"], np.zeros((r["d"], r["d"])))[r["i"], r["j"]] = r["c"]
+    rows = vecs.select("embedding").mapInArrow(run, "d int, i int, j int, c double").groupBy("d", "i", "j").agg(F.sum("c").alias("c")).toArrow()
+    at, i, j, c = (rows[k].to_numpy() for k in ("d", "i", "j", "c"))
+    out = {int(d): np.zeros((d, d)) for d in np.unique(at)}
+    for d, m in out.items():
+        m[i[at == d], j[at == d]] = c[at == d]
     return {d: np.linalg.eigh(c)[1][:, ::-1] for d, c in out.items()}
 
 
@@ -63,29 +64,35 @@ def linked(x: np.ndarray, y: np.ndarray, ux: np.ndarray, uy: np.ndarray, thresho
     part = dot[i, j]
     while cut < d and len(i):
         stop = min(cut + STEP, d)
-        part = part + np.einsum("ij,ij->i", ux[i, cut:stop], uy[j, cut:stop])
+        part = part + _products(ux[:, cut:stop], uy[:, cut:stop], i, j)
         cut = stop
         keep = part + (sx[i, cut] * sy[j, cut] if cut < d else 0) >= threshold - SLACK
         i, j, part = i[keep], j[keep], part[keep]
-    cos = np.einsum("ij,ij->i", x[i], y[j]) / (np.sqrt(np.einsum("ij,ij->i", x[i], x[i])) * np.sqrt(np.einsum("ij,ij->i", y[j], y[j])))
-    keep = cos >= threshold
+    nx, ny = (np.sqrt(np.einsum("ij,ij->i", v, v)) for v in (x, y))
+    keep = _products(x, y, i, j) / (nx[i] * ny[j]) >= threshold
     return i[keep], j[keep]
 
 
+def _products(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The products of the pairs (i of x, j of y); components are gathered for PAIRS pairs at a time."""
+    parts = [np.einsum("ij,ij->i", x[i[at : at + PAIRS]], y[j[at : at + PAIRS]]) for at in range(0, len(i), PAIRS)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
 TILE = ["label", "d", "c1", "c2", "t1", "t2"]
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, axes):
     def tile(c):
         side, node, copies = c["side"], c["node"], c["copies"]
         x = np.stack(c["v"])
-        u = np.stack(c["u"])
+        u = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes.value[x.shape[1]]
         alone = c["c1"][0] == c["c2"][0] and c["t1"][0] == c["t2"][0]
         a = np.arange(len(x)) if alone else np.flatnonzero(side == 0)
         b = a if alone else np.flatnonzero(side == 1)
         i_s, j_s = [], []
-        for at in range(0, len(a), 512):
-            part = a[at : at + 512]
+        for at in range(0, len(a), ROWS):
+            part = a[at : at + ROWS]
             i, j = linked(x[part], x[b], u[part], u[b], threshold)
             i_s.append(part[i])
             j_s.append(b[j])
@@ -93,39 +100,17 @@ def _compare(threshold: float):
         n = np.bincount(i, copies[j], minlength=len(x))
         if not alone:
             n += np.bincount(j, copies[i], minlength=len(x))
-            i, j = i, j
         elif len(i):
             n -= np.bincount(i[i == j], copies[i[i == j]], minlength=len(x))  # itself and its copies are counted elsewhere
         lab = min_labels(len(x), i, j)
         return node, node[lab], n.astype(np.int64)
 
     def run(batches):
-        def rows(b):
-            out = {n: b.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(b.schema.names)}
-            return out
-
-        def flush(c, bounds):
+        for c, bounds in runs(batches, TILE):
             got = [tile({k: v[i:j] for k, v in c.items()}) for i, j in bounds if j - i > 1]
             node, root, n = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.empty(0, np.int64),) * 3
             some = (n > 0) | (node != root)
-            return pa.RecordBatch.from_arrays([pa.array(x[some], pa.int64()) for x in (node, root, n)], ["node", "root", "n"])
-
-        rest = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            c = rows(b)
-            if rest is not None:
-                c = {k: np.concatenate([rest[k], v]) for k, v in c.items()}
-            new = np.zeros(len(c["node"]), bool)
-            for k in TILE:
-                new[1:] |= c[k][1:] != c[k][:-1]
-            at = [0, *np.flatnonzero(new).tolist()]
-            if len(at) > 1:
-                yield flush(c, list(zip(at, at[1:], strict=False)))
-            rest = {k: v[at[-1] :] for k, v in c.items()}
-        if rest is not None:
-            yield flush(rest, [(0, len(rest["node"]))])
+            yield pa.RecordBatch.from_arrays([pa.array(x[some], pa.int64()) for x in (node, root, n)], ["node", "root", "n"])
 
     return run
 
@@ -147,17 +132,14 @@ def near_duplicates(vecs: DataFrame, threshold: float = 0.98) -> DataFrame:
     def rotate(batches):
         for b in batches:
             v = b.column(0).to_pylist()
-            u = []
-            for x in v:
-                x = np.array(x)
-                u.append((x / np.linalg.norm(x)) @ axes.value[len(x)])
-            cells = pa.array([int(np.floor(x[0] / width)) for x in u], pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) for x in v], pa.int32()), cells, pa.array(u, pa.list_(pa.float64()))], ["v", "label", "node", "copies", "d", "cell", "u"])
+            first = [float(np.array(x) @ axes.value[len(x)][:, 0] / np.linalg.norm(x)) for x in v]
+            cells = pa.array([int(np.floor(x / width)) for x in first], pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) for x in v], pa.int32()), cells], ["v", "label", "node", "copies", "d", "cell"])
 
     cast = distinct.select(F.col("embedding").alias("v"), "label", "node", "copies")
-    units = written(cast.mapInArrow(rotate, "v array<double>, label long, node long, copies long, d int, cell int, u array<double>"), "units")
+    units = written(cast.mapInArrow(rotate, "v array<double>, label long, node long, copies long, d int, cell int"), "units")
     size = units.groupBy("label", "d", "cell").agg(F.count("*").alias("n"))
-    size = size.select("label", "d", "cell", F.ceil(F.col("n") / F.greatest(F.lit(BLOCK), F.sqrt(16 * F.col("n")))).cast("int").alias("blocks"))
+    size = size.select("label", "d", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     shift = size.select("label", "d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("by"), "cell", "blocks").withColumn("cell", F.col("cell") - F.col("by"))
     around = shift.groupBy("label", "d", "cell").agg(*[F.max(F.when(F.col("by") == k, F.col("blocks"))).alias(n) for k, n in ((-1, "below"), (0, "here"), (1, "above"))])
     x = units.join(around, ["label", "d", "cell"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("here")).cast("int"))
@@ -168,9 +150,9 @@ def near_duplicates(vecs: DataFrame, threshold: float = 0.98) -> DataFrame:
     up = F.when(F.col("above").isNotNull(), F.transform(seq("above"), lambda t: one(cell, cell + 1, own, t, F.lit(0))))
     down = F.when(F.col("below").isNotNull(), F.transform(seq("below"), lambda t: one(cell - 1, cell, t, own, F.lit(1))))
     empty = F.filter(inside, lambda _: F.lit(False))
-    tiles = x.select("label", "d", "node", "copies", "v", "u", F.explode(F.concat(inside, F.coalesce(up, empty), F.coalesce(down, empty))).alias("t"))
-    tiles = tiles.select("label", "d", "t.*", "node", "copies", "v", "u").repartition(*TILE).sortWithinPartitions(*TILE)
-    found = written(tiles.mapInArrow(_compare(threshold), "node long, root long, n long"), "found")
+    tiles = x.select("label", "d", "node", "copies", "v", F.explode(F.concat(inside, F.coalesce(up, empty), F.coalesce(down, empty))).alias("t"))
+    tiles = tiles.select("label", "d", "t.*", "node", "copies", "v").repartition(*TILE).sortWithinPartitions(*TILE)
+    found = written(tiles.mapInArrow(_compare(threshold, axes), "node long, root long, n long"), "found")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     comp = components(found, "node", "root").withColumnRenamed("node", "of")
     classes = units.select("v", "label", "node", "copies").join(counts, "node", "left").join(comp, F.col("node") == F.col("of"), "left")

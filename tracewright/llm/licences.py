@@ -1,15 +1,13 @@
 """Licence scans by canonical digest: whole texts, and single lines, whose canonical form has a known digest.
 
-Canonical: lower case, without lines of copyright, equivalent spellings made one, everything but letters and digits as one blank.
-Only texts with a licence word are canonicalised; every known text has one. DataFrame functions only.
+Canonical: lower case, without lines of copyright, equivalent spellings made one, everything but letters and digits as one blank. Every text gets
+its digest and joins the known ones by hash. Single lines are tried as well, so that a notice inside a document is found; a licence of several lines inside a
+longer text is out of the method. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Public licence texts and notices by SPDX identifier.
@@ -26,7 +24,47 @@ _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you
 http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_1 = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 KNOWN: list[tuple[str, str]] = [
+    ("BSD-2-Clause", "\n".join([_BSD_HEAD, _BSD_1, _BSD_2, _BSD_END])),
+    ("BSD-2-Clause", "\n".join(["BSD 2-Clause License", _BSD_HEAD, _BSD_1, _BSD_2, _BSD_END])),
+    ("BSD-3-Clause", "\n".join([_BSD_HEAD, _BSD_1, _BSD_2, _BSD_3, _BSD_END])),
+    ("BSD-3-Clause", "\n".join(["BSD 3-Clause License", _BSD_HEAD, _BSD_1, _BSD_2, _BSD_3, _BSD_END])),
+    ("0BSD", _ISC.replace("provided that the above copyright notice and this permission notice appear in all copies", "").replace(", .", ".")),
+    ("Unlicense", _UNLICENSE),
+    ("Zlib", _ZLIB),
+    ("Zlib", "zlib License\n\n" + _ZLIB),
+    ("GPL-3.0-or-later", _GPL),
+    ("GPL-2.0-or-later", _GPL.replace("version 3 of", "version 2 of")),
+    ("LGPL-3.0-or-later", _GPL.replace("GNU General", "GNU Lesser General")),
+    ("AGPL-3.0-or-later", _GPL.replace("GNU General", "GNU Affero General")),
+    ("MPL-2.0", _MPL),
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
     ("ISC", _ISC),
@@ -44,49 +82,49 @@ KNOWN: list[tuple[str, str]] = [
 ]
 # Spellings that mean the same.
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("merchantibility", "merchantability"), ("https", "http"), ("organisation", "organization"), ("favour", "favor"), ("behaviour", "behavior"), ("authorise", "authorize"), ("copyright owner", "copyright holder")]
-#: A word that every known text holds; copyright lines; what parts words.
-ANCHOR = r"(?i)licen[cs]e|permission"
-COPYRIGHT = r"(^|\n)[^\p{L}\n]*(copyright|copr\.|\(c\)|©|all rights reserved)[^\n]*"
+#: What a single line must hold to be tried as a notice.
+ANCHOR = r"(?i)licen[cs]e"
+#: Lines that name the holder of a copyright, not lines of a sentence on copyright; what parts words.
+COPYRIGHT = r"(?m)^[^\p{L}\n(]*(?:copyright[ \t]*(?:\(c\)|©|:|by |[<{0-9]|\[)|copr\.|(?:\(c\)|©)[ \t]*(?:copyright[ \t]*)?[0-9]|all rights reserved[^\p{L}\n]*$)[^\n]*$"
 PARTS = r"[^\p{L}\p{N}]+"
-
-
-def canonical(text: str) -> str:
-    """The canonical form, as the columns compute it."""
-    t = re.sub(r"(^|\n)[^\w\n]*(copyright|copr\.|\(c\)|©|all rights reserved)[^\n]*", "\n", text.lower())
-    t = re.sub(r"[\W_]+", " ", t).strip(" ")
-    for a, b in SPELLINGS:
-        t = t.replace(a, b)
-    return t
-
-
-def digests() -> dict[str, str]:
-    return {hashlib.sha256(canonical(t).encode()).hexdigest(): i for i, t in KNOWN}
+#: Most entries of a table of known texts; all of them are broadcast.
+MOST = 10_000
 
 
 def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form of a text."""
-    t = F.regexp_replace(F.lower(text), COPYRIGHT, "\n")
+    """SHA-256 of the canonical form of a text. Null for null; texts without a letter or digit share the digest of the empty text."""
+    t = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
     t = F.btrim(F.regexp_replace(t, PARTS, " "), F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
     return F.sha2(t, 256)
 
 
-def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def known_digests(spark: SparkSession, known: DataFrame | None = None) -> dict[str, str]:
+    """Licence by canonical digest, for a table (license, text) of known texts or the ones above; of two licences with one digest the first by name. A table of more
+    than MOST rows is refused."""
+    known = spark.createDataFrame(KNOWN, "license string, text string") if known is None else known
+    rows = known.where("license is not null").select(digest(F.col("text")).alias("d"), "license").where("d is not null").groupBy("d").agg(F.min("license").alias("license")).limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"more than {MOST} known licence texts")
+    return {r["d"]: r["license"] for r in rows}
+
+
+def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", known: DataFrame | None = None) -> DataFrame:
     """(doc_id, digest, license, notices) for every row: the digest of the canonical whole text, the licence that it is, and the distinct
-    licences of single lines, sorted and joined by commas.
+    licences of single lines, sorted and joined by commas. ``known`` is a table (license, text); without it the texts of this module count.
 
-    digest is null for null texts and texts without a licence word, license is null unless the whole text is known, notices is null if no line is. The whole
-    texts join the known digests by hash; the known table has a fixed size and is broadcast. Repeated rows get repeated results.
+    digest is null for null texts, license is null unless the whole text is known, notices is null if no line is; lines are tried if they have the word licence. The whole
+    texts join the known digests by hash; the known table has a bounded size and is broadcast. Repeated rows get repeated results.
     """
-    known = digests()
-    table = docs.sparkSession.createDataFrame(sorted(known.items()), "known_digest string, license string")
-    literal = F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv])
-    text, some = F.col(text_col), F.col(text_col).rlike(ANCHOR)
+    found = known_digests(docs.sparkSession, known)
+    table = docs.sparkSession.createDataFrame(sorted(found.items()), "known_digest string, license string")
+    literal = F.create_map(*[F.lit(x) for kv in sorted(found.items()) for x in kv]) if found else F.create_map().cast("map<string,string>")
+    text = F.col(text_col)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(ANCHOR))
-    found = F.filter(F.transform(lines, lambda x: F.try_element_at(literal, digest(x))), lambda x: x.isNotNull())
-    notices = F.when(some & (F.size(found) > 0), F.array_join(F.array_sort(F.array_distinct(found)), ","))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(some, digest(text)).alias("digest"), notices.alias("notices"))
+    hits = F.filter(F.transform(lines, lambda x: F.try_element_at(literal, digest(x))), lambda x: x.isNotNull())
+    notices = F.when(text.rlike(ANCHOR) & (F.size(hits) > 0), F.array_join(F.array_sort(F.array_distinct(hits)), ","))
+    rows = docs.select(F.col(id_col).alias("doc_id"), digest(text).alias("digest"), notices.alias("notices"))
     return rows.join(F.broadcast(table), F.col("digest") == F.col("known_digest"), "left").select("doc_id", "digest", "license", "notices")
 
 
@@ -95,16 +133,16 @@ def oracle(table: str = "documents") -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
 
     def dig(x: str) -> str:
-        t = f"trim(regexp_replace(regexp_replace(lower({x}), {q(COPYRIGHT)}, chr(10), 'g'), {q(PARTS)}, ' ', 'g'), ' ')"
+        t = f"trim(regexp_replace(regexp_replace(lower({x}), {q(COPYRIGHT)}, ' ', 'g'), {q(PARTS)}, ' ', 'g'), ' ')"
         for a, b in SPELLINGS:
             t = f"replace({t}, {q(a)}, {q(b)})"
         return f"sha256({t})"
 
-    known = ", ".join(f"({q(d)}, {q(i)})" for d, i in sorted(digests().items()))
+    texts = ", ".join(f"({q(i)}, {q(t)})" for i, t in KNOWN)
     return f"""
-WITH known(kd, license) AS (VALUES {known}),
+WITH texts(license, t) AS (VALUES {texts}), known AS (SELECT {dig('t')} AS kd, min(license) AS license FROM texts GROUP BY 1),
 d AS (SELECT doc_id, text, row_number() OVER () AS r, regexp_matches(text, {q(ANCHOR)}) AS has FROM {table}),
 l AS (SELECT r, {dig('line')} AS ld FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d WHERE has) WHERE regexp_matches(line, {q(ANCHOR)})),
 n AS (SELECT r, string_agg(license, ',' ORDER BY license) AS notices FROM (SELECT DISTINCT r, license FROM l JOIN known ON ld = kd) GROUP BY r)
 SELECT doc_id, digest, license, notices
-FROM (SELECT doc_id, r, CASE WHEN has THEN {dig('text')} END AS digest FROM d) x LEFT JOIN known ON digest = kd LEFT JOIN n USING (r)"""
+FROM (SELECT doc_id, r, {dig('text')} AS digest FROM d) x LEFT JOIN known ON digest = kd LEFT JOIN n USING (r)"""
