@@ -51,6 +51,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Where the session leaves Arrow batches at Spark's 10,000 rows, they are set to 1,000: whole texts are long, and a task holds a batch on both sides."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

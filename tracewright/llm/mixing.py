@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -21,19 +20,10 @@ WEIGHTS, SHARE, PASSES, SEED = (3, 1, 2), 1.5, 2, 11
 BUDGET, BUCKET = 1 << 17, 64
 
 
-def sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``size``: the number of words (runs of characters other than blank and \\x09-\\x0D) of the whole text; null: 0."""
-
-    def run(batches):
-        for b in batches:
-            k = b.schema.names.index("__text")
-            n = [len(t.split()) if t else 0 for t in b.column(k).cast(pa.binary()).to_pylist()]
-            cols = [c for i, c in enumerate(b.columns) if i != k]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64())], [*[x for i, x in enumerate(b.schema.names) if i != k], "size"])
-
-    rest = [c for c in docs.columns if c != "size"]
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c != "size"] + ["size long"])
-    return docs.select(*rest, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+def n_words(text: Column) -> Column:
+    """The number of words (runs of characters other than blank and \\x09-\\x0D) of the whole text; null: 0."""
+    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(F.length(bare) > 0, F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).otherwise(0).cast("long")
 
 
 def fit_counts(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
@@ -93,7 +83,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     spark = docs.sparkSession
     new = ("size", "source_size", "target", "copies", "taken")
     kept = docs.select([c for c in docs.columns if c not in new])
-    sized = sizes(kept.withColumn("__t", F.xxhash64(text_col)), text_col)
+    sized = kept.withColumns({"__t": F.xxhash64(text_col), "size": n_words(F.col(text_col))})
     sized = written(sized if with_text else sized.drop(text_col), "sizes")
     by_length = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     total = by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
