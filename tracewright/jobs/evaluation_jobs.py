@@ -18,12 +18,12 @@ def _off_line(px, py, w):
     return F.abs((px - w["x1"]) * dy - (py - w["y1"]) * dx) / F.sqrt(square), ((px - w["x1"]) * dx + (py - w["y1"]) * dy) / square
 
 
-def _detected(spark, sf):
-    return table(spark, sf, "segs").select("page", "seg_id", "x1", "y1", "x2", "y2", F.floor(F.col("seg_id") / 5).alias("net"))
+def _detected(spark, sf, per=5):
+    return table(spark, sf, "segs").select("doc", "page", "seg_id", "x1", "y1", "x2", "y2", F.floor(F.col("seg_id") / per).alias("net"))
 
 
 def _truth(spark, sf):
-    return table(spark, sf, "gt_wires").select("page", "wire_id", "net", "x1", "y1", "x2", "y2")
+    return table(spark, sf, "gt_wires").select("doc", "page", "wire_id", "net", "x1", "y1", "x2", "y2")
 
 
 def _length(p=""):
@@ -41,106 +41,106 @@ def match_wires(spark, sf):
         return (d1 <= TOL) & (d2 <= TOL) & (t >= -slack) & (t <= slack + 1)
 
     mid = tuple((F.col(f"{c}1") + F.col(f"{c}2")) / 2 for c in "xy") * 2
-    j = grid_join(_detected(spark, sf), _truth(spark, sf), ["page"], mid, seg_box(TOL), CELL, test)
-    first = j.groupBy(F.col("l.page").alias("page"), F.col("l.seg_id").alias("seg_id")).agg(F.min(F.struct("r.wire_id", "r.net")).alias("b"))
-    return first.select("page", "seg_id", "b.wire_id", F.col("b.net").alias("gt_net"))
+    j = grid_join(_detected(spark, sf), _truth(spark, sf), ["doc", "page"], mid, seg_box(TOL), CELL, test)
+    first = j.groupBy(F.col("l.doc").alias("doc"), F.col("l.page").alias("page"), F.col("l.seg_id").alias("seg_id")).agg(F.min(F.struct("r.wire_id", "r.net")).alias("b"))
+    return first.select("doc", "page", "seg_id", "b.wire_id", F.col("b.net").alias("gt_net"))
 
 
-def contingency(spark, sf):
+def contingency(spark, sf, per=5):
     """Shared length of each detected and true net."""
-    m = match_wires(spark, sf).join(_detected(spark, sf), ["page", "seg_id"])
-    return m.groupBy("page", "net", "gt_net").agg(F.sum(_length()).alias("len"))
+    m = match_wires(spark, sf).join(_detected(spark, sf, per), ["doc", "page", "seg_id"])
+    return m.groupBy("doc", "page", "net", "gt_net").agg(F.sum(_length()).alias("len"))
 
 
 def wire_precision_recall(spark, sf):
     """Per page: share of the detected length on true wires; share of sample points of true wires on a detected segment."""
     s, w = _detected(spark, sf), _truth(spark, sf)
-    hit = match_wires(spark, sf).select("page", "seg_id", F.lit(1.0).alias("ok"))
-    p = s.join(hit, ["page", "seg_id"], "left").groupBy("page").agg((F.sum(_length() * F.coalesce("ok", F.lit(0.0))) / F.sum(_length())).alias("wire_precision"))
+    hit = match_wires(spark, sf).select("doc", "page", "seg_id", F.lit(1.0).alias("ok"))
+    p = s.join(hit, ["doc", "page", "seg_id"], "left").groupBy("doc", "page").agg((F.sum(_length() * F.coalesce("ok", F.lit(0.0))) / F.sum(_length())).alias("wire_precision"))
     n = F.greatest(F.lit(1), F.ceil(_length() / 1.5)).cast("int")
     pts = w.withColumns({"n": n, "len": _length()}).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     t = (F.col("k") + 0.5) / F.col("n")
-    pts = pts.select("page", "wire_id", "k", (F.col("len") / F.col("n")).alias("piece"), (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y"))
+    pts = pts.select("doc", "page", "wire_id", "k", (F.col("len") / F.col("n")).alias("piece"), (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y"))
 
     def on(a, b):
         d, at = _off_line(a["x"], a["y"], b)
         slack = TOL / F.sqrt((b["x2"] - b["x1"]) ** 2 + (b["y2"] - b["y1"]) ** 2)
         return (d <= TOL) & (at >= -slack) & (at <= slack + 1)
 
-    covered = grid_join(pts, s, ["page"], point_box(), seg_box(TOL), CELL, on).select("l.page", "l.wire_id", "l.k").distinct().withColumn("ok", F.lit(1.0))
-    r = pts.join(covered, ["page", "wire_id", "k"], "left").groupBy("page").agg((F.sum(F.col("piece") * F.coalesce("ok", F.lit(0.0))) / F.sum("piece")).alias("wire_recall"))
-    return p.join(r, "page", "full_outer").select("page", F.round("wire_precision", 6).alias("wire_precision"), F.round("wire_recall", 6).alias("wire_recall"))
+    covered = grid_join(pts, s, ["doc", "page"], point_box(), seg_box(TOL), CELL, on).select("l.doc", "l.page", "l.wire_id", "l.k").distinct().withColumn("ok", F.lit(1.0))
+    r = pts.join(covered, ["doc", "page", "wire_id", "k"], "left").groupBy("doc", "page").agg((F.sum(F.col("piece") * F.coalesce("ok", F.lit(0.0))) / F.sum("piece")).alias("wire_recall"))
+    return p.join(r, ["doc", "page"], "full_outer").select("doc", "page", F.round("wire_precision", 6).alias("wire_precision"), F.round("wire_recall", 6).alias("wire_recall"))
 
 
-def group_precision_recall(spark, sf):
+def group_precision_recall(spark, sf, per=5):
     """Length-weighted pairs of wires that are rightly together."""
-    c = contingency(spark, sf)
-    cells = c.groupBy("page").agg(F.sum(F.col("len") ** 2).alias("both"))
-    rows = c.groupBy("page", "net").agg(F.sum("len").alias("t")).groupBy("page").agg(F.sum(F.col("t") ** 2).alias("pred"))
-    cols = c.groupBy("page", "gt_net").agg(F.sum("len").alias("t")).groupBy("page").agg(F.sum(F.col("t") ** 2).alias("true"))
-    j = cells.join(rows, "page").join(cols, "page")
-    return j.select("page", F.round(F.col("both") / F.col("pred"), 6).alias("group_precision"), F.round(F.col("both") / F.col("true"), 6).alias("group_recall"))
+    c = contingency(spark, sf, per)
+    cells = c.groupBy("doc", "page").agg(F.sum(F.col("len") ** 2).alias("both"))
+    rows = c.groupBy("doc", "page", "net").agg(F.sum("len").alias("t")).groupBy("doc", "page").agg(F.sum(F.col("t") ** 2).alias("pred"))
+    cols = c.groupBy("doc", "page", "gt_net").agg(F.sum("len").alias("t")).groupBy("doc", "page").agg(F.sum(F.col("t") ** 2).alias("true"))
+    j = cells.join(rows, ["doc", "page"]).join(cols, ["doc", "page"])
+    return j.select("doc", "page", F.round(F.col("both") / F.col("pred"), 6).alias("group_precision"), F.round(F.col("both") / F.col("true"), 6).alias("group_recall"))
 
 
 def net_best_match(spark, sf):
     """Each true net's detected net with most shared length; ties go to the lower number."""
-    w = Window.partitionBy("page", "gt_net").orderBy(F.desc("len"), "net")
-    return contingency(spark, sf).withColumn("r", F.row_number().over(w)).where("r = 1").select("page", "gt_net", "net", F.round("len", 6).alias("len"))
+    w = Window.partitionBy("doc", "page", "gt_net").orderBy(F.desc("len"), "net")
+    return contingency(spark, sf).withColumn("r", F.row_number().over(w)).where("r = 1").select("doc", "page", "gt_net", "net", F.round("len", 6).alias("len"))
 
 
 def net_exact(spark, sf):
     """Per page: true nets of at least 3 units, and those that one detected net covers to 95 % and hardly exceeds."""
-    real = _truth(spark, sf).groupBy("page", F.col("net").alias("gt_net")).agg(F.sum(_length()).alias("real")).where("real >= 3")
-    rows = contingency(spark, sf).groupBy("page", "net").agg(F.sum("len").alias("total"))
-    j = real.join(net_best_match(spark, sf), ["page", "gt_net"], "left").join(rows, ["page", "net"], "left")
+    real = _truth(spark, sf).groupBy("doc", "page", F.col("net").alias("gt_net")).agg(F.sum(_length()).alias("real")).where("real >= 3")
+    rows = contingency(spark, sf).groupBy("doc", "page", "net").agg(F.sum("len").alias("total"))
+    j = real.join(net_best_match(spark, sf), ["doc", "page", "gt_net"], "left").join(rows, ["doc", "page", "net"], "left")
     exact = (F.col("len") / F.col("real") >= 0.95) & (F.col("len") / F.col("total") >= 0.95)
-    return j.groupBy("page").agg(F.count("*").alias("nets"), F.sum(F.coalesce(exact, F.lit(False)).cast("long")).alias("exact"))
+    return j.groupBy("doc", "page").agg(F.count("*").alias("nets"), F.sum(F.coalesce(exact, F.lit(False)).cast("long")).alias("exact"))
 
 
 def pin_scores(spark, sf):
     """Pairs of pins that are rightly on one net."""
     p = table(spark, sf, "pins")
     two = lambda n: F.sum(F.col(n) * (F.col(n) - 1) / 2)
-    pairs = lambda *k: p.groupBy("page", *k).agg(F.count("*").alias("n")).groupBy("page").agg(two("n").alias("_".join(k)))
-    j = pairs("pred", "gt").join(pairs("pred"), "page").join(pairs("gt"), "page").join(p.groupBy("page").agg(F.count("*").alias("pins")), "page")
+    pairs = lambda *k: p.groupBy("doc", "page", *k).agg(F.count("*").alias("n")).groupBy("doc", "page").agg(two("n").alias("_".join(k)))
+    j = pairs("pred", "gt").join(pairs("pred"), ["doc", "page"]).join(pairs("gt"), ["doc", "page"]).join(p.groupBy("doc", "page").agg(F.count("*").alias("pins")), ["doc", "page"])
     share = lambda a: F.round(F.when(F.col(a) > 0, F.col("pred_gt") / F.col(a)).otherwise(1.0), 6)
-    return j.select("page", "pins", share("pred").alias("pin_precision"), share("gt").alias("pin_recall"))
+    return j.select("doc", "page", "pins", share("pred").alias("pin_precision"), share("gt").alias("pin_recall"))
 
 
 def _refs(spark, sf):
     p = table(spark, sf, "parts")
-    return p.where("i % 13 <> 4").select("page", "ref"), p.select("page", F.when(F.col("i") % 17 == 2, F.concat(F.lit("X"), "ref")).otherwise(F.col("ref")).alias("ref"))
+    return p.where("i % 13 <> 4").select("doc", "page", "ref"), p.select("doc", "page", F.when(F.col("i") % 17 == 2, F.concat(F.lit("X"), "ref")).otherwise(F.col("ref")).alias("ref"))
 
 
 def ref_recall_precision(spark, sf):
     """Per page: references printed and found, and the first twelve missed."""
     ours, truth = _refs(spark, sf)
-    both = ours.intersect(truth).groupBy("page").agg(F.count("*").alias("hit"))
-    n = lambda d, c: d.distinct().groupBy("page").agg(F.count("*").alias(c))
-    missed = truth.exceptAll(ours).distinct().groupBy("page").agg(F.array_join(F.slice(F.array_sort(F.collect_list("ref")), 1, 12), ",").alias("missed"))
-    j = n(ours, "found").join(n(truth, "printed"), "page", "full_outer").join(both, "page", "left").join(missed, "page", "left")
+    both = ours.intersect(truth).groupBy("doc", "page").agg(F.count("*").alias("hit"))
+    n = lambda d, c: d.distinct().groupBy("doc", "page").agg(F.count("*").alias(c))
+    missed = truth.exceptAll(ours).distinct().groupBy("doc", "page").agg(F.array_join(F.slice(F.array_sort(F.collect_list("ref")), 1, 12), ",").alias("missed"))
+    j = n(ours, "found").join(n(truth, "printed"), ["doc", "page"], "full_outer").join(both, ["doc", "page"], "left").join(missed, ["doc", "page"], "left")
     hit = F.coalesce("hit", F.lit(0))
-    return j.select("page", F.round(hit / F.col("printed"), 6).alias("recall"), F.round(hit / F.col("found"), 6).alias("precision"), F.coalesce("missed", F.lit("")).alias("missed"))
+    return j.select("doc", "page", F.round(hit / F.col("printed"), 6).alias("recall"), F.round(hit / F.col("found"), 6).alias("precision"), F.coalesce("missed", F.lit("")).alias("missed"))
 
 
 def phantom_names(spark, sf):
     """Names that no true label of the page carries."""
     t = table(spark, sf, "texts")
-    ours = t.select("page", F.upper("str").alias("name")).distinct()
-    return ours.join(t.where("text_id % 3 <> 0").select("page", F.upper("str").alias("name")).distinct(), ["page", "name"], "left_anti")
+    ours = t.select("doc", "page", F.upper("str").alias("name")).distinct()
+    return ours.join(t.where("text_id % 3 <> 0").select("doc", "page", F.upper("str").alias("name")).distinct(), ["doc", "page", "name"], "left_anti")
 
 
 def score_average(spark, sf):
     """Scores of each page and their mean in one pass; undefined ones do not count."""
     s = group_precision_recall(spark, sf).withColumn("group_recall", F.when(F.col("page") % 4 != 1, F.col("group_recall")))
-    return s.rollup("page").agg(F.round(F.avg("group_precision"), 6).alias("group_precision"), F.round(F.avg("group_recall"), 6).alias("group_recall"))
+    return s.groupingSets([["doc", "page"], []], "doc", "page").agg(F.round(F.avg("group_precision"), 6).alias("group_precision"), F.round(F.avg("group_recall"), 6).alias("group_recall"))
 
 
 def score_compare(spark, sf):
-    """Before and after by page, with the difference."""
-    after = group_precision_recall(spark, sf).where("page % 5 <> 2").select("page", F.col("group_precision").alias("after"))
-    before = group_precision_recall(spark, sf).where("page % 5 <> 3").select("page", F.col("group_recall").alias("before"))
-    return before.join(after, "page", "full_outer").withColumn("gain", F.round(F.col("after") - F.col("before"), 6))
+    """One metric of two runs by page, with the difference; the runs differ in how many segments they take for a net."""
+    after = group_precision_recall(spark, sf, 4).where("page % 5 <> 2").select("doc", "page", F.col("group_precision").alias("after"))
+    before = group_precision_recall(spark, sf).where("page % 5 <> 3").select("doc", "page", F.col("group_precision").alias("before"))
+    return before.join(after, ["doc", "page"], "full_outer").withColumn("gain", F.round(F.col("after") - F.col("before"), 6))
 
 
 _LEN = lambda a: f"sqrt(({a}x2-{a}x1)*({a}x2-{a}x1)+({a}y2-{a}y1)*({a}y2-{a}y1))"
@@ -148,34 +148,36 @@ _SQ = lambda w: f"greatest(({w}.x2-{w}.x1)*({w}.x2-{w}.x1)+({w}.y2-{w}.y1)*({w}.
 _OFF = lambda x, y, w: f"abs(({x}-{w}.x1)*({w}.y2-{w}.y1)-({y}-{w}.y1)*({w}.x2-{w}.x1))/sqrt({_SQ(w)})"
 _AT = lambda x, y, w: f"(({x}-{w}.x1)*({w}.x2-{w}.x1)+({y}-{w}.y1)*({w}.y2-{w}.y1))/{_SQ(w)}"
 _SLACK = lambda w: f"0.8 / greatest({_LEN(w + '.')}, 0.000001)"
-_MATCH = f"""det AS (SELECT page, seg_id, x1, y1, x2, y2, CAST(floor(seg_id / 5) AS BIGINT) AS net FROM segs),
-matched AS (SELECT page, seg_id, wire_id, gt_net FROM (SELECT s.page, s.seg_id, w.wire_id, w.net AS gt_net, row_number() OVER (PARTITION BY s.page, s.seg_id ORDER BY w.wire_id) AS r FROM det s JOIN gt_wires w ON s.page = w.page
+_MATCH = f"""det AS (SELECT doc, page, seg_id, x1, y1, x2, y2, CAST(floor(seg_id / 5) AS BIGINT) AS net FROM segs),
+matched AS (SELECT doc, page, seg_id, wire_id, gt_net FROM (SELECT s.doc, s.page, s.seg_id, w.wire_id, w.net AS gt_net, row_number() OVER (PARTITION BY s.doc, s.page, s.seg_id ORDER BY w.wire_id) AS r FROM det s JOIN gt_wires w ON s.doc = w.doc AND s.page = w.page
  AND {_OFF('s.x1', 's.y1', 'w')} <= 0.8 AND {_OFF('s.x2', 's.y2', 'w')} <= 0.8 AND {_AT('(s.x1+s.x2)/2', '(s.y1+s.y2)/2', 'w')} BETWEEN -{_SLACK('w')} AND 1 + {_SLACK('w')}) z WHERE r = 1)"""
-_CONT = f"{_MATCH}, cont AS (SELECT d.page, d.net, m.gt_net, sum({_LEN('d.')}) AS len FROM matched m JOIN det d ON m.page = d.page AND m.seg_id = d.seg_id GROUP BY d.page, d.net, m.gt_net)"
-_GROUP = f"""{_CONT}, g AS (SELECT a.page, round(a.both2 / b.pred, 6) AS group_precision, round(a.both2 / c.true2, 6) AS group_recall FROM (SELECT page, sum(len*len) AS both2 FROM cont GROUP BY page) a
-JOIN (SELECT page, sum(t*t) AS pred FROM (SELECT page, net, sum(len) AS t FROM cont GROUP BY page, net) GROUP BY page) b ON a.page = b.page JOIN (SELECT page, sum(t*t) AS true2 FROM (SELECT page, gt_net, sum(len) AS t FROM cont GROUP BY page, gt_net) GROUP BY page) c ON a.page = c.page)"""
-_BEST = f"{_CONT}, best AS (SELECT page, gt_net, net, round(len, 6) AS len FROM (SELECT *, row_number() OVER (PARTITION BY page, gt_net ORDER BY len DESC, net) AS r FROM cont) z WHERE r = 1)"
-_C2 = lambda *k: f"(SELECT page, sum(n * (n - 1) / 2) AS v FROM (SELECT page, {', '.join(k)}, count(*) AS n FROM pins GROUP BY page, {', '.join(k)}) GROUP BY page)"
+_CONT = f"{_MATCH}, cont AS (SELECT d.doc, d.page, d.net, m.gt_net, sum({_LEN('d.')}) AS len FROM matched m JOIN det d ON m.doc = d.doc AND m.page = d.page AND m.seg_id = d.seg_id GROUP BY d.doc, d.page, d.net, m.gt_net)"
+_GROUP = f"""{_CONT}, g AS (SELECT a.doc, a.page, round(a.both2 / b.pred, 6) AS group_precision, round(a.both2 / c.true2, 6) AS group_recall FROM (SELECT doc, page, sum(len*len) AS both2 FROM cont GROUP BY doc, page) a
+JOIN (SELECT doc, page, sum(t*t) AS pred FROM (SELECT doc, page, net, sum(len) AS t FROM cont GROUP BY doc, page, net) GROUP BY doc, page) b ON a.doc = b.doc AND a.page = b.page JOIN (SELECT doc, page, sum(t*t) AS true2 FROM (SELECT doc, page, gt_net, sum(len) AS t FROM cont GROUP BY doc, page, gt_net) GROUP BY doc, page) c ON a.doc = c.doc AND a.page = c.page)"""
+_BEST = f"{_CONT}, best AS (SELECT doc, page, gt_net, net, round(len, 6) AS len FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, gt_net ORDER BY len DESC, net) AS r FROM cont) z WHERE r = 1)"
+_C2 = lambda *k: f"(SELECT doc, page, sum(n * (n - 1) / 2) AS v FROM (SELECT doc, page, {', '.join(k)}, count(*) AS n FROM pins GROUP BY doc, page, {', '.join(k)}) GROUP BY doc, page)"
 G = ("segs", "gt_wires")
 
 JOBS = {
-    "match_wires": (match_wires, with_ctes(f"{_MATCH} SELECT page, seg_id, wire_id, gt_net FROM matched", *G)),
-    "contingency": (contingency, with_ctes(f"{_CONT} SELECT page, net, gt_net, len FROM cont", *G)),
-    "wire_precision_recall": (wire_precision_recall, with_ctes(f"""{_MATCH}, p AS (SELECT d.page, sum(CASE WHEN m.seg_id IS NOT NULL THEN {_LEN('d.')} ELSE 0 END) / sum({_LEN('d.')}) AS wp FROM det d LEFT JOIN matched m ON d.page = m.page AND d.seg_id = m.seg_id GROUP BY d.page),
-w AS (SELECT *, {_LEN('')} AS len, CAST(greatest(1, ceil({_LEN('')} / 1.5)) AS BIGINT) AS n FROM gt_wires), pts AS (SELECT page, wire_id, k, len / n AS piece, x1 + (k + 0.5) / n * (x2 - x1) AS x, y1 + (k + 0.5) / n * (y2 - y1) AS y FROM (SELECT *, unnest(range(n)) AS k FROM w) z),
-hit AS (SELECT DISTINCT p.page, p.wire_id, p.k FROM pts p JOIN segs s ON p.page = s.page AND {_OFF('p.x', 'p.y', 's')} <= 0.8 AND {_AT('p.x', 'p.y', 's')} BETWEEN -{_SLACK('s')} AND 1 + {_SLACK('s')}),
-r AS (SELECT p.page, sum(CASE WHEN h.k IS NOT NULL THEN piece ELSE 0 END) / sum(piece) AS wr FROM pts p LEFT JOIN hit h ON p.page = h.page AND p.wire_id = h.wire_id AND p.k = h.k GROUP BY p.page)
-SELECT coalesce(p.page, r.page) AS page, round(wp, 6) AS wire_precision, round(wr, 6) AS wire_recall FROM p FULL JOIN r ON p.page = r.page""", *G)),
+    "match_wires": (match_wires, with_ctes(f"{_MATCH} SELECT doc, page, seg_id, wire_id, gt_net FROM matched", *G)),
+    "contingency": (contingency, with_ctes(f"{_CONT} SELECT doc, page, net, gt_net, len FROM cont", *G)),
+    "wire_precision_recall": (wire_precision_recall, with_ctes(f"""{_MATCH}, p AS (SELECT d.doc, d.page, sum(CASE WHEN m.seg_id IS NOT NULL THEN {_LEN('d.')} ELSE 0 END) / sum({_LEN('d.')}) AS wp FROM det d LEFT JOIN matched m ON d.doc = m.doc AND d.page = m.page AND d.seg_id = m.seg_id GROUP BY d.doc, d.page),
+w AS (SELECT *, {_LEN('')} AS len, CAST(greatest(1, ceil({_LEN('')} / 1.5)) AS BIGINT) AS n FROM gt_wires), pts AS (SELECT doc, page, wire_id, k, len / n AS piece, x1 + (k + 0.5) / n * (x2 - x1) AS x, y1 + (k + 0.5) / n * (y2 - y1) AS y FROM (SELECT *, unnest(range(n)) AS k FROM w) z),
+hit AS (SELECT DISTINCT p.doc, p.page, p.wire_id, p.k FROM pts p JOIN segs s ON p.doc = s.doc AND p.page = s.page AND {_OFF('p.x', 'p.y', 's')} <= 0.8 AND {_AT('p.x', 'p.y', 's')} BETWEEN -{_SLACK('s')} AND 1 + {_SLACK('s')}),
+r AS (SELECT p.doc, p.page, sum(CASE WHEN h.k IS NOT NULL THEN piece ELSE 0 END) / sum(piece) AS wr FROM pts p LEFT JOIN hit h ON p.doc = h.doc AND p.page = h.page AND p.wire_id = h.wire_id AND p.k = h.k GROUP BY p.doc, p.page)
+SELECT coalesce(p.doc, r.doc) AS doc, coalesce(p.page, r.page) AS page, round(wp, 6) AS wire_precision, round(wr, 6) AS wire_recall FROM p FULL JOIN r ON p.doc = r.doc AND p.page = r.page""", *G)),
     "group_precision_recall": (group_precision_recall, with_ctes(f"{_GROUP} SELECT * FROM g", *G)),
     "net_best_match": (net_best_match, with_ctes(f"{_BEST} SELECT * FROM best", *G)),
-    "net_exact": (net_exact, with_ctes(f"""{_BEST}, real AS (SELECT page, net AS gt_net, sum({_LEN('')}) AS real FROM gt_wires GROUP BY page, net HAVING sum({_LEN('')}) >= 3), tot AS (SELECT page, net, sum(len) AS total FROM cont GROUP BY page, net)
-SELECT r.page, count(*) AS nets, count(*) FILTER (b.len / r.real >= 0.95 AND b.len / t.total >= 0.95) AS exact FROM real r LEFT JOIN best b ON r.page = b.page AND r.gt_net = b.gt_net LEFT JOIN tot t ON t.page = b.page AND t.net = b.net GROUP BY r.page""", *G)),
-    "pin_scores": (pin_scores, with_ctes(f"SELECT n.page, n.pins, round(CASE WHEN b.v > 0 THEN a.v / b.v ELSE 1 END, 6) AS pin_precision, round(CASE WHEN c.v > 0 THEN a.v / c.v ELSE 1 END, 6) AS pin_recall FROM (SELECT page, count(*) AS pins FROM pins GROUP BY page) n JOIN {_C2('pred', 'gt')} a ON a.page = n.page JOIN {_C2('pred')} b ON b.page = n.page JOIN {_C2('gt')} c ON c.page = n.page", "pins")),
-    "ref_recall_precision": (ref_recall_precision, with_ctes("""ours AS (SELECT DISTINCT page, ref FROM parts WHERE i % 13 <> 4), truth AS (SELECT DISTINCT page, CASE WHEN i % 17 = 2 THEN 'X' || ref ELSE ref END AS ref FROM parts),
-a AS (SELECT page, count(*) AS found FROM ours GROUP BY page), b AS (SELECT page, count(*) AS printed FROM truth GROUP BY page), c AS (SELECT page, count(*) AS hit FROM (SELECT * FROM ours INTERSECT SELECT * FROM truth) GROUP BY page),
-m AS (SELECT page, array_to_string(list_sort(list(ref))[1:12], ',') AS missed FROM (SELECT * FROM truth EXCEPT SELECT * FROM ours) GROUP BY page)
-SELECT coalesce(a.page, b.page) AS page, round(coalesce(hit, 0) / printed, 6) AS recall, round(coalesce(hit, 0) / found, 6) AS precision, coalesce(missed, '') AS missed FROM a FULL JOIN b ON a.page = b.page LEFT JOIN c ON c.page = a.page LEFT JOIN m ON m.page = a.page""", "parts")),
-    "phantom_names": (phantom_names, with_ctes("SELECT DISTINCT page, upper(str) AS name FROM texts EXCEPT SELECT page, upper(str) FROM texts WHERE text_id % 3 <> 0", "texts")),
-    "score_average": (score_average, with_ctes(f"{_GROUP} SELECT page, round(avg(group_precision), 6) AS group_precision, round(avg(CASE WHEN page % 4 <> 1 THEN group_recall END), 6) AS group_recall FROM g GROUP BY ROLLUP (page)", *G)),
-    "score_compare": (score_compare, with_ctes(f"{_GROUP} SELECT coalesce(b.page, a.page) AS page, before, after, round(after - before, 6) AS gain FROM (SELECT page, group_recall AS before FROM g WHERE page % 5 <> 3) b FULL JOIN (SELECT page, group_precision AS after FROM g WHERE page % 5 <> 2) a ON a.page = b.page", *G)),
+    "net_exact": (net_exact, with_ctes(f"""{_BEST}, real AS (SELECT doc, page, net AS gt_net, sum({_LEN('')}) AS real FROM gt_wires GROUP BY doc, page, net HAVING sum({_LEN('')}) >= 3), tot AS (SELECT doc, page, net, sum(len) AS total FROM cont GROUP BY doc, page, net)
+SELECT r.doc, r.page, count(*) AS nets, count(*) FILTER (b.len / r.real >= 0.95 AND b.len / t.total >= 0.95) AS exact FROM real r LEFT JOIN best b ON r.doc = b.doc AND r.page = b.page AND r.gt_net = b.gt_net LEFT JOIN tot t ON t.doc = b.doc AND t.page = b.page AND t.net = b.net GROUP BY r.doc, r.page""", *G)),
+    "pin_scores": (pin_scores, with_ctes(f"SELECT n.doc, n.page, n.pins, round(CASE WHEN b.v > 0 THEN a.v / b.v ELSE 1 END, 6) AS pin_precision, round(CASE WHEN c.v > 0 THEN a.v / c.v ELSE 1 END, 6) AS pin_recall FROM (SELECT doc, page, count(*) AS pins FROM pins GROUP BY doc, page) n JOIN {_C2('pred', 'gt')} a ON a.doc = n.doc AND a.page = n.page JOIN {_C2('pred')} b ON b.doc = n.doc AND b.page = n.page JOIN {_C2('gt')} c ON c.doc = n.doc AND c.page = n.page", "pins")),
+    "ref_recall_precision": (ref_recall_precision, with_ctes("""ours AS (SELECT DISTINCT doc, page, ref FROM parts WHERE i % 13 <> 4), truth AS (SELECT DISTINCT doc, page, CASE WHEN i % 17 = 2 THEN 'X' || ref ELSE ref END AS ref FROM parts),
+a AS (SELECT doc, page, count(*) AS found FROM ours GROUP BY doc, page), b AS (SELECT doc, page, count(*) AS printed FROM truth GROUP BY doc, page), c AS (SELECT doc, page, count(*) AS hit FROM (SELECT * FROM ours INTERSECT SELECT * FROM truth) GROUP BY doc, page),
+m AS (SELECT doc, page, array_to_string(list_sort(list(ref))[1:12], ',') AS missed FROM (SELECT * FROM truth EXCEPT SELECT * FROM ours) GROUP BY doc, page)
+SELECT coalesce(a.doc, b.doc) AS doc, coalesce(a.page, b.page) AS page, round(coalesce(hit, 0) / printed, 6) AS recall, round(coalesce(hit, 0) / found, 6) AS precision, coalesce(missed, '') AS missed FROM a FULL JOIN b ON a.doc = b.doc AND a.page = b.page LEFT JOIN c ON c.doc = a.doc AND c.page = a.page LEFT JOIN m ON m.doc = a.doc AND m.page = a.page""", "parts")),
+    "phantom_names": (phantom_names, with_ctes("SELECT DISTINCT doc, page, upper(str) AS name FROM texts EXCEPT SELECT doc, page, upper(str) FROM texts WHERE text_id % 3 <> 0", "texts")),
+    "score_average": (score_average, with_ctes(f"{_GROUP} SELECT doc, page, round(avg(group_precision), 6) AS group_precision, round(avg(CASE WHEN page % 4 <> 1 THEN group_recall END), 6) AS group_recall FROM g GROUP BY GROUPING SETS ((doc, page), ())", *G)),
+    "score_compare": (score_compare, with_ctes(f"""{_GROUP}, cont4 AS (SELECT d.doc, d.page, CAST(floor(d.seg_id / 4) AS BIGINT) AS net, m.gt_net, sum({_LEN('d.')}) AS len FROM matched m JOIN det d ON m.doc = d.doc AND m.page = d.page AND m.seg_id = d.seg_id GROUP BY ALL),
+g4 AS (SELECT doc, page, round(sum(v) / any_value(t), 6) AS gp FROM (SELECT c.doc, c.page, c.len * c.len AS v, r.t FROM cont4 c JOIN (SELECT doc, page, sum(t * t) AS t FROM (SELECT doc, page, net, sum(len) AS t FROM cont4 GROUP BY ALL) GROUP BY doc, page) r ON c.doc = r.doc AND c.page = r.page) GROUP BY doc, page)
+SELECT coalesce(b.doc, a.doc) AS doc, coalesce(b.page, a.page) AS page, before, after, round(after - before, 6) AS gain FROM (SELECT doc, page, group_precision AS before FROM g WHERE page % 5 <> 3) b FULL JOIN (SELECT doc, page, gp AS after FROM g4 WHERE page % 5 <> 2) a ON a.doc = b.doc AND a.page = b.page""", *G)),
 }

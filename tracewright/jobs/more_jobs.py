@@ -14,100 +14,100 @@ from .oracle import gap
 def nearest_segment(spark, sf):
     """The segment nearest to each text box within 6, the first of equally near ones."""
     box = lambda t: (t["x0"], t["y0"], t["x1"], t["y1"])
-    s = table(spark, sf, "segs").select("page", "seg_id", "x1", "y1", "x2", "y2")
+    s = table(spark, sf, "segs").select("doc", "page", "seg_id", "x1", "y1", "x2", "y2")
     d = lambda t, w: G.dist_box_seg(box(t), w["x1"], w["y1"], w["x2"], w["y2"])
-    j = grid_join(table(spark, sf, "texts"), s, ["page"], text_box(6.0), seg_box(), 20.0, lambda t, w: d(t, w) <= 6)
-    best = j.select("l.page", "l.text_id", F.round(d(F.col("l"), F.col("r")), 6).alias("d"), "r.seg_id").groupBy("page", "text_id").agg(F.min(F.struct("d", "seg_id")).alias("b"))
-    return best.select("page", "text_id", "b.seg_id", "b.d")
+    j = grid_join(table(spark, sf, "texts"), s, ["doc", "page"], text_box(6.0), seg_box(), 20.0, lambda t, w: d(t, w) <= 6)
+    best = j.select("l.doc", "l.page", "l.text_id", F.round(d(F.col("l"), F.col("r")), 6).alias("d"), "r.seg_id").groupBy("doc", "page", "text_id").agg(F.min(F.struct("d", "seg_id")).alias("b"))
+    return best.select("doc", "page", "text_id", "b.seg_id", "b.d")
 
 
 def _bodies(spark, sf):
     """Part outlines around the places of parts, of three sizes."""
     p = table(spark, sf, "parts")
     half = F.element_at(F.array(F.lit(12.0), F.lit(25.0), F.lit(45.0)), (F.col("i") % 3 + 1).cast("int"))
-    return p.select("page", F.col("i").cast("long").alias("body"), "ref", (F.col("x") - half).alias("x0"), (F.col("y") - half).alias("y0"), (F.col("x") + half).alias("x1"), (F.col("y") + half).alias("y1"))
+    return p.select("doc", "page", F.col("i").cast("long").alias("body"), "ref", (F.col("x") - half).alias("x0"), (F.col("y") - half).alias("y0"), (F.col("x") + half).alias("x1"), (F.col("y") + half).alias("y1"))
 
 
-BODIES = "bodies AS (SELECT page, i AS body, ref, x - h AS x0, y - h AS y0, x + h AS x1, y + h AS y1 FROM (SELECT *, CASE i % 3 WHEN 0 THEN 12.0 WHEN 1 THEN 25.0 ELSE 45.0 END AS h FROM parts) z)"
+BODIES = "bodies AS (SELECT doc, page, i AS body, ref, x - h AS x0, y - h AS y0, x + h AS x1, y + h AS y1 FROM (SELECT *, CASE i % 3 WHEN 0 THEN 12.0 WHEN 1 THEN 25.0 ELSE 45.0 END AS h FROM parts) z)"
 
 
 def _text_bodies(spark, sf):
-    t = table(spark, sf, "texts").select("page", "text_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    t = table(spark, sf, "texts").select("doc", "page", "text_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     inside = lambda l, r: (l["x"] >= r["x0"]) & (l["x"] <= r["x1"]) & (l["y"] >= r["y0"]) & (l["y"] <= r["y1"])  # noqa: E731, E741
-    j = grid_join(t, _bodies(spark, sf), ["page"], point_box(), text_box(), 40.0, inside)
-    return j.select("l.page", "l.text_id", "r.body", "r.ref", ((F.col("r.x1") - F.col("r.x0")) * (F.col("r.y1") - F.col("r.y0"))).alias("area"))
+    j = grid_join(t, _bodies(spark, sf), ["doc", "page"], point_box(), text_box(), 40.0, inside)
+    return j.select("l.doc", "l.page", "l.text_id", "r.body", "r.ref", ((F.col("r.x1") - F.col("r.x0")) * (F.col("r.y1") - F.col("r.y0"))).alias("area"))
 
 
-_INSIDE = f"{BODIES}, inb AS (SELECT t.page, t.text_id, b.body, b.ref, (b.x1-b.x0)*(b.y1-b.y0) AS area FROM texts t JOIN bodies b ON t.page = b.page AND (t.x0+t.x1)/2 BETWEEN b.x0 AND b.x1 AND (t.y0+t.y1)/2 BETWEEN b.y0 AND b.y1)"
+_INSIDE = f"{BODIES}, inb AS (SELECT t.doc, t.page, t.text_id, b.body, b.ref, (b.x1-b.x0)*(b.y1-b.y0) AS area FROM texts t JOIN bodies b ON t.doc = b.doc AND t.page = b.page AND (t.x0+t.x1)/2 BETWEEN b.x0 AND b.x1 AND (t.y0+t.y1)/2 BETWEEN b.y0 AND b.y1)"
 
 
 def text_in_body(spark, sf):
     """The smallest outline around the centre of each text; outlines that hold two whole wires or more do not count."""
-    s = table(spark, sf, "segs").select("page", "seg_id", "x1", "y1", "x2", "y2")
+    s = table(spark, sf, "segs").select("doc", "page", "seg_id", "x1", "y1", "x2", "y2")
     whole = lambda w, b: (w["x1"] >= b["x0"]) & (w["x2"] <= b["x1"]) & (w["y1"] >= b["y0"]) & (w["y2"] <= b["y1"])
-    wires = grid_join(s, _bodies(spark, sf), ["page"], seg_box(), text_box(), 40.0, whole).groupBy(F.col("r.page").alias("page"), F.col("r.body").alias("body")).agg(F.count("*").alias("n")).where("n >= 2")
-    return _text_bodies(spark, sf).join(wires, ["page", "body"], "left_anti").groupBy("page", "text_id").agg(F.min(F.struct("area", "body")).alias("b")).select("page", "text_id", "b.body")
+    wires = grid_join(s, _bodies(spark, sf), ["doc", "page"], seg_box(), text_box(), 40.0, whole).groupBy(F.col("r.doc").alias("doc"), F.col("r.page").alias("page"), F.col("r.body").alias("body")).agg(F.count("*").alias("n")).where("n >= 2")
+    return _text_bodies(spark, sf).join(wires, ["doc", "page", "body"], "left_anti").groupBy("doc", "page", "text_id").agg(F.min(F.struct("area", "body")).alias("b")).select("doc", "page", "text_id", "b.body")
 
 
 def flag_of_label(spark, sf):
     """Small outlines around exactly one text flag it; of several the last."""
     small = _text_bodies(spark, sf).where("area < 1000")
-    alone = small.groupBy("page", "body").agg(F.count("*").alias("n"), F.min("text_id").alias("text_id")).where("n = 1")
-    return alone.groupBy("page", "text_id").agg(F.max("body").alias("body"))
+    alone = small.groupBy("doc", "page", "body").agg(F.count("*").alias("n"), F.min("text_id").alias("text_id")).where("n = 1")
+    return alone.groupBy("doc", "page", "text_id").agg(F.max("body").alias("body"))
 
 
 def part_at(spark, sf):
     """The smallest part outline at each dot."""
     d = table(spark, sf, "dots")
     inside = lambda l, r: (l["x"] >= r["x0"]) & (l["x"] <= r["x1"]) & (l["y"] >= r["y0"]) & (l["y"] <= r["y1"])  # noqa: E731, E741
-    j = grid_join(d, _bodies(spark, sf), ["page"], point_box(), text_box(), 40.0, inside)
+    j = grid_join(d, _bodies(spark, sf), ["doc", "page"], point_box(), text_box(), 40.0, inside)
     area = (F.col("r.x1") - F.col("r.x0")) * (F.col("r.y1") - F.col("r.y0"))
-    return j.select("l.page", "l.x", "l.y", area.alias("a"), "r.body").groupBy("page", "x", "y").agg(F.min(F.struct("a", "body")).alias("b")).select("page", "x", "y", "b.body")
+    return j.select("l.doc", "l.page", "l.x", "l.y", area.alias("a"), "r.body").groupBy("doc", "page", "x", "y").agg(F.min(F.struct("a", "body")).alias("b")).select("doc", "page", "x", "y", "b.body")
 
 
 def wire_end_at_box(spark, sf):
     """Wires with one end inside a small outline and the other outside: the one whose end lies nearest to its centre."""
     b = _bodies(spark, sf).where("x1 - x0 <= 24")
-    s = table(spark, sf, "segs").select("page", "seg_id", "x1", "y1", "x2", "y2")
+    s = table(spark, sf, "segs").select("doc", "page", "seg_id", "x1", "y1", "x2", "y2")
     inn = lambda b, w, e: (w[f"x{e}"] >= b["x0"]) & (w[f"x{e}"] <= b["x1"]) & (w[f"y{e}"] >= b["y0"]) & (w[f"y{e}"] <= b["y1"])
-    j = grid_join(b, s, ["page"], text_box(), seg_box(), 40.0, lambda b, w: inn(b, w, 1) != inn(b, w, 2))
+    j = grid_join(b, s, ["doc", "page"], text_box(), seg_box(), 40.0, lambda b, w: inn(b, w, 1) != inn(b, w, 2))
     x = F.when(inn(F.col("l"), F.col("r"), 1), F.col("r.x1")).otherwise(F.col("r.x2")) - (F.col("l.x0") + F.col("l.x1")) / 2
     y = F.when(inn(F.col("l"), F.col("r"), 1), F.col("r.y1")).otherwise(F.col("r.y2")) - (F.col("l.y0") + F.col("l.y1")) / 2
-    best = j.select("l.page", "l.body", F.round(F.sqrt(x * x + y * y), 6).alias("d"), "r.seg_id").groupBy("page", "body").agg(F.min(F.struct("d", "seg_id")).alias("b"))
-    return best.select("page", "body", "b.seg_id", "b.d")
+    best = j.select("l.doc", "l.page", "l.body", F.round(F.sqrt(x * x + y * y), 6).alias("d"), "r.seg_id").groupBy("doc", "page", "body").agg(F.min(F.struct("d", "seg_id")).alias("b"))
+    return best.select("doc", "page", "body", "b.seg_id", "b.d")
 
 
 def _outline(spark, sf):
-    """A bookmark tree: page, Nets (n), net, Pins (n), pin; a node is its path."""
+    """A bookmark tree: doc, page, Nets (n), net, Pins (n), pin; a node is its path."""
     p = table(spark, sf, "pins")
-    top = p.select("page").distinct().select("page", F.lit("n").alias("node"), F.lit(None).cast("string").alias("parent"), F.concat(F.lit("Nets ("), F.col("page").cast("string"), F.lit(")")).alias("title"))
-    net = p.select("page", "gt").distinct().select("page", F.concat(F.lit("n/"), "gt").alias("node"), F.lit("n").alias("parent"), F.col("gt").alias("title"))
-    pins = p.select("page", "gt").distinct().select("page", F.concat(F.lit("n/"), "gt", F.lit("/p")).alias("node"), F.concat(F.lit("n/"), "gt").alias("parent"), F.lit("Pins (9)").alias("title"))
-    pin = p.select("page", F.concat(F.lit("n/"), "gt", F.lit("/p/"), "pin").alias("node"), F.concat(F.lit("n/"), "gt", F.lit("/p")).alias("parent"), F.col("pin").alias("title"))
+    top = p.select("doc", "page").distinct().select("doc", "page", F.lit("n").alias("node"), F.lit(None).cast("string").alias("parent"), F.concat(F.lit("Nets ("), F.col("page").cast("string"), F.lit(")")).alias("title"))
+    net = p.select("doc", "page", "gt").distinct().select("doc", "page", F.concat(F.lit("n/"), "gt").alias("node"), F.lit("n").alias("parent"), F.col("gt").alias("title"))
+    pins = p.select("doc", "page", "gt").distinct().select("doc", "page", F.concat(F.lit("n/"), "gt", F.lit("/p")).alias("node"), F.concat(F.lit("n/"), "gt").alias("parent"), F.lit("Pins (9)").alias("title"))
+    pin = p.select("doc", "page", F.concat(F.lit("n/"), "gt", F.lit("/p/"), "pin").alias("node"), F.concat(F.lit("n/"), "gt", F.lit("/p")).alias("parent"), F.col("pin").alias("title"))
     return top.unionByName(net).unionByName(pins).unionByName(pin)
 
 
 def outline_netlist(spark, sf):
     """Net and pin of each leaf of the bookmark tree: Nets, net, Pins, pin."""
     o = _outline(spark, sf)
-    level = lambda n: o.select("page", F.col("node").alias(f"n{n}"), F.col("parent").alias(f"p{n}"), F.col("title").alias(f"t{n}"))
-    j = level(0).where(strip_count(F.col("t0")) == "Nets").select("page", "n0")
-    j = j.join(level(1).withColumnRenamed("p1", "n0"), ["page", "n0"])
-    j = j.join(level(2).withColumnRenamed("p2", "n1"), ["page", "n1"]).where(strip_count(F.col("t2")) == "Pins")
-    j = j.join(level(3).withColumnRenamed("p3", "n2"), ["page", "n2"])
-    return j.select("page", F.col("t1").alias("net"), F.col("t3").alias("pin"))
+    level = lambda n: o.select("doc", "page", F.col("node").alias(f"n{n}"), F.col("parent").alias(f"p{n}"), F.col("title").alias(f"t{n}"))
+    j = level(0).where(strip_count(F.col("t0")) == "Nets").select("doc", "page", "n0")
+    j = j.join(level(1).withColumnRenamed("p1", "n0"), ["doc", "page", "n0"])
+    j = j.join(level(2).withColumnRenamed("p2", "n1"), ["doc", "page", "n1"]).where(strip_count(F.col("t2")) == "Pins")
+    j = j.join(level(3).withColumnRenamed("p3", "n2"), ["doc", "page", "n2"])
+    return j.select("doc", "page", F.col("t1").alias("net"), F.col("t3").alias("pin"))
 
 
 def decode_pin(spark, sf):
     """Codes "part + 0 + pin" split by the parts and pins of the sheet, the longest known part first; else by the first zero after a number."""
-    p = table(spark, sf, "pins").select("page", F.split_part("pin", F.lit("-"), F.lit(1)).alias("ref"), F.split_part("pin", F.lit("-"), F.lit(2)).alias("no"))
-    codes = p.select("page", F.concat("ref", F.lit("0"), "no").alias("code")).distinct()
+    p = table(spark, sf, "pins").select("doc", "page", F.split_part("pin", F.lit("-"), F.lit(1)).alias("ref"), F.split_part("pin", F.lit("-"), F.lit(2)).alias("no"))
+    codes = p.select("doc", "page", F.concat("ref", F.lit("0"), "no").alias("code")).distinct()
     cut = codes.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.length("code") - 2, F.lit(1)))))
-    cut = cut.select("page", "code", "at", F.substring("code", F.lit(1), F.col("at")).alias("ref"), F.substring("code", F.col("at") + 1, F.lit(1)).alias("zero"), F.substring("code", F.col("at") + 2, F.length("code")).alias("no")).where("zero = '0'")
-    known = cut.join(p.where("ref <> 'U7'"), ["page", "ref", "no"], "left_semi").groupBy("page", "code").agg(F.max_by(F.concat_ws("-", "ref", "no"), "at").alias("pin"))
+    cut = cut.select("doc", "page", "code", "at", F.substring("code", F.lit(1), F.col("at")).alias("ref"), F.substring("code", F.col("at") + 1, F.lit(1)).alias("zero"), F.substring("code", F.col("at") + 2, F.length("code")).alias("no")).where("zero = '0'")
+    known = cut.join(p.where("ref <> 'U7'"), ["doc", "page", "ref", "no"], "left_semi").groupBy("doc", "page", "code").agg(F.max_by(F.concat_ws("-", "ref", "no"), "at").alias("pin"))
     rule = F.regexp_extract("code", r"(?i)^([A-Z]+\d+?)0(\w+)$", 1)
     plain = F.when(rule != "", F.concat_ws("-", rule, F.regexp_extract("code", r"(?i)^([A-Z]+\d+?)0(\w+)$", 2)))
-    return codes.join(known, ["page", "code"], "left").select("page", "code", F.coalesce("pin", plain).alias("pin"))
+    return codes.join(known, ["doc", "page", "code"], "left").select("doc", "page", "code", F.coalesce("pin", plain).alias("pin"))
 
 
 def data_kind(spark, sf):
@@ -120,10 +120,10 @@ def explode_segments(spark, sf):
     """Straight orthogonal pieces of sub-paths; the paths chain each wire with a slanted piece and a step."""
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     c = F.col
-    p = table(spark, sf, "segs").select("page", "seg_id", F.array(pt(c("x1"), c("y1")), pt(c("x2"), c("y2")), pt(c("x2") + 3, c("y2") + 4), pt(c("x2") + 3, c("y2") + 9)).alias("pts"), F.array(F.lit(True), F.lit(True), c("seg_id") % 2 == 0).alias("straight"))
-    p = p.select("page", "seg_id", F.posexplode(F.arrays_zip(F.slice("pts", 1, 3).alias("a"), F.slice("pts", 2, 3).alias("b"), c("straight").alias("s"))).alias("i", "z"))
+    p = table(spark, sf, "segs").select("doc", "page", "seg_id", F.array(pt(c("x1"), c("y1")), pt(c("x2"), c("y2")), pt(c("x2") + 3, c("y2") + 4), pt(c("x2") + 3, c("y2") + 9)).alias("pts"), F.array(F.lit(True), F.lit(True), c("seg_id") % 2 == 0).alias("straight"))
+    p = p.select("doc", "page", "seg_id", F.posexplode(F.arrays_zip(F.slice("pts", 1, 3).alias("a"), F.slice("pts", 2, 3).alias("b"), c("straight").alias("s"))).alias("i", "z"))
     flat = (F.abs(c("z.a.x") - c("z.b.x")) < 0.02) | (F.abs(c("z.a.y") - c("z.b.y")) < 0.02)
-    return p.where(c("z.s") & flat).select("page", "seg_id", "i", c("z.a.x").alias("x1"), c("z.a.y").alias("y1"), c("z.b.x").alias("x2"), c("z.b.y").alias("y2"))
+    return p.where(c("z.s") & flat).select("doc", "page", "seg_id", "i", c("z.a.x").alias("x1"), c("z.a.y").alias("y1"), c("z.b.x").alias("x2"), c("z.b.y").alias("y2"))
 
 
 def text_box_of(spark, sf):
@@ -137,45 +137,45 @@ def text_box_of(spark, sf):
     vx, vy = m[2], m[3]
     xs, ys = [m[4], ex, m[4] + vx, ex + vx], [m[5], ey, m[5] + vy, ey + vy]
     turn = F.floor(-F.degrees(F.atan2(m[1], m[0])) + 0.5).cast("int")
-    return t.select("page", "text_id", F.least(*xs).alias("x0"), (842 - F.greatest(*ys)).alias("y0"), F.greatest(*xs).alias("x1"), (842 - F.least(*ys)).alias("y1"), size.alias("size"), turn.alias("rot"))
+    return t.select("doc", "page", "text_id", F.least(*xs).alias("x0"), (842 - F.greatest(*ys)).alias("y0"), F.greatest(*xs).alias("x1"), (842 - F.least(*ys)).alias("y1"), size.alias("size"), turn.alias("rot"))
 
 
 def value_exact(spark, sf):
     """Per page: parts whose value is printed on the page and whose first value is it."""
     p = table(spark, sf, "parts")
-    ours = p.select("page", "ref", F.when(F.col("i") % 6 == 1, F.lit("1k")).otherwise(F.col("value")).alias("got"))
-    want = p.where("value is not null").select("page", "ref", F.col("value").alias("want"))
-    printed = p.where("i % 4 <> 0 and value is not null").select("page", F.col("value").alias("want")).distinct()
-    j = ours.join(want, ["page", "ref"]).join(printed, ["page", "want"], "left_semi")
-    return j.groupBy("page").agg(F.count("*").alias("all"), F.sum(F.coalesce(F.col("got") == F.col("want"), F.lit(False)).cast("long")).alias("right"))
+    ours = p.select("doc", "page", "ref", F.when(F.col("i") % 6 == 1, F.lit("1k")).otherwise(F.col("value")).alias("got"))
+    want = p.where("value is not null").select("doc", "page", "ref", F.col("value").alias("want"))
+    printed = p.where("i % 4 <> 0 and value is not null").select("doc", "page", F.col("value").alias("want")).distinct()
+    j = ours.join(want, ["doc", "page", "ref"]).join(printed, ["doc", "page", "want"], "left_semi")
+    return j.groupBy("doc", "page").agg(F.count("*").alias("all"), F.sum(F.coalesce(F.col("got") == F.col("want"), F.lit(False)).cast("long")).alias("right"))
 
 
 def search_union(spark, sf):
     """Texts of a page together with the references of its parts as texts without lettering."""
-    return table(spark, sf, "texts").select("page", F.col("text_id").cast("long").alias("id"), "str", F.lit(True).alias("lettered")).unionByName(table(spark, sf, "parts").select("page", (-F.col("i")).cast("long").alias("id"), F.col("ref").alias("str"), F.lit(False).alias("lettered")))
+    return table(spark, sf, "texts").select("doc", "page", F.col("text_id").cast("long").alias("id"), "str", F.lit(True).alias("lettered")).unionByName(table(spark, sf, "parts").select("doc", "page", (-F.col("i")).cast("long").alias("id"), F.col("ref").alias("str"), F.lit(False).alias("lettered")))
 
 
 def pin_to_net(spark, sf):
     """Net of each pin by the bookmark netlist of the page; pins that it does not list are left out."""
     p = table(spark, sf, "pins")
-    return p.select("page", "pin", "pred").join(outline_netlist(spark, sf).where("net <> 'N3'"), ["page", "pin"])
+    return p.select("doc", "page", "pin", "pred").join(outline_netlist(spark, sf).where("net <> 'N3'"), ["doc", "page", "pin"])
 
 
 JOBS = {
-    "nearest_segment": (nearest_segment, with_ctes(f"c AS (SELECT t.page, t.text_id, s.seg_id, round({gap(('t.x0', 't.y0', 't.x1', 't.y1'), ('s.x1', 's.y1', 's.x2', 's.y2'))}, 6) AS d FROM texts t JOIN segs s ON t.page = s.page) SELECT page, text_id, seg_id, d FROM (SELECT *, row_number() OVER (PARTITION BY page, text_id ORDER BY d, seg_id) AS r FROM c WHERE d <= 6) z WHERE r = 1", "texts")),
-    "text_in_body": (text_in_body, with_ctes(f"{_INSIDE}, w AS (SELECT b.page, b.body FROM segs s JOIN bodies b ON s.page = b.page AND s.x1 >= b.x0 AND s.x2 <= b.x1 AND s.y1 >= b.y0 AND s.y2 <= b.y1 GROUP BY b.page, b.body HAVING count(*) >= 2) SELECT page, text_id, body FROM (SELECT i.*, row_number() OVER (PARTITION BY i.page, i.text_id ORDER BY area, i.body) AS r FROM inb i ANTI JOIN w ON i.page = w.page AND i.body = w.body) z WHERE r = 1", "texts", "parts")),
-    "flag_of_label": (flag_of_label, with_ctes(f"{_INSIDE}, one AS (SELECT page, body, min(text_id) AS text_id FROM inb WHERE area < 1000 GROUP BY page, body HAVING count(*) = 1) SELECT page, text_id, max(body) AS body FROM one GROUP BY page, text_id", "texts", "parts")),
-    "part_at": (part_at, with_ctes(f"{BODIES}, c AS (SELECT d.page, d.x, d.y, b.body, (b.x1-b.x0)*(b.y1-b.y0) AS a FROM dots d JOIN bodies b ON d.page = b.page AND d.x BETWEEN b.x0 AND b.x1 AND d.y BETWEEN b.y0 AND b.y1) SELECT page, x, y, body FROM (SELECT *, row_number() OVER (PARTITION BY page, x, y ORDER BY a, body) AS r FROM c) z WHERE r = 1", "dots", "parts")),
-    "wire_end_at_box": (wire_end_at_box, with_ctes(f"""{BODIES}, c AS (SELECT b.page, b.body, s.seg_id, s.x1, s.y1, s.x2, s.y2, (b.x0+b.x1)/2 AS cx, (b.y0+b.y1)/2 AS cy, s.x1 BETWEEN b.x0 AND b.x1 AND s.y1 BETWEEN b.y0 AND b.y1 AS i1, s.x2 BETWEEN b.x0 AND b.x1 AND s.y2 BETWEEN b.y0 AND b.y1 AS i2 FROM bodies b JOIN segs s ON s.page = b.page WHERE b.x1 - b.x0 <= 24),
-e AS (SELECT page, body, seg_id, round(sqrt(power(CASE WHEN i1 THEN x1 ELSE x2 END - cx, 2) + power(CASE WHEN i1 THEN y1 ELSE y2 END - cy, 2)), 6) AS d FROM c WHERE i1 <> i2) SELECT page, body, seg_id, d FROM (SELECT *, row_number() OVER (PARTITION BY page, body ORDER BY d, seg_id) AS r FROM e) z WHERE r = 1""", "segs", "parts")),
-    "outline_netlist": (outline_netlist, with_ctes("SELECT page, gt AS net, pin FROM pins", "pins")),
-    "decode_pin": (decode_pin, with_ctes("""p AS (SELECT page, split_part(pin, '-', 1) AS ref, split_part(pin, '-', 2) AS no FROM pins), c AS (SELECT DISTINCT page, ref || '0' || no AS code FROM p),
-k AS (SELECT c.page, c.code, arg_max(p.ref || '-' || p.no, length(p.ref)) AS pin FROM c JOIN p ON c.page = p.page AND c.code = p.ref || '0' || p.no WHERE p.ref <> 'U7' GROUP BY c.page, c.code)
-SELECT c.page, c.code, coalesce(k.pin, CASE WHEN regexp_matches(c.code, '(?i)^([A-Z]+\\d+?)0(\\w+)$') THEN regexp_replace(c.code, '(?i)^([A-Z]+\\d+?)0(\\w+)$', '\\1-\\2') END) AS pin FROM c LEFT JOIN k ON c.page = k.page AND c.code = k.code""", "pins")),
+    "nearest_segment": (nearest_segment, with_ctes(f"c AS (SELECT t.doc, t.page, t.text_id, s.seg_id, round({gap(('t.x0', 't.y0', 't.x1', 't.y1'), ('s.x1', 's.y1', 's.x2', 's.y2'))}, 6) AS d FROM texts t JOIN segs s ON t.doc = s.doc AND t.page = s.page) SELECT doc, page, text_id, seg_id, d FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, text_id ORDER BY d, seg_id) AS r FROM c WHERE d <= 6) z WHERE r = 1", "texts")),
+    "text_in_body": (text_in_body, with_ctes(f"{_INSIDE}, w AS (SELECT b.doc, b.page, b.body FROM segs s JOIN bodies b ON s.doc = b.doc AND s.page = b.page AND s.x1 >= b.x0 AND s.x2 <= b.x1 AND s.y1 >= b.y0 AND s.y2 <= b.y1 GROUP BY b.doc, b.page, b.body HAVING count(*) >= 2) SELECT doc, page, text_id, body FROM (SELECT i.*, row_number() OVER (PARTITION BY i.doc, i.page, i.text_id ORDER BY area, i.body) AS r FROM inb i ANTI JOIN w ON i.doc = w.doc AND i.page = w.page AND i.body = w.body) z WHERE r = 1", "texts", "parts")),
+    "flag_of_label": (flag_of_label, with_ctes(f"{_INSIDE}, one AS (SELECT doc, page, body, min(text_id) AS text_id FROM inb WHERE area < 1000 GROUP BY doc, page, body HAVING count(*) = 1) SELECT doc, page, text_id, max(body) AS body FROM one GROUP BY doc, page, text_id", "texts", "parts")),
+    "part_at": (part_at, with_ctes(f"{BODIES}, c AS (SELECT d.doc, d.page, d.x, d.y, b.body, (b.x1-b.x0)*(b.y1-b.y0) AS a FROM dots d JOIN bodies b ON d.doc = b.doc AND d.page = b.page AND d.x BETWEEN b.x0 AND b.x1 AND d.y BETWEEN b.y0 AND b.y1) SELECT doc, page, x, y, body FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, x, y ORDER BY a, body) AS r FROM c) z WHERE r = 1", "dots", "parts")),
+    "wire_end_at_box": (wire_end_at_box, with_ctes(f"""{BODIES}, c AS (SELECT b.doc, b.page, b.body, s.seg_id, s.x1, s.y1, s.x2, s.y2, (b.x0+b.x1)/2 AS cx, (b.y0+b.y1)/2 AS cy, s.x1 BETWEEN b.x0 AND b.x1 AND s.y1 BETWEEN b.y0 AND b.y1 AS i1, s.x2 BETWEEN b.x0 AND b.x1 AND s.y2 BETWEEN b.y0 AND b.y1 AS i2 FROM bodies b JOIN segs s ON s.doc = b.doc AND s.page = b.page WHERE b.x1 - b.x0 <= 24),
+e AS (SELECT doc, page, body, seg_id, round(sqrt(power(CASE WHEN i1 THEN x1 ELSE x2 END - cx, 2) + power(CASE WHEN i1 THEN y1 ELSE y2 END - cy, 2)), 6) AS d FROM c WHERE i1 <> i2) SELECT doc, page, body, seg_id, d FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, body ORDER BY d, seg_id) AS r FROM e) z WHERE r = 1""", "segs", "parts")),
+    "outline_netlist": (outline_netlist, with_ctes("SELECT doc, page, gt AS net, pin FROM pins", "pins")),
+    "decode_pin": (decode_pin, with_ctes("""p AS (SELECT doc, page, split_part(pin, '-', 1) AS ref, split_part(pin, '-', 2) AS no FROM pins), c AS (SELECT DISTINCT doc, page, ref || '0' || no AS code FROM p),
+k AS (SELECT c.doc, c.page, c.code, arg_max(p.ref || '-' || p.no, length(p.ref)) AS pin FROM c JOIN p ON c.doc = p.doc AND c.page = p.page AND c.code = p.ref || '0' || p.no WHERE p.ref <> 'U7' GROUP BY c.doc, c.page, c.code)
+SELECT c.doc, c.page, c.code, coalesce(k.pin, CASE WHEN regexp_matches(c.code, '(?i)^([A-Z]+\\d+?)0(\\w+)$') THEN regexp_replace(c.code, '(?i)^([A-Z]+\\d+?)0(\\w+)$', '\\1-\\2') END) AS pin FROM c LEFT JOIN k ON c.doc = k.doc AND c.page = k.page AND c.code = k.code""", "pins")),
     "data_kind": (data_kind, with_ctes("SELECT s.doc, CASE WHEN s.n = 0 THEN 'empty' WHEN coalesce(t.t, 0) = 0 THEN 'no_text' ELSE 'ok' END AS kind FROM (SELECT doc, count(*) AS n FROM segs GROUP BY doc) s LEFT JOIN (SELECT doc, count(*) AS t FROM texts WHERE doc % 3 <> 1 GROUP BY doc) t ON s.doc = t.doc", "texts")),
-    "explode_segments": (explode_segments, with_ctes("SELECT page, seg_id, 0 AS i, x1, y1, x2, y2 FROM segs UNION ALL SELECT page, seg_id, 2, x2 + 3, y2 + 4, x2 + 3, y2 + 9 FROM segs WHERE seg_id % 2 = 0", "segs")),
-    "text_box": (text_box_of, with_ctes("SELECT page, text_id, x0, y0, x1, y1, size, rot FROM texts", "texts")),
-    "value_exact": (value_exact, with_ctes("""j AS (SELECT p.page, p.value, CASE WHEN p.i % 6 = 1 THEN '1k' ELSE p.value END AS got FROM parts p WHERE p.value IS NOT NULL AND EXISTS (SELECT 1 FROM parts o WHERE o.page = p.page AND o.i % 4 <> 0 AND o.value = p.value)) SELECT page, count(*) AS "all", count(*) FILTER (got = value) AS "right" FROM j GROUP BY page""", "parts")),
-    "search_union": (search_union, with_ctes("SELECT page, text_id AS id, str, true AS lettered FROM texts UNION ALL SELECT page, -i, ref, false FROM parts", "texts", "parts")),
-    "pin_to_net": (pin_to_net, with_ctes("SELECT page, pin, pred, gt AS net FROM pins WHERE gt <> 'N3'", "pins")),
+    "explode_segments": (explode_segments, with_ctes("SELECT doc, page, seg_id, 0 AS i, x1, y1, x2, y2 FROM segs UNION ALL SELECT doc, page, seg_id, 2, x2 + 3, y2 + 4, x2 + 3, y2 + 9 FROM segs WHERE seg_id % 2 = 0", "segs")),
+    "text_box": (text_box_of, with_ctes("SELECT doc, page, text_id, x0, y0, x1, y1, size, rot FROM texts", "texts")),
+    "value_exact": (value_exact, with_ctes("""j AS (SELECT p.doc, p.page, p.value, CASE WHEN p.i % 6 = 1 THEN '1k' ELSE p.value END AS got FROM parts p WHERE p.value IS NOT NULL AND EXISTS (SELECT 1 FROM parts o WHERE o.doc = p.doc AND o.page = p.page AND o.i % 4 <> 0 AND o.value = p.value)) SELECT doc, page, count(*) AS "all", count(*) FILTER (got = value) AS "right" FROM j GROUP BY doc, page""", "parts")),
+    "search_union": (search_union, with_ctes("SELECT doc, page, text_id AS id, str, true AS lettered FROM texts UNION ALL SELECT doc, page, -i, ref, false FROM parts", "texts", "parts")),
+    "pin_to_net": (pin_to_net, with_ctes("SELECT doc, page, pin, pred, gt AS net FROM pins WHERE gt <> 'N3'", "pins")),
 }

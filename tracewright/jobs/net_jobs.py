@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text_rules import csv_cell, match_rank
+from ..functions.text_rules import csv_cell, is_bare_voltage, match_rank
 from ..operators import graph, nets, spatial
 from ..sources.fixtures import table, with_ctes
 from . import oracle as O
@@ -22,9 +22,9 @@ def _named(spark, sf):
 
 
 def grid_join(spark, sf):
-    s = table(spark, sf, "segs").select("page", "seg_id", "x1", "y1", "x2", "y2")
+    s = table(spark, sf, "segs").select("doc", "page", "seg_id", "x1", "y1", "x2", "y2")
     meet = lambda l, r: (l["seg_id"] < r["seg_id"]) & (F.greatest(l["x1"], r["x1"]) <= F.least(l["x2"], r["x2"])) & (F.greatest(l["y1"], r["y1"]) <= F.least(l["y2"], r["y2"]))  # noqa: E731, E741
-    return spatial.grid_join(s, s, ["page"], spatial.seg_box(), spatial.seg_box(), 20.0, meet).select("l.page", F.col("l.seg_id").alias("a"), F.col("r.seg_id").alias("b"))
+    return spatial.grid_join(s, s, ["doc", "page"], spatial.seg_box(), spatial.seg_box(), 20.0, meet).select("l.doc", "l.page", F.col("l.seg_id").alias("a"), F.col("r.seg_id").alias("b"))
 
 
 def join_endpoints(spark, sf):
@@ -54,7 +54,7 @@ def label_along_wire(spark, sf):
 
 def merge_same_name(spark, sf):
     t = table(spark, sf, "texts")
-    labels = spatial.label_along_wire(t, table(spark, sf, "segs")).join(t.select("page", "text_id", "str"), ["page", "text_id"])
+    labels = spatial.label_along_wire(t.where(~is_bare_voltage(F.col("str"))), table(spark, sf, "segs")).join(t.select("doc", "page", "text_id", "str"), ["doc", "page", "text_id"])
     return graph.same_name_edges(labels)
 
 
@@ -69,8 +69,8 @@ def net_name_pick(spark, sf):
 def assign_nets(spark, sf):
     """Dots with the net of the first wire through them."""
     _, wires, _ = _named(spark, sf)
-    hits = spatial.dot_hits(table(spark, sf, "segs"), table(spark, sf, "dots")).groupBy("page", "x", "y").agg(F.min("seg_id").alias("seg_id"))
-    return hits.join(wires.select("page", "seg_id", "net_id"), ["page", "seg_id"]).select("page", "x", "y", "net_id")
+    hits = spatial.dot_hits(table(spark, sf, "segs"), table(spark, sf, "dots")).groupBy("doc", "page", "x", "y").agg(F.min("seg_id").alias("seg_id"))
+    return hits.join(wires.select("doc", "page", "seg_id", "net_id"), ["doc", "page", "seg_id"]).select("doc", "page", "x", "y", "net_id")
 
 
 def net_entries(spark, sf):
@@ -96,13 +96,13 @@ def nets_named(spark, sf):
 def net_info(spark, sf):
     """Per page and name: nets, segments, dots on them and the commonest label with its count."""
     n, wires, labels = _named(spark, sf)
-    named = n.where("name <> ''").select("page", "net_id", "name")
-    segs = named.join(wires, ["page", "net_id"]).groupBy("page", F.upper("name").alias("key")).agg(F.count("*").alias("segs"), F.count_distinct("net_id").alias("nets"))
-    dots = assign_nets(spark, sf).join(named, ["page", "net_id"]).groupBy("page", F.upper("name").alias("key")).agg(F.count("*").alias("dots"))
-    tops = labels.join(named, ["page", "net_id"]).groupBy("page", F.upper("name").alias("key"), "str").agg(F.count("*").alias("c"))
-    tops = tops.groupBy("page", "key").agg(F.min(F.struct((-F.col("c")).alias("c"), "str")).alias("t"))
-    j = segs.join(dots, ["page", "key"], "left").join(tops, ["page", "key"])
-    return j.select("page", "key", "nets", "segs", F.coalesce("dots", F.lit(0)).alias("dots"), F.col("t.str").alias("top_label"), (-F.col("t.c")).alias("top_count"))
+    named = n.where("name <> ''").select("doc", "page", "net_id", "name")
+    segs = named.join(wires, ["doc", "page", "net_id"]).groupBy("doc", "page", F.upper("name").alias("key")).agg(F.count("*").alias("segs"), F.count_distinct("net_id").alias("nets"))
+    dots = assign_nets(spark, sf).join(named, ["doc", "page", "net_id"]).groupBy("doc", "page", F.upper("name").alias("key")).agg(F.count("*").alias("dots"))
+    tops = labels.join(named, ["doc", "page", "net_id"]).groupBy("doc", "page", F.upper("name").alias("key"), "str").agg(F.count("*").alias("c"))
+    tops = tops.groupBy("doc", "page", "key").agg(F.min(F.struct((-F.col("c")).alias("c"), "str")).alias("t"))
+    j = segs.join(dots, ["doc", "page", "key"], "left").join(tops, ["doc", "page", "key"])
+    return j.select("doc", "page", "key", "nets", "segs", F.coalesce("dots", F.lit(0)).alias("dots"), F.col("t.str").alias("top_label"), (-F.col("t.c")).alias("top_count"))
 
 
 def doc_counts(spark, sf):
@@ -112,41 +112,41 @@ def doc_counts(spark, sf):
 
 def page_stats(spark, sf):
     n, wires, labels = _named(spark, sf)
-    a = n.groupBy("page").agg(F.count("*").alias("nets"), F.sum((F.col("name") != "").cast("long")).alias("named"), F.sum("n_segs").alias("wires"))
-    texts = table(spark, sf, "texts").groupBy("page").agg(F.count("*").alias("texts"))
-    return a.join(texts, "page", "left").join(labels.groupBy("page").agg(F.count("*").alias("attached")), "page", "left").withColumn("unattached", F.coalesce("texts", F.lit(0)) - F.coalesce("attached", F.lit(0)))
+    a = n.groupBy("doc", "page").agg(F.count("*").alias("nets"), F.sum((F.col("name") != "").cast("long")).alias("named"), F.sum("n_segs").alias("wires"))
+    texts = table(spark, sf, "texts").groupBy("doc", "page").agg(F.count("*").alias("texts"))
+    return a.join(texts, ["doc", "page"], "left").join(labels.groupBy("doc", "page").agg(F.count("*").alias("attached")), ["doc", "page"], "left").withColumn("unattached", F.coalesce("texts", F.lit(0)) - F.coalesce("attached", F.lit(0)))
 
 
 def biggest_nets(spark, sf):
     """The eight nets of a page with most segments and up to ten of their distinct labels."""
     n, _, labels = _named(spark, sf)
-    top = n.withColumn("r", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("n_segs"), "net_id"))).where("r <= 8")
-    names = labels.groupBy("page", "net_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("str")), 1, 10), ",").alias("labels"))
-    return top.join(names, ["page", "net_id"], "left").select("page", "net_id", "r", "n_segs", F.coalesce("labels", F.lit("")).alias("labels"))
+    top = n.withColumn("r", F.row_number().over(Window.partitionBy("doc", "page").orderBy(F.desc("n_segs"), "net_id"))).where("r <= 8")
+    names = labels.groupBy("doc", "page", "net_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("str")), 1, 10), ",").alias("labels"))
+    return top.join(names, ["doc", "page", "net_id"], "left").select("doc", "page", "net_id", "r", "n_segs", F.coalesce("labels", F.lit("")).alias("labels"))
 
 
 def label_occurrences(spark, sf):
     """Labels of one name in reading order over the drawing, each with its position."""
     n, _, labels = _named(spark, sf)
-    t = labels.join(n.select("doc", "page", "net_id", "name"), ["page", "net_id"]).join(table(spark, sf, "texts").select("page", "text_id", "x0", "y0"), ["page", "text_id"])
+    t = labels.join(n.select("doc", "page", "net_id", "name"), ["doc", "page", "net_id"]).join(table(spark, sf, "texts").select("doc", "page", "text_id", "x0", "y0"), ["doc", "page", "text_id"])
     w = Window.partitionBy("doc", F.upper("name"))
-    return t.select("doc", "page", "text_id", F.row_number().over(w.orderBy("page", "y0", "x0", "text_id")).alias("i"), F.count("*").over(w).alias("n"))
+    return t.select("doc", "page", "text_id", F.row_number().over(w.orderBy("doc", "page", "y0", "x0", "text_id")).alias("i"), F.count("*").over(w).alias("n"))
 
 
 def focus_texts(spark, sf):
     """Per page: labels of the nets named GND together with all texts that read GND."""
     n, _, labels = _named(spark, sf)
-    on = labels.join(n.where("upper(name) = 'GND'").select("page", "net_id"), ["page", "net_id"]).select("page", "text_id")
-    return on.union(table(spark, sf, "texts").where("upper(str) = 'GND'").select("page", "text_id")).distinct()
+    on = labels.join(n.where("upper(name) = 'GND'").select("doc", "page", "net_id"), ["doc", "page", "net_id"]).select("doc", "page", "text_id")
+    return on.union(table(spark, sf, "texts").where("upper(str) = 'GND'").select("doc", "page", "text_id")).distinct()
 
 
 def union_box(spark, sf):
     """Bounding box of all nets of a page that share a name, their labels included."""
     n, _, labels = _named(spark, sf)
-    boxes = n.where("name <> ''").select("page", F.upper("name").alias("key"), "bx0", "by0", "bx1", "by1")
-    own = labels.join(n.select("page", "net_id", "name"), ["page", "net_id"]).join(table(spark, sf, "texts").select("page", "text_id", "x0", "y0", "x1", "y1"), ["page", "text_id"])
-    own = own.where("name <> ''").select("page", F.upper("name").alias("key"), F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"))
-    return boxes.unionByName(own).groupBy("page", "key").agg(F.min("bx0").alias("x0"), F.min("by0").alias("y0"), F.max("bx1").alias("x1"), F.max("by1").alias("y1"))
+    boxes = n.where("name <> ''").select("doc", "page", F.upper("name").alias("key"), "bx0", "by0", "bx1", "by1")
+    own = labels.join(n.select("doc", "page", "net_id", "name"), ["doc", "page", "net_id"]).join(table(spark, sf, "texts").select("doc", "page", "text_id", "x0", "y0", "x1", "y1"), ["doc", "page", "text_id"])
+    own = own.where("name <> ''").select("doc", "page", F.upper("name").alias("key"), F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"))
+    return boxes.unionByName(own).groupBy("doc", "page", "key").agg(F.min("bx0").alias("x0"), F.min("by0").alias("y0"), F.max("bx1").alias("x1"), F.max("by1").alias("y1"))
 
 
 def search_rank(spark, sf):
@@ -159,10 +159,10 @@ def search_rank(spark, sf):
 
 def _points(spark, sf):
     d = table(spark, sf, "dots")
-    return d.select("page", (F.col("x") * 1000 + F.col("y")).cast("long").alias("pt"), (F.col("x") + 1.5).alias("x"), (F.col("y") + 0.75).alias("y"))
+    return d.select("doc", "page", (F.col("x") * 1000 + F.col("y")).cast("long").alias("pt"), (F.col("x") + 1.5).alias("x"), (F.col("y") + 0.75).alias("y"))
 
 
-_POINTS = "points AS (SELECT page, CAST(x * 1000 + y AS BIGINT) AS pt, x + 1.5 AS x, y + 0.75 AS y FROM dots)"
+_POINTS = "points AS (SELECT doc, page, CAST(x * 1000 + y AS BIGINT) AS pt, x + 1.5 AS x, y + 0.75 AS y FROM dots)"
 
 
 def seg_at(spark, sf):
@@ -181,37 +181,37 @@ def touch_decision(spark, sf):
     """What a touch selects: nothing, one net, or up to four to choose from. A net is sure within 1; others within 3 of the nearest compete; nets
     that select the same name count once."""
     n, wires, _ = _named(spark, sf)
-    near = spatial.nets_near(_points(spark, sf), wires, 9.0).join(n.select("page", "net_id", "name"), ["page", "net_id"])
-    w = Window.partitionBy("page", "pt")
+    near = spatial.nets_near(_points(spark, sf), wires, 9.0).join(n.select("doc", "page", "net_id", "name"), ["doc", "page", "net_id"])
+    w = Window.partitionBy("doc", "page", "pt")
     near = near.withColumn("least", F.min("d").over(w))
     near = near.where(((F.col("least") <= 1) & (F.col("d") <= 1)) | ((F.col("least") > 1) & (F.col("d") - F.col("least") < 3)))
     key = F.when(F.col("name") == "", F.concat(F.lit("#"), F.col("net_id").cast("string"))).otherwise(F.upper("name"))
-    once = near.groupBy("page", "pt", key.alias("key")).agg(F.min(F.struct("d", "net_id")).alias("b"))
+    once = near.groupBy("doc", "page", "pt", key.alias("key")).agg(F.min(F.struct("d", "net_id")).alias("b"))
     ranked = once.withColumn("r", F.row_number().over(w.orderBy("b.d", "b.net_id"))).where("r <= 4")
-    return ranked.groupBy("page", "pt").agg(F.when(F.count("*") == 1, "pick").otherwise("choose").alias("kind"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "b.net_id"))), lambda x: x["net_id"].cast("string")), ",").alias("nets"))
+    return ranked.groupBy("doc", "page", "pt").agg(F.when(F.count("*") == 1, "pick").otherwise("choose").alias("kind"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "b.net_id"))), lambda x: x["net_id"].cast("string")), ",").alias("nets"))
 
 
 def longest_wires(spark, sf):
     s = table(spark, sf, "segs").withColumn("len", F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1")))
-    return s.withColumn("r", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("len"), "seg_id"))).where("r <= 12").select("page", "seg_id", "len", "r")
+    return s.withColumn("r", F.row_number().over(Window.partitionBy("doc", "page").orderBy(F.desc("len"), "seg_id"))).where("r <= 12").select("doc", "page", "seg_id", "len", "r")
 
 
 FX = ("segs", "dots", "texts")
 _full = lambda body: with_ctes(f"{O.NETS}, {O.ENTRIES} {body}", *FX)
 _nets = lambda body: with_ctes(f"{O.NETS}{body if body[0] == ',' else ' ' + body}", *FX)
 _ORDER = f"row_number() OVER (PARTITION BY doc ORDER BY CASE WHEN type = 'power' THEN 0 ELSE 1 END, {natural('net')}, net)"
-_DOTNET = "dotnet AS (SELECT h.page, h.x, h.y, w.net_id FROM (SELECT page, x, y, min(seg_id) AS seg_id FROM hits GROUP BY page, x, y) h JOIN wires w ON h.page = w.page AND h.seg_id = w.seg_id)"
+_DOTNET = "dotnet AS (SELECT h.doc, h.page, h.x, h.y, w.net_id FROM (SELECT doc, page, x, y, min(seg_id) AS seg_id FROM hits GROUP BY doc, page, x, y) h JOIN wires w ON h.doc = w.doc AND h.page = w.page AND h.seg_id = w.seg_id)"
 _CSV = lambda s: f"CASE WHEN regexp_matches({s}, '^[=+\\-@]') THEN '\"=\"\"' || {s} || '\"\"\"' ELSE {s} END"
-_NEAR = f"near AS (SELECT p.page, p.pt, w.net_id, round(min({dist('p.x', 'p.y', 'w.x1', 'w.y1', 'w.x2', 'w.y2')}), 6) AS d FROM points p JOIN wires w ON p.page = w.page AND {dist('p.x', 'p.y', 'w.x1', 'w.y1', 'w.x2', 'w.y2')} <= 9 GROUP BY p.page, p.pt, w.net_id)"
+_NEAR = f"near AS (SELECT p.doc, p.page, p.pt, w.net_id, round(min({dist('p.x', 'p.y', 'w.x1', 'w.y1', 'w.x2', 'w.y2')}), 6) AS d FROM points p JOIN wires w ON p.doc = w.doc AND p.page = w.page AND {dist('p.x', 'p.y', 'w.x1', 'w.y1', 'w.x2', 'w.y2')} <= 9 GROUP BY p.doc, p.page, p.pt, w.net_id)"
 
 JOBS = {
-    "grid_join": (grid_join, with_ctes("SELECT a.page, a.seg_id AS a, b.seg_id AS b FROM segs a JOIN segs b ON a.page = b.page AND a.seg_id < b.seg_id AND greatest(a.x1, b.x1) <= least(a.x2, b.x2) AND greatest(a.y1, b.y1) <= least(a.y2, b.y2)", "segs")),
+    "grid_join": (grid_join, with_ctes("SELECT a.doc, a.page, a.seg_id AS a, b.seg_id AS b FROM segs a JOIN segs b ON a.doc = b.doc AND a.page = b.page AND a.seg_id < b.seg_id AND greatest(a.x1, b.x1) <= least(a.x2, b.x2) AND greatest(a.y1, b.y1) <= least(a.y2, b.y2)", "segs")),
     "join_endpoints": (join_endpoints, with_ctes(f"{O.ENDS}, {O.SHARED} SELECT * FROM e1", "segs")),
     "join_tee": (join_tee, with_ctes(f"{O.ENDS}, {O.ON}, {O.TEE} SELECT * FROM e2", "segs", "dots")),
     "join_overlap": (join_overlap, with_ctes(f"{O.OVERLAP} SELECT * FROM e3", "segs")),
     "join_dot_wires": (join_dot_wires, with_ctes(f"{O.HITS}, {O.THROUGH} SELECT * FROM e4", "segs", "dots")),
-    "connected_components": (connected_components, with_ctes(f"{O.CONTACTS}, {O.components('touch')} SELECT page, seg_id, root FROM cc", "segs", "dots")),
-    "label_along_wire": (label_along_wire, with_ctes(f"{O.LABELS} SELECT page, text_id, seg_id FROM labels0", "texts")),
+    "connected_components": (connected_components, with_ctes(f"{O.CONTACTS}, {O.components('touch')} SELECT doc, page, seg_id, root FROM cc", "segs", "dots")),
+    "label_along_wire": (label_along_wire, with_ctes(f"{O.LABELS} SELECT doc, page, text_id, seg_id FROM labels0", "texts")),
     "merge_same_name": (merge_same_name, with_ctes(f"{O.LABELS}, {O.NAMES} SELECT * FROM e5", "texts")),
     "net_build": (net_build, _nets("SELECT * FROM built")),
     "net_name_pick": (net_name_pick, _nets("SELECT * FROM picked")),
@@ -220,31 +220,31 @@ JOBS = {
     "net_list_sort": (net_list_sort, _full(f"SELECT doc, net, {_ORDER} AS place FROM entries")),
     "sink_nets_csv": (sink_nets_csv, _full(f"SELECT doc, {_ORDER} AS place, {_CSV('net')} || ',' || type || ',' || labels || ',' || pages AS line FROM entries")),
     "nets_named": (nets_named, _nets("SELECT doc, page, net_id FROM nets WHERE upper(name) = 'GND'")),
-    "net_info": (net_info, _nets(f""", {_DOTNET}, named AS (SELECT page, net_id, upper(name) AS key FROM nets WHERE name <> ''),
-a AS (SELECT n.page, n.key, count(*) AS segs, count(DISTINCT n.net_id) AS nets FROM named n JOIN wires w ON n.page = w.page AND n.net_id = w.net_id GROUP BY n.page, n.key),
-b AS (SELECT n.page, n.key, count(*) AS dots FROM named n JOIN dotnet d ON n.page = d.page AND n.net_id = d.net_id GROUP BY n.page, n.key),
-c AS (SELECT n.page, n.key, l.str, count(*) AS c FROM named n JOIN labels l ON n.page = l.page AND n.net_id = l.net_id GROUP BY n.page, n.key, l.str),
-t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page, key ORDER BY c DESC, str) AS r FROM c) z WHERE r = 1)
-SELECT a.page, a.key, a.nets, a.segs, coalesce(b.dots, 0) AS dots, t.str AS top_label, t.c AS top_count FROM a JOIN t ON a.page = t.page AND a.key = t.key LEFT JOIN b ON a.page = b.page AND a.key = b.key""")),
+    "net_info": (net_info, _nets(f""", {_DOTNET}, named AS (SELECT doc, page, net_id, upper(name) AS key FROM nets WHERE name <> ''),
+a AS (SELECT n.doc, n.page, n.key, count(*) AS segs, count(DISTINCT n.net_id) AS nets FROM named n JOIN wires w ON n.doc = w.doc AND n.page = w.page AND n.net_id = w.net_id GROUP BY n.doc, n.page, n.key),
+b AS (SELECT n.doc, n.page, n.key, count(*) AS dots FROM named n JOIN dotnet d ON n.doc = d.doc AND n.page = d.page AND n.net_id = d.net_id GROUP BY n.doc, n.page, n.key),
+c AS (SELECT n.doc, n.page, n.key, l.str, count(*) AS c FROM named n JOIN labels l ON n.doc = l.doc AND n.page = l.page AND n.net_id = l.net_id GROUP BY n.doc, n.page, n.key, l.str),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, key ORDER BY c DESC, str) AS r FROM c) z WHERE r = 1)
+SELECT a.doc, a.page, a.key, a.nets, a.segs, coalesce(b.dots, 0) AS dots, t.str AS top_label, t.c AS top_count FROM a JOIN t ON a.doc = t.doc AND a.page = t.page AND a.key = t.key LEFT JOIN b ON a.doc = b.doc AND a.page = b.page AND a.key = b.key""")),
     "doc_counts": (doc_counts, _nets("SELECT doc, count(DISTINCT CASE WHEN name <> '' THEN upper(name) END) AS names, count(*) FILTER (name = '' AND n_segs > 1) AS unnamed FROM nets GROUP BY doc")),
-    "page_stats": (page_stats, _nets("""SELECT n.*, t.texts, l.attached, coalesce(t.texts, 0) - coalesce(l.attached, 0) AS unattached FROM (SELECT page, count(*) AS nets, count(*) FILTER (name <> '') AS named, CAST(sum(n_segs) AS BIGINT) AS wires FROM nets GROUP BY page) n
-LEFT JOIN (SELECT page, count(*) AS texts FROM texts GROUP BY page) t ON n.page = t.page LEFT JOIN (SELECT page, count(*) AS attached FROM labels GROUP BY page) l ON n.page = l.page""")),
-    "biggest_nets": (biggest_nets, _nets("""SELECT n.page, n.net_id, n.r, n.n_segs, coalesce(l.labels, '') AS labels FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n_segs DESC, net_id) AS r FROM nets) n
-LEFT JOIN (SELECT page, net_id, array_to_string(list_sort(list(DISTINCT str))[1:10], ',') AS labels FROM labels GROUP BY page, net_id) l ON n.page = l.page AND n.net_id = l.net_id WHERE n.r <= 8""")),
-    "label_occurrences": (label_occurrences, _nets("""SELECT n.doc, l.page, l.text_id, row_number() OVER (PARTITION BY n.doc, upper(n.name) ORDER BY l.page, t.y0, t.x0, l.text_id) AS i, count(*) OVER (PARTITION BY n.doc, upper(n.name)) AS n
-FROM labels l JOIN nets n ON l.page = n.page AND l.net_id = n.net_id JOIN texts t ON l.page = t.page AND l.text_id = t.text_id""")),
-    "focus_texts": (focus_texts, _nets("SELECT l.page, l.text_id FROM labels l JOIN nets n ON l.page = n.page AND l.net_id = n.net_id WHERE upper(n.name) = 'GND' UNION SELECT page, text_id FROM texts WHERE upper(str) = 'GND'")),
-    "union_box": (union_box, _nets("""SELECT page, key, min(a) AS x0, min(b) AS y0, max(c) AS x1, max(d) AS y1 FROM (SELECT page, upper(name) AS key, bx0 AS a, by0 AS b, bx1 AS c, by1 AS d FROM nets WHERE name <> ''
-UNION ALL SELECT l.page, upper(n.name), t.x0, t.y0, t.x1, t.y1 FROM labels l JOIN nets n ON l.page = n.page AND l.net_id = n.net_id JOIN texts t ON l.page = t.page AND l.text_id = t.text_id WHERE n.name <> '') z GROUP BY page, key""")),
+    "page_stats": (page_stats, _nets("""SELECT n.*, t.texts, l.attached, coalesce(t.texts, 0) - coalesce(l.attached, 0) AS unattached FROM (SELECT doc, page, count(*) AS nets, count(*) FILTER (name <> '') AS named, CAST(sum(n_segs) AS BIGINT) AS wires FROM nets GROUP BY doc, page) n
+LEFT JOIN (SELECT doc, page, count(*) AS texts FROM texts GROUP BY doc, page) t ON n.doc = t.doc AND n.page = t.page LEFT JOIN (SELECT doc, page, count(*) AS attached FROM labels GROUP BY doc, page) l ON n.doc = l.doc AND n.page = l.page""")),
+    "biggest_nets": (biggest_nets, _nets("""SELECT n.doc, n.page, n.net_id, n.r, n.n_segs, coalesce(l.labels, '') AS labels FROM (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY n_segs DESC, net_id) AS r FROM nets) n
+LEFT JOIN (SELECT doc, page, net_id, array_to_string(list_sort(list(DISTINCT str))[1:10], ',') AS labels FROM labels GROUP BY doc, page, net_id) l ON n.doc = l.doc AND n.page = l.page AND n.net_id = l.net_id WHERE n.r <= 8""")),
+    "label_occurrences": (label_occurrences, _nets("""SELECT l.doc, l.page, l.text_id, row_number() OVER (PARTITION BY n.doc, upper(n.name) ORDER BY l.doc, l.page, t.y0, t.x0, l.text_id) AS i, count(*) OVER (PARTITION BY n.doc, upper(n.name)) AS n
+FROM labels l JOIN nets n ON l.doc = n.doc AND l.page = n.page AND l.net_id = n.net_id JOIN texts t ON l.doc = t.doc AND l.page = t.page AND l.text_id = t.text_id""")),
+    "focus_texts": (focus_texts, _nets("SELECT l.doc, l.page, l.text_id FROM labels l JOIN nets n ON l.doc = n.doc AND l.page = n.page AND l.net_id = n.net_id WHERE upper(n.name) = 'GND' UNION SELECT doc, page, text_id FROM texts WHERE upper(str) = 'GND'")),
+    "union_box": (union_box, _nets("""SELECT doc, page, key, min(a) AS x0, min(b) AS y0, max(c) AS x1, max(d) AS y1 FROM (SELECT doc, page, upper(name) AS key, bx0 AS a, by0 AS b, bx1 AS c, by1 AS d FROM nets WHERE name <> ''
+UNION ALL SELECT l.doc, l.page, upper(n.name), t.x0, t.y0, t.x1, t.y1 FROM labels l JOIN nets n ON l.doc = n.doc AND l.page = n.page AND l.net_id = n.net_id JOIN texts t ON l.doc = t.doc AND l.page = t.page AND l.text_id = t.text_id WHERE n.name <> '') z GROUP BY doc, page, key""")),
     "search_rank": (search_rank, _full("""SELECT doc, net, query, rank, row_number() OVER (PARTITION BY doc, query ORDER BY rank, net) AS place FROM (SELECT doc, net, query, CASE WHEN upper(net) = upper(query) THEN 0 WHEN starts_with(upper(net), upper(query)) THEN 1 WHEN contains(upper(net), upper(query)) THEN 2 END AS rank
 FROM entries, (VALUES ('sig_1'), ('v'), ('GND')) v(query)) z WHERE rank IS NOT NULL""")),
-    "seg_at": (seg_at, with_ctes(f"{_POINTS}, c AS (SELECT p.page, p.pt, s.seg_id, {dist('p.x', 'p.y', 's.x1', 's.y1', 's.x2', 's.y2')} AS d FROM points p JOIN segs s ON p.page = s.page) SELECT page, pt, seg_id, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY page, pt ORDER BY d, seg_id DESC) AS r FROM c WHERE d <= 9) z WHERE r = 1", "segs", "dots")),
-    "text_at": (text_at, with_ctes(f"{_POINTS}, c AS (SELECT p.page, p.pt, t.text_id, (t.x1 - t.x0) * (t.y1 - t.y0) AS a FROM points p JOIN texts t ON p.page = t.page AND p.x BETWEEN t.x0 - 2 AND t.x1 + 2 AND p.y BETWEEN t.y0 - 2 AND t.y1 + 2) SELECT page, pt, text_id FROM (SELECT *, row_number() OVER (PARTITION BY page, pt ORDER BY a, text_id) AS r FROM c) z WHERE r = 1", "texts", "dots")),
-    "nets_near": (nets_near, _nets(f", {_POINTS}, {_NEAR} SELECT page, pt, net_id, d FROM near")),
-    "touch_decision": (touch_decision, _nets(f""", {_POINTS}, {_NEAR}, l AS (SELECT a.*, n.name, min(a.d) OVER (PARTITION BY a.page, a.pt) AS least_d FROM near a JOIN nets n ON a.page = n.page AND a.net_id = n.net_id),
-k AS (SELECT page, pt, d, net_id, CASE WHEN name = '' THEN '#' || net_id ELSE upper(name) END AS key FROM l WHERE (least_d <= 1 AND d <= 1) OR (least_d > 1 AND d - least_d < 3)),
-o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page, pt, key ORDER BY d, net_id) AS i FROM k) z WHERE i = 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY page, pt ORDER BY d, net_id) AS r FROM o)
-SELECT page, pt, CASE WHEN count(*) = 1 THEN 'pick' ELSE 'choose' END AS kind, count(*) AS n, string_agg(CAST(net_id AS STRING), ',' ORDER BY r) AS nets FROM r WHERE r <= 4 GROUP BY page, pt""")),
-    "longest_wires": (longest_wires, with_ctes("SELECT page, seg_id, len, r FROM (SELECT page, seg_id, x2 - x1 + y2 - y1 AS len, row_number() OVER (PARTITION BY page ORDER BY x2 - x1 + y2 - y1 DESC, seg_id) AS r FROM segs) z WHERE r <= 12", "segs")),
+    "seg_at": (seg_at, with_ctes(f"{_POINTS}, c AS (SELECT p.doc, p.page, p.pt, s.seg_id, {dist('p.x', 'p.y', 's.x1', 's.y1', 's.x2', 's.y2')} AS d FROM points p JOIN segs s ON p.doc = s.doc AND p.page = s.page) SELECT doc, page, pt, seg_id, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, pt ORDER BY d, seg_id DESC) AS r FROM c WHERE d <= 9) z WHERE r = 1", "segs", "dots")),
+    "text_at": (text_at, with_ctes(f"{_POINTS}, c AS (SELECT p.doc, p.page, p.pt, t.text_id, (t.x1 - t.x0) * (t.y1 - t.y0) AS a FROM points p JOIN texts t ON p.doc = t.doc AND p.page = t.page AND p.x BETWEEN t.x0 - 2 AND t.x1 + 2 AND p.y BETWEEN t.y0 - 2 AND t.y1 + 2) SELECT doc, page, pt, text_id FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, pt ORDER BY a, text_id) AS r FROM c) z WHERE r = 1", "texts", "dots")),
+    "nets_near": (nets_near, _nets(f", {_POINTS}, {_NEAR} SELECT doc, page, pt, net_id, d FROM near")),
+    "touch_decision": (touch_decision, _nets(f""", {_POINTS}, {_NEAR}, l AS (SELECT a.*, n.name, min(a.d) OVER (PARTITION BY a.doc, a.page, a.pt) AS least_d FROM near a JOIN nets n ON a.doc = n.doc AND a.page = n.page AND a.net_id = n.net_id),
+k AS (SELECT doc, page, pt, d, net_id, CASE WHEN name = '' THEN '#' || net_id ELSE upper(name) END AS key FROM l WHERE (least_d <= 1 AND d <= 1) OR (least_d > 1 AND d - least_d < 3)),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, pt, key ORDER BY d, net_id) AS i FROM k) z WHERE i = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc, page, pt ORDER BY d, net_id) AS r FROM o)
+SELECT doc, page, pt, CASE WHEN count(*) = 1 THEN 'pick' ELSE 'choose' END AS kind, count(*) AS n, string_agg(CAST(net_id AS STRING), ',' ORDER BY r) AS nets FROM r WHERE r <= 4 GROUP BY doc, page, pt""")),
+    "longest_wires": (longest_wires, with_ctes("SELECT doc, page, seg_id, len, r FROM (SELECT doc, page, seg_id, x2 - x1 + y2 - y1 AS len, row_number() OVER (PARTITION BY doc, page ORDER BY x2 - x1 + y2 - y1 DESC, seg_id) AS r FROM segs) z WHERE r <= 12", "segs")),
 }

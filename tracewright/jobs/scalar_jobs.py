@@ -10,6 +10,10 @@ from ..sources.fixtures import table, with_ctes
 from .oracle import dist, gap, natural, power, q
 
 
+# Stated apart from the rules, so that a slip in one shows.
+PART = "^[A-Z0-9]+([-/.][A-Z0-9().#]+)+$|^[A-Z][A-Z]+[0-9][0-9]+[A-Z0-9/#-]*$"
+
+
 def _kinds(s: str) -> str:
     i = lambda p: q("(?i)" + p)
     m = lambda p: f"regexp_matches({s}, {p})"
@@ -17,7 +21,7 @@ def _kinds(s: str) -> str:
 WHEN {power(s)} THEN 'net' WHEN {m(i(R.VALUE))} THEN 'value' WHEN {m(q('[ ]'))} THEN 'note' WHEN {m(i(R.NOTE))} THEN 'note'
 WHEN len(string_split({s}, '/')) >= 3 AND len(list_filter(string_split({s}, '/'), lambda x: regexp_matches(x, {q(R.SPEC_FIELD)}))) >= 2 THEN 'value'
 WHEN {m(q(R.WORD_REF))} THEN 'net' WHEN starts_with({s}, '*') THEN 'component' WHEN {m(q(R.REFDES))} THEN 'component' WHEN {m(q(R.CONNECTOR))} THEN 'component'
-WHEN {m(i(R.PART))} AND NOT contains({s}, '_') AND NOT {m(i(R.SIGNAL))} THEN 'value' WHEN {m(i(R.PART_PAREN))} AND NOT regexp_matches(split_part({s}, '(', 1), '[\\\\/]') THEN 'value'
+WHEN {m(q(PART))} AND NOT contains({s}, '_') AND NOT {m(i(R.SIGNAL))} THEN 'value' WHEN {m(i(R.PART_PAREN))} AND NOT regexp_matches(split_part({s}, '(', 1), '[\\\\/]') THEN 'value'
 WHEN length({s}) < 2 THEN 'pin' WHEN NOT {m(q('[A-Za-z]'))} THEN 'note' ELSE 'net' END"""
 
 
@@ -97,21 +101,21 @@ def link_props(spark, sf):
 
 
 def dist_point_seg(spark, sf):
-    j = table(spark, sf, "segs").alias("s").join(table(spark, sf, "dots").alias("d"), "page")
-    return j.groupBy("page", "seg_id").agg(F.round(F.min(G.dist_point_seg("d.x", "d.y", "s.x1", "s.y1", "s.x2", "s.y2")), 6).alias("nearest"))
+    j = table(spark, sf, "segs").alias("s").join(table(spark, sf, "dots").alias("d"), ["doc", "page"])
+    return j.groupBy("doc", "page", "seg_id").agg(F.round(F.min(G.dist_point_seg("d.x", "d.y", "s.x1", "s.y1", "s.x2", "s.y2")), 6).alias("nearest"))
 
 
 def dist_box_seg(spark, sf):
     s = table(spark, sf, "segs").withColumns({"x2": F.col("x2") + F.when(F.col("seg_id") % 3 == 0, F.lit(8.0)).otherwise(0.0), "y2": F.col("y2") + F.when(F.col("seg_id") % 3 == 0, F.lit(16.0)).otherwise(0.0)})
     b = tuple(F.lit(float(v)) for v in (100, 100, 160, 140))
-    return s.select("page", "seg_id", F.round(G.dist_box_seg(b, "x1", "y1", "x2", "y2"), 6).alias("d"))
+    return s.select("doc", "page", "seg_id", F.round(G.dist_box_seg(b, "x1", "y1", "x2", "y2"), 6).alias("d"))
 
 
 def box_gap(spark, sf):
     t = table(spark, sf, "texts")
-    a, b = (t.select("page", F.col("text_id").alias(f"{n}id"), *[F.col(c).alias(f"{n}{c}") for c in ("x0", "y0", "x1", "y1")]) for n in "ab")
-    j = a.join(b, (a["page"] == b["page"]) & (F.col("bid") == F.col("aid") + 1))
-    return j.select(a["page"], "aid", F.round(G.box_gap(("ax0", "ay0", "ax1", "ay1"), ("bx0", "by0", "bx1", "by1")), 6).alias("gap"))
+    a, b = (t.select("doc", "page", F.col("text_id").alias(f"{n}id"), *[F.col(c).alias(f"{n}{c}") for c in ("x0", "y0", "x1", "y1")]) for n in "ab")
+    j = a.join(b, (a["doc"] == b["doc"]) & (a["page"] == b["page"]) & (F.col("bid") == F.col("aid") + 1))
+    return j.select(a["doc"], a["page"], "aid", F.round(G.box_gap(("ax0", "ay0", "ax1", "ay1"), ("bx0", "by0", "bx1", "by1")), 6).alias("gap"))
 
 
 def affine_apply(spark, sf):
@@ -119,7 +123,7 @@ def affine_apply(spark, sf):
     turn = F.when(F.col("seg_id") % 2 == 0, F.array(*[F.lit(float(v)) for v in (0, 1, -1, 0, 5, 7)])).otherwise(F.array(*[F.lit(float(v)) for v in (2, 0, 0, 2, -1, 3)]))
     flip = F.array(*[F.lit(float(v)) for v in (1, 0, 0, -1, 0, 842)])
     x, y = G.affine_apply(G.affine_compose(flip, turn), "x1", "y1")
-    return s.select("page", "seg_id", x.alias("x"), y.alias("y"))
+    return s.select("doc", "page", "seg_id", x.alias("x"), y.alias("y"))
 
 
 def color_distance(spark, sf):
@@ -157,12 +161,12 @@ JOBS = {
 SELECT k, 'pin' AS kind, 'U' || a || '0' || b AS code, 0 AS start, 6 AS stop FROM m UNION ALL SELECT k, 'pin', 'R' || c || '01', 6, 12 FROM m UNION ALL SELECT k, 'part', 'C' || d, 13, 17 FROM m UNION ALL SELECT k, 'netLabel', 'NET' || e, 20, 26 FROM m""", "strings")),
     "link_props": (link_props, with_ctes(f"""p AS (SELECT k, unnest(regexp_extract_all({_SCRIPT}, '''([^''=]{{1,60}})=([^'']*)''', 1)) AS a, unnest(regexp_extract_all({_SCRIPT}, '''([^''=]{{1,60}})=([^'']*)''', 2)) AS b, generate_subscripts(regexp_extract_all({_SCRIPT}, '''([^''=]{{1,60}})=([^'']*)''', 1), 1) AS i FROM strings),
 l AS (SELECT k, trim(a) AS key, arg_max(trim(b), i) AS value FROM p WHERE NOT starts_with(trim(a), 'Rules.') GROUP BY k, trim(a)) SELECT k, array_to_string(list_sort(list(key || '=' || value)), ';') AS props FROM l GROUP BY k""", "strings")),
-    "dist_point_seg": (dist_point_seg, with_ctes(f"SELECT s.page, s.seg_id, round(min({dist('d.x', 'd.y', 's.x1', 's.y1', 's.x2', 's.y2')}), 6) AS nearest FROM segs s JOIN dots d ON s.page = d.page GROUP BY s.page, s.seg_id", "segs", "dots")),
-    "dist_box_seg": (dist_box_seg, with_ctes(f"""m AS (SELECT page, seg_id, x1, y1, x2 + CASE WHEN seg_id % 3 = 0 THEN 8 ELSE 0 END AS x2, y2 + CASE WHEN seg_id % 3 = 0 THEN 16 ELSE 0 END AS y2 FROM segs)
-SELECT page, seg_id, round(CASE WHEN abs(x1 - x2) > 0.05 AND abs(y1 - y2) > 0.05 THEN least({', '.join(gap((100, 100, 160, 140), (f'(x1 + (x2 - x1) * {k / 8})', f'(y1 + (y2 - y1) * {k / 8})') * 2) for k in range(9))})
+    "dist_point_seg": (dist_point_seg, with_ctes(f"SELECT s.doc, s.page, s.seg_id, round(min({dist('d.x', 'd.y', 's.x1', 's.y1', 's.x2', 's.y2')}), 6) AS nearest FROM segs s JOIN dots d ON s.doc = d.doc AND s.page = d.page GROUP BY s.doc, s.page, s.seg_id", "segs", "dots")),
+    "dist_box_seg": (dist_box_seg, with_ctes(f"""m AS (SELECT doc, page, seg_id, x1, y1, x2 + CASE WHEN seg_id % 3 = 0 THEN 8 ELSE 0 END AS x2, y2 + CASE WHEN seg_id % 3 = 0 THEN 16 ELSE 0 END AS y2 FROM segs)
+SELECT doc, page, seg_id, round(CASE WHEN abs(x1 - x2) > 0.05 AND abs(y1 - y2) > 0.05 THEN least({', '.join(gap((100, 100, 160, 140), (f'(x1 + (x2 - x1) * {k / 8})', f'(y1 + (y2 - y1) * {k / 8})') * 2) for k in range(9))})
 ELSE {gap((100, 100, 160, 140), ('least(x1, x2)', 'least(y1, y2)', 'greatest(x1, x2)', 'greatest(y1, y2)'))} END, 6) AS d FROM m""", "segs")),
-    "box_gap": (box_gap, with_ctes(f"SELECT a.page, a.text_id AS aid, round({gap(('a.x0', 'a.y0', 'a.x1', 'a.y1'), ('b.x0', 'b.y0', 'b.x1', 'b.y1'))}, 6) AS gap FROM texts a JOIN texts b ON a.page = b.page AND b.text_id = a.text_id + 1", "texts")),
-    "affine_apply": (affine_apply, with_ctes("SELECT page, seg_id, CASE WHEN seg_id % 2 = 0 THEN 5 - y1 ELSE 2 * x1 - 1 END AS x, 842 - CASE WHEN seg_id % 2 = 0 THEN x1 + 7 ELSE 2 * y1 + 3 END AS y FROM segs", "segs")),
+    "box_gap": (box_gap, with_ctes(f"SELECT a.doc, a.page, a.text_id AS aid, round({gap(('a.x0', 'a.y0', 'a.x1', 'a.y1'), ('b.x0', 'b.y0', 'b.x1', 'b.y1'))}, 6) AS gap FROM texts a JOIN texts b ON a.doc = b.doc AND a.page = b.page AND b.text_id = a.text_id + 1", "texts")),
+    "affine_apply": (affine_apply, with_ctes("SELECT doc, page, seg_id, CASE WHEN seg_id % 2 = 0 THEN 5 - y1 ELSE 2 * x1 - 1 END AS x, 842 - CASE WHEN seg_id % 2 = 0 THEN x1 + 7 ELSE 2 * y1 + 3 END AS y FROM segs", "segs")),
     "color_distance": (color_distance, with_ctes(f"SELECT k, CAST({' + '.join(f'abs({a} - {b})' for a, b in zip(_CH(7919), _CH(104729), strict=True))} AS INTEGER) AS d, greatest({', '.join(_CH(7919))}) - least({', '.join(_CH(7919))}) < 24 AS grey FROM strings", "strings")),
     "style_key": (style_key, with_ctes("SELECT CASE WHEN seg_id % 4 = 0 THEN 'f' ELSE 's' END || lower(style) || '/' || printf('%.2f', width) AS style, count(*) AS n FROM segs GROUP BY 1", "segs")),
 }

@@ -1,4 +1,4 @@
-"""Connected components: per page in one small task, or over joins alone for pages that do not fit one."""
+"""Connected components and greedy choices: per page in one small task, or over joins alone for pages that do not fit one."""
 
 from __future__ import annotations
 
@@ -7,6 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text_rules import is_power_name
+from ..sources.shared import written
+
+#: Pages are told apart by drawing and page number; edges of a page that one task solves.
+KEY, MOST = ["doc", "page"], 2_000_000
+
 
 def _least_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     at = np.arange(n)
@@ -21,22 +27,69 @@ def _least_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         at = new
 
 
-def connected_components(segs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(page, seg_id, root) for every segment: root is the smallest segment reachable over ``edges`` (page, src, dst). Pages are independent, and a task
-    holds the edges of one page; segments without edges never enter a task."""
+def by_joins(edges: DataFrame) -> DataFrame:
+    """(doc, page, seg_id, root) of all linked segments. Each round every segment takes its least neighbour, follows it one step and the edges are rewritten
+    between what they lead to; a round at least halves what can still merge. Minima are aggregated before the shuffle, so a hub is one more key."""
+    e = written(edges.where("src <> dst").select(*KEY, "src", "dst").distinct(), "edges")
+    labels = None
+    while not e.isEmpty():
+        both = e.union(e.select(*KEY, F.col("dst").alias("src"), F.col("src").alias("dst")))
+        up = both.groupBy(*KEY, "src").agg(F.min("dst").alias("m")).select(*KEY, F.col("src").alias("seg_id"), F.least("src", "m").alias("p"))
+        next_ = up.select(*KEY, F.col("seg_id").alias("p"), F.col("p").alias("root"))
+        up = written(up.join(next_, [*KEY, "p"]).select(*KEY, "seg_id", "root"), "parents")
+        if labels is None:
+            labels = up
+        else:
+            labels = labels.join(up.select(*KEY, F.col("seg_id").alias("root"), F.col("root").alias("r")), [*KEY, "root"], "left").select(*KEY, "seg_id", F.coalesce("r", "root").alias("root"))
+        ends = {c: up.select(*KEY, F.col("seg_id").alias(c), F.col("root").alias(f"{c}2")) for c in ("src", "dst")}
+        e = written(e.join(ends["src"], [*KEY, "src"]).join(ends["dst"], [*KEY, "dst"]).where("src2 <> dst2").select(*KEY, F.col("src2").alias("src"), F.col("dst2").alias("dst")).distinct(), "edges")
+    return edges.select(*KEY, F.col("src").alias("seg_id"), F.col("dst").alias("root")).limit(0) if labels is None else labels
+
+
+def connected_components(segs: DataFrame, edges: DataFrame, most: int = MOST) -> DataFrame:
+    """(doc, page, seg_id, root) for every segment: root is the smallest segment of its page that is reachable over ``edges`` (doc, page, src, dst). A task holds the
+    edges of one page; pages with more than ``most`` edges are solved over joins instead. Segments without edges are their own root and never enter a
+    task; edges with a null end link nothing. No segments: no rows."""
 
     def of_page(pdf: pd.DataFrame) -> pd.DataFrame:
         src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
         nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
         root = nodes[_least_reachable(len(nodes), at[: len(src)], at[len(src) :])]
-        return pd.DataFrame({"page": pdf["page"].iloc[0], "seg_id": nodes, "root": root})
+        return pd.DataFrame({"doc": pdf["doc"].iloc[0], "page": pdf["page"].iloc[0], "seg_id": nodes, "root": root})
 
-    found = edges.groupBy("page").applyInPandas(of_page, "page long, seg_id long, root long")
-    return segs.select("page", "seg_id").join(found, ["page", "seg_id"], "left").select("page", "seg_id", F.coalesce("root", "seg_id").alias("root"))
+    edges = edges.where("src is not null and dst is not null").select(*KEY, "src", "dst").persist()
+    crowded = edges.groupBy(*KEY).count().where(F.col("count") > most).select(*KEY)
+    schema = "doc long, page long, seg_id long, root long"
+    if crowded.isEmpty():
+        found = edges.groupBy(*KEY).applyInPandas(of_page, schema)
+    else:
+        few = edges.join(crowded, KEY, "left_anti").groupBy(*KEY).applyInPandas(of_page, schema)
+        found = few.unionByName(by_joins(edges.join(crowded, KEY, "left_semi")))
+    return segs.select(*KEY, "seg_id").join(found, [*KEY, "seg_id"], "left").select(*KEY, "seg_id", F.coalesce("root", "seg_id").alias("root"))
 
 
 def same_name_edges(labels: DataFrame) -> DataFrame:
-    """Star edges between the segments of a page whose labels (page, seg_id, str) share a name, in any case: each to the first of its name."""
-    named = labels.select("page", "seg_id", F.upper("str").alias("name"))
-    first = named.groupBy("page", "name").agg(F.min("seg_id").alias("src"))
-    return named.join(first, ["page", "name"]).where("src <> seg_id").select("page", "src", F.col("seg_id").alias("dst")).distinct()
+    """Star edges between the segments of a page whose labels (doc, page, seg_id, str) share a name, in any case: each to the first of its name. Labels inside
+    bodies (in_body) do not count, nor do names other than supplies that are only written near a wire (port false)."""
+    inside = F.coalesce("in_body", F.lit(False)) if "in_body" in labels.columns else F.lit(False)
+    port = F.coalesce("port", F.lit(False)) if "port" in labels.columns else F.lit(True)
+    named = labels.where(~inside & (port | is_power_name(F.col("str")))).select(*KEY, "seg_id", F.upper("str").alias("name"))
+    first = named.groupBy(*KEY, "name").agg(F.min("seg_id").alias("src"))
+    return named.join(first, [*KEY, "name"]).where("src <> seg_id").select(*KEY, "src", F.col("seg_id").alias("dst")).distinct()
+
+
+def dropped_repeats(links: DataFrame) -> DataFrame:
+    """(doc, page, later): of items that repeat an earlier one those that go, if each is compared only with earlier ones that stay. ``links`` (doc, page, earlier,
+    later) names the pairs that lie close; a task holds the close pairs of one page, which are few. An item whose earlier neighbours all go stays."""
+
+    def of_page(pdf: pd.DataFrame) -> pd.DataFrame:
+        gone: set[int] = set()
+        near: dict[int, list[int]] = {}
+        for a, b in zip(pdf["earlier"], pdf["later"], strict=True):
+            near.setdefault(b, []).append(a)
+        for b in sorted(near):
+            if any(a not in gone for a in near[b]):
+                gone.add(b)
+        return pd.DataFrame({"doc": pdf["doc"].iloc[0], "page": pdf["page"].iloc[0], "later": sorted(gone)})
+
+    return links.select(*KEY, "earlier", "later").groupBy(*KEY).applyInPandas(of_page, "doc long, page long, later long")

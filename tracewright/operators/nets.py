@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text_rules import is_power_name, natural_key
+from ..functions.text_rules import is_bare_voltage, is_power_name, natural_key
 from .graph import connected_components, same_name_edges
 from .spatial import contacts, label_along_wire
 
 
 def number_nets(components: DataFrame) -> DataFrame:
     """``components`` with net_id: nets of a page counted from 0 in the order of their first segment."""
-    roots = components.select("page", "root").distinct()
-    ids = roots.withColumn("net_id", (F.row_number().over(Window.partitionBy("page").orderBy("root")) - 1).cast("long"))
-    return components.join(ids, ["page", "root"])
+    roots = components.select("doc", "page", "root").distinct()
+    ids = roots.withColumn("net_id", (F.row_number().over(Window.partitionBy("doc", "page").orderBy("root")) - 1).cast("long"))
+    return components.join(ids, ["doc", "page", "root"])
 
 
 def extract(segs: DataFrame, dots: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The netlist of each page: segments with net_id, and labels with the segment they lie on and its net. What is read more than once is
     persisted."""
     segs = segs.persist()
-    labels = label_along_wire(texts, segs).join(texts.select("page", "text_id", "str"), ["page", "text_id"]).persist()
+    labels = label_along_wire(texts.where(~is_bare_voltage(F.col("str"))), segs).join(texts.select("doc", "page", "text_id", "str"), ["doc", "page", "text_id"]).persist()
     edges = contacts(segs, dots).unionByName(same_name_edges(labels))
     components = connected_components(segs, edges).persist()
-    wires = segs.join(number_nets(components), ["page", "seg_id"]).persist()
-    return wires, labels.join(wires.select("page", "seg_id", "net_id"), ["page", "seg_id"]).persist()
+    wires = segs.join(number_nets(components), ["doc", "page", "seg_id"]).persist()
+    return wires, labels.join(wires.select("doc", "page", "seg_id", "net_id"), ["doc", "page", "seg_id"]).persist()
 
 
 def net_build(wires: DataFrame) -> DataFrame:
@@ -37,21 +37,34 @@ def net_build(wires: DataFrame) -> DataFrame:
 
 
 def net_name_pick(labels: DataFrame) -> DataFrame:
-    """(page, net_id, name): of a net's labels a supply name before others, then the first by text."""
-    order = Window.partitionBy("page", "net_id").orderBy(F.when(is_power_name(F.col("str")), 0).otherwise(1), "str", "text_id")
-    return labels.withColumn("r", F.row_number().over(order)).where("r = 1").select("page", "net_id", F.col("str").alias("name"))
-
-
-def named_nets(wires: DataFrame, labels: DataFrame) -> DataFrame:
-    """Nets with their names; a net without a label has the name ""."""
-    return net_build(wires).join(net_name_pick(labels), ["page", "net_id"], "left").withColumn("name", F.coalesce("name", F.lit("")))
+    """(doc, page, net_id, name): the best label of a net outside bodies. A port, flag or label on its wire counts 4 (port, true if there is no such column), a
+    supply name 2, a flag outline 1 (flag); equal ones go by text, then by text_id."""
+    bit = lambda c, default: F.coalesce(F.col(c), F.lit(False)) if c in labels.columns else F.lit(default)
+    score = bit("port", True).cast("int") * 4 + is_power_name(F.col("str")).cast("int") * 2 + bit("flag", False).cast("int")
+    order = Window.partitionBy("doc", "page", "net_id").orderBy(F.desc("score"), "str", "text_id")
+    best = labels.where(~bit("in_body", False)).withColumn("score", score).withColumn("r", F.row_number().over(order)).where("r = 1")
+    return best.select("doc", "page", "net_id", F.col("str").alias("name"))
+
+
+def named_nets(wires: DataFrame, labels: DataFrame, cad: DataFrame | None = None, ground: DataFrame | None = None) -> DataFrame:
+    """Nets with their names: the one that the CAD netlist gives (cad: doc, page, net_id, cad_name), else the best label, else GND for nets at a ground symbol
+    (ground: doc, page, net_id), else ""."""
+    nets = net_build(wires).join(net_name_pick(labels), ["doc", "page", "net_id"], "left")
+    name = F.col("name")
+    if cad is not None:
+        nets = nets.join(cad.groupBy("doc", "page", "net_id").agg(F.max("cad_name").alias("cad_name")), ["doc", "page", "net_id"], "left")
+        name = F.coalesce("cad_name", name)
+    if ground is not None:
+        nets = nets.join(ground.select("doc", "page", "net_id", F.lit("GND").alias("gnd")).distinct(), ["doc", "page", "net_id"], "left")
+        name = F.coalesce(name, "gnd")
+    return nets.withColumn("name", F.coalesce(name, F.lit(""))).drop("cad_name", "gnd")
 
 
 def net_entries(nets: DataFrame, labels: DataFrame) -> DataFrame:
     """Per drawing and name in any case: the name as first seen, whether it is a supply, pages (from 1), nets, segments, and labels that spell the name."""
-    spelled = labels.join(nets.select("doc", "page", "net_id", "name"), ["page", "net_id"]).where(F.upper("str") == F.upper("name")).groupBy("doc", F.upper("name").alias("key")).agg(F.count("*").alias("labels"))
+    spelled = labels.join(nets.select("doc", "page", "net_id", "name"), ["doc", "page", "net_id"]).where(F.upper("str") == F.upper("name")).groupBy("doc", F.upper("name").alias("key")).agg(F.count("*").alias("labels"))
     rolled = nets.where("name <> ''").groupBy("doc", F.upper("name").alias("key")).agg(
-        F.min_by("name", F.struct("page", "net_id")).alias("net"), F.count("*").alias("n_nets"), F.sum("n_segs").alias("n_segs"),
+        F.min_by("name", F.struct("doc", "page", "net_id")).alias("net"), F.count("*").alias("n_nets"), F.sum("n_segs").alias("n_segs"),
         F.array_join(F.transform(F.array_sort(F.collect_set(F.col("page") + 1)), lambda p: p.cast("string")), " ").alias("pages"),
     )
     out = rolled.join(spelled, ["doc", "key"], "left")

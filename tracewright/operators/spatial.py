@@ -56,40 +56,40 @@ def grid_join(left: DataFrame, right: DataFrame, key: Sequence[str], left_box: B
 
 
 def ends(segs: DataFrame) -> DataFrame:
-    """One row for each end of each segment: page, seg_id, x, y."""
+    """One row for each end of each segment: doc, page, seg_id, x, y."""
     at = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
-    return segs.select("page", "seg_id", F.explode(at).alias("p")).select("page", "seg_id", "p.x", "p.y")
+    return segs.select("doc", "page", "seg_id", F.explode(at).alias("p")).select("doc", "page", "seg_id", "p.x", "p.y")
 
 
 def _edges(pairs: DataFrame, a: str = "l.seg_id", b: str = "r.seg_id") -> DataFrame:
     s, d = F.col(a), F.col(b)
-    return pairs.select(F.col("l.page").alias("page"), F.least(s, d).alias("src"), F.greatest(s, d).alias("dst")).distinct()
+    return pairs.select(F.col("l.doc").alias("doc"), F.col("l.page").alias("page"), F.least(s, d).alias("src"), F.greatest(s, d).alias("dst")).distinct()
 
 
 def join_endpoints(segs: DataFrame, eps: float = EPS) -> DataFrame:
-    """Edges (page, src, dst) between segments that share an end."""
+    """Edges (doc, page, src, dst) between segments that share an end."""
     e = ends(segs)
     near = lambda l, r: (l["seg_id"] < r["seg_id"]) & (F.hypot(l["x"] - r["x"], l["y"] - r["y"]) <= eps)  # noqa: E731, E741
-    return _edges(grid_join(e, e, ["page"], point_box(grow=eps), point_box(), CELL, near))
+    return _edges(grid_join(e, e, ["doc", "page"], point_box(grow=eps), point_box(), CELL, near))
 
 
 def _ends_on_segments(segs: DataFrame, eps: float) -> DataFrame:
     on = lambda l, r: (l["seg_id"] != r["seg_id"]) & (dist_point_seg(l["x"], l["y"], r["x1"], r["y1"], r["x2"], r["y2"]) <= eps)  # noqa: E731, E741
-    return grid_join(ends(segs), segs.select("page", "seg_id", "x1", "y1", "x2", "y2"), ["page"], point_box(grow=eps), seg_box(), CELL, on)
+    return grid_join(ends(segs), segs.select("doc", "page", "seg_id", "x1", "y1", "x2", "y2"), ["doc", "page"], point_box(grow=eps), seg_box(), CELL, on)
 
 
 def join_tee(segs: DataFrame, dots: DataFrame, eps: float = EPS) -> DataFrame:
     """Edges between a segment that ends on another one and that one, where a dot marks the place."""
     e = ends(segs)
-    dotted = grid_join(e, dots, ["page"], point_box(grow=2 * eps), point_box(grow=F.col("r")), CELL, lambda l, r: F.hypot(l["x"] - r["x"], l["y"] - r["y"]) <= r["r"] + 2 * eps)  # noqa: E741
-    dotted = dotted.select("l.page", "l.seg_id", "l.x", "l.y").distinct()
-    tees = _ends_on_segments(segs, eps).select("l", "r", F.col("l.page").alias("page"), F.col("l.seg_id").alias("seg_id"), F.col("l.x").alias("x"), F.col("l.y").alias("y"))
-    return _edges(tees.join(dotted, ["page", "seg_id", "x", "y"], "left_semi"))
+    dotted = grid_join(e, dots, ["doc", "page"], point_box(grow=2 * eps), point_box(grow=F.col("r")), CELL, lambda l, r: F.hypot(l["x"] - r["x"], l["y"] - r["y"]) <= r["r"] + 2 * eps)  # noqa: E741
+    dotted = dotted.select("l.doc", "l.page", "l.seg_id", "l.x", "l.y").distinct()
+    tees = _ends_on_segments(segs, eps).select("l", "r", F.col("l.doc").alias("doc"), F.col("l.page").alias("page"), F.col("l.seg_id").alias("seg_id"), F.col("l.x").alias("x"), F.col("l.y").alias("y"))
+    return _edges(tees.join(dotted, ["doc", "page", "seg_id", "x", "y"], "left_semi"))
 
 
 def join_overlap(segs: DataFrame, eps: float = EPS) -> DataFrame:
     """Edges between level or upright segments on one line that share a stretch longer than eps, one ending on the other."""
-    s = segs.select("page", "seg_id", "x1", "y1", "x2", "y2")
+    s = segs.select("doc", "page", "seg_id", "x1", "y1", "x2", "y2")
     shared = lambda l, r, c: F.least(F.greatest(l[f"{c}1"], l[f"{c}2"]), F.greatest(r[f"{c}1"], r[f"{c}2"])) - F.greatest(F.least(l[f"{c}1"], l[f"{c}2"]), F.least(r[f"{c}1"], r[f"{c}2"]))  # noqa: E731, E741
 
     def test(l, r):  # noqa: E741
@@ -99,72 +99,72 @@ def join_overlap(segs: DataFrame, eps: float = EPS) -> DataFrame:
         return (l["seg_id"] < r["seg_id"]) & (upright | level)
 
     # Two intervals of one line that overlap always have an end of one on the other.
-    return _edges(grid_join(s, s, ["page"], seg_box(eps), seg_box(), CELL, test))
+    return _edges(grid_join(s, s, ["doc", "page"], seg_box(eps), seg_box(), CELL, test))
 
 
 def dot_hits(segs: DataFrame, dots: DataFrame, eps: float = EPS) -> DataFrame:
-    """(page, x, y, r, seg_id): segments that pass through a dot."""
-    s = segs.select("page", "seg_id", "x1", "y1", "x2", "y2")
+    """(doc, page, x, y, r, seg_id): segments that pass through a dot."""
+    s = segs.select("doc", "page", "seg_id", "x1", "y1", "x2", "y2")
     through = lambda l, r: dist_point_seg(l["x"], l["y"], r["x1"], r["y1"], r["x2"], r["y2"]) <= F.greatest(l["r"] * 0.6, F.lit(eps))  # noqa: E731, E741
-    return grid_join(dots, s, ["page"], point_box(grow=F.col("r")), seg_box(), CELL, through).select("l.*", "r.seg_id")
+    return grid_join(dots, s, ["doc", "page"], point_box(grow=F.col("r")), seg_box(), CELL, through).select("l.*", "r.seg_id")
 
 
 def join_dot_wires(segs: DataFrame, dots: DataFrame, eps: float = EPS) -> DataFrame:
     """Star edges from the first to every other segment through a dot; never all pairs of a dot."""
     hits = dot_hits(segs, dots, eps)
-    first = hits.groupBy("page", "x", "y").agg(F.min("seg_id").alias("src"))
-    return hits.join(first, ["page", "x", "y"]).where("src <> seg_id").select("page", "src", F.col("seg_id").alias("dst")).distinct()
+    first = hits.groupBy("doc", "page", "x", "y").agg(F.min("seg_id").alias("src"))
+    return hits.join(first, ["doc", "page", "x", "y"]).where("src <> seg_id").select("doc", "page", "src", F.col("seg_id").alias("dst")).distinct()
 
 
 def contacts(segs: DataFrame, dots: DataFrame, eps: float = EPS) -> DataFrame:
     """All contact edges of the wires: shared ends, dotted tees, overlaps and dots. Each of the first three has an end of one segment on the other, so one
     join of ends with segments finds them all."""
-    s = segs.select("page", "seg_id", "x1", "y1", "x2", "y2")
+    s = segs.select("doc", "page", "seg_id", "x1", "y1", "x2", "y2")
     at = F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))
-    e = s.select("*", at.alias("p")).select("page", "seg_id", "x1", "y1", "x2", "y2", "p.x", "p.y")
-    on = grid_join(e, s, ["page"], point_box(grow=eps), seg_box(), CELL, lambda l, r: (l["seg_id"] != r["seg_id"]) & (dist_point_seg(l["x"], l["y"], r["x1"], r["y1"], r["x2"], r["y2"]) <= eps))  # noqa: E741
+    e = s.select("*", at.alias("p")).select("doc", "page", "seg_id", "x1", "y1", "x2", "y2", "p.x", "p.y")
+    on = grid_join(e, s, ["doc", "page"], point_box(grow=eps), seg_box(), CELL, lambda l, r: (l["seg_id"] != r["seg_id"]) & (dist_point_seg(l["x"], l["y"], r["x1"], r["y1"], r["x2"], r["y2"]) <= eps))  # noqa: E741
     l, r = F.col("l"), F.col("r")  # noqa: E741
     joint = (F.hypot(l["x"] - r["x1"], l["y"] - r["y1"]) <= eps) | (F.hypot(l["x"] - r["x2"], l["y"] - r["y2"]) <= eps)
     flat = lambda a, c: F.abs(a[f"{c}1"] - a[f"{c}2"]) < 0.02
     shared = lambda c: F.least(F.greatest(l[f"{c}1"], l[f"{c}2"]), F.greatest(r[f"{c}1"], r[f"{c}2"])) - F.greatest(F.least(l[f"{c}1"], l[f"{c}2"]), F.least(r[f"{c}1"], r[f"{c}2"])) > eps
     lap = (flat(l, "x") & flat(r, "x") & shared("y")) | (flat(l, "y") & flat(r, "y") & shared("x"))
-    on = on.select("l.page", F.least("l.seg_id", "r.seg_id").alias("src"), F.greatest("l.seg_id", "r.seg_id").alias("dst"), "l.x", "l.y", (joint | lap).alias("sure"))
-    places = on.where("not sure").select("page", "x", "y").distinct()
+    on = on.select("l.doc", "l.page", F.least("l.seg_id", "r.seg_id").alias("src"), F.greatest("l.seg_id", "r.seg_id").alias("dst"), "l.x", "l.y", (joint | lap).alias("sure"))
+    places = on.where("not sure").select("doc", "page", "x", "y").distinct()
     near = lambda l, r: F.hypot(l["x"] - r["x"], l["y"] - r["y"]) <= r["r"] + 2 * eps  # noqa: E731, E741
-    dotted = grid_join(places, dots, ["page"], point_box(grow=2 * eps), point_box(grow=F.col("r")), CELL, near).select("l.page", "l.x", "l.y").distinct()
-    tees = on.where("not sure").join(dotted, ["page", "x", "y"], "left_semi")
-    return on.where("sure").unionByName(tees).select("page", "src", "dst").unionByName(join_dot_wires(segs, dots, eps))
+    dotted = grid_join(places, dots, ["doc", "page"], point_box(grow=2 * eps), point_box(grow=F.col("r")), CELL, near).select("l.doc", "l.page", "l.x", "l.y").distinct()
+    tees = on.where("not sure").join(dotted, ["doc", "page", "x", "y"], "left_semi")
+    return on.where("sure").unionByName(tees).select("doc", "page", "src", "dst").unionByName(join_dot_wires(segs, dots, eps))
 
 
 def seg_at(points: DataFrame, segs: DataFrame, tol: float) -> DataFrame:
-    """For each point (page, pt, x, y) the nearest segment within ``tol``; of equally near ones the last. Points without one are left out."""
-    s = segs.select("page", "seg_id", "x1", "y1", "x2", "y2")
-    near = grid_join(points, s, ["page"], point_box(grow=tol), seg_box(), CELL, lambda l, r: dist_point_seg(l["x"], l["y"], r["x1"], r["y1"], r["x2"], r["y2"]) <= tol)  # noqa: E741
+    """For each point (doc, page, pt, x, y) the nearest segment within ``tol``; of equally near ones the last. Points without one are left out."""
+    s = segs.select("doc", "page", "seg_id", "x1", "y1", "x2", "y2")
+    near = grid_join(points, s, ["doc", "page"], point_box(grow=tol), seg_box(), CELL, lambda l, r: dist_point_seg(l["x"], l["y"], r["x1"], r["y1"], r["x2"], r["y2"]) <= tol)  # noqa: E741
     d = dist_point_seg("l.x", "l.y", "r.x1", "r.y1", "r.x2", "r.y2")
-    near = near.select("l.page", "l.pt", d.alias("d"), F.col("r.seg_id").alias("seg_id"))
-    return near.groupBy("page", "pt").agg(F.min(F.struct("d", (-F.col("seg_id")).alias("o"))).alias("b")).select("page", "pt", (-F.col("b.o")).alias("seg_id"), F.round("b.d", 6).alias("d"))
+    near = near.select("l.doc", "l.page", "l.pt", d.alias("d"), F.col("r.seg_id").alias("seg_id"))
+    return near.groupBy("doc", "page", "pt").agg(F.min(F.struct("d", (-F.col("seg_id")).alias("o"))).alias("b")).select("doc", "page", "pt", (-F.col("b.o")).alias("seg_id"), F.round("b.d", 6).alias("d"))
 
 
 def text_at(points: DataFrame, texts: DataFrame, tol: float) -> DataFrame:
     """For each point the smallest text box that holds it, grown by ``tol``; of equally small ones the first."""
-    inside = grid_join(points, texts, ["page"], point_box(), text_box(tol), CELL, lambda l, r: (l["x"] >= r["x0"] - tol) & (l["x"] <= r["x1"] + tol) & (l["y"] >= r["y0"] - tol) & (l["y"] <= r["y1"] + tol))  # noqa: E741
+    inside = grid_join(points, texts, ["doc", "page"], point_box(), text_box(tol), CELL, lambda l, r: (l["x"] >= r["x0"] - tol) & (l["x"] <= r["x1"] + tol) & (l["y"] >= r["y0"] - tol) & (l["y"] <= r["y1"] + tol))  # noqa: E741
     area = (F.col("r.x1") - F.col("r.x0")) * (F.col("r.y1") - F.col("r.y0"))
-    inside = inside.select("l.page", "l.pt", area.alias("a"), F.col("r.text_id").alias("text_id"))
-    return inside.groupBy("page", "pt").agg(F.min(F.struct("a", "text_id")).alias("b")).select("page", "pt", "b.text_id")
+    inside = inside.select("l.doc", "l.page", "l.pt", area.alias("a"), F.col("r.text_id").alias("text_id"))
+    return inside.groupBy("doc", "page", "pt").agg(F.min(F.struct("a", "text_id")).alias("b")).select("doc", "page", "pt", "b.text_id")
 
 
 def nets_near(points: DataFrame, segs: DataFrame, radius: float) -> DataFrame:
-    """(page, pt, net_id, d): nets with a segment within ``radius`` of a point and their least distance."""
-    s = segs.select("page", "net_id", "x1", "y1", "x2", "y2")
-    near = grid_join(points, s, ["page"], point_box(grow=radius), seg_box(), CELL, lambda l, r: dist_point_seg(l["x"], l["y"], r["x1"], r["y1"], r["x2"], r["y2"]) <= radius)  # noqa: E741
+    """(doc, page, pt, net_id, d): nets with a segment within ``radius`` of a point and their least distance."""
+    s = segs.select("doc", "page", "net_id", "x1", "y1", "x2", "y2")
+    near = grid_join(points, s, ["doc", "page"], point_box(grow=radius), seg_box(), CELL, lambda l, r: dist_point_seg(l["x"], l["y"], r["x1"], r["y1"], r["x2"], r["y2"]) <= radius)  # noqa: E741
     d = dist_point_seg("l.x", "l.y", "r.x1", "r.y1", "r.x2", "r.y2")
-    return near.select("l.page", "l.pt", "r.net_id", d.alias("d")).groupBy("page", "pt", "net_id").agg(F.round(F.min("d"), 6).alias("d"))
+    return near.select("l.doc", "l.page", "l.pt", "r.net_id", d.alias("d")).groupBy("doc", "page", "pt", "net_id").agg(F.round(F.min("d"), 6).alias("d"))
 
 
 def label_along_wire(texts: DataFrame, segs: DataFrame) -> DataFrame:
-    """(page, text_id, seg_id): the wire along the baseline of a label: parallel, just under it and reaching under its start or its end; the one nearest
+    """(doc, page, text_id, seg_id): the wire along the baseline of a label: parallel, just under it and reaching under its start or its end; the one nearest
     to the usual offset, of equal ones the first."""
-    s = segs.select("page", "seg_id", "x1", "y1", "x2", "y2")
+    s = segs.select("doc", "page", "seg_id", "x1", "y1", "x2", "y2")
 
     def measures(t, w):
         level = t["rot"] == 0
@@ -185,8 +185,8 @@ def label_along_wire(texts: DataFrame, segs: DataFrame) -> DataFrame:
         end = (lo <= length + half) & (hi >= length - half)
         return (cos >= 0.97) & (off >= t["size"] * -0.6) & (off <= t["size"] * 0.3) & (start | end)
 
-    found = grid_join(texts, s, ["page"], text_box(5.0), seg_box(), CELL, test)
+    found = grid_join(texts, s, ["doc", "page"], text_box(5.0), seg_box(), CELL, test)
     _, off, *_ = measures(F.col("l"), F.col("r"))  # structs are read by name, too
     score = F.abs(off + F.col("l.size") * 0.12)
-    best = found.groupBy(F.col("l.page").alias("page"), F.col("l.text_id").alias("text_id")).agg(F.min(F.struct(score.alias("s"), F.col("r.seg_id").alias("seg_id"))).alias("b"))
-    return best.select("page", "text_id", "b.seg_id")
+    best = found.groupBy(F.col("l.doc").alias("doc"), F.col("l.page").alias("page"), F.col("l.text_id").alias("text_id")).agg(F.min(F.struct(score.alias("s"), F.col("r.seg_id").alias("seg_id"))).alias("b"))
+    return best.select("doc", "page", "text_id", "b.seg_id")

@@ -1,8 +1,8 @@
 """Drawings derived from the given tables: SQL that Spark and DuckDB read alike, so that both sides of a check see the same rows.
 
-Tables: segs(doc, page, seg_id, x1, y1, x2, y2, style, width), dots(page, x, y, r), texts(doc, page, text_id, str, kind, x0, y0, x1, y1, ax, ay, size, rot),
-strings(k, str), gt_wires(page, wire_id, net, x1, y1, x2, y2), parts(doc, page, ref, x, y, value, vx, vy), pins(page, pin, net, x, y).
-All coordinates are integers or quarters.
+Tables: segs(doc, page, seg_id, x1, y1, x2, y2, style, width), dots(doc, page, x, y, r), texts(doc, page, text_id, str, kind, x0, y0, x1, y1, ax, ay, size, rot),
+strings(k, str), gt_wires(doc, page, wire_id, net, x1, y1, x2, y2), parts(doc, page, ref, x, y, value, vx, vy), pins(doc, page, pin, net, x, y).
+A drawing (doc) has five pages, counted from 0 in each. All coordinates are integers or quarters.
 """
 
 from __future__ import annotations
@@ -13,21 +13,21 @@ DIV = "CAST(floor({} / {}) AS BIGINT)"
 
 SQL: dict[str, str] = {
     "segs": """
-SELECT CAST(floor(page / 5) AS BIGINT) AS doc, page, CAST(row_number() OVER (PARTITION BY page ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS BIGINT) AS seg_id,
+SELECT CAST(floor(sheet / 5) AS BIGINT) AS doc, sheet % 5 AS page, CAST(row_number() OVER (PARTITION BY sheet ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS BIGINT) AS seg_id,
   x AS x1, y AS y1, CASE WHEN h = 0 THEN x + len ELSE x END AS x2, CASE WHEN h = 0 THEN y ELSE y + len END AS y2, style, width
-FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_orderkey / 150) AS BIGINT) AS page, CAST((l_partkey * 31 + l_linenumber * 7) % 60 * 10 AS DOUBLE) AS x,
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_orderkey / 150) AS BIGINT) AS sheet, CAST((l_partkey * 31 + l_linenumber * 7) % 60 * 10 AS DOUBLE) AS x,
     CAST((l_suppkey * 17 + l_orderkey * 3) % 60 * 10 AS DOUBLE) AS y, l_linenumber % 2 AS h, CAST(10 * (1 + min(CAST(l_quantity AS BIGINT)) % 6) AS DOUBLE) AS len,
     CASE WHEN l_partkey % 5 < 3 THEN 'AF' ELSE min(l_returnflag) || min(l_linestatus) END AS style, CAST(min(CAST(l_quantity AS BIGINT)) % 4 AS DOUBLE) / 4 + 0.25 AS width
   FROM {lineitem} GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey) g""",
     "dots": """
-SELECT DISTINCT CAST(floor(o_orderkey / 150) AS BIGINT) AS page, CAST((o_custkey * 13 + o_orderkey) % 60 * 10 AS DOUBLE) AS x, CAST((o_custkey * 7 + o_orderkey * 11) % 60 * 10 AS DOUBLE) AS y,
+SELECT DISTINCT CAST(floor(o_orderkey / 750) AS BIGINT) AS doc, CAST(floor(o_orderkey / 150) AS BIGINT) % 5 AS page, CAST((o_custkey * 13 + o_orderkey) % 60 * 10 AS DOUBLE) AS x, CAST((o_custkey * 7 + o_orderkey * 11) % 60 * 10 AS DOUBLE) AS y,
   CAST(1.0 AS DOUBLE) AS r FROM {orders}""",
     "texts": """
-SELECT doc, page, CAST(row_number() OVER (PARTITION BY page ORDER BY seg_id) - 1 AS BIGINT) AS text_id, str, CAST('net' AS STRING) AS kind,
+SELECT doc, page, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY seg_id) - 1 AS BIGINT) AS text_id, str, CAST('net' AS STRING) AS kind,
   CASE WHEN rot = 0 THEN ax ELSE ax - 5 END AS x0, CASE WHEN rot = 0 THEN ay - 5 ELSE ay - 3 * length(str) END AS y0,
   CASE WHEN rot = 0 THEN ax + 3 * length(str) ELSE ax END AS x1, ay AS y1, ax, ay, CAST(5.0 AS DOUBLE) AS size, rot
 FROM (SELECT doc, page, seg_id, CASE WHEN y1 = y2 THEN 0 ELSE -90 END AS rot, CASE WHEN y1 = y2 THEN x1 + 2 ELSE x1 - 1 END AS ax, CASE WHEN y1 = y2 THEN y1 - 1 ELSE y2 - 2 END AS ay,
-    CASE (page * 7 + seg_id) % 12 WHEN 0 THEN 'GND' WHEN 1 THEN '+3.3V' WHEN 2 THEN 'VCC' WHEN 3 THEN '5V' WHEN 4 THEN 'gnd' WHEN 5 THEN 'EN' ELSE 'SIG_' || CAST((page * 3 + seg_id) % 17 AS STRING) END AS str
+    CASE (doc * 5 + page * 7 + seg_id) % 12 WHEN 0 THEN 'GND' WHEN 1 THEN '+3.3V' WHEN 2 THEN 'VCC' WHEN 3 THEN '5V' WHEN 4 THEN 'gnd' WHEN 5 THEN 'EN' ELSE 'SIG_' || CAST((page * 3 + seg_id) % 17 AS STRING) END AS str
   FROM segs WHERE seg_id % 5 = 0) t""",
     "strings": """
 SELECT k, CASE k % 24 WHEN 0 THEN CAST(k % 20000 AS STRING) WHEN 1 THEN 'A' || CAST(k % 15 AS STRING) WHEN 2 THEN 'PWR_FLAG' WHEN 3 THEN '+' || CAST(k % 13 AS STRING) || '.3V' WHEN 4 THEN 'vcc_' || CAST(k % 9 AS STRING)
@@ -36,16 +36,16 @@ SELECT k, CASE k % 24 WHEN 0 THEN CAST(k % 20000 AS STRING) WHEN 1 THEN 'A' || C
   WHEN 15 THEN 'WCN_' || CAST(k % 5 AS STRING) WHEN 16 THEN 'LM' || CAST(k % 9000 AS STRING) || '-ADJ' WHEN 17 THEN '1N5819S' || CAST(k % 9 AS STRING) || '(SOD-123)' WHEN 18 THEN 'x' WHEN 19 THEN '--' WHEN 20 THEN 'SPI' || CAST(k % 4 AS STRING) WHEN 21 THEN '  ' WHEN 22 THEN 'DNP' ELSE 'SIG_' || CAST(k % 99 AS STRING) END AS str
 FROM (SELECT DISTINCT l_orderkey * 7 + l_linenumber AS k FROM {lineitem}) s""",
     "gt_wires": """
-SELECT page, seg_id AS wire_id, CAST(floor(seg_id / 4) AS BIGINT) AS net, x1 + 0.25 AS x1, y1 + 0.25 AS y1, CASE WHEN seg_id % 13 = 0 THEN (x1 + x2) / 2 ELSE x2 END + 0.25 AS x2, CASE WHEN seg_id % 13 = 0 THEN (y1 + y2) / 2 ELSE y2 END + 0.25 AS y2
+SELECT doc, page, seg_id AS wire_id, CAST(floor(seg_id / 4) AS BIGINT) AS net, x1 + 0.25 AS x1, y1 + 0.25 AS y1, CASE WHEN seg_id % 13 = 0 THEN (x1 + x2) / 2 ELSE x2 END + 0.25 AS x2, CASE WHEN seg_id % 13 = 0 THEN (y1 + y2) / 2 ELSE y2 END + 0.25 AS y2
 FROM segs WHERE seg_id % 11 <> 0""",
     "parts": """
-SELECT CAST(floor(page / 5) AS BIGINT) AS doc, page, CASE o_orderkey % 4 WHEN 0 THEN 'R' WHEN 1 THEN 'C' WHEN 2 THEN 'U' ELSE 'L' END || CAST(i AS STRING) AS ref, i, CAST((o_custkey * 13 + o_orderkey) % 60 * 10 AS DOUBLE) AS x, CAST((o_custkey * 7 + o_orderkey * 11) % 60 * 10 AS DOUBLE) AS y,
+SELECT CAST(floor(sheet / 5) AS BIGINT) AS doc, sheet % 5 AS page, CASE o_orderkey % 4 WHEN 0 THEN 'R' WHEN 1 THEN 'C' WHEN 2 THEN 'U' ELSE 'L' END || CAST(i AS STRING) AS ref, i, CAST((o_custkey * 13 + o_orderkey) % 60 * 10 AS DOUBLE) AS x, CAST((o_custkey * 7 + o_orderkey * 11) % 60 * 10 AS DOUBLE) AS y,
   CASE WHEN i % 10 <> 9 THEN CAST(o_custkey % 30 AS STRING) || CASE o_orderkey % 4 WHEN 0 THEN 'k' WHEN 1 THEN 'nF' WHEN 2 THEN 'MHz' ELSE 'uH' END END AS value,
   CASE i % 3 WHEN 0 THEN 20.0 WHEN 1 THEN 0.0 ELSE -10.0 END AS dx, CASE i % 3 WHEN 0 THEN 0.0 ELSE 8.0 END AS dy
-FROM (SELECT *, CAST(floor(o_orderkey / 150) AS BIGINT) AS page, row_number() OVER (PARTITION BY CAST(floor(o_orderkey / 150) AS BIGINT) ORDER BY o_orderkey, o_custkey) AS i FROM {orders}) o""",
+FROM (SELECT *, CAST(floor(o_orderkey / 150) AS BIGINT) AS sheet, row_number() OVER (PARTITION BY CAST(floor(o_orderkey / 150) AS BIGINT) ORDER BY o_orderkey, o_custkey) AS i FROM {orders}) o""",
     "pins": """
-SELECT DISTINCT page, 'U' || CAST(l_suppkey % 20 AS STRING) || '-' || CAST(l_partkey % 40 AS STRING) AS pin, CAST(min(l_orderkey) % 7 AS BIGINT) AS pred, 'N' || CAST(min(l_orderkey + l_linenumber) % 6 AS STRING) AS gt
-FROM (SELECT *, CAST(floor(l_orderkey / 150) AS BIGINT) AS page FROM {lineitem}) p GROUP BY page, 'U' || CAST(l_suppkey % 20 AS STRING) || '-' || CAST(l_partkey % 40 AS STRING)""",
+SELECT CAST(floor(sheet / 5) AS BIGINT) AS doc, sheet % 5 AS page, pin, CAST(min(l_orderkey) % 7 AS BIGINT) AS pred, 'N' || CAST(min(l_orderkey + l_linenumber) % 6 AS STRING) AS gt
+FROM (SELECT *, CAST(floor(l_orderkey / 150) AS BIGINT) AS sheet, 'U' || CAST(l_suppkey % 20 AS STRING) || '-' || CAST(l_partkey % 40 AS STRING) AS pin FROM {lineitem}) p GROUP BY sheet, pin""",
 }
 #: Which fixtures a fixture is made of.
 NEEDS = {"texts": ["segs"], "gt_wires": ["segs"]}
