@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation_jobs, more_jobs, net_jobs, page_jobs, part_jobs, scalar_jobs
+from . import evaluation_jobs, label_jobs, more_jobs, net_jobs, page_jobs, part_jobs, scalar_jobs, truth_jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _jobs in (scalar_jobs, net_jobs, page_jobs, part_jobs, evaluation_jobs, more_jobs):
+for _jobs in (scalar_jobs, net_jobs, page_jobs, part_jobs, evaluation_jobs, more_jobs, label_jobs, truth_jobs):
     QUERIES |= {name: run for name, (run, _) in _jobs.JOBS.items()}
     ORACLES |= {name: sql for name, (_, sql) in _jobs.JOBS.items() if sql}

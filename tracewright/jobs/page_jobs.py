@@ -119,21 +119,6 @@ def pin_dedupe(spark, sf):
     return repeats.pin_dedupe(p.unionByName(at(1.0, 10000)).unionByName(at(2.0, 20000))).select("doc", "page", "pin_id", "name")
 
 
-def src_kicad_legacy(spark, sf):
-    """Wires and labels from line-oriented CAD text: a marker line is followed by its payload line. The lines are derived from segments and labels."""
-    s = table(spark, sf, "segs").select("doc", "page", (F.col("seg_id") * 4).alias("n"), F.lit("Wire Wire Line").alias("a"), F.format_string("\t%d %d %d %d", *[F.col(c).cast("long") for c in ("x1", "y1", "x2", "y2")]).alias("b"))
-    t = table(spark, sf, "texts").select("doc", "page", (F.col("text_id") * 4 + 2).alias("n"), F.format_string("Text Label %d %d 0 50", F.col("ax").cast("long"), F.col("ay").cast("long")).alias("a"), F.col("str").alias("b"))
-    both = s.unionByName(t)
-    lines = both.select("doc", "page", F.col("n").alias("line_no"), F.col("a").alias("line")).unionByName(both.select("doc", "page", (F.col("n") + 1).alias("line_no"), F.col("b").alias("line")))
-    after = lines.select("doc", "page", (F.col("line_no") - 1).alias("line_no"), F.col("line").alias("payload"))
-    lines = lines.where(F.col("line").rlike(r"^(Wire Wire Line|Text (Label|GLabel|HLabel) )")).join(after, ["doc", "page", "line_no"])
-    num = lambda i: F.regexp_extract_all("payload", F.lit(r"-?\d+"), F.lit(0))[i].cast("double")
-    wires = lines.where(F.col("line").rlike("^Wire Wire Line")).select("doc", "page", F.lit("wire").alias("what"), num(0).alias("x1"), num(1).alias("y1"), num(2).alias("x2"), num(3).alias("y2"), F.lit("").alias("name"))
-    at = lambda i: F.regexp_extract("line", r"^Text \w+ (-?\d+) (-?\d+)", i).cast("double")
-    labels = lines.where(F.col("line").rlike(r"^Text (Label|GLabel|HLabel) ")).select("doc", "page", F.lit("label").alias("what"), at(1).alias("x1"), at(2).alias("y1"), at(1).alias("x2"), at(2).alias("y2"), F.trim("payload").alias("name"))
-    return wires.unionByName(labels)
-
-
 def _kept(close: str) -> str:
     """kept: rows of b without an earlier close row that stays itself; chains in the fixtures are three rows long at most."""
     return f"""p AS (SELECT l.doc, l.page, l.i AS a, r.i AS z FROM b l JOIN b r ON l.doc = r.doc AND l.page = r.page AND l.i < r.i AND {close}), first AS (SELECT doc, page, i FROM b EXCEPT SELECT doc, page, z FROM p),
@@ -158,5 +143,4 @@ AND least(abs(a.x0 - b.x0), abs(a.x1 - b.x1), abs(a.x0 + a.x1 - b.x0 - b.x1) / 2
     "twin_text_dedupe": (twin_text_dedupe, with_ctes(f"b AS (SELECT doc, page, text_id AS i, str, x0, y0, x1, y1 FROM texts UNION ALL SELECT doc, page, text_id + 10000, str, x0 + 0.5, y0, x1 + 0.5, y1 FROM texts WHERE text_id % 4 = 1 UNION ALL SELECT doc, page, text_id + 20000, str, x0 + 1.5, y0, x1 + 1.5, y1 FROM texts WHERE text_id % 4 = 1), {_kept('l.str = r.str AND abs(l.x0 - r.x0) < 1.25 AND abs(l.y0 - r.y0) < 1.25 AND abs(l.x1 - r.x1) < 1.25 AND abs(l.y1 - r.y1) < 1.25')} SELECT doc, page, i AS text_id, str FROM kept", "texts")),
     "dot_dedupe": (dot_dedupe, with_ctes(f"d AS (SELECT doc, page, x, y, r, row_number() OVER (PARTITION BY doc, page ORDER BY x, y) AS i FROM dots), b AS (SELECT * FROM d UNION ALL SELECT doc, page, x + 0.25, y, r, i + 100000 FROM d WHERE i % 5 = 0 UNION ALL SELECT doc, page, x + 0.625, y, r, i + 200000 FROM d WHERE i % 5 = 0), {_kept('sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y)) < r.r * 0.5')} SELECT doc, page, i AS dot_id, x, y FROM kept", "dots")),
     "pin_dedupe": (pin_dedupe, with_ctes(f"b AS (SELECT doc, page, i, ref, x, y FROM parts UNION ALL SELECT doc, page, i + 10000, ref, x + 1, y FROM parts WHERE i % 3 = 0 UNION ALL SELECT doc, page, i + 20000, ref, x + 2, y FROM parts WHERE i % 3 = 0), {_kept('l.ref = r.ref AND abs(l.x - r.x) < 1.5 AND abs(l.y - r.y) < 1.5')} SELECT doc, page, i AS pin_id, ref AS name FROM kept", "parts")),
-    "src_kicad_legacy": (src_kicad_legacy, with_ctes("SELECT doc, page, 'wire' AS what, x1, y1, x2, y2, '' AS name FROM segs UNION ALL SELECT doc, page, 'label', trunc(ax), trunc(ay), trunc(ax), trunc(ay), str FROM texts", "texts")),
 }

@@ -161,32 +161,33 @@ def nets_near(points: DataFrame, segs: DataFrame, radius: float) -> DataFrame:
     return near.select("l.doc", "l.page", "l.pt", "r.net_id", d.alias("d")).groupBy("doc", "page", "pt", "net_id").agg(F.round(F.min("d"), 6).alias("d"))
 
 
+def beside(t, w) -> tuple[Column, Column, Column, Column, Column]:
+    """How a wire lies to a label that is level or turned by -90 degrees: cosine of the angle between them, its offset from the baseline (upwards), where it
+    starts and ends along the label, and the label's length."""
+    level = t["rot"] == 0
+    along = lambda x, y: F.when(level, x - t["ax"]).otherwise(t["ay"] - y)
+    off = lambda x, y: F.when(level, t["ay"] - y).otherwise(t["ax"] - x)
+    length = F.greatest(F.when(level, t["x1"] - t["x0"]).otherwise(t["y1"] - t["y0"]), t["size"] * 0.5)
+    wire = F.greatest(F.hypot(w["x2"] - w["x1"], w["y2"] - w["y1"]), F.lit(1e-6))
+    cos = F.abs(F.when(level, w["x2"] - w["x1"]).otherwise(w["y2"] - w["y1"])) / wire
+    a1, a2 = along(w["x1"], w["y1"]), along(w["x2"], w["y2"])
+    return cos, (off(w["x1"], w["y1"]) + off(w["x2"], w["y2"])) / 2, F.least(a1, a2), F.greatest(a1, a2), length
+
+
 def label_along_wire(texts: DataFrame, segs: DataFrame) -> DataFrame:
     """(doc, page, text_id, seg_id): the wire along the baseline of a label: parallel, just under it and reaching under its start or its end; the one nearest
     to the usual offset, of equal ones the first."""
     s = segs.select("doc", "page", "seg_id", "x1", "y1", "x2", "y2")
 
-    def measures(t, w):
-        level = t["rot"] == 0
-        # Labels lie level or are turned by -90 degrees: direction (1, 0) or (0, -1).
-        along = lambda x, y: F.when(level, x - t["ax"]).otherwise(t["ay"] - y)
-        off = lambda x, y: F.when(level, t["ay"] - y).otherwise(t["ax"] - x)
-        length = F.greatest(F.when(level, t["x1"] - t["x0"]).otherwise(t["y1"] - t["y0"]), t["size"] * 0.5)
-        wire = F.greatest(F.hypot(w["x2"] - w["x1"], w["y2"] - w["y1"]), F.lit(1e-6))
-        cos = F.abs(F.when(level, w["x2"] - w["x1"]).otherwise(w["y2"] - w["y1"])) / wire
-        offset = (off(w["x1"], w["y1"]) + off(w["x2"], w["y2"])) / 2
-        a1, a2 = along(w["x1"], w["y1"]), along(w["x2"], w["y2"])
-        return cos, offset, F.least(a1, a2), F.greatest(a1, a2), length
-
     def test(t, w):
-        cos, off, lo, hi, length = measures(t, w)
+        cos, off, lo, hi, length = beside(t, w)
         half = t["size"] * 0.5
         start = (lo <= half) & (hi >= -half)
         end = (lo <= length + half) & (hi >= length - half)
         return (cos >= 0.97) & (off >= t["size"] * -0.6) & (off <= t["size"] * 0.3) & (start | end)
 
     found = grid_join(texts, s, ["doc", "page"], text_box(5.0), seg_box(), CELL, test)
-    _, off, *_ = measures(F.col("l"), F.col("r"))  # structs are read by name, too
+    off = beside(F.col("l"), F.col("r"))[1]  # structs are read by name, too
     score = F.abs(off + F.col("l.size") * 0.12)
-    best = found.groupBy(F.col("l.doc").alias("doc"), F.col("l.page").alias("page"), F.col("l.text_id").alias("text_id")).agg(F.min(F.struct(score.alias("s"), F.col("r.seg_id").alias("seg_id"))).alias("b"))
+    best = found.select("l.doc", "l.page", "l.text_id", score.alias("s"), "r.seg_id").groupBy("doc", "page", "text_id").agg(F.min(F.struct("s", "seg_id")).alias("b"))
     return best.select("doc", "page", "text_id", "b.seg_id")

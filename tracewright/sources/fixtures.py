@@ -46,9 +46,22 @@ FROM (SELECT *, CAST(floor(o_orderkey / 150) AS BIGINT) AS sheet, row_number() O
     "pins": """
 SELECT CAST(floor(sheet / 5) AS BIGINT) AS doc, sheet % 5 AS page, pin, CAST(min(l_orderkey) % 7 AS BIGINT) AS pred, 'N' || CAST(min(l_orderkey + l_linenumber) % 6 AS STRING) AS gt
 FROM (SELECT *, CAST(floor(l_orderkey / 150) AS BIGINT) AS sheet, 'U' || CAST(l_suppkey % 20 AS STRING) || '-' || CAST(l_partkey % 40 AS STRING) AS pin FROM {lineitem}) p GROUP BY sheet, pin""",
+    "marks": """
+SELECT doc, page, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY x, y) AS BIGINT) AS sym_id, x - 2 AS x0, y - 3 AS y0, x + 2 AS x1, y + 1 AS y1 FROM dots""",
+    "strokes": """
+SELECT doc, page, text_id * 4 AS prim_id, x0 + 0.5 AS x0, y0 + 0.5 AS y0, x0 + 2.5 AS x1, y1 - 1 AS y1, CASE WHEN text_id % 3 = 0 THEN '#aa0000' ELSE '#0000aa' END AS color FROM texts
+UNION ALL SELECT doc, page, text_id * 4 + 1, x0 + 1, y0 + 1, x0 + 4, y0 + 3, CASE WHEN text_id % 3 = 0 THEN '#aa0000' ELSE '#0000aa' END FROM texts
+UNION ALL SELECT doc, page, text_id * 4 + 2, x0 + 1, y0 + 2, x0 + 3, y0 + 4, CASE WHEN text_id % 2 = 0 THEN '#00aa00' ELSE '#0000aa' END FROM texts
+UNION ALL SELECT doc, page, text_id * 4 + 3, x0 - 9, y0, x0 - 6, y1, '#000000' FROM texts""",
+    "links": "SELECT doc, page, text_id AS link_id, x0 - 1 AS x0, y0 - 1 AS y0, x1 + 2 AS x1, y1 + 1 AS y1 FROM texts WHERE text_id % 3 = 0",
+    "flags": "SELECT doc, page, text_id, x0 - 1.5 AS x0, y0 - 1.5 AS y0, x1 + 1.5 AS x1, y1 + 1.5 AS y1 FROM texts WHERE text_id % 4 = 1",
+    "fields": """
+SELECT doc, page, CAST(i * 2 AS BIGINT) AS text_id, CASE i % 6 WHEN 0 THEN 'PWRLED' || CAST(i % 40 AS STRING) WHEN 1 THEN 'R' || CAST(i % 7 AS STRING) ELSE ref END AS str, CASE i % 6 WHEN 0 THEN 'net' ELSE 'component' END AS kind,
+  x AS x0, y - 4 AS y0, x + 9 AS x1, y + 1 AS y1, x AS ax, y + 1 AS ay, CAST(5.0 AS DOUBLE) AS size, 0 AS rot, CASE WHEN i % 4 = 1 THEN CAST(i AS BIGINT) END AS net_id, i % 5 = 2 AS in_body FROM parts
+UNION ALL SELECT doc, page, CAST(i * 2 + 1 AS BIGINT), value, 'value', x + dx, y + dy - 4, x + dx + 9, y + dy + 1, x + dx, y + dy + 1, 5.0, 0, CAST(NULL AS BIGINT), false FROM parts WHERE value IS NOT NULL""",
 }
 #: Which fixtures a fixture is made of.
-NEEDS = {"texts": ["segs"], "gt_wires": ["segs"]}
+NEEDS = {"texts": ["segs"], "gt_wires": ["segs"], "marks": ["dots"], "fields": ["parts"], **{t: ["segs", "texts"] for t in ("strokes", "links", "flags")}}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
