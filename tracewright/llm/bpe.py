@@ -278,12 +278,6 @@ class WordBpe:
             return " ".join(self.text[i] for i in ids if i in self.text)
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordBpe:
-    """One tokenizer for each file and process."""
-    return WordBpe(path)
-
-
 def encode(docs: DataFrame, path: str, text_col: str = "text", with_ids: bool = True, decoded: bool = False) -> DataFrame:
     """``docs`` with n_tokens and token_ids (array), with ``decoded`` also what the ids decode to; with_ids=False gives ids_sha256 and decoded_sha256 instead.
 
@@ -294,7 +288,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", with_ids: bool =
     new = {"n_tokens": "bigint"} | ({"token_ids": "array<int>"} if with_ids else {"ids_sha256": "string", "decoded_sha256": "string"}) | ({"decoded": "string"} if decoded else {})
 
     def run(batches):
-        bpe = tokenizer(path)
+        bpe = WordBpe(path)  # for this task only: a worker that goes on to other work keeps no tables
         for whole in batches:
             for at in range(0, whole.num_rows, 250):
                 b = whole.slice(at, 250)

@@ -317,6 +317,7 @@ def score(docs: DataFrame, machine: KernelMachine) -> DataFrame:
             for at in range(0, b.num_rows, 250):
                 part = b.slice(at, 250)
                 yield with_columns(part, {"score": pa.array(held.value.score(part.column("text").to_pylist()), pa.float64())})
+        held.value.seen.clear()  # a worker that goes on to other work keeps no words
 
     schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c != "score"] + ["score double"])
     return docs.select([c for c in docs.columns if c != "score"]).mapInArrow(run, schema)
