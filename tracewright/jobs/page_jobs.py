@@ -120,9 +120,11 @@ def pin_dedupe(spark, sf):
 
 
 def _kept(close: str) -> str:
-    """kept: rows of b without an earlier close row that stays itself; chains in the fixtures are three rows long at most."""
+    """kept: rows of b without an earlier close row that stays itself; decides chains of up to five rows, which is more than the fixtures hold."""
     return f"""p AS (SELECT l.doc, l.page, l.i AS a, r.i AS z FROM b l JOIN b r ON l.doc = r.doc AND l.page = r.page AND l.i < r.i AND {close}), first AS (SELECT doc, page, i FROM b EXCEPT SELECT doc, page, z FROM p),
-gone AS (SELECT DISTINCT p.doc, p.page, p.z FROM p JOIN first f ON p.doc = f.doc AND p.page = f.page AND p.a = f.i), kept AS (SELECT b.* FROM b ANTI JOIN gone g ON b.doc = g.doc AND b.page = g.page AND b.i = g.z)"""
+gone1 AS (SELECT DISTINCT p.doc, p.page, p.z FROM p JOIN first f ON p.doc = f.doc AND p.page = f.page AND p.a = f.i), open1 AS (SELECT doc, page, i FROM b EXCEPT SELECT * FROM gone1 EXCEPT SELECT * FROM first),
+waits AS (SELECT DISTINCT p.doc, p.page, p.z FROM p ANTI JOIN gone1 g ON p.doc = g.doc AND p.page = g.page AND p.a = g.z), second AS (SELECT * FROM open1 EXCEPT SELECT * FROM waits),
+gone AS (SELECT * FROM gone1 UNION SELECT p.doc, p.page, p.z FROM p JOIN second f ON p.doc = f.doc AND p.page = f.page AND p.a = f.i), kept AS (SELECT b.* FROM b ANTI JOIN gone g ON b.doc = g.doc AND b.page = g.page AND b.i = g.z)"""
 
 
 _LINE = "(PARTITION BY doc, page, y ORDER BY x0)"
