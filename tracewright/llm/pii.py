@@ -189,9 +189,14 @@ def sanitised(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     tells = _maybe(told)
     which = plain.select(F.md5("text").alias("digest"), F.explode(_words(F.col("text"))).alias("term")).where(tells("term")).join(told, "term", "left_semi").select("digest").distinct()
     which = written(which, "texts_that_tell")
-    again = plain.select(F.md5("text").alias("digest"), F.col("text").alias("rest")).join(which, "digest", "left_semi").groupBy("digest").agg(F.min("rest").alias("rest"))
-    marked = plain.withColumn("__digest", F.md5("text")).join(_places(again, told, tells), F.col("__digest") == F.col("of"), "left")
-    return new.unionByName(marked.select(docs.columns + [none.alias("base"), F.coalesce("terms", none).alias("spans")]))
+    # Only rows that may be among those texts are dealt anew; the texts of all others stay where they are.
+    is_one = _maybe(which.select(F.col("digest").alias("term")))
+    plain = plain.withColumn("__digest", F.md5("text")).withColumn("__maybe", F.coalesce(is_one("__digest"), F.lit(False)))
+    some = plain.where("__maybe")
+    again = some.select(F.col("__digest").alias("digest"), F.col("text").alias("rest")).join(which, "digest", "left_semi").groupBy("digest").agg(F.min("rest").alias("rest"))
+    marked = some.join(_places(again, told, tells), F.col("__digest") == F.col("of"), "left")
+    new = new.unionByName(marked.select(docs.columns + [none.alias("base"), F.coalesce("terms", none).alias("spans")]))
+    return new.unionByName(plain.where("not __maybe").select(docs.columns + [none.alias("base"), none.alias("spans")]))
 
 
 def redacted(text: Column, spans: Column) -> Column:
