@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,3 +165,67 @@ def with_columns(b: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
     """The batch with columns added or, where the name is taken, replaced."""
     cols = {n: c for n, c in zip(b.schema.names, b.columns, strict=True)} | new
     return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+
+#: Integer components further from zero take no part: products and squared distances of 2,048 of them still fit a long.
+LARGEST = 1 << 25
+#: Copies of a sum that reach the driver, and bytes of one row of a partial sum.
+SPREAD, SUM_BYTES = 16, 1 << 14
+
+
+def integer_vectors(vecs: DataFrame, factor: int) -> DataFrame:
+    """The columns ``vec_id`` (long), ``label`` where there is one, and ``v``: floor(factor * x) of each component x of ``embedding``, as doubles.
+
+    Vectors that are null or hold null or non-finite components go, and those with an integer component beyond LARGEST, whose products a long cannot hold.
+    """
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(F.lit(float(factor)) * x).cast("double"))
+    bad = f"embedding is null or exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity') or abs(double(x)) * {factor} > {LARGEST})"
+    label = [F.col("label").cast("long").alias("label")] if "label" in vecs.columns else []
+    return vecs.where(~F.coalesce(F.expr(bad), F.lit(True))).select(F.col("vec_id").cast("long").alias("vec_id"), *label, whole.alias("v"))
+
+
+def packed(cells: pa.Array, d: int) -> np.ndarray:
+    """The matrix of a column of packed 32-bit vectors, one row each."""
+    return np.frombuffer(b"".join(cells if isinstance(cells, np.ndarray) else cells.to_pylist()), "<i4").reshape(len(cells), d)
+
+
+def matrices(column: pa.Array):
+    """(positions, matrix of doubles) for each length among the lists of ``column``."""
+    size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, start = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
+    for d in np.unique(size):
+        at = np.flatnonzero(size == d)
+        yield at, flat[start[at][:, None] + np.arange(d)].reshape(len(at), int(d))
+
+
+def partial_sums(sums: np.ndarray):
+    """Rows (key, task, sums) of one task for ``summed``: its array of 64-bit sums in pieces of bounded size."""
+    task, flat, step = TaskContext.get().partitionId(), np.ascontiguousarray(sums, "<i8").ravel(), SUM_BYTES // 8
+    keys = range(-(-len(flat) // step))
+    for k in keys:
+        cells = [pa.array([k], pa.int32()), pa.array([task % SPREAD], pa.int32()), pa.array([flat[k * step : (k + 1) * step].tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cells, ["key", "task", "sums"])
+
+
+PARTIAL = "key int, task int, sums binary"
+
+
+def summed(parts: DataFrame, length: int) -> np.ndarray:
+    """The sum of the arrays, ``length`` long, that tasks gave as ``partial_sums``. Pieces are added in SPREAD tasks for each key first, so the driver gets
+    SPREAD arrays at most, whatever the number of tasks."""
+
+    def add(batches):
+        got: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                x = np.frombuffer(s, "<i8")
+                got[k] = got[k] + x if k in got else x
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array([0] * len(got), pa.int32()), pa.array([x.tobytes() for x in got.values()], pa.binary())], ["key", "task", "sums"])
+
+    out = np.zeros(length, np.int64)
+    rows = parts.repartition(SPREAD, "key", "task").mapInArrow(add, PARTIAL).toArrow()
+    for k, s in zip(rows["key"].to_pylist(), rows["sums"].to_pylist(), strict=True):
+        x = np.frombuffer(s, "<i8")
+        out[k * (SUM_BYTES // 8) :][: len(x)] += x
+    return out

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, language, licences, media, mixing, pii, quality, simhash, toxicity
+from . import bpe, codes, embeddings, language, licences, media, mixing, nearest, pii, quality, resampling, simhash, toxicity
 from .common import fold, read_table
 
 #: The vocabulary file of the token queries; it must lie at this path on every executor.
@@ -64,6 +64,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.top_products(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=64)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), seed=7, percent=25, least_words=20)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digest_row(*codes.compress(read_table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import stages
 
@@ -81,6 +94,14 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
+    "op11_topk_search": op11_topk_search,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op2_license_scan": licences.oracle()}
+ORACLES: dict[str, str] = {
+    "op2_license_scan": licences.oracle(),
+    "op11_topk_search": nearest.oracle(),
+    "op12_importance_resampling": resampling.oracle(),
+    "op13_vector_codes": codes.oracle(),
+}
