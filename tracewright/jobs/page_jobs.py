@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text_rules import MARKER
-from ..operators import repeats
+from ..operators import pens, repeats
 from ..operators.spatial import grid_join
 from ..sources.fixtures import table, with_ctes
 from .oracle import q
 
 
-def _letters(spark, sf):
+def letters(spark, sf):
     """Words of documents as texts on lines of a page: eight to a line, some gaps wide."""
     d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "[ \n]+")).alias("i", "str")).where("str <> ''")
     kind = F.when(F.length("str") % 5 == 0, "pin").when(F.length("str") % 3 == 0, "value").otherwise("net")
@@ -27,31 +27,20 @@ CAST(floor(text_id / 8) * 10 AS DOUBLE) AS y, CASE WHEN page % 3 = 0 THEN 6.0 EL
 
 def text_height(spark, sf):
     """Upper median of the text sizes of a page with at least two characters; 6 if there is none; within 1.2 and 40."""
-    s = _letters(spark, sf).groupBy("doc", "page").agg(F.sort_array(F.collect_list(F.when(F.length("str") >= 2, F.col("size")))).alias("s"))
+    s = letters(spark, sf).groupBy("doc", "page").agg(F.sort_array(F.collect_list(F.when(F.length("str") >= 2, F.col("size")))).alias("s"))
     mid = F.try_element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int"))
     return s.select("doc", "page", F.least(F.lit(40.0), F.greatest(F.lit(1.2), F.coalesce(mid, F.lit(6.0)))).alias("height"))
 
 
 def sentence_runs(spark, sf):
-    """Texts that continue one another on a line become notes: neighbours closer than 0.6 of the smaller size, no pin among them. A pair of two values
-    stays unless a text before it in the same run is another kind."""
-    w = Window.partitionBy("doc", "page", "y").orderBy("x0")
-    t = _letters(spark, sf)
-    before = {c: F.lag(c).over(w) for c in ("x1", "size", "kind")}
-    gap = F.col("x0") - before["x1"]
-    joined = (gap > -0.3) & (gap < F.least("size", before["size"]) * 0.6) & (F.col("kind") != "pin") & (before["kind"] != "pin")
-    t = t.withColumn("joined", F.coalesce(joined, F.lit(False)))
-    t = t.withColumn("run", F.sum((~F.col("joined")).cast("int")).over(w))
-    r = Window.partitionBy("doc", "page", "y", "run").orderBy("x0")
-    seen = F.max((F.col("kind") != "value").cast("int")).over(r)
-    t = t.withColumn("pair", F.col("joined") & (seen == 1))
-    note = F.col("pair") | F.coalesce(F.lead("pair").over(w) & F.lead("joined").over(w), F.lit(False))
-    return t.select("doc", "page", "text_id", F.when(note, "note").otherwise(F.col("kind")).alias("kind"))
+    """Texts that continue one another on a line become notes."""
+    t = letters(spark, sf)
+    return pens.with_notes(t, pens.sentence_pairs(t, ["y"])).select("doc", "page", "text_id", "kind")
 
 
 def heading_pairs(spark, sf):
     """Large texts one line apart and aligned at the start, the end or the centre."""
-    t = _letters(spark, sf).where("size >= 7 and kind <> 'pin'").select("doc", "page", "text_id", "x0", "x1", "y", "size")
+    t = letters(spark, sf).where("size >= 7 and kind <> 'pin'").select("doc", "page", "text_id", "x0", "x1", "y", "size")
 
     def stacked(a, b):
         pitch, s = b["y"] - a["y"], a["size"]

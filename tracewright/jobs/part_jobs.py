@@ -124,9 +124,9 @@ entries AS (SELECT p.doc, p.ref, coalesce(any_value(v.values), '') AS values, ar
 
 
 def _kinds_sql() -> str:
-    from .scalar_jobs import _kinds
+    from .scalar_jobs import kinds
 
-    return _kinds("s")
+    return kinds("s")
 
 
 JOBS = {

@@ -14,7 +14,7 @@ from .oracle import dist, gap, natural, power, q
 PART = "^[A-Z0-9]+([-/.][A-Z0-9().#]+)+$|^[A-Z][A-Z]+[0-9][0-9]+[A-Z0-9/#-]*$"
 
 
-def _kinds(s: str) -> str:
+def kinds(s: str) -> str:
     i = lambda p: q("(?i)" + p)
     m = lambda p: f"regexp_matches({s}, {p})"
     return f"""CASE WHEN {s} = '' THEN 'note' WHEN {m(q(chr(94) + '[0-9]{1,4}$'))} THEN 'pin' WHEN {m(q('^[AB][0-9]{1,2}$'))} THEN 'pin' WHEN upper({s}) = 'PWR_FLAG' THEN 'note'
@@ -147,8 +147,8 @@ _HEX = lambda c: f"CAST(('0x' || {c}) AS INTEGER)"
 _CH = lambda n: [f"CAST(floor((k * {n} % 16777216) / {d}) AS BIGINT) % 256" for d in (65536, 256, 1)]
 
 JOBS = {
-    "classify_text": (classify_text, with_ctes(f"c AS (SELECT k, str, trim(str) AS s FROM strings) SELECT k, str, {_kinds('s')} AS kind FROM c", "strings")),
-    "classify_tokens": (classify_tokens, f"WITH w AS (SELECT str, trim(str) AS s, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \\n]+')) AS str FROM documents) t GROUP BY str) SELECT {_kinds('s')} AS kind, count(*) AS words, CAST(sum(n) AS BIGINT) AS uses FROM w GROUP BY 1"),
+    "classify_text": (classify_text, with_ctes(f"c AS (SELECT k, str, trim(str) AS s FROM strings) SELECT k, str, {kinds('s')} AS kind FROM c", "strings")),
+    "classify_tokens": (classify_tokens, f"WITH w AS (SELECT str, trim(str) AS s, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \\n]+')) AS str FROM documents) t GROUP BY str) SELECT {kinds('s')} AS kind, count(*) AS words, CAST(sum(n) AS BIGINT) AS uses FROM w GROUP BY 1"),
     "is_power_name": (is_power_name, with_ctes(f"SELECT str, count(*) AS n, {power('str')} AS power FROM strings GROUP BY str", "strings")),
     "is_spec_list": (is_spec_list, with_ctes(f"SELECT k, len(string_split(str, '/')) >= 3 AND len(list_filter(string_split(str, '/'), lambda x: regexp_matches(x, {q(R.SPEC_FIELD)}))) >= 2 AS spec FROM strings", "strings")),
     "plain_name": (plain_name, with_ctes(f"SELECT k, regexp_replace(regexp_replace(replace(replace({_RAW}, '{{slash}}', '/'), '{{backslash}}', '\\'), '[~^_]\\{{([^}}]*)\\}}', '\\1', 'g'), '^~', '') AS name FROM strings", "strings")),

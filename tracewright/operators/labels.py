@@ -93,34 +93,45 @@ def pen_of_text(strokes: DataFrame, texts: DataFrame) -> DataFrame:
 
 def symbol_candidates(texts: DataFrame, symbols: DataFrame, most: int = 3) -> DataFrame:
     """(doc, page, text_id, sym_id, gap, r): up to ``most`` nearest symbols within 1.6 of a text's size that overlap it on an axis by half of the smaller extent (0.35 for supply
-    names) and do not hold the centre of another text; ties go to the lower sym_id."""
-    t, s = texts.select(*KEY, "text_id", "str", *BOX, "size"), symbols.select(*KEY, "sym_id", *BOX)
+    names) and do not hold the centre of another text; ties go to the lower sym_id. A port outline (port, where symbols have that column) must have the text within 0.7 of its size
+    in line with it, and how far the text lies off its axis counts as further distance: of stacked ports the one in line wins."""
+    t, s = texts.select(*KEY, "text_id", "str", *BOX, "size"), symbols.select(*KEY, "sym_id", *BOX, (F.coalesce("port", F.lit(False)) if "port" in symbols.columns else F.lit(False)).alias("port"))
     gap = lambda a, b: G.box_gap(_box(a), _box(b))
+    level = lambda b: b["x1"] - b["x0"] >= b["y1"] - b["y0"]
+
+    def in_line(a, b):
+        (tx, ty), m = _mid(a), a["size"] * 0.7
+        return ~b["port"] | F.when(level(b), (ty >= b["y0"] - m) & (ty <= b["y1"] + m)).otherwise((tx >= b["x0"] - m) & (tx <= b["x1"] + m))
+
+    def across(a, b):
+        (tx, ty), (bx, by) = _mid(a), _mid(b)
+        return F.when(~b["port"], 0.0).otherwise(F.when(level(b), F.abs(ty - by)).otherwise(F.abs(tx - bx)))
 
     def share(a, b, lo, hi):
         return F.greatest(F.lit(0.0), F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo])) / F.greatest(F.lit(1e-6), F.least(a[hi] - a[lo], b[hi] - b[lo]))
 
     def test(a, b):
         need = F.when(is_power_name(a["str"]), 0.35).otherwise(0.5)
-        return (gap(a, b) <= a["size"] * 1.6) & ((share(a, b, "x0", "x1") >= need) | (share(a, b, "y0", "y1") >= need))
+        return (gap(a, b) <= a["size"] * 1.6) & in_line(a, b) & ((share(a, b, "x0", "x1") >= need) | (share(a, b, "y0", "y1") >= need))
 
     reach = tuple(F.col(c) + F.col("size") * (1.6 if k > 1 else -1.6) for k, c in enumerate(BOX))
-    near = grid_join(t, s, KEY, reach, text_box(), CELL, test).select("l.doc", "l.page", "l.text_id", "r.sym_id", gap(F.col("l"), F.col("r")).alias("gap"))
+    near = grid_join(t, s, KEY, reach, text_box(), CELL, test).select("l.doc", "l.page", "l.text_id", "r.sym_id", gap(F.col("l"), F.col("r")).alias("gap"), across(F.col("l"), F.col("r")).alias("across"))
     at = t.select(*KEY, F.col("text_id").alias("other"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     wraps = grid_join(at, s, KEY, point_box(), text_box(), CELL, lambda p, b: (p["x"] > b["x0"]) & (p["x"] < b["x1"]) & (p["y"] > b["y0"]) & (p["y"] < b["y1"]))
     wraps = wraps.select("l.doc", "l.page", "l.other", "r.sym_id").alias("w")
     n = near.alias("n")
     same = [F.col(f"n.{c}") == F.col(f"w.{c}") for c in (*KEY, "sym_id")]
     free = n.join(wraps, same[0] & same[1] & same[2] & (F.col("n.text_id") != F.col("w.other")), "left_anti")
-    order = Window.partitionBy(*KEY, "text_id").orderBy("gap", "sym_id")
+    order = Window.partitionBy(*KEY, "text_id").orderBy(F.col("gap") + F.col("across"), "sym_id")
     return free.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select(*KEY, "text_id", "sym_id", F.round("gap", 6).alias("gap"), "r")
 
 
 def wire_end_at_box(boxes: DataFrame, segs: DataFrame, id_col: str, margin: float = 0.0) -> DataFrame:
-    """(doc, page, id, seg_id, d): of the wires with one end in the box, grown by ``margin``, and the other outside, the one whose end lies nearest to its centre."""
-    b, s = boxes.select(*KEY, id_col, *BOX), segs.select(SEG)
-    in_ = lambda b, w, e: _inside(w[f"x{e}"], w[f"y{e}"], b, margin)
-    j = grid_join(b, s, KEY, text_box(margin), seg_box(), CELL, lambda b, w: in_(b, w, 1) != in_(b, w, 2))
+    """(doc, page, id, seg_id, d): of the wires with one end in the box, grown by ``margin`` (by its own, where boxes have a column margin), and the other outside, the one whose end
+    lies nearest to its centre."""
+    b, s = boxes.select(*KEY, id_col, *BOX, F.greatest(F.lit(margin), F.col("margin")).alias("m") if "margin" in boxes.columns else F.lit(margin).alias("m")), segs.select(SEG)
+    in_ = lambda b, w, e: _inside(w[f"x{e}"], w[f"y{e}"], b, b["m"])
+    j = grid_join(b, s, KEY, text_box(F.col("m")), seg_box(), CELL, lambda b, w: in_(b, w, 1) != in_(b, w, 2))
     box, w = F.col("l"), F.col("r")
     first = in_(box, w, 1)
     mx, my = _mid(box)
@@ -132,25 +143,40 @@ def wire_end_at_box(boxes: DataFrame, segs: DataFrame, id_col: str, margin: floa
 def attach_labels(texts: DataFrame, segs: DataFrame, symbols: DataFrame, flags: DataFrame, touch: float = 0.6, monochrome: bool = True) -> DataFrame:
     """(doc, page, text_id, seg_id, via, port): the wire that each net text outside bodies names, by the first rule that finds one: along the wire; a flag outline
     around the text (``flags``: doc, page, text_id, x0 ..) that touches a wire; one of the three nearest symbols between text and wire end, the wire leaving on the
-    far side; in monochrome drawings a wire right at the text. Bare voltages need a symbol or a flag. Each rule is a table of its own; a rank picks."""
+    far side; a supply name in a field pen over the stub of its symbol; in monochrome drawings a wire right at the text. Bare voltages need a symbol or a flag. Each rule is a table of its own; a rank picks.
+
+    Where texts have a ``role`` (that of their pen, see ``pens.pen_roles``), those of a field pen are not taken along a wire or by a flag, and by a symbol only if they are supply names or stand on the axis of its
+    wire; those of a pin pen only by a flag. Symbols may have ``port`` (an outline of loose strokes: ``outlines.port_outlines``) and ``margin`` (how far a wire may stop short of them).
+    """
     t = texts.where("kind = 'net'")
     if "in_body" in t.columns:
         t = t.where(~F.coalesce("in_body", F.lit(False)))
+    role = F.coalesce("role", F.lit("")) if "role" in t.columns else F.lit("")
+    t = t.withColumn("role", role)
     plain = t.where(~is_bare_voltage(F.col("str")))
+    named = plain.where("role not in ('field', 'pin')")
     found = lambda df, rule, via, port: df.select(*KEY, "text_id", "seg_id", F.lit(rule).alias("rule"), F.lit(via).alias("via"), F.lit(port).alias("port"))
-    along = found(label_along_wire(plain, segs), 1, "along", True)
-    flag = found(nearest_segment(flags.join(t.select(*KEY, "text_id"), [*KEY, "text_id"], "left_semi"), segs, "text_id", touch), 2, "flag", True)
+    along = found(label_along_wire(named, segs), 1, "along", True)
+    flag = found(nearest_segment(flags.join(t.where("role <> 'field'").select(*KEY, "text_id"), [*KEY, "text_id"], "left_semi"), segs, "text_id", touch), 2, "flag", True)
+    # texts of pin pens take no symbol, but a symbol that holds one is still theirs
     cand = symbol_candidates(t, symbols).join(wire_end_at_box(symbols, segs, "sym_id", touch).select(*KEY, "sym_id", "seg_id"), [*KEY, "sym_id"])
-    cand = cand.join(segs.select(SEG), [*KEY, "seg_id"]).join(t.select(*KEY, "text_id", F.struct(BOX).alias("t")), [*KEY, "text_id"]).join(symbols.select(*KEY, "sym_id", F.struct(BOX).alias("b")), [*KEY, "sym_id"])
+    cand = cand.join(segs.select(SEG), [*KEY, "seg_id"]).join(t.where("role <> 'pin'").select(*KEY, "text_id", "str", "size", "role", F.struct(BOX).alias("t")), [*KEY, "text_id"]).join(symbols.select(*KEY, "sym_id", F.struct(BOX).alias("b")), [*KEY, "sym_id"])
     tx, ty = _mid(F.col("t"))
     sx, sy = _mid(F.col("b"))
-    nearer = F.least(F.hypot(F.col("x1") - tx, F.col("y1") - ty), F.hypot(F.col("x2") - tx, F.col("y2") - ty))
-    best = cand.where(nearer + 0.1 >= F.hypot(sx - tx, sy - ty)).groupBy(*KEY, "text_id").agg(F.min_by("seg_id", "r").alias("seg_id"))
+    one, two = F.hypot(F.col("x1") - tx, F.col("y1") - ty), F.hypot(F.col("x2") - tx, F.col("y2") - ty)
+    wx, wy, s = F.when(one <= two, F.col("x1")).otherwise(F.col("x2")), F.when(one <= two, F.col("y1")).otherwise(F.col("y2")), F.col("size")
+    beside_axis = F.abs(wx - tx) <= s * 0.6 + (F.col("t.x1") - F.col("t.x0")) * 0.1
+    on_axis = F.when(F.abs(F.col("x1") - F.col("x2")) < 0.02, beside_axis).otherwise((wy >= F.col("t.y0") - s * 0.5) & (wy <= F.col("t.y1") + s * 0.5))
+    fits = (F.col("role") != "field") | is_power_name(F.col("str")) | on_axis
+    best = cand.where((F.least(one, two) + 0.1 >= F.hypot(sx - tx, sy - ty)) & fits).groupBy(*KEY, "text_id").agg(F.min_by("seg_id", "r").alias("seg_id"))
     rules = along.unionByName(flag).unionByName(found(best, 3, "symbol", True))
+    if "role" in texts.columns:
+        rules = rules.unionByName(found(label_along_wire(plain.where((F.col("role") == "field") & is_power_name(F.col("str"))), segs), 4, "along", True))
     if monochrome:
         reach = F.greatest(F.lit(0.6), F.col("size") * 0.4)
-        near = nearest_segment(plain, segs, "text_id", 16.0).join(plain.select(*KEY, "text_id", "size"), [*KEY, "text_id"]).where(F.col("d") <= reach)
-        rules = rules.unionByName(found(near, 4, "near", False))
+        last = plain.where((F.col("role") != "pin") & ~((F.col("role") == "field") & is_power_name(F.col("str"))))
+        near = nearest_segment(last, segs, "text_id", 16.0).join(last.select(*KEY, "text_id", "size"), [*KEY, "text_id"]).where(F.col("d") <= reach)
+        rules = rules.unionByName(found(near, 5, "near", False))
     first = rules.groupBy(*KEY, "text_id").agg(F.min(F.struct("rule", "seg_id", "via", "port")).alias("f"))
     return first.select(*KEY, "text_id", "f.seg_id", "f.via", "f.port")
 

@@ -59,9 +59,42 @@ UNION ALL SELECT doc, page, text_id * 4 + 3, x0 - 9, y0, x0 - 6, y1, '#000000' F
 SELECT doc, page, CAST(i * 2 AS BIGINT) AS text_id, CASE i % 6 WHEN 0 THEN 'PWRLED' || CAST(i % 40 AS STRING) WHEN 1 THEN 'R' || CAST(i % 7 AS STRING) ELSE ref END AS str, CASE i % 6 WHEN 0 THEN 'net' ELSE 'component' END AS kind,
   x AS x0, y - 4 AS y0, x + 9 AS x1, y + 1 AS y1, x AS ax, y + 1 AS ay, CAST(5.0 AS DOUBLE) AS size, 0 AS rot, CASE WHEN i % 4 = 1 THEN CAST(i AS BIGINT) END AS net_id, i % 5 = 2 AS in_body FROM parts
 UNION ALL SELECT doc, page, CAST(i * 2 + 1 AS BIGINT), value, 'value', x + dx, y + dy - 4, x + dx + 9, y + dy + 1, x + dx, y + dy + 1, 5.0, 0, CAST(NULL AS BIGINT), false FROM parts WHERE value IS NOT NULL""",
+    # all texts of a page with their pens: labels, references, pin numbers, notes
+    "lettered": """
+SELECT doc, page, text_id, str, kind, x0, y0, x1, y1, ax, ay, size, rot, CASE WHEN text_id % 10 = 3 THEN '#f00000' WHEN text_id % 10 = 7 AND page % 2 = 0 THEN '#777777' WHEN text_id % 14 <> 5 THEN '#0000f0' END AS color FROM texts
+UNION ALL SELECT doc, page, CAST(100000 + i * 4 AS BIGINT), CASE WHEN i % 6 = 1 THEN 'VCC' ELSE ref END, CASE WHEN i % 6 = 1 THEN 'net' ELSE 'component' END, x, y - 4, x + 9, y + 1, x, y + 1, 5.0, 0, CASE WHEN i % 16 = 0 THEN '#0000f0' ELSE '#f00000' END FROM parts
+UNION ALL SELECT doc, page, CAST(100001 + i * 4 AS BIGINT), CAST(i AS STRING), CASE WHEN i % 12 = 2 THEN 'value' WHEN i % 12 = 4 THEN 'net' ELSE 'pin' END, x + 20, y - 4, x + 26, y + 1, x + 20, y + 1, 5.0, 0, '#00a000' FROM parts WHERE i % 2 = 0
+UNION ALL SELECT doc, page, CAST(100002 + i * 4 AS BIGINT), 'NOTE', 'note', x - 20, y - 4, x - 8, y + 1, x - 20, y + 1, 5.0, 0, '#777777' FROM parts WHERE i % 4 = 1""",
+    # links around parts: some with a script, some with lines only, some that list pins
+    "part_links": """
+SELECT doc, page, CAST(i AS BIGINT) AS link_id, x - 2 AS x0, y - 6 AS y0, x + 32 AS x1, y + 12 AS y1, CASE i % 5 WHEN 0 THEN ref || chr(10) || coalesce(value, 'NC') WHEN 1 THEN 'U9X ' || chr(13) || chr(10) || ref WHEN 2 THEN ref || chr(10) || '1' || chr(10) || '2' || chr(10) || coalesce(value, '') || chr(10) || '5' || chr(10) || '6' WHEN 3 THEN '' END AS text,
+  CASE WHEN i % 5 = 3 THEN ref WHEN i % 7 = 0 THEN '9bad' WHEN i % 11 = 0 THEN 'Z99' END AS ref_prop, CASE WHEN i % 4 = 0 THEN 'V' || CAST(i AS STRING) WHEN i % 4 = 1 THEN '' END AS value_prop FROM parts WHERE page % 3 <> 2 OR i <= 2""",
+    "net_links": "SELECT doc, page, text_id AS link_id, x0 - 1 AS x0, y0 - 1 AS y0, x1 + 2 AS x1, y1 + 1 AS y1, text_id % 12 = 0 AS chained FROM texts WHERE text_id % 3 = 0 AND (page % 4 <> 1 OR text_id < 6)",
+    "sheet_texts": """
+SELECT doc, page, text_id, str, kind, x0, y0, x1, y1, size FROM texts UNION ALL SELECT doc, page, 100000 + text_id, str, kind, x0, y0, x1, y1, size FROM fields""",
+    "heights": "SELECT DISTINCT doc, page, CAST(5.0 AS DOUBLE) AS s FROM dots",
+    # ports in their own coordinates: u along the body, v across; every third has another one stacked on it
+    "ports": """
+SELECT doc, page, i, k, x, y, i % 2 = 1 AS turned, i % 7 AS shape FROM (SELECT doc, page, x, y, row_number() OVER (PARTITION BY doc, page ORDER BY x, y) AS i FROM dots) d CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) z WHERE k = 0 OR i % 3 = 0""",
+    "diags": """
+SELECT doc, page, CAST((i * 2 + k) * 4 + n AS BIGINT) AS diag_id, CASE WHEN turned THEN x + v1 ELSE x + u1 END AS x1, CASE WHEN turned THEN y + u1 ELSE y + v1 END AS y1, CASE WHEN turned THEN x + v2 ELSE x + u2 END AS x2, CASE WHEN turned THEN y + u2 ELSE y + v2 END AS y2
+FROM (SELECT *, 0 AS n, 0.0 AS u1, 8.0 * k AS v1, 4.0 AS u2, 8.0 * k - 4 AS v2 FROM ports UNION ALL SELECT *, 1, 4.0, 8.0 * k + 4, 0.0, 8.0 * k FROM ports
+  UNION ALL SELECT *, 2, 24.0, 8.0 * k - 4, 28.0, 8.0 * k FROM ports WHERE shape = 3 UNION ALL SELECT *, 3, 28.0, 8.0 * k, 24.0, 8.0 * k + 4 FROM ports WHERE shape = 3) t""",
+    "edges": """
+SELECT doc, page, CAST((i * 2 + k) * 8 + n AS BIGINT) AS seg_id, CASE WHEN turned THEN x + v1 ELSE x + u1 END AS x1, CASE WHEN turned THEN y + u1 ELSE y + v1 END AS y1, CASE WHEN turned THEN x + v2 ELSE x + u2 END AS x2, CASE WHEN turned THEN y + u2 ELSE y + v2 END AS y2, glyph
+FROM (SELECT *, 0 AS n, 4.0 AS u1, 8.0 * k - 4 AS v1, 24.0 AS u2, 8.0 * k - 4 AS v2, false AS glyph FROM ports UNION ALL SELECT *, 1, 24.0, 8.0 * k + 4, 4.0, 8.0 * k + 4, false FROM ports UNION ALL SELECT *, 4, -10.0, 8.0 * k, 0.0, 8.0 * k, false FROM ports
+  UNION ALL SELECT *, 2, 24.0, 8.0 * k - 4, 24.0, 8.0 * k + 4, shape = 2 FROM ports WHERE shape IN (0, 2) UNION ALL SELECT *, 2, 24.0, 8.0 * k - 4, 24.0, 8.0 * k, false FROM ports WHERE shape IN (1, 5)
+  UNION ALL SELECT *, 3, 24.0, 8.0 * k + 4, 24.0, 8.0 * k, false FROM ports WHERE shape = 1 UNION ALL SELECT *, 2, 24.0, 8.0 * k - 4, 24.0, 8.0 * k - 1, false FROM ports WHERE shape = 6 UNION ALL SELECT *, 3, 24.0, 8.0 * k - 1, 24.0, 8.0 * k + 3.5, true FROM ports WHERE shape = 6) t""",
+    # bodies of four lines: some share an edge with the next, some lack one, some have a corner a hair apart
+    "frames": """
+SELECT doc, page, CAST((i * 8 + (i * 3 + n) % 8) AS BIGINT) AS seg_id, x1, y1, x2, y2
+FROM (SELECT doc, page, i, n, CASE n WHEN 1 THEN x + w WHEN 5 THEN x + w ELSE x END AS x1, CASE n WHEN 0 THEN y WHEN 1 THEN y WHEN 3 THEN y + h WHEN 2 THEN y + h WHEN 6 THEN y + 2 * h ELSE y + h END AS y1,
+    CASE n WHEN 3 THEN x WHEN 4 THEN x ELSE x + w + CASE WHEN i % 6 = 2 AND n = 2 THEN 0.125 ELSE 0 END END AS x2, CASE n WHEN 0 THEN y WHEN 1 THEN y + h WHEN 3 THEN y WHEN 2 THEN y + h ELSE y + 2 * h END AS y2
+  FROM (SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY x, y) AS i, x - 5 AS x, y - 10 AS y, CASE WHEN (x + y) % 70 = 20 THEN 10.0 ELSE 20.0 + x % 30 END AS w, CASE WHEN (x + y) % 70 = 20 THEN 10.0 ELSE 20.0 END AS h FROM dots) d
+    CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n UNION ALL SELECT 2 AS n UNION ALL SELECT 3 AS n UNION ALL SELECT 4 AS n UNION ALL SELECT 5 AS n UNION ALL SELECT 6 AS n) m WHERE (n < 4 OR i % 4 = 1) AND NOT (n = 2 AND i % 5 = 4)) f""",
 }
 #: Which fixtures a fixture is made of.
-NEEDS = {"texts": ["segs"], "gt_wires": ["segs"], "marks": ["dots"], "fields": ["parts"], **{t: ["segs", "texts"] for t in ("strokes", "links", "flags")}}
+NEEDS = {"texts": ["segs"], "gt_wires": ["segs"], "marks": ["dots"], "fields": ["parts"], "heights": ["dots"], "lettered": ["segs", "texts", "parts"], "part_links": ["parts"], "net_links": ["segs", "texts"], "sheet_texts": ["segs", "texts", "parts", "fields"], "ports": ["dots"], "diags": ["dots", "ports"], "edges": ["dots", "ports"], "frames": ["dots"], **{t: ["segs", "texts"] for t in ("strokes", "links", "flags")}}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
