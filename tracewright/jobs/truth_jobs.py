@@ -158,16 +158,6 @@ def route_prims(spark, sf):
     return P.route_prims(_prims(spark, sf), 4.0, 1000.0, True)
 
 
-def ground_bars(spark, sf):
-    """Stacks of bars below dots: three or four, growing, shrinking or uneven by turns."""
-    m = table(spark, sf, "marks")
-    k = F.explode(F.sequence(F.lit(0), (F.col("sym_id") % 2 + 2).cast("int"))).alias("k")
-    b = m.select("doc", "page", "sym_id", "x0", "y0", k)
-    length = F.when(F.col("sym_id") % 3 == 0, 8.0 - F.col("k")).when(F.col("sym_id") % 3 == 1, 4.0 + F.col("k")).otherwise(F.lit(5.0))
-    bars = b.select("doc", (F.col("page") * 100000 + F.col("sym_id")).alias("page"), F.lit(True).alias("level"), F.col("x0").alias("centre"), (F.col("y0") + F.col("k") * 2.0).alias("pos"), length.alias("len"))
-    return P.ground_bars(bars, 5.0).select("doc", "page", "first", "n", "shrinks")
-
-
 def mono_variant(spark, sf):
     s = table(spark, sf, "strokes").select("doc", "page", "prim_id", F.col("color").alias("stroke"), F.when(F.col("prim_id") % 3 == 0, "#FEFEFE").when(F.col("prim_id") % 3 == 1, F.col("color")).alias("fill"))
     return P.mono_variant(s).groupBy("doc", "page", "scenario", "stroke", "fill").agg(F.count("*").alias("n"))
@@ -227,7 +217,6 @@ SELECT n.doc, n.page, n.net_id, n.n, a.names FROM (SELECT doc, page, net_id, cou
     "closed_triangles": (closed_triangles, with_ctes("SELECT doc, page, sym_id AS prim_id, x0, y0, x0 + 4 AS x1, y0 + 3 AS y1 FROM marks WHERE sym_id % 4 = 1", "marks")),
     "route_prims": (route_prims, with_ctes("""SELECT doc, page, sym_id AS prim_id, NOT fill AND w AS wire, NOT fill AND k < 3 AND NOT w AS body, k < 3 AS symbol, NOT fill AND k = 3 AND NOT w AS pin_line, NOT fill AND k = 3 AS bar
 FROM (SELECT *, sym_id % 4 AS k, sym_id % 3 <> 0 AS fill, sym_id % 2 = 1 AS w FROM marks WHERE sym_id % 5 <> 0) z""", "marks")),
-    "ground_bars": (ground_bars, with_ctes("SELECT doc, page * 100000 + sym_id AS page, y0 AS first, sym_id % 2 + 3 AS n, sym_id % 3 = 0 AS shrinks FROM marks WHERE sym_id % 3 < 2", "marks")),
     "mono_variant": (mono_variant, with_ctes("s AS (SELECT doc, page, color AS stroke, CASE prim_id % 3 WHEN 0 THEN '#FEFEFE' WHEN 1 THEN color END AS fill FROM strokes), b AS (SELECT *, 'colour' AS scenario FROM s UNION ALL SELECT doc, page, '#000000', CASE WHEN lower(fill[2:2]) IN ('e', 'f') THEN fill ELSE '#000000' END, 'mono' FROM s) SELECT doc, page, scenario, stroke, fill, count(*) AS n FROM b GROUP BY ALL", "strokes")),
     "value_assign": (value_assign, None),
     "value_home_fallback": (value_home_fallback, None),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import KEY
+from .spatial import ends, grid_join, point_box
 
 # Numbers that follow each opcode (0 move, 1 line, 2 cubic, 3 quadratic, 4 close); the point it leads to comes last.
 ARGS = {0: 2, 1: 2, 2: 6, 3: 4, 4: 0}
@@ -127,18 +128,40 @@ def route_prims(prims: DataFrame, height: float, diagonal: float, colour: bool)
 
 
 def ground_bars(bars: DataFrame, height: float) -> DataFrame:
-    """(doc, page, lane, first, n, shrinks): stacks of three bars or more on one axis, 0.08 to 0.8 of the text height apart, that get strictly shorter (shrinks) or longer.
-    ``bars``: doc, page, level (boolean), centre, pos, len. Runs are maximal: a run that is neither is none."""
+    """(doc, page, level, lane, first, n, shrinks, centre, top): stacks of three bars or more on one axis, 0.08 to 0.8 of the text height apart, that get strictly shorter (shrinks) or longer;
+    centre and top are those of the longest bar. ``bars``: doc, page, level (boolean), centre, pos, len.
+
+    A run of bars always reaches to the end of its chain, and one that is neither starts again at its next bar: what counts is the longest end of a chain that keeps its direction. It is found
+    without a walk, by the steps that equal the last one, counted from the end. Equal positions end a chain; bars with null coordinates are in none.
+    """
     lane = F.floor(F.col("centre") / max(0.2, height * 0.15) + 0.5)
     w = Window.partitionBy(*KEY, "level", "lane").orderBy("pos", "len")
     gap, before = F.col("pos") - F.lag("pos").over(w), F.lag("len").over(w)
-    b = bars.withColumn("lane", lane).withColumn("new", F.coalesce((gap < height * 0.08) | (gap > height * 0.8), F.lit(True)).cast("int")).withColumn("before", before)
-    b = b.withColumn("run", F.sum("new").over(w))
-    inside = F.col("new") == 0
-    runs = b.groupBy(*KEY, "level", "lane", "run").agg(
-        F.min("pos").alias("first"), F.count("*").alias("n"), F.coalesce(F.bool_and(F.when(inside, F.col("len") < F.col("before") - 0.05)), F.lit(False)).alias("shrinks"), F.coalesce(F.bool_and(F.when(inside, F.col("len") > F.col("before") + 0.05)), F.lit(False)).alias("grows")
-    )
-    return runs.where("n >= 3 and (shrinks or grows)").select(*KEY, "level", "lane", "first", "n", "shrinks")
+    b = bars.dropna(subset=["centre", "pos", "len"]).withColumn("lane", lane)
+    b = b.withColumns({"new": F.coalesce((gap < height * 0.08) | (gap > height * 0.8), F.lit(True)).cast("int"), "way": F.when(F.col("len") < before - 0.05, -1).when(F.col("len") > before + 0.05, 1).otherwise(0)})
+    b = b.withColumn("chain", F.sum("new").over(w)).withColumn("way", F.when(F.col("new") == 0, F.col("way")))
+    run = [*KEY, "level", "lane", "chain"]
+    end = Window.partitionBy(*run).orderBy(F.desc("pos"), F.desc("len"))
+    last = F.first("way").over(end)
+    b = b.withColumn("last", last).withColumn("off", F.sum(F.coalesce((F.col("way") != F.col("last")).cast("int"), F.lit(1))).over(end))
+    # the bar before the first step that keeps the direction belongs to the stack as well
+    b = b.withColumn("mine", (F.col("off") == 0) | (F.coalesce(F.lag("off").over(end), F.lit(1)) == 0)).where("mine and last <> 0")
+    longest = F.struct(F.col("len"), F.col("centre"), F.col("pos"))
+    s = b.groupBy(*run).agg(F.min("pos").alias("first"), F.count("*").alias("n"), (F.first("last") < 0).alias("shrinks"), F.max(longest).alias("top"))
+    return s.where("n >= 3").select(*KEY, "level", "lane", "first", "n", "shrinks", F.col("top.centre").alias("centre"), F.col("top.pos").alias("top"))
+
+
+def ground_wires(stacks: DataFrame, segs: DataFrame, height: float) -> DataFrame:
+    """(doc, page, level, lane, first, seg_id): for each stack of ``ground_bars`` the wire whose end lies nearest along its stem: on the side of the longest bar, up to 1.6 heights away and hardly
+    off the axis. Equally near ends: the first wire. Stacks without such a wire are left out."""
+    tol, reach = max(0.2, height * 0.15), height * 1.6
+    at = stacks.withColumns({"px": F.when(F.col("level"), F.col("centre")).otherwise(F.col("top")), "py": F.when(F.col("level"), F.col("top")).otherwise(F.col("centre")), "dir": F.when(F.col("shrinks"), -1.0).otherwise(1.0)})
+    pick = lambda l, u, v: F.when(l["level"], u).otherwise(v)  # noqa: E731, E741
+    along = lambda l, r: pick(l, r["y"] - l["py"], r["x"] - l["px"]) * l["dir"]  # noqa: E731, E741
+    near = lambda l, r: (F.abs(pick(l, r["x"] - l["px"], r["y"] - l["py"])) <= tol * 1.5) & (along(l, r) >= -tol) & (along(l, r) <= reach)  # noqa: E731, E741
+    j = grid_join(at.select(*KEY, "level", "lane", "first", "px", "py", "dir"), ends(segs), KEY, point_box("px", "py", reach), point_box(), 20.0, near)
+    best = j.select("l.doc", "l.page", "l.level", "l.lane", "l.first", along(F.col("l"), F.col("r")).alias("d"), "r.seg_id").groupBy(*KEY, "level", "lane", "first").agg(F.min(F.struct("d", "seg_id")).alias("b"))
+    return best.select(*KEY, "level", "lane", "first", "b.seg_id")
 
 
 def mono_variant(prims: DataFrame) -> DataFrame:

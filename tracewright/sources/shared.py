@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @lru_cache(maxsize=1)
@@ -15,14 +15,18 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tracewright-core-")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet below ``spark.checkpoint.dir`` and read back, which cuts its lineage. Only a local session may leave that setting out."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below ``spark.checkpoint.dir``. Only a local session may leave that setting out."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own_folder()
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into a fresh shared path and read back, which cuts its lineage."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
