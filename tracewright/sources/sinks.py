@@ -17,7 +17,8 @@ def write_csv(rows: DataFrame, cells: list[str], header: list[str], drawings: Da
     line = F.concat_ws(",", *[csv_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cells])
     lines = rows.select("doc", F.col("place").cast("long").alias("place"), line.alias("value")).join(drawings.select("doc").distinct(), "doc", "left_semi")
     top = drawings.select("doc").distinct().select("doc", F.lit(None).cast("long").alias("place"), F.lit(BOM + ",".join(header)).alias("value"))
-    lines = lines.unionByName(top).repartition("doc").sortWithinPartitions("doc", F.col("place").asc_nulls_first(), "value")
+    # by a hash of its own: a shuffle by doc itself may be left out, as the union's sides are dealt by doc, before one of them is replaced by a broadcast join
+    lines = lines.unionByName(top).repartition(F.xxhash64("doc")).sortWithinPartitions("doc", F.col("place").asc_nulls_first(), "value")
     lines.select("doc", "value").write.partitionBy("doc").option("lineSep", "\r\n").text(path)
 
 
