@@ -24,6 +24,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 #: Share of a value's information that discloses it; most pseudo-documents in the smoothed estimate.
 ALPHA, PRIOR = 0.9, 5
+#: Lengths that are added up in one piece.
+CHUNK = 256
 SPAN = "array<struct<s:int,k:int,e:int,kind:string,value:string>>"
 
 
@@ -51,19 +53,27 @@ def _keeps(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _found(text: Column, kind: str, pattern: str, needs: Column) -> Column:
-    """Spans of one kind: the pieces between the matches and the matches themselves give the positions, in code points."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(hits, F.transform(F.slice(gaps, F.lit(1), F.size(hits)), F.length), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+def _running(x: Column) -> Column:
+    """Running sums of an array of lengths. Sums are appended within chunks of CHUNK only, so that long arrays take linear time."""
+    zero = F.array().cast("array<int>")
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / CHUNK).cast("int") - 1, F.lit(0))), lambda i: F.slice(x, i * CHUNK + 1, F.lit(CHUNK)))
+    sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, v: a + v))
+    before = F.aggregate(sums, F.struct(F.lit(0).alias("at"), zero.alias("out")), lambda a, v: F.struct((a["at"] + v).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+    inside = lambda c, b: F.aggregate(c, F.struct(b.alias("at"), zero.alias("out")), lambda a, v: F.struct((a["at"] + v).alias("at"), F.array_append(a["out"], a["at"] + v).alias("out")), lambda a: a["out"])
+    return F.flatten(F.zip_with(chunks, before, inside))
 
-    def step(acc, x):
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        one = F.struct(s.alias("s"), F.lit(KINDS.index(kind)).alias("k"), e.alias("e"), F.lit(kind).alias("kind"), x["m"].alias("value"))
-        return F.struct(e.alias("at"), F.when(_keeps(kind, x["m"]), F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(needs, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+def _ends(hits: Column, gaps: Column) -> Column:
+    """Where each match ends, from the matches and the pieces around them, in code points."""
+    return _running(F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda m, g: F.length(m) + F.length(g)))
+
+
+def _found(text: Column, kind: str, pattern: str, needs: Column) -> Column:
+    """Spans of one kind: the pieces between the matches and the matches themselves give the positions, in code points."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    one = lambda m, e: F.struct((e - F.length(m)).alias("s"), F.lit(KINDS.index(kind)).alias("k"), e.alias("e"), F.lit(kind).alias("kind"), m.alias("value"))
+    spans = F.filter(F.zip_with(hits, _ends(hits, F.split(text, pattern, -1)), one), lambda x: _keeps(kind, x["value"]))
+    return F.when(needs, spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -106,92 +116,98 @@ def _blanked(text: Column, base: Column) -> Column:
 
 
 def disclosing(docs: DataFrame, terms: DataFrame, held: DataFrame, alpha: float) -> DataFrame:
-    """(term, texts): the terms that disclose some value and in how many different texts they occur with one. ``terms`` (digest, copies, term) are the distinct words of each text with values, ``held`` (digest, copies, entity) its values.
+    """(term, several): the terms of ``docs`` (text) that disclose some value, and whether they occur with one in two different texts or more. ``terms`` (digest, term) are the distinct words of each
+    document with values, ``held`` (digest, entity) its values; documents with equal texts have equal digests.
 
     All counts are of documents in the whole corpus, copies included: p(value) = of_entity / n, p(value | term) = both / (of_term + k) with k = min(of_entity, PRIOR)
     pseudo-documents without the value. What is left out before the pairs are made cannot reach the bar: both is at most of_entity and at most the
     documents that hold the term and any value. A term of one text has the same count with each of its values, so the rarest one decides without pairs.
+    Pairs are made for each different text, with its number of copies; words that cannot reach the bar are left out before they are shuffled.
     """
     n = F.lit(float(max(1, docs.where(F.col("text").isNotNull()).count())))
     bar = lambda of: F.pow(of / n, F.lit(1 - alpha))
     prior = lambda of: F.least(of, F.lit(PRIOR))
-    of_entity = held.groupBy("entity").agg(F.sum("copies").alias("of_entity"))
-    held = held.select("digest", "entity").join(of_entity, "entity")
+    values = held.groupBy("digest", "entity").agg(F.count("*").alias("copies"))
+    of_entity = values.groupBy("entity").agg(F.sum("copies").alias("of_entity"))
+    values = written(values.select("digest", "entity").join(of_entity, "entity"), "values")
     count = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("of_term"))
-    near = terms.groupBy("term").agg(F.sum("copies").alias("near"), F.count("*").alias("n_texts"), F.min("digest").alias("digest"))
+    near = terms.groupBy("term").agg(F.count("*").alias("near"), F.min("digest").alias("digest"), F.max("digest").alias("last"))
     near = near.join(count, "term").withColumn("of_term", F.greatest("of_term", "near"))
     near = written(near.where(F.col("near") / (F.col("of_term") + 1) >= bar(F.lit(1.0))), "near")
-    rarest = held.groupBy("digest").agg(F.min("of_entity").alias("of_entity"))
-    lone = near.where("n_texts = 1").join(rarest, "digest").select("term", "of_term", "of_entity", F.col("near").alias("both"), F.lit(1).cast("long").alias("texts"))
-    pairs = terms.join(near.where("n_texts > 1").select("term", "of_term"), "term").join(held, "digest")
+    rarest = values.groupBy("digest").agg(F.min("of_entity").alias("of_entity"))
+    lone = near.where("digest = last").join(rarest, "digest").select("term", "of_term", "of_entity", F.col("near").alias("both"), F.lit(False).alias("several"))
+    multi = near.where("digest <> last").select("term", "of_term")
+    may = _maybe(multi.select("term"))
+    pairs = terms.where(may("term")).join(multi, "term").groupBy("digest", "term", "of_term").agg(F.count("*").alias("copies")).join(values, "digest")
     pairs = pairs.where(F.col("of_entity") / (F.col("of_term") + prior(F.col("of_entity"))) >= bar(F.col("of_entity")))
-    pairs = pairs.groupBy("entity", "term", "of_term", "of_entity").agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).select(lone.columns)
+    pairs = pairs.groupBy("entity", "term", "of_term", "of_entity").agg(F.sum("copies").alias("both"), (F.count("*") > 1).alias("several")).select(lone.columns)
     p = lone.unionByName(pairs)
-    return p.where(F.col("both") / (F.col("of_term") + prior(F.col("of_entity"))) >= bar(F.col("of_entity"))).groupBy("term").agg(F.max("texts").alias("texts"))
+    return p.where(F.col("both") / (F.col("of_term") + prior(F.col("of_entity"))) >= bar(F.col("of_entity"))).groupBy("term").agg(F.max("several").alias("several"))
 
 
 def _maybe(terms: DataFrame, most: int = 1 << 23) -> Callable[[str], Column]:
-    """A test on a column of words that lets every one of ``terms`` (term) and few others pass, so that only those meet the terms in a join. It is a table
+    """A test on a column that lets every one of ``terms`` (one column) and few others pass, so that only those meet the terms in a join. It is a table
     of at most ``most`` hash bits (1 MB at any size of the corpus); with more terms than bits more words pass and the join decides as before."""
     bits = min(most, 1 << max(12, (16 * terms.count()).bit_length()))
     at = lambda w: F.pmod(F.xxhash64(w, F.lit(9)), F.lit(bits))
-    held = terms.select(at("term").alias("at")).select(F.floor(F.col("at") / 64).alias("id"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+    held = terms.select(at(terms.columns[0]).alias("at")).select(F.floor(F.col("at") / 64).alias("id"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
     rows = terms.sparkSession.range(bits // 64).join(held.groupBy("id").agg(F.bit_or("bit").alias("bit")), "id", "left")
     table = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bit", F.lit(0).cast("long")).alias("bit")))), lambda x: x["bit"])).scalar()
     return lambda w: F.getbit(F.get(table, F.floor(at(w) / 64).cast("int")), at(w) % 64) == 1
 
 
-def _places(texts: DataFrame, bad: DataFrame, maybe: Callable[[str], Column]) -> DataFrame:
-    """(of, terms): for each text (digest, rest) with words in ``bad`` (term) the spans of all their occurrences. The words that pass ``maybe`` meet the terms in a join."""
-    word = r"[\p{L}\p{N}]+"
-    at = texts.select("digest", F.posexplode(F.regexp_extract_all("rest", F.lit(word), F.lit(0))).alias("i", "word"))
-    at = at.withColumn("term", F.lower("word")).where(maybe("term")).join(bad, "term").groupBy("digest").agg(F.array_sort(F.collect_list("i")).alias("which"))
-    x = texts.join(at, "digest")
-    hits, gaps = F.regexp_extract_all("rest", F.lit(word), F.lit(0)), F.transform(F.split("rest", word, -1), F.length)
-    pairs = F.zip_with(hits, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))  # the gap at the end comes without a word
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(SPAN).alias("out"))
+WORD = r"[\p{L}\p{N}]+"
 
-    def step(acc, x):
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        one = F.struct(s.alias("s"), F.lit(len(KINDS)).alias("k"), e.alias("e"), F.lit("term").alias("kind"), F.lower(x["m"]).alias("value"))
-        out = F.when(F.get("which", F.size(acc["out"])) == acc["i"], F.array_append(acc["out"], one)).otherwise(acc["out"])
-        return F.struct(e.alias("at"), (acc["i"] + 1).alias("i"), out.alias("out"))
 
-    return x.select(F.col("digest").alias("of"), F.aggregate(pairs, start, step, lambda acc: acc["out"]).alias("terms"))
+def _places(texts: DataFrame, bad: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
+    """((of, terms), test): for each text (digest, rest) with words in ``bad`` (term) the spans of all their occurrences, and a test on digests that these pass and few others.
+
+    No text is shuffled: words that may be terms meet them in a join, which leaves the digests of the texts to look at again; those are found by their bit where they are read, and their
+    words' places come out with the words."""
+    may = _maybe(bad)
+    which = texts.select("digest", F.explode(_words(F.col("rest"))).alias("term")).where(may("term")).join(bad, "term", "left_semi").select("digest").distinct()
+    here = _maybe(written(which, "texts_that_tell"))
+    x = texts.where(here("digest")).select("digest", F.regexp_extract_all("rest", F.lit(WORD), F.lit(0)).alias("hits"), F.split("rest", WORD, -1).alias("gaps"))
+    x = x.select("digest", "hits", _ends(F.col("hits"), F.col("gaps")).alias("ends"))
+    x = x.select("digest", F.explode(F.arrays_zip("hits", "ends")).alias("w")).select("digest", F.lower("w.hits").alias("term"), (F.col("w.ends") - F.length("w.hits")).alias("s"), F.col("w.ends").alias("e"))
+    x = x.where(may("term")).join(bad, "term", "left_semi")
+    one = F.struct("s", F.lit(len(KINDS)).alias("k"), "e", F.lit("term").alias("kind"), F.col("term").alias("value"))
+    return x.groupBy(F.col("digest").alias("of")).agg(F.array_sort(F.collect_set(one)).cast(SPAN).alias("terms")), here
 
 
 def sanitised(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """``docs`` with ``base`` and ``spans`` (arrays of struct s, k, e, kind, value), old columns of these names replaced.
+    """``docs`` with ``base`` and ``spans`` (arrays of struct s, k, e, kind, value), old columns of these names replaced; columns of any other name are kept.
 
     spans holds the base spans and every occurrence outside of them of a term (kind "term", k = 4) that discloses a value of the corpus, in this row or
     another. In rows without a base span, which do not print the value, a term counts if it was met with the value in two different texts or more: met in one, it says nothing on others.
     Equal texts get equal spans; null texts count as empty. Terms are counted by document, copies included. Nothing is capped: a value in very many rows is only one
-    key of pre-aggregated counts.
+    key of pre-aggregated counts. Only rows with terms meet their spans in a join; all others pass as they are read.
     """
-    docs = docs.select([c for c in docs.columns if c not in ("base", "spans")])
-    maybe = F.coalesce(F.contains("text", F.lit("@")) | F.col("text").rlike("[0-9]"), F.lit(False))
-    few = docs.where(maybe).select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    few = written(few.withColumn("base", base_spans(F.col("text"))).withColumn("digest", F.when(F.size("base") > 0, F.md5("text"))).drop("text"), "candidates")
-    hit = few.where("digest is not null")
-    some = hit.groupBy("digest").agg(F.count("*").alias("copies"), F.min("row.text").alias("text"))
-    some = some.withColumn("base", base_spans(F.col("text")))
-    entity = F.transform("base", lambda b: F.concat_ws(":", b["kind"], _value(b["kind"], b["value"])))
-    some = written(some.select("digest", "copies", F.array_distinct(entity).alias("entities"), _blanked(F.col("text"), F.col("base")).alias("rest")), "texts")
-    terms = written(some.select("digest", "copies", F.explode(_words(F.col("rest"))).alias("term")).where("term <> ''"), "terms")
-    bad = written(disclosing(docs, terms, some.select("digest", "copies", F.explode("entities").alias("entity")), alpha), "disclosing")
-    named = hit.join(_places(some.select("digest", "rest"), bad.select("term"), _maybe(bad)), F.col("digest") == F.col("of"), "left")
+    names = [c for c in docs.columns if c not in ("base", "spans")]
+    rows = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # no name of docs is met below
+    cols, text = rows.columns, f"c{names.index('text')}"
+    docs = rows.select(F.col(text).alias("text"))
+    maybe = F.coalesce(F.contains(text, F.lit("@")) | F.col(text).rlike("[0-9]"), F.lit(False))
+    few = rows.where(maybe).withColumn("base", base_spans(F.col(text)))
+    few = written(few.withColumn("rest", F.when(F.size("base") > 0, _blanked(F.col(text), F.col("base")))), "candidates")
     none = F.array().cast(SPAN)
-    new = named.select("row.*", "base", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("spans"))
-    plain = few.where("digest is null").select("row.*").unionByName(docs.where(~maybe))
-    # Rows without a value: the words of all texts meet the terms in a join, and only texts with such a word are looked at again.
-    told = bad.where("texts >= 2").select("term")
-    tells = _maybe(told)
-    which = plain.select(F.md5("text").alias("digest"), F.explode(_words(F.col("text"))).alias("term")).where(tells("term")).join(told, "term", "left_semi").select("digest").distinct()
-    which = written(which, "texts_that_tell")
-    again = plain.select(F.md5("text").alias("digest"), F.col("text").alias("rest")).join(which, "digest", "left_semi").groupBy("digest").agg(F.min("rest").alias("rest"))
-    marked = plain.withColumn("__digest", F.md5("text")).join(_places(again, told, tells), F.col("__digest") == F.col("of"), "left")
-    return new.unionByName(marked.select(docs.columns + [none.alias("base"), F.coalesce("terms", none).alias("spans")]))
+    hit = few.where("rest is not null").withColumn("digest", F.md5(text))
+    entity = F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b["kind"], _value(b["kind"], b["value"]))))
+    terms = hit.select("digest", F.explode(_words(F.col("rest"))).alias("term")).where("term <> ''")
+    bad = written(disclosing(docs, terms, hit.select("digest", F.explode(entity).alias("entity")), alpha), "disclosing")
+    plain = few.where("rest is null").select(*cols, F.col(text).alias("rest")).unionByName(rows.where(~maybe).withColumn("rest", F.col(text)))
+    plain = plain.select(*cols, none.alias("base"), "rest", F.md5(text).alias("digest"))
+
+    def marked(rows: DataFrame, bad: DataFrame) -> DataFrame:
+        places, here = _places(rows.select("digest", "rest"), bad)
+        yes = rows.where(F.coalesce(here("digest"), F.lit(False))).join(places, F.col("digest") == F.col("of"), "left")
+        spans = lambda terms: F.array_sort(F.concat("base", terms)).alias("spans")
+        no = rows.where(~F.coalesce(here("digest"), F.lit(False)))
+        return yes.select(*cols, "base", spans(F.coalesce("terms", none))).unionByName(no.select(*cols, "base", F.col("base").alias("spans")))
+
+    # Rows without a value: only terms met in several texts count.
+    out = marked(hit, bad.select("term")).unionByName(marked(plain, bad.where("several").select("term")))
+    return out.toDF(*names, "base", "spans")
 
 
 def redacted(text: Column, spans: Column) -> Column:
