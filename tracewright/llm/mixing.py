@@ -83,6 +83,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     spark = docs.sparkSession
     new = ("size", "source_size", "target", "copies", "taken")
     kept = docs.select([c for c in docs.columns if c not in new])
+    names = [c for c in kept.columns if with_text or c != text_col]
+    own = {"doc_id", "source", text_col}
+    kept = kept.select([F.col(f"`{c}`").alias(c if c in own else f"__c{i}") for i, c in enumerate(kept.columns)])  # no other name of docs is met below
     sized = kept.withColumns({"__t": F.xxhash64(text_col), "size": n_words(F.col(text_col))})
     sized = written(sized if with_text else sized.drop(text_col), "sizes")
     by_length = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
@@ -114,7 +117,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     ranked = o.withColumn("__copies", F.col("__whole") + (F.col("__before") + F.col("__r") <= F.col("__extra")).cast("long"))
     copies = F.col("__copies")
     cols = [*[c for c in sized.columns if c not in ("size", "__t")], "size", F.col("__words").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken")]
-    return settled.select(cols).unionByName(ranked.select(cols))
+    return settled.select(cols).unionByName(ranked.select(cols)).toDF(*names, *new)
 
 
 def _targets(spark, total: DataFrame, weights, share: float, passes: int) -> DataFrame:
@@ -139,4 +142,4 @@ def _targets(spark, total: DataFrame, weights, share: float, passes: int) -> Dat
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents as the mix takes them: all columns of ``docs``, a document that is taken twice in two rows. Documents without words stay."""
     new = mix(docs, with_text=True, **how)
-    return new.where("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    return new.where("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select([F.col(f"`{c}`") for c in docs.columns])
