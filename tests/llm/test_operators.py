@@ -36,7 +36,7 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def odd(spark):
     """Odd rows with columns whose names operators use themselves."""
-    return spark.createDataFrame(ODD, DOCS).withColumns({c: F.lit("x") for c in ("score", "fp", "node", "size", "u", "v", "spans", "base", "digest", "n", "copies", "component_id", "label")})
+    return spark.createDataFrame(ODD, DOCS).withColumns({c: F.lit("x") for c in ("score", "fp", "node", "size", "u", "v", "spans", "base", "digest", "n", "copies", "component_id", "label", "terms", "of", "p_source", "p_size", "goal_source", "words", "rest", "entity", "c0", "c1", "several", "rank", "key", "weight", "taken", "i")})
 
 
 @pytest.fixture(scope="module")
@@ -401,3 +401,13 @@ def test_licences_planted_into_documents_equal_sql(spark, docs, tmp_path):
     want = sorted(duckdb.sql(licences.oracle(f"'{tmp_path}/t/*.parquet'")).fetchall())
     assert got == want
     assert [x[2] for x in got if x[0] >= 900_000] == [i for i, _ in licences.KNOWN]
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    df = spark.createDataFrame([(1, " ".join(f"user{i}@mail{i}.com" for i in range(20000)))], "doc_id long, text string")
+    began = time.time()
+    spans = df.select(pii.base_spans(F.col("text")).alias("b")).first()["b"]
+    assert len(spans) == 20000 and spans[-1]["value"] == "user19999@mail19999.com" and spans[-1]["s"] == sum(len(x["value"]) + 1 for x in spans[:-1])
+    assert time.time() - began < 20
