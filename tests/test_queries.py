@@ -15,7 +15,7 @@ from tracewright.operators import graph, nets, spatial
 
 SF = "/root/testdata/sf0.001"
 #: Cheap ones that between them touch every operator module; the driver compares the rest.
-CHECKED = ["classify_text", "classify_tokens", "csv_cell", "link_props", "marker_words", "natural_sort_key", "join_endpoints", "join_tee", "join_overlap", "join_dot_wires", "label_along_wire", "connected_components", "net_entries", "seg_at", "text_at", "comp_entries", "bom_reconcile", "match_wires", "group_precision_recall", "pin_scores", "score_average", "sentence_runs", "heading_pairs", "text_height", "twin_text_dedupe", "dot_dedupe", "pin_dedupe", "src_kicad_legacy", "src_kicad_sexpr", "src_eagle_xml", "gt_connect", "fit_transform", "attach_labels", "pen_of_text", "glue_symbols", "part_symbols", "cut_at_triangles", "prune_islands", "decode_path", "route_prims", "ground_bars", "value_extra", "wire_style", "merge_same_name", "net_name_pick", "score_compare", "port_outlines", "port_strokes", "rect_from_lines", "rect_lines_used", "rect_from_wires", "pen_roles", "pen_kinds", "pen_labels", "sentence_pairs", "sentence_pen_restore", "part_link_rows", "part_link_kinds", "components_with_links", "ground_wires", "style_wire_stats", "parts_csv_files", "report_json"]
+CHECKED = ["classify_text", "classify_tokens", "csv_cell", "link_props", "marker_words", "natural_sort_key", "join_endpoints", "join_tee", "join_overlap", "join_dot_wires", "label_along_wire", "connected_components", "net_entries", "seg_at", "text_at", "comp_entries", "bom_reconcile", "match_wires", "group_precision_recall", "pin_scores", "score_average", "sentence_runs", "heading_pairs", "text_height", "twin_text_dedupe", "dot_dedupe", "pin_dedupe", "src_kicad_legacy", "src_kicad_sexpr", "src_eagle_xml", "gt_connect", "fit_transform", "attach_labels", "pen_of_text", "glue_symbols", "part_symbols", "cut_at_triangles", "prune_islands", "decode_path", "route_prims", "ground_bars", "value_extra", "wire_style", "merge_same_name", "net_name_pick", "score_compare", "port_outlines", "port_strokes", "rect_from_lines", "rect_lines_used", "rect_from_wires", "pen_roles", "pen_kinds", "pen_labels", "sentence_pairs", "sentence_pen_restore", "part_link_rows", "part_link_kinds", "components_with_links", "ground_wires", "style_wire_stats", "parts_csv_files", "report_json", "style_figures", "lettering_strays", "wiring_styles", "net_exact_naming", "pin_netlist_scores"]
 
 
 @pytest.fixture(scope="module")

@@ -122,7 +122,7 @@ def symbol_between(spark, sf):
 
 
 def cut_at_triangles(spark, sf):
-    return S.cut_at_triangles(*_t("segs", "marks")(spark, sf)).where("piece > 0 or seg_id % 3 = 0")
+    return S.cut_at_triangles(*_t("segs", "marks")(spark, sf))
 
 
 def prune_islands(spark, sf):
@@ -158,7 +158,7 @@ SELECT DISTINCT s.doc, s.page, s.a, s.b FROM s JOIN m ON s.doc = m.doc AND s.pag
 apart AS (SELECT DISTINCT * FROM cuts), b AS (SELECT *, row_number() OVER (PARTITION BY doc, page, seg_id ORDER BY a) AS i, count(*) OVER (PARTITION BY doc, page, seg_id) AS n, lead(a) OVER (PARTITION BY doc, page, seg_id ORDER BY a) AS nx FROM apart),
 p AS (SELECT doc, page, seg_id, 0 AS piece, level, across, lo AS a, a AS z FROM b WHERE i = 1 UNION ALL SELECT doc, page, seg_id, i, level, across, z, coalesce(nx, hi) FROM b),
 o AS (SELECT doc, page, seg_id, CAST(piece AS INTEGER) AS piece, CASE WHEN level THEN a ELSE across END AS x1, CASE WHEN level THEN across ELSE a END AS y1, CASE WHEN level THEN z ELSE across END AS x2, CASE WHEN level THEN across ELSE z END AS y2 FROM p UNION ALL SELECT doc, page, seg_id, 0, x1, y1, x2, y2 FROM segs s WHERE NOT EXISTS (SELECT 1 FROM cuts c WHERE c.doc = s.doc AND c.page = s.page AND c.seg_id = s.seg_id))
-SELECT * FROM o WHERE piece > 0 OR seg_id % 3 = 0""", "segs", "marks")),
+SELECT * FROM o""", "segs", "marks")),
     "prune_islands": (prune_islands, with_ctes(f"""w AS (SELECT *, CAST(floor(seg_id / 2) AS BIGINT) AS net_id FROM segs), b AS (SELECT doc, page, net_id, min(seg_id) AS f, greatest(max(x2) - min(x1), max(y2) - min(y1)) AS d FROM w GROUP BY doc, page, net_id),
 k AS (SELECT doc, page, net_id FROM b WHERE d >= 70 OR net_id % 7 = 0 UNION SELECT s.doc, s.page, s.net_id FROM dots d JOIN w s ON d.doc = s.doc AND d.page = s.page AND {dist('d.x', 'd.y', 's.x1', 's.y1', 's.x2', 's.y2')} <= greatest(d.r, 0.15)),
 n AS (SELECT b.doc, b.page, b.net_id, row_number() OVER (PARTITION BY b.doc, b.page ORDER BY b.f) - 1 AS new_id FROM b JOIN k ON b.doc = k.doc AND b.page = k.page AND b.net_id = k.net_id)

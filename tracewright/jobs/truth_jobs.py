@@ -92,7 +92,7 @@ def src_dispatch(spark, sf):
 
 
 def manifest_filter(spark, sf):
-    p = table(spark, sf, "parts").where("i <= 20")
+    p = table(spark, sf, "parts")
     e = p.select(F.concat_ws("-", F.lit("sheet"), F.lower("ref"), F.col("doc").cast("string"), F.col("page").cast("string")).alias("id"), F.concat(F.lit("dir/a.b/"), "ref", F.lit(".pdf")).alias("pdf"), F.when(F.col("i") % 3 > 0, F.concat("ref", F.lit(".kicad_sch"))).alias("source"), (F.col("i") % 4 == 0).alias("local"))
     return T.manifest_filter(e, ["-r", "u1"]).select("id", "pdf_path", "source_path")
 
@@ -106,7 +106,7 @@ def gt_connect(spark, sf):
 
 def fit_transform(spark, sf):
     """Sources at half the scale, moved by (20, -15), laid back on their drawings."""
-    s = table(spark, sf, "segs").where("seg_id < 150")
+    s = table(spark, sf, "segs")
     half = s.select("doc", "page", *[((F.col(c) - (40 if c[0] == "x" else -30)) / 2).alias(c) for c in ("x1", "y1", "x2", "y2")])
     f, _ = T.fit_gate(T.fit_transform(half, s, 2.0))
     return f.select("doc", "page", *[(F.round(c, 6) + 0.0).alias(c) for c in "abcdef"], "inliers", "total")
@@ -164,7 +164,7 @@ def mono_variant(spark, sf):
 
 
 def _pairs(spark, sf):
-    return value_candidates(spark, sf).select("doc", "page", F.col("i").cast("long").alias("part"), F.col("vid").cast("long").alias("value"), "cost").where("cost <= 22")
+    return value_candidates(spark, sf).select("doc", "page", F.col("i").cast("long").alias("part"), F.col("vid").cast("long").alias("value"), "cost")
 
 
 def value_assign(spark, sf):
@@ -195,7 +195,7 @@ _PX, _CURVE = "842 - 20 - ", "s.seg_id % 3 = 0"
 _STRAIGHT = """SELECT doc, page, seg_id AS path_id, 0 AS sub, 0 AS k, x1 + 10 AS x1, 822 - y1 AS y1, x2 + 10 AS x2, 822 - y2 AS y2, true AS orth FROM segs UNION ALL SELECT doc, page, seg_id, 0, 2, x2 + 13, 818 - y2, x2 + 13, 813 - y2, true FROM segs
 UNION ALL SELECT doc, page, seg_id, 1, 0, x1 + 10, 820 - y1, x1 + 15, 820 - y1, true FROM segs"""
 _CLOSE = " UNION ALL SELECT doc, page, seg_id, 0, 3, x2 + 13, 813 - y2, x1 + 10, 822 - y1, false FROM segs WHERE seg_id % 3 = 0"
-_PAIRS = f"{_P}, pp AS (SELECT doc, page, i AS part, vid AS value, cost FROM pairs WHERE cost <= 22)"
+_PAIRS = f"{_P}, pp AS (SELECT doc, page, i AS part, vid AS value, cost FROM pairs)"
 
 JOBS = {
     "src_kicad_legacy": (src_kicad_legacy, with_ctes(_BASE("trunc(ax), trunc(ay)"), *FX)),
@@ -203,13 +203,13 @@ JOBS = {
     "src_eagle_xml": (src_eagle_xml, with_ctes(f"""SELECT {SHEET}, 'wire' AS what, NULL AS name, NULL AS value, x1, y1, x2, y2 FROM segs WHERE seg_id % 9 <> 4 UNION ALL SELECT {SHEET}, 'label', CASE WHEN floor(seg_id / 4) % 3 = 0 THEN 'N$' ELSE 'A&B' END || CAST(CAST(floor(seg_id / 4) AS BIGINT) AS STRING), NULL, x1, y1, NULL, NULL FROM segs WHERE seg_id % 6 = 0
 UNION ALL SELECT {SHEET}, 'part', ref, NULL, NULL, NULL, NULL, NULL FROM parts""", "segs", "parts")),
     "src_dispatch": (src_dispatch, with_ctes("d AS (SELECT DISTINCT doc * 5 + page AS doc FROM segs) SELECT doc, 's' || doc || CASE doc % 3 WHEN 1 THEN '.KICAD_SCH' ELSE '.sch' END AS name, CASE doc % 3 WHEN 0 THEN 'legacy' WHEN 1 THEN 'sexpr' ELSE 'eagle' END AS reader FROM d UNION ALL SELECT doc, 'x.pdf', 'error' FROM d", "segs")),
-    "manifest_filter": (manifest_filter, with_ctes("e AS (SELECT 'sheet-' || lower(ref) || '-' || doc || '-' || page AS id, ref, i FROM parts WHERE i <= 20) SELECT id, CASE WHEN i % 4 = 0 THEN 'dir/a.b/' || ref || '.pdf' ELSE 'corpus/files/' || id || '.pdf' END AS pdf_path, CASE WHEN i % 3 > 0 THEN 'corpus/files/' || id || '.kicad_sch' END AS source_path FROM e WHERE contains(id, '-r') OR contains(id, 'u1')", "parts")),
+    "manifest_filter": (manifest_filter, with_ctes("e AS (SELECT 'sheet-' || lower(ref) || '-' || doc || '-' || page AS id, ref, i FROM parts) SELECT id, CASE WHEN i % 4 = 0 THEN 'dir/a.b/' || ref || '.pdf' ELSE 'corpus/files/' || id || '.pdf' END AS pdf_path, CASE WHEN i % 3 > 0 THEN 'corpus/files/' || id || '.kicad_sch' END AS source_path FROM e WHERE contains(id, '-r') OR contains(id, 'u1')", "parts")),
     "gt_connect": (gt_connect, with_ctes(f"""{O.ENDS}, {O.SHARED}, hits AS (SELECT d.doc, d.page, d.x, d.y, s.seg_id FROM dots d JOIN segs s ON d.doc = s.doc AND d.page = s.page AND {dist('d.x', 'd.y', 's.x1', 's.y1', 's.x2', 's.y2')} <= 0.15), {O.THROUGH},
 lab AS (SELECT l.doc, l.page, 'n' || l.seg_id % 40 AS name, min(s.seg_id) AS seg_id FROM segs l JOIN segs s ON l.doc = s.doc AND l.page = s.page AND l.seg_id % 5 = 0 AND {dist('l.x1', 'l.y1', 's.x1', 's.y1', 's.x2', 's.y2')} <= 0.15 GROUP BY l.doc, l.page, l.seg_id),
 e6 AS (SELECT DISTINCT l.doc, l.page, m.src, l.seg_id AS dst FROM lab l JOIN (SELECT doc, page, name, min(seg_id) AS src FROM lab GROUP BY doc, page, name) m ON l.doc = m.doc AND l.page = m.page AND l.name = m.name WHERE m.src <> l.seg_id),
 every AS (SELECT * FROM e1 UNION SELECT * FROM e4 UNION SELECT * FROM e6), {O.components('every')}, num AS (SELECT doc, page, seg_id, dense_rank() OVER (PARTITION BY doc, page ORDER BY root) - 1 AS net_id FROM cc)
 SELECT n.doc, n.page, n.net_id, n.n, a.names FROM (SELECT doc, page, net_id, count(*) AS n FROM num GROUP BY doc, page, net_id) n LEFT JOIN (SELECT doc, page, net_id, array_to_string(list_sort(list(DISTINCT name)), ',') AS names FROM lab JOIN num USING (doc, page, seg_id) GROUP BY doc, page, net_id) a ON n.doc = a.doc AND n.page = a.page AND n.net_id = a.net_id""", "segs", "dots")),
-    "fit_transform": (fit_transform, with_ctes("SELECT doc, page, 2.0 AS a, 0.0 AS b, 0.0 AS c, 2.0 AS d, 40.0 AS e, -30.0 AS f, 2 * count(*) AS inliers, 2 * count(*) AS total FROM segs WHERE seg_id < 150 GROUP BY doc, page", "segs")),
+    "fit_transform": (fit_transform, with_ctes("SELECT doc, page, 2.0 AS a, 0.0 AS b, 0.0 AS c, 2.0 AS d, 40.0 AS e, -30.0 AS f, 2 * count(*) AS inliers, 2 * count(*) AS total FROM segs GROUP BY doc, page", "segs")),
     "fit_gate": (fit_gate, with_ctes("f AS (SELECT doc, page, count(*) FILTER (pred = 1) * CASE WHEN page % 2 = 0 THEN 3 ELSE 1 END / count(*) AS share FROM pins GROUP BY doc, page) SELECT doc, page, round(share, 6) AS share, share > 0.3 AS ok FROM f", "pins")),
     "decode_path": (decode_path, with_ctes(f"SELECT * FROM ({_STRAIGHT}{_CLOSE}) z", "segs")),
     "raw_orth_segs": (raw_orth_segs, with_ctes(f"SELECT doc, page, path_id, sub, k, x1, y1, x2, y2 FROM ({_STRAIGHT}) z WHERE path_id % 4 <> 1", "segs")),

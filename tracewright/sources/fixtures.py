@@ -59,6 +59,15 @@ UNION ALL SELECT doc, page, text_id * 4 + 3, x0 - 9, y0, x0 - 6, y1, '#000000' F
 SELECT doc, page, CAST(i * 2 AS BIGINT) AS text_id, CASE i % 6 WHEN 0 THEN 'PWRLED' || CAST(i % 40 AS STRING) WHEN 1 THEN 'R' || CAST(i % 7 AS STRING) ELSE ref END AS str, CASE i % 6 WHEN 0 THEN 'net' ELSE 'component' END AS kind,
   x AS x0, y - 4 AS y0, x + 9 AS x1, y + 1 AS y1, x AS ax, y + 1 AS ay, CAST(5.0 AS DOUBLE) AS size, 0 AS rot, CASE WHEN i % 4 = 1 THEN CAST(i AS BIGINT) END AS net_id, i % 5 = 2 AS in_body FROM parts
 UNION ALL SELECT doc, page, CAST(i * 2 + 1 AS BIGINT), value, 'value', x + dx, y + dy - 4, x + dx + 9, y + dy + 1, x + dx, y + dy + 1, 5.0, 0, CAST(NULL AS BIGINT), false FROM parts WHERE value IS NOT NULL""",
+    # pins on wire ends, between wires and beside them
+    "pin_boxes": """
+SELECT doc, page, CAST(i AS BIGINT) AS pin_id, ref AS name, x + dx - CASE WHEN i % 2 = 0 THEN 2 ELSE 0.5 END AS x0, y + dy - CASE WHEN i % 2 = 0 THEN 0.5 ELSE 2 END AS y0, x + dx + CASE WHEN i % 2 = 0 THEN 2 ELSE 0.5 END AS x1, y + dy + CASE WHEN i % 2 = 0 THEN 0.5 ELSE 2 END AS y1
+FROM (SELECT doc, page, i, ref, x, y, CASE WHEN i % 3 = 1 THEN 5.0 ELSE 0.25 END AS dx, CASE WHEN i % 3 = 0 THEN 0.0 ELSE 5.0 END AS dy FROM parts) p""",
+    # each stroke as a primitive: pens by style, one width that letters, some closed or filled, every fifth page in one grey
+    "prims": """
+SELECT doc, page, prim_id, CASE WHEN fill THEN 'F' ELSE 'S' END || color || '/' || CAST(width AS STRING) AS style, color, width, fill, closed, glyph, x0, y0, x1, y1
+FROM (SELECT doc, page, seg_id AS prim_id, CASE WHEN page % 5 = 4 THEN '#222222' WHEN style = 'AF' THEN '#007700' WHEN style = 'NO' THEN '#0000cc' WHEN style = 'RF' THEN '#cc0000' ELSE '#222222' END AS color, width, seg_id % 17 = 5 AS fill, seg_id % 9 = 1 AS closed,
+  style = 'AF' AND width = 0.25 AND seg_id % 13 <> 0 AS glyph, x1 AS x0, y1 AS y0, x2 AS x1, y2 AS y1 FROM segs) p""",
     # stacks of three or four bars, growing, shrinking or uneven at first; on crowded pages some touch the next stack
     "bars": """
 SELECT doc, page, level, CASE WHEN level THEN x ELSE y END AS centre, CASE WHEN level THEN y ELSE x END + 2.0 * k AS pos, CASE sym_id % 3 WHEN 0 THEN 8.0 - k WHEN 1 THEN 4.0 + k ELSE CASE WHEN k = 0 THEN 5.0 ELSE 10.0 - k END END AS len
@@ -98,7 +107,7 @@ FROM (SELECT doc, page, i, n, CASE n WHEN 1 THEN x + w WHEN 5 THEN x + w ELSE x
     CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n UNION ALL SELECT 2 AS n UNION ALL SELECT 3 AS n UNION ALL SELECT 4 AS n UNION ALL SELECT 5 AS n UNION ALL SELECT 6 AS n) m WHERE (n < 4 OR i % 4 = 1) AND NOT (n = 2 AND i % 5 = 4)) f""",
 }
 #: Which fixtures a fixture is made of.
-NEEDS = {"texts": ["segs"], "gt_wires": ["segs"], "marks": ["dots"], "fields": ["parts"], "heights": ["dots"], "bars": ["dots", "marks"], "lettered": ["segs", "texts", "parts"], "part_links": ["parts"], "net_links": ["segs", "texts"], "sheet_texts": ["segs", "texts", "parts", "fields"], "ports": ["dots"], "diags": ["dots", "ports"], "edges": ["dots", "ports"], "frames": ["dots"], **{t: ["segs", "texts"] for t in ("strokes", "links", "flags")}}
+NEEDS = {"texts": ["segs"], "gt_wires": ["segs"], "marks": ["dots"], "fields": ["parts"], "heights": ["dots"], "bars": ["dots", "marks"], "prims": ["segs"], "pin_boxes": ["parts"], "lettered": ["segs", "texts", "parts"], "part_links": ["parts"], "net_links": ["segs", "texts"], "sheet_texts": ["segs", "texts", "parts", "fields"], "ports": ["dots"], "diags": ["dots", "ports"], "edges": ["dots", "ports"], "frames": ["dots"], **{t: ["segs", "texts"] for t in ("strokes", "links", "flags")}}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
