@@ -49,5 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Kernel machines, component search and tokenizing have no SQL form; tests/llm/test_pipeline.py holds each stage against a brute-force version.
+#: Kernel machines, component search and tokenizing have no SQL form; the operators are held against brute force in tests/llm, the chain of stages in tests/llm/test_pipeline.py.
 ORACLE_SQL = None
