@@ -233,3 +233,25 @@ def test_reports(spark, tmp_path):
     got = sorted((json.loads(r["value"]) for r in spark.read.text(path).collect()), key=lambda r: r["file"])
     assert got[0] == {"file": "a.pdf", "nets": [{"name": "GND", "power": True, "labelCount": 4, "pages": [1]}, {"name": "B", "power": False, "labelCount": 1, "pages": [2, 10]}], "components": [{"ref": "R1", "values": ["1k", "5 %"], "pages": [1]}]}
     assert got[1] == {"file": "b.pdf", "nets": [], "components": []}
+
+
+def test_a_label_takes_the_wire_it_stands_in_line_with(spark):
+    from tracewright.operators import labels as L
+
+    # two supply arrows that touch are one symbol with two wires below; the names stand above their own
+    sym = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 20.0, 6.0)], f"{KEY}, sym_id long, {BOX}")
+    segs = lines(spark, [(4, 6, 4, 40), (16, 6, 16, 40), (8, 2, 12, 2)])
+    rows = [(1, 0, 1, "VCC", "net", 0.0, -6.0, 8.0, -1.0, 0.0, -1.0, 5.0, 0, None), (1, 0, 2, "VDD", "net", 12.0, -6.0, 20.0, -1.0, 12.0, -1.0, 5.0, 0, None)]
+    texts = spark.createDataFrame(rows, TEXT)
+    flags = spark.createDataFrame([], f"{KEY}, text_id long, {BOX}")
+    found = lambda mono: {r["text_id"]: r["seg_id"] for r in L.attach_labels(texts, segs, sym, flags, monochrome=mono).where("via = 'symbol'").collect()}
+    assert found(False) == {1: 0, 2: 1} and found(True) == {1: 0, 2: 0}
+
+
+def test_stacked_ports_name_the_label_in_line(spark):
+    from tracewright.operators import labels as L
+
+    sym = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 20.0, 8.0), (1, 0, 2, 0.0, 8.0, 20.0, 16.0)], f"{KEY}, sym_id long, {BOX}")
+    texts = spark.createDataFrame([(1, 0, 1, "SIG", "net", 21.0, 9.5, 30.0, 14.5, 21.0, 14.5, 5.0, 0, None)], TEXT)
+    near = lambda s: [r["sym_id"] for r in L.symbol_candidates(texts, s).orderBy("r").collect()]
+    assert near(sym.withColumn("port", F.lit(True))) == [2]

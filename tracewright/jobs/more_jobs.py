@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
 from ..functions.text_rules import strip_count
+from ..operators import labels
 from ..operators.spatial import grid_join, point_box, seg_box, text_box
 from ..sources.fixtures import table, with_ctes
 from .oracle import gap
@@ -13,12 +13,7 @@ from .oracle import gap
 
 def nearest_segment(spark, sf):
     """The segment nearest to each text box within 6, the first of equally near ones."""
-    box = lambda t: (t["x0"], t["y0"], t["x1"], t["y1"])
-    s = table(spark, sf, "segs").select("doc", "page", "seg_id", "x1", "y1", "x2", "y2")
-    d = lambda t, w: G.dist_box_seg(box(t), w["x1"], w["y1"], w["x2"], w["y2"])
-    j = grid_join(table(spark, sf, "texts"), s, ["doc", "page"], text_box(6.0), seg_box(), 20.0, lambda t, w: d(t, w) <= 6)
-    best = j.select("l.doc", "l.page", "l.text_id", F.round(d(F.col("l"), F.col("r")), 6).alias("d"), "r.seg_id").groupBy("doc", "page", "text_id").agg(F.min(F.struct("d", "seg_id")).alias("b"))
-    return best.select("doc", "page", "text_id", "b.seg_id", "b.d")
+    return labels.nearest_segment(table(spark, sf, "texts"), table(spark, sf, "segs"), "text_id", 6.0).withColumn("d", F.round("d", 6))
 
 
 def _bodies(spark, sf):
@@ -67,14 +62,7 @@ def part_at(spark, sf):
 
 def wire_end_at_box(spark, sf):
     """Wires with one end inside a small outline and the other outside: the one whose end lies nearest to its centre."""
-    b = _bodies(spark, sf).where("x1 - x0 <= 24")
-    s = table(spark, sf, "segs").select("doc", "page", "seg_id", "x1", "y1", "x2", "y2")
-    inn = lambda b, w, e: (w[f"x{e}"] >= b["x0"]) & (w[f"x{e}"] <= b["x1"]) & (w[f"y{e}"] >= b["y0"]) & (w[f"y{e}"] <= b["y1"])
-    j = grid_join(b, s, ["doc", "page"], text_box(), seg_box(), 40.0, lambda b, w: inn(b, w, 1) != inn(b, w, 2))
-    x = F.when(inn(F.col("l"), F.col("r"), 1), F.col("r.x1")).otherwise(F.col("r.x2")) - (F.col("l.x0") + F.col("l.x1")) / 2
-    y = F.when(inn(F.col("l"), F.col("r"), 1), F.col("r.y1")).otherwise(F.col("r.y2")) - (F.col("l.y0") + F.col("l.y1")) / 2
-    best = j.select("l.doc", "l.page", "l.body", F.round(F.sqrt(x * x + y * y), 6).alias("d"), "r.seg_id").groupBy("doc", "page", "body").agg(F.min(F.struct("d", "seg_id")).alias("b"))
-    return best.select("doc", "page", "body", "b.seg_id", "b.d")
+    return labels.wire_end_at_box(_bodies(spark, sf).where("x1 - x0 <= 24"), table(spark, sf, "segs"), "body")
 
 
 def _outline(spark, sf):

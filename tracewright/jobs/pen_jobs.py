@@ -12,7 +12,7 @@ from ..operators import pens as P
 from ..sources.fixtures import table, with_ctes
 from ..sources.shared import written
 from . import oracle as O
-from .label_jobs import _BARE, _CAND, _ENDS, _H, _MX, _MY, _NEAR
+from .label_jobs import _BARE, _CAND, _ENDS, _H, _IN, _MX, _MY, _NEAR
 from .oracle import power
 from .page_jobs import LETTERS, letters
 from .scalar_jobs import kinds
@@ -81,7 +81,7 @@ def components_with_links(spark, sf):
 
 def _again(sql: str, n: int) -> str:
     """CTEs of the attachment under names of their own, over the texts and flags of one pass."""
-    for name in ("along", "labels0", "cand", "ends1", "ends2", "texts", "flags"):
+    for name in ("along", "labels0", "cand", "ends1", "ends2", "ends3", "texts", "flags"):
         sql = re.sub(rf"(?<!['.\w]){name}(?!['\w])", f"{name}_{n}", sql)
     return sql
 
@@ -91,12 +91,16 @@ _W = lambda c: f"(CASE WHEN {_H('s.x1', 's.y1')} <= {_H('s.x2', 's.y2')} THEN s.
 
 def _pass(n: int) -> str:
     """CTEs from texts_n (with role) and flags_n up to attached_n, in colour."""
+    at = lambda c: f"(CASE WHEN {_IN(1)} THEN s.{c}1 ELSE s.{c}2 END)"
+    off = f"CASE WHEN abs(s.x1 - s.x2) < 0.02 THEN {at('x')} NOT BETWEEN t.x0 - t.size * 0.3 AND t.x1 + t.size * 0.3 ELSE {at('y')} NOT BETWEEN t.y0 - t.size * 0.3 AND t.y1 + t.size * 0.3 END"
+    ends = f"""ends3 AS (SELECT doc, page, text_id, sym_id, seg_id FROM (SELECT c.doc, c.page, c.text_id, c.sym_id, e.seg_id, row_number() OVER (PARTITION BY c.doc, c.page, c.text_id, c.sym_id ORDER BY {off}, e.d, e.seg_id) AS r FROM cand c JOIN ends1 e ON c.doc = e.doc AND c.page = e.page AND c.sym_id = e.sym_id
+ JOIN segs s ON s.doc = e.doc AND s.page = e.page AND s.seg_id = e.seg_id JOIN texts t ON t.doc = c.doc AND t.page = c.page AND t.text_id = c.text_id JOIN marks m ON m.doc = c.doc AND m.page = c.page AND m.sym_id = c.sym_id) z WHERE r = 1)"""
     rules = f"""rules AS (SELECT t.doc, t.page, t.text_id, t.seg_id, 1 AS rule, 'along' AS via, true AS port FROM labels0 t JOIN texts x USING (doc, page, text_id) WHERE NOT {_BARE} AND x.role NOT IN ('field', 'pin') UNION ALL SELECT *, 2, 'flag', true FROM {_NEAR('flags', '0.6', 'true')}
-UNION ALL SELECT c.doc, c.page, c.text_id, arg_min(s.seg_id, c.r), 3, 'symbol', true FROM cand c JOIN ends2 e ON c.doc = e.doc AND c.page = e.page AND c.sym_id = e.sym_id JOIN segs s ON s.doc = e.doc AND s.page = e.page AND s.seg_id = e.seg_id JOIN texts t ON t.doc = c.doc AND t.page = c.page AND t.text_id = c.text_id JOIN marks m ON m.doc = c.doc AND m.page = c.page AND m.sym_id = c.sym_id
+UNION ALL SELECT c.doc, c.page, c.text_id, arg_min(s.seg_id, c.r), 3, 'symbol', true FROM cand c JOIN ends3 e ON c.doc = e.doc AND c.page = e.page AND c.sym_id = e.sym_id AND c.text_id = e.text_id JOIN segs s ON s.doc = e.doc AND s.page = e.page AND s.seg_id = e.seg_id JOIN texts t ON t.doc = c.doc AND t.page = c.page AND t.text_id = c.text_id JOIN marks m ON m.doc = c.doc AND m.page = c.page AND m.sym_id = c.sym_id
  WHERE least({_H('s.x1', 's.y1')}, {_H('s.x2', 's.y2')}) + 0.1 >= {_H(_MX, _MY)} AND t.role <> 'pin' AND (t.role <> 'field' OR {power('t.str')} OR CASE WHEN abs(s.x1 - s.x2) < 0.02 THEN abs({_W('x')} - (t.x0 + t.x1) / 2) <= t.size * 0.6 + (t.x1 - t.x0) * 0.1 ELSE {_W('y')} BETWEEN t.y0 - t.size * 0.5 AND t.y1 + t.size * 0.5 END) GROUP BY c.doc, c.page, c.text_id
 UNION ALL SELECT t.doc, t.page, t.text_id, t.seg_id, 4, 'along', true FROM labels0 t JOIN texts x USING (doc, page, text_id) WHERE x.role = 'field' AND {power('x.str')} AND NOT {_BARE.replace('t.str', 'x.str')})"""
     top = f"attached_{n} AS MATERIALIZED (SELECT doc, page, text_id, seg_id, via, port FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, text_id ORDER BY rule) AS r FROM rules_{n}) z WHERE r = 1)"
-    return f"{_again(f'{O.LABELS}, {_CAND}, {_ENDS}, {rules}', n).replace('rules AS (', f'rules_{n} AS (', 1)}, {top}"
+    return f"{_again(f'{O.LABELS}, {_CAND}, {_ENDS}, {ends}, {rules}', n).replace('rules AS (', f'rules_{n} AS (', 1)}, {top}"
 
 
 _PENS = """lt AS (SELECT doc, page, color, text_id, kind FROM lettered WHERE color IS NOT NULL),

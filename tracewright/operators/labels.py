@@ -126,20 +126,42 @@ def symbol_candidates(texts: DataFrame, symbols: DataFrame, most: int = 3) -> Da
     return free.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select(*KEY, "text_id", "sym_id", F.round("gap", 6).alias("gap"), "r")
 
 
-def wire_end_at_box(boxes: DataFrame, segs: DataFrame, id_col: str, margin: float = 0.0) -> DataFrame:
-    """(doc, page, id, seg_id, d): of the wires with one end in the box, grown by ``margin`` (by its own, where boxes have a column margin), and the other outside, the one whose end
-    lies nearest to its centre."""
+def _ends_at_box(boxes: DataFrame, segs: DataFrame, id_col: str, margin: float) -> DataFrame:
+    """(doc, page, id, seg_id, x, y, upright, mx, my): wires with one end (x, y) in a box, grown by ``margin`` (by its own, where boxes have a column margin), and the other outside; (mx, my) is the centre."""
     b, s = boxes.select(*KEY, id_col, *BOX, F.greatest(F.lit(margin), F.col("margin")).alias("m") if "margin" in boxes.columns else F.lit(margin).alias("m")), segs.select(SEG)
     in_ = lambda b, w, e: _inside(w[f"x{e}"], w[f"y{e}"], b, b["m"])
     j = grid_join(b, s, KEY, text_box(F.col("m")), seg_box(), CELL, lambda b, w: in_(b, w, 1) != in_(b, w, 2))
     box, w = F.col("l"), F.col("r")
     first = in_(box, w, 1)
     mx, my = _mid(box)
-    d = F.hypot(F.when(first, w["x1"]).otherwise(w["x2"]) - mx, F.when(first, w["y1"]).otherwise(w["y2"]) - my)
-    best = j.select("l.doc", "l.page", f"l.{id_col}", F.round(d, 6).alias("d"), "r.seg_id").groupBy(*KEY, id_col).agg(F.min(F.struct("d", "seg_id")).alias("b"))
+    at = lambda c: F.when(first, w[f"{c}1"]).otherwise(w[f"{c}2"]).alias(c)
+    return j.select("l.doc", "l.page", f"l.{id_col}", "r.seg_id", at("x"), at("y"), (F.abs(w["x1"] - w["x2"]) < 0.02).alias("upright"), mx.alias("mx"), my.alias("my"))
+
+
+def wire_end_at_box(boxes: DataFrame, segs: DataFrame, id_col: str, margin: float = 0.0) -> DataFrame:
+    """(doc, page, id, seg_id, d): of the wires with one end in the box, grown by ``margin`` (by its own, where boxes have a column margin), and the other outside, the one whose end
+    lies nearest to its centre."""
+    d = F.round(F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my")), 6)
+    best = _ends_at_box(boxes, segs, id_col, margin).groupBy(*KEY, id_col).agg(F.min(F.struct(d.alias("d"), "seg_id")).alias("b"))
     return best.select(*KEY, id_col, "b.seg_id", "b.d")
 
 
+def wire_end_for_label(cand: DataFrame, symbols: DataFrame, segs: DataFrame, texts: DataFrame, margin: float, axis: bool) -> DataFrame:
+    """(doc, page, text_id, sym_id, r, seg_id): for each candidate (doc, page, text_id, sym_id, r) the wire that ends at its symbol: nearest to the symbol's centre, to the label's own where a link names it (linked); with
+    ``axis`` one that the label stands in line with, within 0.3 of its size, comes before all others: two supply arrows that touch are one symbol, but each name goes with its own wire. Ties: the first wire."""
+    linked = F.coalesce("linked", F.lit(False)) if "linked" in texts.columns else F.lit(False)
+    t = texts.select(*KEY, "text_id", F.struct(*BOX).alias("t"), "size", linked.alias("linked"))
+    j = cand.select(*KEY, "text_id", "sym_id", "r").join(_ends_at_box(symbols, segs, "sym_id", margin), [*KEY, "sym_id"]).join(t, [*KEY, "text_id"])
+    c = F.col
+    tx, ty = _mid(c("t"))
+    pick = lambda a, b: F.when(c("linked"), a).otherwise(b)
+    d = F.round(F.hypot(c("x") - pick(tx, c("mx")), c("y") - pick(ty, c("my"))), 6)
+    m = c("size") * 0.3
+    off = F.when(c("upright"), (c("x") < c("t.x0") - m) | (c("x") > c("t.x1") + m)).otherwise((c("y") < c("t.y0") - m) | (c("y") > c("t.y1") + m))
+    best = j.groupBy(*KEY, "text_id", "sym_id", "r").agg(F.min(F.struct((off if axis else F.lit(False)).alias("off"), d.alias("d"), "seg_id")).alias("b"))
+    return best.select(*KEY, "text_id", "sym_id", "r", "b.seg_id")
+
+
 def attach_labels(texts: DataFrame, segs: DataFrame, symbols: DataFrame, flags: DataFrame, touch: float = 0.6, monochrome: bool = True) -> DataFrame:
     """(doc, page, text_id, seg_id, via, port): the wire that each net text outside bodies names, by the first rule that finds one: along the wire; a flag outline
     around the text (``flags``: doc, page, text_id, x0 ..) that touches a wire; one of the three nearest symbols between text and wire end, the wire leaving on the
@@ -159,7 +181,7 @@ def attach_labels(texts: DataFrame, segs: DataFrame, symbols: DataFrame, flags:
     along = found(label_along_wire(named, segs), 1, "along", True)
     flag = found(nearest_segment(flags.join(t.where("role <> 'field'").select(*KEY, "text_id"), [*KEY, "text_id"], "left_semi"), segs, "text_id", touch), 2, "flag", True)
     # texts of pin pens take no symbol, but a symbol that holds one is still theirs
-    cand = symbol_candidates(t, symbols).join(wire_end_at_box(symbols, segs, "sym_id", touch).select(*KEY, "sym_id", "seg_id"), [*KEY, "sym_id"])
+    cand = wire_end_for_label(symbol_candidates(t, symbols), symbols, segs, t, touch, not monochrome)
     cand = cand.join(segs.select(SEG), [*KEY, "seg_id"]).join(t.where("role <> 'pin'").select(*KEY, "text_id", "str", "size", "role", F.struct(BOX).alias("t")), [*KEY, "text_id"]).join(symbols.select(*KEY, "sym_id", F.struct(BOX).alias("b")), [*KEY, "sym_id"])
     tx, ty = _mid(F.col("t"))
     sx, sy = _mid(F.col("b"))
