@@ -240,7 +240,7 @@ def test_a_label_takes_the_wire_it_stands_in_line_with(spark):
 
     # two supply arrows that touch are one symbol with two wires below; the names stand above their own
     sym = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 20.0, 6.0)], f"{KEY}, sym_id long, {BOX}")
-    segs = lines(spark, [(4, 6, 4, 40), (16, 6, 16, 40), (8, 2, 12, 2)])
+    segs = lines(spark, [(4, 6, 4, 40), (16, 6, 16, 40), (8, 4, 12, 4)])
     rows = [(1, 0, 1, "VCC", "net", 0.0, -6.0, 8.0, -1.0, 0.0, -1.0, 5.0, 0, None), (1, 0, 2, "VDD", "net", 12.0, -6.0, 20.0, -1.0, 12.0, -1.0, 5.0, 0, None)]
     texts = spark.createDataFrame(rows, TEXT)
     flags = spark.createDataFrame([], f"{KEY}, text_id long, {BOX}")
