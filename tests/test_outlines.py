@@ -255,3 +255,10 @@ def test_stacked_ports_name_the_label_in_line(spark):
     texts = spark.createDataFrame([(1, 0, 1, "SIG", "net", 21.0, 9.5, 30.0, 14.5, 21.0, 14.5, 5.0, 0, None)], TEXT)
     near = lambda s: [r["sym_id"] for r in L.symbol_candidates(texts, s).orderBy("r").collect()]
     assert near(sym.withColumn("port", F.lit(True))) == [2]
+
+
+def test_intermediate_tables_can_be_removed(spark):
+    from tracewright.sources import shared
+
+    t = shared.written(spark.range(3).toDF("id"), "probe")
+    assert t.count() == 3 and shared.remove_intermediate(spark) > 0 and shared.remove_intermediate(spark) == 0

@@ -10,6 +10,10 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths that this process has given out.
+_MADE: list[str] = []
+
+
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tracewright-core-")
@@ -22,7 +26,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own_folder()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def remove_intermediate(spark: SparkSession) -> int:
+    """Delete what this process has written to shared paths and say how many there were; to be called once no result that reads them is needed any more."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
