@@ -262,3 +262,20 @@ def test_intermediate_tables_can_be_removed(spark):
 
     t = shared.written(spark.range(3).toDF("id"), "probe")
     assert t.count() == 3 and shared.remove_intermediate(spark) > 0 and shared.remove_intermediate(spark) == 0
+
+
+def test_outlines_of_parts_and_flags(spark):
+    from tracewright.operators import bodies as D
+
+    pages = spark.createDataFrame([(1, 0, 5.0, 20000.0)], f"{KEY}, s double, area double")
+    outlines = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 40.0, 40.0), (1, 0, 2, 0.0, 0.0, 20.0, 20.0), (1, 0, 3, 0.0, 0.0, 100.0, 100.0), (1, 0, 4, 60.0, 60.0, 90.0, 90.0), (1, 0, 5, 8.0, 8.0, 16.0, 15.0), (1, 0, 6, None, 0.0, 1.0, 1.0), (2, 0, 7, 0.0, 0.0, 40.0, 40.0)], f"{KEY}, body long, {BOX}")
+    rows = [(1, 0, 1, "net", 9.0, 9.0, 15.0, 14.0, 5.0), (1, 0, 2, "net", 30.0, 30.0, 36.0, 35.0, 5.0), (1, 0, 3, "net", 70.0, 70.0, 76.0, 75.0, 5.0), (1, 0, 4, "net", 94.0, 94.0, 98.0, 98.0, 5.0), (1, 0, 5, "net", 17.0, 0.0, 23.0, 5.0, 5.0), (1, 0, 6, "net", None, 0.0, 1.0, 1.0, 5.0)]
+    texts = spark.createDataFrame(rows, f"{KEY}, text_id long, kind string, {BOX}, size double")
+    segs = lines(spark, [(62, 62, 80, 62), (62, 64, 80, 64), (1, 30, 39, 30)])
+    found = {r["text_id"]: r["body"] for r in D.text_in_body(texts, outlines, segs, pages).collect()}
+    assert found == {1: 2, 2: 1, 5: 1}  # two wires inside the fourth; the third is over a quarter of the page; a centre on an edge is not inside
+    assert {r["text_id"]: r["body"] for r in D.flag_of_label(texts, outlines, pages).collect()} == {1: 5}
+    two = texts.unionByName(texts.where("text_id = 1").withColumn("text_id", F.lit(9).cast("long")))
+    assert D.flag_of_label(two, outlines, pages).count() == 0
+    assert D.flag_of_label(texts.withColumn("kind", F.lit("pin")), outlines, pages).count() == 0
+    assert D.text_in_body(texts, outlines.limit(0), segs, pages).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text_rules import strip_count
+from ..operators import bodies as B
 from ..operators import labels
 from ..operators.spatial import grid_join, point_box, seg_box, text_box
 from ..sources.fixtures import table, with_ctes
@@ -26,29 +27,20 @@ def _bodies(spark, sf):
 BODIES = "bodies AS (SELECT doc, page, i AS body, ref, x - h AS x0, y - h AS y0, x + h AS x1, y + h AS y1 FROM (SELECT *, CASE i % 3 WHEN 0 THEN 12.0 WHEN 1 THEN 25.0 ELSE 45.0 END AS h FROM parts) z)"
 
 
-def _text_bodies(spark, sf):
-    t = table(spark, sf, "texts").select("doc", "page", "text_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    inside = lambda l, r: (l["x"] >= r["x0"]) & (l["x"] <= r["x1"]) & (l["y"] >= r["y0"]) & (l["y"] <= r["y1"])  # noqa: E731, E741
-    j = grid_join(t, _bodies(spark, sf), ["doc", "page"], point_box(), text_box(), 40.0, inside)
-    return j.select("l.doc", "l.page", "l.text_id", "r.body", "r.ref", ((F.col("r.x1") - F.col("r.x0")) * (F.col("r.y1") - F.col("r.y0"))).alias("area"))
-
-
-_INSIDE = f"{BODIES}, inb AS (SELECT t.doc, t.page, t.text_id, b.body, b.ref, (b.x1-b.x0)*(b.y1-b.y0) AS area FROM texts t JOIN bodies b ON t.doc = b.doc AND t.page = b.page AND (t.x0+t.x1)/2 BETWEEN b.x0 AND b.x1 AND (t.y0+t.y1)/2 BETWEEN b.y0 AND b.y1)"
+def _pages(spark, sf):
+    """Text height and area of each page; larger ones take larger outlines."""
+    return table(spark, sf, "heights").withColumn("area", 20000.0 + F.col("page") * 5000)
 
 
 def text_in_body(spark, sf):
-    """The smallest outline around the centre of each text; outlines that hold two whole wires or more do not count."""
-    s = table(spark, sf, "segs").select("doc", "page", "seg_id", "x1", "y1", "x2", "y2")
-    whole = lambda w, b: (w["x1"] >= b["x0"]) & (w["x2"] <= b["x1"]) & (w["y1"] >= b["y0"]) & (w["y2"] <= b["y1"])
-    wires = grid_join(s, _bodies(spark, sf), ["doc", "page"], seg_box(), text_box(), 40.0, whole).groupBy(F.col("r.doc").alias("doc"), F.col("r.page").alias("page"), F.col("r.body").alias("body")).agg(F.count("*").alias("n")).where("n >= 2")
-    return _text_bodies(spark, sf).join(wires, ["doc", "page", "body"], "left_anti").groupBy("doc", "page", "text_id").agg(F.min(F.struct("area", "body")).alias("b")).select("doc", "page", "text_id", "b.body")
+    return B.text_in_body(table(spark, sf, "texts"), _bodies(spark, sf), table(spark, sf, "segs"), _pages(spark, sf))
 
 
 def flag_of_label(spark, sf):
-    """Small outlines around exactly one text flag it; of several the last."""
-    small = _text_bodies(spark, sf).where("area < 1000")
-    alone = small.groupBy("doc", "page", "body").agg(F.count("*").alias("n"), F.min("text_id").alias("text_id")).where("n = 1")
-    return alone.groupBy("doc", "page", "text_id").agg(F.max("body").alias("body"))
+    """Boxes around some of the labels, and some further ones."""
+    f = table(spark, sf, "flags").withColumnRenamed("text_id", "body")
+    wide = f.where("body % 8 = 1").select("doc", "page", (F.col("body") + 10000).alias("body"), (F.col("x0") - 1).alias("x0"), "y0", "x1", "y1")
+    return B.flag_of_label(table(spark, sf, "texts"), f.unionByName(wide), _pages(spark, sf))
 
 
 def part_at(spark, sf):
@@ -151,8 +143,14 @@ def pin_to_net(spark, sf):
 
 JOBS = {
     "nearest_segment": (nearest_segment, with_ctes(f"c AS (SELECT t.doc, t.page, t.text_id, s.seg_id, round({gap(('t.x0', 't.y0', 't.x1', 't.y1'), ('s.x1', 's.y1', 's.x2', 's.y2'))}, 6) AS d FROM texts t JOIN segs s ON t.doc = s.doc AND t.page = s.page) SELECT doc, page, text_id, seg_id, d FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, text_id ORDER BY d, seg_id) AS r FROM c WHERE d <= 6) z WHERE r = 1", "texts")),
-    "text_in_body": (text_in_body, with_ctes(f"{_INSIDE}, w AS (SELECT b.doc, b.page, b.body FROM segs s JOIN bodies b ON s.doc = b.doc AND s.page = b.page AND s.x1 >= b.x0 AND s.x2 <= b.x1 AND s.y1 >= b.y0 AND s.y2 <= b.y1 GROUP BY b.doc, b.page, b.body HAVING count(*) >= 2) SELECT doc, page, text_id, body FROM (SELECT i.*, row_number() OVER (PARTITION BY i.doc, i.page, i.text_id ORDER BY area, i.body) AS r FROM inb i ANTI JOIN w ON i.doc = w.doc AND i.page = w.page AND i.body = w.body) z WHERE r = 1", "texts", "parts")),
-    "flag_of_label": (flag_of_label, with_ctes(f"{_INSIDE}, one AS (SELECT doc, page, body, min(text_id) AS text_id FROM inb WHERE area < 1000 GROUP BY doc, page, body HAVING count(*) = 1) SELECT doc, page, text_id, max(body) AS body FROM one GROUP BY doc, page, text_id", "texts", "parts")),
+    "text_in_body": (text_in_body, with_ctes(f"""{BODIES}, big AS (SELECT *, (x1 - x0) * (y1 - y0) AS size FROM bodies WHERE (x1 - x0) * (y1 - y0) > 150 AND least(x1 - x0, y1 - y0) > 7.5),
+w AS (SELECT b.doc, b.page, b.body FROM segs s JOIN big b ON s.doc = b.doc AND s.page = b.page AND s.x1 > b.x0 + 0.5 AND s.x2 < b.x1 - 0.5 AND s.y1 > b.y0 + 0.5 AND s.y2 < b.y1 - 0.5 GROUP BY b.doc, b.page, b.body HAVING count(*) >= 2),
+ok AS (SELECT b.* FROM big b ANTI JOIN w USING (doc, page, body) WHERE size <= 5000 + b.page * 1250)
+SELECT doc, page, text_id, body FROM (SELECT t.doc, t.page, t.text_id, b.body, row_number() OVER (PARTITION BY t.doc, t.page, t.text_id ORDER BY b.size, b.body) AS r FROM texts t JOIN ok b ON t.doc = b.doc AND t.page = b.page AND (t.x0 + t.x1) / 2 > b.x0 AND (t.x0 + t.x1) / 2 < b.x1 AND (t.y0 + t.y1) / 2 > b.y0 AND (t.y0 + t.y1) / 2 < b.y1
+  WHERE EXISTS (SELECT 1 FROM dots d WHERE d.doc = t.doc AND d.page = t.page)) z WHERE r = 1""", "segs", "dots", "texts", "parts")),
+    "flag_of_label": (flag_of_label, with_ctes("""f AS (SELECT doc, page, text_id AS body, x0, y0, x1, y1 FROM flags UNION ALL SELECT doc, page, text_id + 10000, x0 - 1, y0, x1, y1 FROM flags WHERE text_id % 8 = 1), small AS (SELECT f.* FROM f SEMI JOIN dots d ON f.doc = d.doc AND f.page = d.page WHERE NOT ((x1 - x0) * (y1 - y0) > 150 AND least(x1 - x0, y1 - y0) > 7.5)),
+one AS (SELECT b.doc, b.page, b.body, min(t.text_id) AS text_id FROM small b JOIN texts t ON t.doc = b.doc AND t.page = b.page AND t.x0 >= b.x0 - 0.75 AND t.x1 <= b.x1 + 0.75 AND t.y0 >= b.y0 - 0.75 AND t.y1 <= b.y1 + 0.75 GROUP BY b.doc, b.page, b.body HAVING count(*) = 1)
+SELECT doc, page, text_id, max(body) AS body FROM one GROUP BY doc, page, text_id""", "dots", "flags")),
     "part_at": (part_at, with_ctes(f"{BODIES}, c AS (SELECT d.doc, d.page, d.x, d.y, b.body, (b.x1-b.x0)*(b.y1-b.y0) AS a FROM dots d JOIN bodies b ON d.doc = b.doc AND d.page = b.page AND d.x BETWEEN b.x0 AND b.x1 AND d.y BETWEEN b.y0 AND b.y1) SELECT doc, page, x, y, body FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, x, y ORDER BY a, body) AS r FROM c) z WHERE r = 1", "dots", "parts")),
     "wire_end_at_box": (wire_end_at_box, with_ctes(f"""{BODIES}, c AS (SELECT b.doc, b.page, b.body, s.seg_id, s.x1, s.y1, s.x2, s.y2, (b.x0+b.x1)/2 AS cx, (b.y0+b.y1)/2 AS cy, s.x1 BETWEEN b.x0 AND b.x1 AND s.y1 BETWEEN b.y0 AND b.y1 AS i1, s.x2 BETWEEN b.x0 AND b.x1 AND s.y2 BETWEEN b.y0 AND b.y1 AS i2 FROM bodies b JOIN segs s ON s.doc = b.doc AND s.page = b.page WHERE b.x1 - b.x0 <= 24),
 e AS (SELECT doc, page, body, seg_id, round(sqrt(power(CASE WHEN i1 THEN x1 ELSE x2 END - cx, 2) + power(CASE WHEN i1 THEN y1 ELSE y2 END - cy, 2)), 6) AS d FROM c WHERE i1 <> i2) SELECT doc, page, body, seg_id, d FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, body ORDER BY d, seg_id) AS r FROM e) z WHERE r = 1""", "segs", "parts")),
