@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import nets, scores
 from ..operators import primitives as P
-from ..sources import sinks
+from ..sources import sinks, truth
 from ..sources.fixtures import table, with_ctes
 from ..sources.shared import shared_path
 from . import net_jobs, part_jobs
@@ -69,6 +69,16 @@ def style_wire_stats(spark, sf):
     return out.select("doc", "page", "rank", "style", "n", *[F.round(c, 6).alias(c) for c in ("mean_len", "closed", "on_wire")])
 
 
+def src_manifest(spark, sf):
+    """A manifest for each drawing, written as JSON and read back with nulls where an entry leaves a field out."""
+    p = table(spark, sf, "parts")
+    entry = F.struct(F.concat_ws("-", F.lit("sheet"), "doc", "page", "i").alias("id"), F.when(F.col("i") % 3 > 0, "cad").otherwise("pen").alias("tool"), F.concat("ref", F.lit(".pdf")).alias("pdf"), F.when(F.col("i") % 3 > 0, F.concat("ref", F.lit(".kicad_sch"))).alias("source"), F.when(F.col("i") % 4 == 0, True).alias("local"), F.when(F.col("i") % 5 == 0, F.col("page")).cast("int").alias("sheet"), F.col("value").alias("note"))
+    m = p.groupBy("doc").agg(F.to_json(F.struct(F.lit("drawings").alias("about"), F.sort_array(F.collect_list(entry)).alias("entries"))).alias("value"))
+    path = shared_path(spark, "manifests")
+    m.write.partitionBy("doc").text(path)
+    return truth.read_manifest(spark, path).select("id", "tool", "repo", "pdf", "source", "local", "sheet", "note")
+
+
 _CELL = lambda s: f"CASE WHEN regexp_matches({s}, '^[=+\\-@]') THEN '\"=\"\"' || replace({s}, '\"', '\"\"\"\"') || '\"\"\"' WHEN regexp_matches({s}, '[\",\\r\\n]') THEN '\"' || replace({s}, '\"', '\"\"') || '\"' ELSE {s} END"
 _FILE = lambda header, lines: f"files AS (SELECT d.doc, {BOM_SQL} || {q(header)} || chr(13) || chr(10) || coalesce(string_agg(line || chr(13) || chr(10), '' ORDER BY place) FILTER (line IS NOT NULL), '') AS f FROM (SELECT DISTINCT doc FROM dots) d LEFT JOIN ({lines}) l USING (doc) GROUP BY d.doc) SELECT doc, CAST(strlen(f) AS BIGINT) AS n_bytes, sha256(f) AS sha256 FROM files"
 _NETS_LIST = f"SELECT doc, {net_jobs._ORDER} AS place, net, type, labels, pages FROM entries"
@@ -82,6 +92,7 @@ st AS (SELECT *, list_filter(range(1, len(l) - 1), lambda i: len(list_filter(ran
 stacks AS MATERIALIZED (SELECT doc, page, level, lane, p[coalesce(dec, inc)] AS first, len(l) - coalesce(dec, inc) + 1 AS n, dec IS NOT NULL AS shrinks, CASE WHEN dec IS NOT NULL THEN c[dec] ELSE c[len(l)] END AS centre, CASE WHEN dec IS NOT NULL THEN p[dec] ELSE p[len(l)] END AS top FROM st WHERE coalesce(dec, inc) IS NOT NULL)"""
 
 JOBS = {
+    "src_manifest": (src_manifest, with_ctes("SELECT 'sheet-' || doc || '-' || page || '-' || i AS id, CASE WHEN i % 3 > 0 THEN 'cad' ELSE 'pen' END AS tool, CAST(NULL AS VARCHAR) AS repo, ref || '.pdf' AS pdf, CASE WHEN i % 3 > 0 THEN ref || '.kicad_sch' END AS source, CASE WHEN i % 4 = 0 THEN true END AS local, CAST(CASE WHEN i % 5 = 0 THEN page END AS INTEGER) AS sheet, value AS note FROM parts", "parts")),
     "nets_csv_files": (nets_csv_files, with_ctes(f"{O.NETS}, {O.ENTRIES}, " + _FILE("net,type,labels,pages", f"SELECT doc, place, {_CELL('net')} || ',' || type || ',' || labels || ',' || pages AS line FROM ({_NETS_LIST}) e"), "segs", "dots", "texts")),
     "parts_csv_files": (parts_csv_files, with_ctes(f"{_C}, " + _FILE("reference,value,pages", f"SELECT doc, place, {_CELL('ref')} || ',' || {_CELL('values')} || ',' || pages AS line FROM ({_PARTS_LIST}) e"), "dots", "parts")),
     "report_json": (report_json, with_ctes(f"""{O.NETS}, {O.ENTRIES}, {_C}, n AS (SELECT doc, list(struct_pack(name := net, power := type = 'power', labelCount := labels, pages := {_PAGES}) ORDER BY place) AS nets FROM ({_NETS_LIST}) e GROUP BY doc),
