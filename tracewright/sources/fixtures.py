@@ -105,9 +105,14 @@ FROM (SELECT doc, page, i, n, CASE n WHEN 1 THEN x + w WHEN 5 THEN x + w ELSE x
     CASE n WHEN 3 THEN x WHEN 4 THEN x ELSE x + w + CASE WHEN i % 6 = 2 AND n = 2 THEN 0.125 ELSE 0 END END AS x2, CASE n WHEN 0 THEN y WHEN 1 THEN y + h WHEN 3 THEN y WHEN 2 THEN y + h ELSE y + 2 * h END AS y2
   FROM (SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY x, y) AS i, x - 5 AS x, y - 10 AS y, CASE WHEN (x + y) % 70 = 20 THEN 10.0 ELSE 20.0 + x % 30 END AS w, CASE WHEN (x + y) % 70 = 20 THEN 10.0 ELSE 20.0 END AS h FROM dots) d
     CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n UNION ALL SELECT 2 AS n UNION ALL SELECT 3 AS n UNION ALL SELECT 4 AS n UNION ALL SELECT 5 AS n UNION ALL SELECT 6 AS n) m WHERE (n < 4 OR i % 4 = 1) AND NOT (n = 2 AND i % 5 = 4)) f""",
+    # references and values with pens, some turned, some in bodies; strokes of symbols, on some lines between the two
+    "part_texts": """
+SELECT doc, page, text_id, str, kind, x0, y0, x1, y1, ax, ay, size, CASE WHEN text_id % 22 = 7 THEN -90 ELSE rot END AS rot, CASE WHEN text_id % 10 = 4 THEN CAST(NULL AS STRING) WHEN text_id % 14 = 3 THEN '#00a000' ELSE '#f00000' END AS color, in_body OR text_id % 26 = 5 AS in_body, net_id FROM fields""",
+    "part_boxes": """
+SELECT doc, page, CAST(i AS BIGINT) AS box_id, x + 11 AS x0, y - 3 AS y0, x + 18 AS x1, y AS y1 FROM parts WHERE page % 3 <> 2""",
 }
 #: Which fixtures a fixture is made of.
-NEEDS = {"texts": ["segs"], "gt_wires": ["segs"], "marks": ["dots"], "fields": ["parts"], "heights": ["dots"], "bars": ["dots", "marks"], "prims": ["segs"], "pin_boxes": ["parts"], "lettered": ["segs", "texts", "parts"], "part_links": ["parts"], "net_links": ["segs", "texts"], "sheet_texts": ["segs", "texts", "parts", "fields"], "ports": ["dots"], "diags": ["dots", "ports"], "edges": ["dots", "ports"], "frames": ["dots"], **{t: ["segs", "texts"] for t in ("strokes", "links", "flags")}}
+NEEDS = {"texts": ["segs"], "gt_wires": ["segs"], "marks": ["dots"], "fields": ["parts"], "heights": ["dots"], "bars": ["dots", "marks"], "prims": ["segs"], "pin_boxes": ["parts"], "lettered": ["segs", "texts", "parts"], "part_links": ["parts"], "net_links": ["segs", "texts"], "sheet_texts": ["segs", "texts", "parts", "fields"], "ports": ["dots"], "diags": ["dots", "ports"], "edges": ["dots", "ports"], "frames": ["dots"], "part_texts": ["parts", "fields"], "part_boxes": ["parts"], **{t: ["segs", "texts"] for t in ("strokes", "links", "flags")}}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
