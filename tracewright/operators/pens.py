@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text_rules import LOOSE_REF, is_power_name
 from ..sources.shared import written
 from .graph import KEY
-from .labels import attach_labels
+from .labels import attach_labels, loose_refs, pin_end_in_line, pin_under_text
 
 PEN = [*KEY, "color"]
 
@@ -87,3 +88,14 @@ def settled_labels(texts: DataFrame, segs: DataFrame, symbols: DataFrame, flags:
     on = lambda df: df.join(pages, KEY, "left_semi")
     second = attach_labels(on(settled), on(segs), on(symbols), on(flags), touch, monochrome)
     return settled, first.join(pages, KEY, "left_anti").unionByName(second)
+
+
+def loose_refs_by_pen(texts: DataFrame, lines: DataFrame, field_pens: DataFrame, pin_pens: DataFrame) -> DataFrame:
+    """(doc, page, text_id): words outside bodies that name no wire, look like references and have a value beside them (``loose_refs``) or are lettered in a field pen (doc, page, color) with no pin line
+    (lines) ending at them. Not those in a pin pen, which writes numbers such as A12, nor on a pin line by more than half their length. ``texts``: also color, in_body, net_id."""
+    pen = lambda p: p.select(*PEN).distinct()
+    t = texts.where((F.col("kind") == "net") & F.col("net_id").isNull() & ~F.coalesce("in_body", F.lit(False)) & F.col("str").rlike(LOOSE_REF) & ~is_power_name(F.col("str")))
+    t = t.join(pen(pin_pens), PEN, "left_anti").join(pin_under_text(t, lines).where("cover > 0.5"), [*KEY, "text_id"], "left_anti")
+    fields = t.join(pen(field_pens), PEN, "left_semi")
+    fields = fields.join(pin_end_in_line(fields, lines), [*KEY, "text_id"], "left_anti").select(*KEY, "text_id")
+    return loose_refs(texts).join(t.select(*KEY, "text_id"), [*KEY, "text_id"], "left_semi").union(fields).distinct()

@@ -110,9 +110,20 @@ FROM (SELECT doc, page, i, n, CASE n WHEN 1 THEN x + w WHEN 5 THEN x + w ELSE x
 SELECT doc, page, text_id, str, kind, x0, y0, x1, y1, ax, ay, size, CASE WHEN text_id % 22 = 7 THEN -90 ELSE rot END AS rot, CASE WHEN text_id % 10 = 4 THEN CAST(NULL AS STRING) WHEN text_id % 14 = 3 THEN '#00a000' ELSE '#f00000' END AS color, in_body OR text_id % 26 = 5 AS in_body, net_id FROM fields""",
     "part_boxes": """
 SELECT doc, page, CAST(i AS BIGINT) AS box_id, x + 11 AS x0, y - 3 AS y0, x + 18 AS x1, y AS y1 FROM parts WHERE page % 3 <> 2""",
+    # a bookmark tree: nets with pins, parts with pins, a second Nets that does not count, a net of that name, a part that comes twice, drawings without nets
+    "bookmarks": """
+SELECT doc, page * 1000000 + node AS node, CASE WHEN parent IS NOT NULL THEN page * 1000000 + parent END AS parent, title, CASE WHEN node = 0 THEN page END AS page FROM (
+  SELECT DISTINCT doc, page, 0 AS node, CAST(NULL AS BIGINT) AS parent, 'Sheet' AS title FROM pins UNION ALL SELECT DISTINCT doc, page, 1, 0, 'Nets (6)' FROM pins UNION ALL SELECT DISTINCT doc, page, 10000, 0, 'Components' FROM pins
+  UNION ALL SELECT DISTINCT doc, page, 1000 * (1 + CAST(substring(gt, 2) AS BIGINT)), 1, gt FROM pins UNION ALL SELECT DISTINCT doc, page, 1000 * (1 + CAST(substring(gt, 2) AS BIGINT)) + 1, 1000 * (1 + CAST(substring(gt, 2) AS BIGINT)), 'Pins (9)' FROM pins WHERE doc % 4 <> 3
+  UNION ALL SELECT doc, page, 1000 * (1 + CAST(substring(gt, 2) AS BIGINT)) + 2 + CAST(substring(split_part(pin, '-', 1), 2) AS BIGINT) * 40 + CAST(split_part(pin, '-', 2) AS BIGINT), 1000 * (1 + CAST(substring(gt, 2) AS BIGINT)) + 1, ' ' || pin || ' ' FROM pins WHERE doc % 4 <> 3
+  UNION ALL SELECT DISTINCT doc, page, 9000, 1, 'Nets' FROM pins UNION ALL SELECT DISTINCT doc, page, 9001, 9000, 'Pins' FROM pins WHERE doc % 4 <> 3 UNION ALL SELECT DISTINCT doc, page, 9002, 9001, 'X-1' FROM pins WHERE doc % 4 <> 3
+  UNION ALL SELECT DISTINCT doc, page, 10000 + 100 * (1 + CAST(substring(split_part(pin, '-', 1), 2) AS BIGINT)), 10000, split_part(pin, '-', 1) FROM pins
+  UNION ALL SELECT doc, page, 10000 + 100 * (1 + CAST(substring(split_part(pin, '-', 1), 2) AS BIGINT)) + 1 + CAST(split_part(pin, '-', 2) AS BIGINT), 10000 + 100 * (1 + CAST(substring(split_part(pin, '-', 1), 2) AS BIGINT)), pin FROM pins
+  UNION ALL SELECT DISTINCT doc, page, 20000, 10000, 'U1' FROM pins WHERE page % 2 = 1 UNION ALL SELECT DISTINCT doc, page, 20001, 20000, 'U1:EP' FROM pins WHERE page % 2 = 1
+  UNION ALL SELECT DISTINCT doc, page, 90000, 0, 'Nets' FROM pins UNION ALL SELECT DISTINCT doc, page, 90001, 90000, 'FAKE' FROM pins UNION ALL SELECT DISTINCT doc, page, 90002, 90001, 'Pins' FROM pins UNION ALL SELECT DISTINCT doc, page, 90003, 90002, 'F-1' FROM pins) b""",
 }
 #: Which fixtures a fixture is made of.
-NEEDS = {"texts": ["segs"], "gt_wires": ["segs"], "marks": ["dots"], "fields": ["parts"], "heights": ["dots"], "bars": ["dots", "marks"], "prims": ["segs"], "pin_boxes": ["parts"], "lettered": ["segs", "texts", "parts"], "part_links": ["parts"], "net_links": ["segs", "texts"], "sheet_texts": ["segs", "texts", "parts", "fields"], "ports": ["dots"], "diags": ["dots", "ports"], "edges": ["dots", "ports"], "frames": ["dots"], "part_texts": ["parts", "fields"], "part_boxes": ["parts"], **{t: ["segs", "texts"] for t in ("strokes", "links", "flags")}}
+NEEDS = {"texts": ["segs"], "gt_wires": ["segs"], "marks": ["dots"], "fields": ["parts"], "heights": ["dots"], "bars": ["dots", "marks"], "prims": ["segs"], "pin_boxes": ["parts"], "lettered": ["segs", "texts", "parts"], "part_links": ["parts"], "net_links": ["segs", "texts"], "sheet_texts": ["segs", "texts", "parts", "fields"], "ports": ["dots"], "diags": ["dots", "ports"], "edges": ["dots", "ports"], "frames": ["dots"], "part_texts": ["parts", "fields"], "part_boxes": ["parts"], "bookmarks": ["pins"], **{t: ["segs", "texts"] for t in ("strokes", "links", "flags")}}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
