@@ -391,6 +391,18 @@ def test_licences(spark, odd, none):
     assert {r["license"] for r in licences.scan(df, known=own.limit(0)).collect()} == {None}
 
 
+def test_lines_of_any_known_text_are_found(spark):
+    """Whole licences as one line of a longer text, also those without the word licence, in any of their spellings; a caller's table likewise."""
+    isc, zlib = licences._ISC.replace("\n", " "), next(t for i, t in licences.KNOWN if i == "Zlib").replace("\n", " ")
+    own = [("N-1", "Licence key holders only"), ("N-2", "Zutritt verboten"), ("N-3", "Copyright owner must agree"), ("N-4", "Sublicense it"), ("N-5", "free")]
+    texts = [f"a\n{isc}\nb", f"{zlib}\nb", "x\n ** LICENSE, KEY holders only\n", "zutritt  VERBOTEN!\n-\nFree.", "y\nThe copyright", "sub-licence it\nz", "z\n1 Zutritt verboten"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = {r["doc_id"]: r["notices"] for r in licences.scan(df).collect()}
+    assert {k: v for k, v in plain.items() if v} == {0: "ISC", 1: "Zlib"}
+    got = {r["doc_id"]: r["notices"] for r in licences.scan(df, known=spark.createDataFrame(own, "license string, text string")).collect()}
+    assert {k: v for k, v in got.items() if v} == {2: "N-1", 3: "N-2,N-5", 5: "N-4"}
+
+
 def test_licences_planted_into_documents_equal_sql(spark, docs, tmp_path):
     import duckdb
 

@@ -82,49 +82,64 @@ KNOWN: list[tuple[str, str]] = [
 ]
 # Spellings that mean the same.
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("merchantibility", "merchantability"), ("https", "http"), ("organisation", "organization"), ("favour", "favor"), ("behaviour", "behavior"), ("authorise", "authorize"), ("copyright owner", "copyright holder")]
-#: What a single line must hold to be tried as a notice.
-ANCHOR = r"(?i)licen[cs]e"
 #: Lines that name the holder of a copyright, not lines of a sentence on copyright; what parts words.
 COPYRIGHT = r"(?m)^[^\p{L}\n(]*(?:copyright[ \t]*(?:\(c\)|©|:|by |[<{0-9]|\[)|copr\.|(?:\(c\)|©)[ \t]*(?:copyright[ \t]*)?[0-9]|all rights reserved[^\p{L}\n]*$)[^\n]*$"
 PARTS = r"[^\p{L}\p{N}]+"
+#: The first two words of a line.
+LEAD = r"[\p{L}\p{N}]+(?:[^\p{L}\p{N}]+[\p{L}\p{N}]+)?"
 #: Most entries of a table of known texts; all of them are broadcast.
 MOST = 10_000
 
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form of a text. Null for null; texts without a letter or digit share the digest of the empty text."""
+def canonical(text: Column) -> Column:
+    """The canonical form of a text: null for null, empty for texts without a letter or digit."""
     t = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
     t = F.btrim(F.regexp_replace(t, PARTS, " "), F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.sha2(t, 256)
+    return t
+
+
+def digest(text: Column) -> Column:
+    """SHA-256 of the canonical form of a text. Null for null; texts without a letter or digit share the digest of the empty text."""
+    return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known: DataFrame | None = None) -> dict[str, str]:
-    """Licence by canonical digest, for a table (license, text) of known texts or the ones above; of two licences with one digest the first by name. A table of more
-    than MOST rows is refused."""
+def known_digests(spark: SparkSession, known: DataFrame | None = None) -> tuple[dict[str, str], set[str]]:
+    """Licence by canonical digest, for a table (license, text) of known texts or the ones above, and the leads of their canonical forms; of two licences with one digest the first by name.
+    A table of more than MOST rows is refused."""
     known = spark.createDataFrame(KNOWN, "license string, text string") if known is None else known
-    rows = known.where("license is not null").select(digest(F.col("text")).alias("d"), "license").where("d is not null").groupBy("d").agg(F.min("license").alias("license")).limit(MOST + 1).collect()
+    rows = known.where("license is not null").select(digest(F.col("text")).alias("d"), F.substring_index(canonical(F.col("text")), " ", 2).alias("lead"), "license").where("d is not null")
+    rows = rows.groupBy("d").agg(F.min("license").alias("license"), F.min("lead").alias("lead")).limit(MOST + 1).collect()
     if len(rows) > MOST:
         raise ValueError(f"more than {MOST} known licence texts")
-    return {r["d"]: r["license"] for r in rows}
+    return {r["d"]: r["license"] for r in rows}, {x for r in rows for x in spelled(r["lead"])}
+
+
+def spelled(lead: str) -> set[str]:
+    """The first two words that a line may have before spellings are made one, if these are the first two after it."""
+    found = {lead}
+    for _ in SPELLINGS:  # spellings may meet in one lead
+        found |= {x.replace(b, a) for x in found for a, b in SPELLINGS}
+    return {" ".join(x.split(" ")[:2]) for x in found} | {x.split(" ")[0] + " " + a.split(" ")[0] for x in found for a, b in SPELLINGS if " " in x and b.startswith(x.split(" ", 1)[1] + " ")}
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", known: DataFrame | None = None) -> DataFrame:
     """(doc_id, digest, license, notices) for every row: the digest of the canonical whole text, the licence that it is, and the distinct
     licences of single lines, sorted and joined by commas. ``known`` is a table (license, text); without it the texts of this module count.
 
-    digest is null for null texts, license is null unless the whole text is known, notices is null if no line is; lines are tried if they have the word licence. The whole
+    digest is null for null texts, license is null unless the whole text is known, notices is null if no line is; lines are digested if they start with the first two words of a known text. The whole
     texts join the known digests by hash; the known table has a bounded size and is broadcast. Repeated rows get repeated results.
     """
-    found = known_digests(docs.sparkSession, known)
+    found, leads = known_digests(docs.sparkSession, known)
     table = docs.sparkSession.createDataFrame(sorted(found.items()), "known_digest string, license string")
     literal = F.create_map(*[F.lit(x) for kv in sorted(found.items()) for x in kv]) if found else F.create_map().cast("map<string,string>")
     text = F.col(text_col)
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(ANCHOR))
+    lead = lambda x: F.regexp_replace(F.regexp_extract(F.lower(x), LEAD, 0), PARTS, " ")
+    lines = F.filter(F.split(text, "\n"), lambda x: lead(x).isin(sorted(leads)))
     hits = F.filter(F.transform(lines, lambda x: F.try_element_at(literal, digest(x))), lambda x: x.isNotNull())
-    notices = F.when(text.rlike(ANCHOR) & (F.size(hits) > 0), F.array_join(F.array_sort(F.array_distinct(hits)), ","))
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest(text).alias("digest"), notices.alias("notices"))
+    notices = F.array_join(F.array_sort(F.array_distinct(hits)), ",")
+    rows = docs.select(F.col(id_col).alias("doc_id"), digest(text).alias("digest"), F.nullif(notices, F.lit("")).alias("notices"))
     return rows.join(F.broadcast(table), F.col("digest") == F.col("known_digest"), "left").select("doc_id", "digest", "license", "notices")
 
 
@@ -141,8 +156,8 @@ def oracle(table: str = "documents") -> str:
     texts = ", ".join(f"({q(i)}, {q(t)})" for i, t in KNOWN)
     return f"""
 WITH texts(license, t) AS (VALUES {texts}), known AS (SELECT {dig('t')} AS kd, min(license) AS license FROM texts GROUP BY 1),
-d AS (SELECT doc_id, text, row_number() OVER () AS r, regexp_matches(text, {q(ANCHOR)}) AS has FROM {table}),
-l AS (SELECT r, {dig('line')} AS ld FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d WHERE has) WHERE regexp_matches(line, {q(ANCHOR)})),
+d AS (SELECT doc_id, text, row_number() OVER () AS r FROM {table}),
+l AS (SELECT r, {dig('line')} AS ld FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
 n AS (SELECT r, string_agg(license, ',' ORDER BY license) AS notices FROM (SELECT DISTINCT r, license FROM l JOIN known ON ld = kd) GROUP BY r)
 SELECT doc_id, digest, license, notices
 FROM (SELECT doc_id, r, {dig('text')} AS digest FROM d) x LEFT JOIN known ON digest = kd LEFT JOIN n USING (r)"""
