@@ -8,6 +8,7 @@ from ..functions.text_rules import LOOSE_REF
 from ..operators import bookmarks, pens
 from ..operators import summaries as S
 from ..sources.fixtures import table, with_ctes
+from ..sources.shared import written
 from . import evaluation_jobs as E
 from . import net_jobs as N
 from . import oracle as O
@@ -21,12 +22,12 @@ SEARCHES = ["sig_1", " v ", "GND", "n3", " "]
 
 def bookmark_nets(spark, sf):
     """Nets of the bookmark tree with their pins."""
-    return bookmarks.outline_nets(table(spark, sf, "bookmarks")).withColumn("pins", F.array_join("pins", " "))
+    return bookmarks.outline_nets(written(table(spark, sf, "bookmarks"), "bookmarks")).withColumn("pins", F.array_join("pins", " "))
 
 
 def bookmark_parts(spark, sf):
     """Parts of the bookmark tree with their pins."""
-    return bookmarks.outline_parts(table(spark, sf, "bookmarks")).withColumn("pins", F.array_join("pins", " "))
+    return bookmarks.outline_parts(written(table(spark, sf, "bookmarks"), "bookmarks")).withColumn("pins", F.array_join("pins", " "))
 
 
 def loose_refs_by_pen(spark, sf):
