@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,31 +15,63 @@ ARGS = {0: 2, 1: 2, 2: 6, 3: 4, 4: 0}
 PTS = "array<struct<x:double,y:double>>"
 
 
-def _walk(data, ctm, height: float):
-    """(points, straight, closed) of each sub-path of one opcode stream, in view space (y down). Unknown codes are passed over; what comes before a move is dropped."""
-    a, b, c, d, e, f = ctm
-    out, i = [], 0
-    while i < len(data):
-        op = int(data[i])
-        n = ARGS.get(op, 0)
-        if n:
-            if i + n >= len(data):
-                break
-            x, y = data[i + n - 1], data[i + n]
-            point = (a * x + c * y + e, height - (b * x + d * y + f))
-            if op == 0:
-                out.append(([point], [], False))
-            elif out:
-                out[-1][0].append(point)
-                out[-1][1].append(op == 1)
-        elif op == 4 and out:
-            pts, straight, _ = out[-1]
-            if max(abs(pts[0][0] - pts[-1][0]), abs(pts[0][1] - pts[-1][1])) > 1e-3:
-                pts.append(pts[0])
-                straight.append(True)
-            out[-1] = (pts, straight, True)
-        i += n + 1
-    return [(p, s, z or (len(p) > 3 and max(abs(p[0][0] - p[-1][0]), abs(p[0][1] - p[-1][1])) < 1e-3)) for p, s, z in out]
+def _decoded(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The sub-paths of a batch of opcode streams, in view space (y down). Unknown codes are passed over; what comes before a move is dropped. Each place of the streams is taken for an opcode and
+    pointed at the one that would follow; those that the first places lead to are found by following two, four, eight .. pointers at once."""
+    data = b.column("data")
+    size = data.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    v = np.append(data.flatten().to_numpy(zero_copy_only=False), np.nan)
+    row = np.repeat(np.arange(len(size)), size)
+    end = np.cumsum(size)
+    last = len(v) - 1
+    op = np.where(np.abs(v) < 5, v, -1.0).astype(np.int64)  # as int() does, towards 0
+    n = np.zeros(len(v), np.int64)
+    for code, many in ARGS.items():
+        n[op == code] = many
+    at = np.arange(last)
+    whole = (n[:-1] == 0) | (at + n[:-1] < end[row])
+    step = at + n[:-1] + 1
+    jump = np.append(np.where(whole & (step < end[row]), step, last), last)
+    met = np.zeros(len(v), bool)
+    met[(end - size)[size > 0]] = True
+    while True:
+        more = jump[met]
+        if met[more[more < last]].all():
+            break
+        met[more] = True
+        jump = jump[jump]
+    k = np.flatnonzero(met[:-1] & whole & (op[:-1] >= 0))
+    row, op, to = row[k], op[k], k + n[k]
+    move = op == 0
+    sub = np.cumsum(move) - 1
+    starts = np.flatnonzero(move)
+    mine = (sub >= 0) & (row[starts][sub] == row) if len(starts) else np.zeros(len(k), bool)
+    row, op, to, sub = row[mine], op[mine], to[mine], sub[mine]
+    m = b.column("ctm").flatten().to_numpy(zero_copy_only=False).reshape(-1, 6)[row].T
+    height = b.column("height").to_numpy(zero_copy_only=False)[row]
+    vx, vy = v[to - 1], v[to]
+    x, y = m[0] * vx + m[2] * vy + m[4], height - (m[1] * vx + m[3] * vy + m[5])
+    # a close leads back to the start, unless the sub-path is there already
+    close, first = op == 4, np.flatnonzero(op == 0)
+    away = lambda p, q: np.maximum(np.abs(x[p] - x[q]), np.abs(y[p] - y[q]))
+    i = np.flatnonzero(close)
+    back = i[~close[i - 1] & (away(first[sub[i]], i - 1) > 1e-3)]
+    x[back], y[back] = x[first[sub[back]]], y[first[sub[back]]]
+    drawn = ~close
+    drawn[back] = True
+    closed = np.zeros(len(first), bool)
+    closed[sub[i]] = True
+    of, x, y, op = sub[drawn], x[drawn], y[drawn], op[drawn]
+    count = np.bincount(of, minlength=len(first))
+    ends = np.cumsum(count)
+    closed |= (count > 3) & (away(ends - count, ends - 1) < 1e-3)
+    offsets = lambda c: pa.array(np.append(0, np.cumsum(c)), pa.int32())
+    pts = pa.ListArray.from_arrays(offsets(count), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"]))
+    straight = pa.ListArray.from_arrays(offsets(count - 1), pa.array(((op == 1) | (op == 4))[op != 0]))
+    owner = row[first]
+    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    keys = [b.column(c).take(pa.array(owner)) for c in ("doc", "page", "path_id")]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(nth, pa.int32()), pts, straight, pa.array(closed)], ["doc", "page", "path_id", "sub", "pts", "straight", "closed"])
 
 
 def decode_path(paths: DataFrame) -> DataFrame:
@@ -47,37 +80,31 @@ def decode_path(paths: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = []
-            for doc, page, path, data, ctm, height in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if data is not None and ctm is not None and len(ctm) == 6:
-                    rows += [(doc, page, path, k, [{"x": x, "y": y} for x, y in p], s, z) for k, (p, s, z) in enumerate(_walk(data, ctm, height or 0.0))]
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(point), pa.list_(pa.bool_()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc", "page", "path_id", "sub", "pts", "straight", "closed"])
+            yield _decoded(b)
 
-    rows = paths.select(F.col("doc").cast("long"), F.col("page").cast("long"), F.col("path_id").cast("long"), F.col("data").cast("array<double>"), F.col("ctm").cast("array<double>"), F.col("height").cast("double"))
-    return rows.mapInArrow(run, f"doc long, page long, path_id long, sub int, pts {PTS}, straight array<boolean>, closed boolean")
+    rows = paths.select(F.col("doc").cast("long"), F.col("page").cast("long"), F.col("path_id").cast("long"), F.col("data").cast("array<double>"), F.col("ctm").cast("array<double>"), F.coalesce(F.col("height").cast("double"), F.lit(0.0)).alias("height"))
+    return rows.where("data is not null and size(ctm) = 6").mapInArrow(run, f"doc long, page long, path_id long, sub int, pts {PTS}, straight array<boolean>, closed boolean")
 
 
-def straight_pieces(subpaths: DataFrame) -> DataFrame:
-    """(doc, page, path_id, sub, k, x1, y1, x2, y2, orth): each straight piece of each sub-path; orth if it is level or upright to 0.02."""
+def straight_pieces(subpaths: DataFrame, *more: Column) -> DataFrame:
+    """(doc, page, path_id, sub, k, x1, y1, x2, y2, orth): each straight piece of each sub-path; orth if it is level or upright to 0.02. ``more``: further columns of the sub-path."""
     pts, n = F.col("pts"), F.size("straight")
     z = F.arrays_zip(F.slice(pts, F.lit(1), n).alias("a"), F.slice(pts, F.lit(2), n).alias("b"), F.col("straight").alias("s"))
-    p = subpaths.where(n > 0).select(*KEY, "path_id", "sub", F.posexplode(z).alias("k", "z")).where("z.s")
+    p = subpaths.where(n > 0).select(*KEY, "path_id", "sub", *more, F.posexplode(z).alias("k", "z")).where("z.s")
+    rest = subpaths.select(*more).columns
     c = F.col
     orth = (F.abs(c("z.a.x") - c("z.b.x")) < 0.02) | (F.abs(c("z.a.y") - c("z.b.y")) < 0.02)
-    return p.select(*KEY, "path_id", "sub", "k", c("z.a.x").alias("x1"), c("z.a.y").alias("y1"), c("z.b.x").alias("x2"), c("z.b.y").alias("y2"), orth.alias("orth"))
+    return p.select(*KEY, "path_id", "sub", "k", c("z.a.x").alias("x1"), c("z.a.y").alias("y1"), c("z.b.x").alias("x2"), c("z.b.y").alias("y2"), orth.alias("orth"), *rest)
 
 
 def raw_orth_segs(paths: DataFrame) -> DataFrame:
     """Level and upright straight strokes of stroked paths (op stroke or fillStroke), for alignment: closing lines do not count."""
     data = F.filter("data", lambda x: x.isNotNull())
-    p = straight_pieces(decode_path(paths.where("op in ('stroke', 'fillStroke')").withColumn("data", data)))
-    drawn = decode_path(paths).select(*KEY, "path_id", "sub", F.size("straight").alias("n"), "closed", F.element_at("pts", 1).alias("first"), F.element_at("pts", -1).alias("last"))
-    j = p.where("orth").join(drawn, [*KEY, "path_id", "sub"])
-    closing = F.col("closed") & (F.col("k") == F.col("n") - 1) & (F.col("x2") == F.col("first.x")) & (F.col("y2") == F.col("first.y"))
-    return j.where(~closing).select(*KEY, "path_id", "sub", "k", "x1", "y1", "x2", "y2")
+    drawn = decode_path(paths.where("op in ('stroke', 'fillStroke')").withColumn("data", data))
+    # each piece beside the outline that it is of, which one decoding gives both
+    p = straight_pieces(drawn, F.struct("closed", F.size("straight").alias("n"), F.element_at("pts", 1).alias("first")).alias("of"))
+    closing = F.col("of.closed") & (F.col("k") == F.col("of.n") - 1) & (F.col("x2") == F.col("of.first.x")) & (F.col("y2") == F.col("of.first.y"))
+    return p.where("orth").where(~closing).select(*KEY, "path_id", "sub", "k", "x1", "y1", "x2", "y2")
 
 
 def bounds(pts: Column | str) -> dict[str, Column]:
