@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import primitives as P
 from ..operators import values as V
 from ..sources import truth as T
-from ..sources.fixtures import table, with_ctes
+from ..sources.fixtures import table, tables, with_ctes
 from . import oracle as O
 from .oracle import dist
 from .part_jobs import _P, value_candidates
@@ -30,7 +30,7 @@ _n = lambda c: F.col(c).cast("long").cast("string")
 
 
 def _legacy(spark, sf):
-    s, d, t, p = (table(spark, sf, n) for n in ("segs", "dots", "texts", "parts"))
+    s, d, t, p = tables(spark, sf, "segs", "dots", "texts", "parts")
     head = _line(s.where("seg_id = 0"), 0, "seg_id", "EESchema Schematic File Version 4")
     wires = _line(s, 1, "seg_id", "Wire Wire Line\n\t", _n("x1"), " ", _n("y1"), " ", _n("x2"), "   ", _n("y2"))
     dots = _line(d.withColumn("o", F.col("x") * 1000 + F.col("y")), 2, "o", "Connection ~ ", _n("x"), " ", _n("y"))
@@ -54,7 +54,7 @@ def src_kicad_legacy(spark, sf):
 
 
 def _sexpr(spark, sf):
-    s, d, t, p = (table(spark, sf, n) for n in ("segs", "dots", "texts", "parts"))
+    s, d, t, p = tables(spark, sf, "segs", "dots", "texts", "parts")
     head = _line(s.where("seg_id = 0"), 0, "seg_id", '(kicad_sch (version 20211123)\n(lib_symbols (symbol "power:X" (power) (pin_names) (symbol "X_0_1" (pin power_in line (at 3 4 90) (length 0)))))')
     wires = _line(s, 1, "seg_id", "(wire (pts (xy ", _n("x1"), " ", _n("y1"), ") (xy ", _n("x2"), " ", _n("y2"), ")) (stroke (width 0)))")
     dots = _line(d.withColumn("o", F.col("x") * 1000 + F.col("y")), 2, "o", "(junction (at ", _n("x"), " ", _n("y"), ") (diameter 0))")
@@ -70,7 +70,7 @@ def src_kicad_sexpr(spark, sf):
 
 
 def _eagle(spark, sf):
-    s, p = table(spark, sf, "segs"), table(spark, sf, "parts")
+    s, p = tables(spark, sf, "segs", "parts")
     head = _line(s.where("seg_id = 0"), 0, "seg_id", '<?xml version="1.0"?><eagle version="9"><parts><part name="R1"/></parts><sheets><sheet>')
     inst = _line(p, 1, "i", '<instance part="', F.col("ref"), '" gate="G$1"/>')
     wire = F.concat(F.lit('<segment><wire x1="'), _n("x1"), F.lit('" y1="'), _n("y1"), F.lit('" x2="'), _n("x2"), F.lit('" y2="'), _n("y2"), F.when(F.col("seg_id") % 9 == 4, F.lit('" curve="90"/>')).otherwise('"/>'), F.when(F.col("seg_id") % 6 == 0, F.concat(F.lit('<label x="'), _n("x1"), F.lit('" y="'), _n("y1"), F.lit('" size="1"/>'))).otherwise(""), F.lit("</segment>"))
@@ -98,7 +98,7 @@ def manifest_filter(spark, sf):
 
 
 def gt_connect(spark, sf):
-    s, d = table(spark, sf, "segs"), table(spark, sf, "dots")
+    s, d = tables(spark, sf, "segs", "dots")
     named = s.where("seg_id % 5 = 0").select("doc", "page", F.concat(F.lit("~{n}"), (F.col("seg_id") % 40).cast("string")).alias("name"), F.col("x1").alias("x"), F.col("y1").alias("y"))
     wires, names = T.gt_connect(s, d, named, 0.15)
     return wires.groupBy("doc", "page", "net_id").agg(F.count("*").alias("n")).join(names.groupBy("doc", "page", "net_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names")), ["doc", "page", "net_id"], "left")

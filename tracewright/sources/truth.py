@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text_rules import plain_name
 from ..operators.graph import KEY, connected_components
 from ..operators.spatial import dist_point_seg, grid_join, join_endpoints, point_box, seg_box
+from .shared import written
 
 MANIFEST = "about string, entries array<struct<id:string,tool:string,repo:string,commit:string,pdf:string,source:string,local:boolean,sheet:int,note:string>>"
 
@@ -42,17 +43,21 @@ def reader_of(name: Column, content: Column) -> Column:
 
 def read_legacy(files: DataFrame) -> dict[str, DataFrame]:
     """Line-oriented sources: a marker line is followed by its payload; $Comp .. $EndComp blocks hold reference, place and value. Supply symbols (#PWR, power:) give
-    labels, other # references nothing; of equal references the first value counts."""
-    lines = files.select("doc", F.posexplode(F.split("content", "\r?\n")).alias("at", "line"))
-    after = lines.select("doc", (F.col("at") - 1).alias("at"), F.col("line").alias("next"))
-    mark = lines.where(F.col("line").rlike(r"^(Wire Wire Line|Text (Label|GLabel|HLabel))")).join(after, ["doc", "at"])
+    labels, other # references nothing; of equal references the first value counts. Each file is read once: its marked lines, each beside the next one, and its blocks are written as they stand."""
+    line, none = F.split("content", "\r?\n"), F.array().cast("array<string>")
+    # a component is one piece of the text; its fields are found inside it
+    blocks = F.regexp_extract_all("content", F.lit(r"(?ms)^\$Comp(.*?)^\$EndComp"), F.lit(1))
+    row = lambda line, after, b: F.arrays_zip(line.alias("line"), after.alias("next"), b.alias("b"))
+    pieces = files.select("doc", F.posexplode(F.concat(row(line, F.slice(line, F.lit(2), F.size(line)), none), row(none, none, blocks))).alias("at", "p")).select("doc", "at", "p.*")
+    pieces = written(pieces.where(F.col("b").isNotNull() | F.col("line").rlike(r"^(Wire Wire Line|Text (Label|GLabel|HLabel)|Connection ~)")), "legacy")
+    lines = pieces.where("b is null")
+    mark = lines.where("next is not null")
     field = lambda c, i: F.get(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), F.lit(i))
     num = lambda c, i: field(c, i).try_cast("double")
     wires = mark.where(F.startswith("line", F.lit("Wire"))).select("doc", "at", *[num("next", i).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
     labels = mark.where(F.startswith("line", F.lit("Text"))).select("doc", "at", F.trim("next").alias("name"), num("line", 2).alias("x"), num("line", 3).alias("y"))
     junctions = lines.where(F.startswith("line", F.lit("Connection ~"))).select("doc", "at", num("line", 2).alias("x"), num("line", 3).alias("y"))
-    # a component is one piece of the text; its fields are found inside it
-    block = files.select("doc", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?ms)^\$Comp(.*?)^\$EndComp"), F.lit(1))).alias("at", "b"))
+    block = pieces.where("b is not null").select("doc", "at", "b")
     got = lambda p, i=1: F.regexp_extract("b", "(?m)" + p, i)
     shown = got(r'^F 0 .*?"([^"]*)"')
     comp = block.select("doc", "at", F.coalesce(F.nullif(shown, F.lit("")), got(r"^L (\S*) (\S*)", 2)).alias("ref"), got(r"^L (\S*)").alias("lib"), got(r"^P (\S+) (\S+)").try_cast("double").alias("x"), got(r"^P (\S+) (\S+)", 2).try_cast("double").alias("y"), got(r'^F 1 .*?"([^"]*)"').alias("value"))
@@ -67,21 +72,26 @@ def _first_values(parts: DataFrame) -> DataFrame:
     return parts.groupBy("doc", "ref").agg(F.min("at").alias("at"), first.alias("value"))
 
 
-_TOKEN = re.compile(r'\s*(?:([()])|"((?:[^"\\]|\\.)*)"|([^\s()"]+))', re.S)
+_TOKEN = re.compile(r'[()]|"(?:[^"\\]|\\.)*"|[^\s()"]+', re.S)
 
 
 def _nested(text: str) -> list:
     """The lists of an s-expression; what is not closed ends with the text."""
     stack: list[list] = [[]]
-    for m in _TOKEN.finditer(text):
-        if m[1] == "(":
-            stack.append([])
-        elif m[1] == ")":
+    top = stack[0]
+    for t in _TOKEN.findall(text):
+        if t == "(":
+            top = []
+            stack.append(top)
+        elif t == ")":
             if len(stack) > 1:
                 done = stack.pop()
-                stack[-1].append(done)
+                top = stack[-1]
+                top.append(done)
+        elif t[0] == '"':
+            top.append(re.sub(r"\\(.)", r"\1", t[1:-1], flags=re.S) if "\\" in t else t[1:-1])
         else:
-            stack[-1].append(re.sub(r"\\(.)", r"\1", m[2], flags=re.S) if m[2] is not None else m[3])
+            top.append(t)
     while len(stack) > 1:
         done = stack.pop()
         stack[-1].append(done)
@@ -133,6 +143,7 @@ def read_sexpr(files: DataFrame) -> dict[str, DataFrame]:
                 yield pd.DataFrame(rows, columns=["doc", "at", "what", "name", "value", "x1", "y1", "x2", "y2"])
 
     rows = files.select(F.col("doc").cast("long").alias("doc"), "content").mapInPandas(run, "doc long, at long, what string, name string, value string, x1 double, y1 double, x2 double, y2 double")
+    rows = written(rows, "sexpr")  # each file is parsed once for all four tables
     point = [F.col("x1").alias("x"), F.col("y1").alias("y")]
     return {
         "wires": rows.where("what = 'wire'").select("doc", "at", "x1", "y1", "x2", "y2"), "junctions": rows.where("what = 'junction'").select("doc", "at", *point),
@@ -161,17 +172,17 @@ def gt_connect(wires: DataFrame, junctions: DataFrame, labels: DataFrame, eps: f
     """Wires (doc, page, seg_id, x1 ..) with net_id, and (doc, page, net_id, name) of each name of each net: ends that touch join, wires through a junction join,
     wires under labels of one name in any case join. A label names the first wire that it lies on."""
     on = lambda d, s: dist_point_seg(d["x"], d["y"], s["x1"], s["y1"], s["x2"], s["y2"]) <= eps
-    s = wires.select(*KEY, "seg_id", "x1", "y1", "x2", "y2")
+    s = wires.select(*KEY, "seg_id", "x1", "y1", "x2", "y2").persist()
     hit = grid_join(junctions.select(*KEY, "x", "y"), s, KEY, point_box(grow=eps), seg_box(), 20.0, on).select("l.*", "r.seg_id")
-    star = lambda h, *by: h.join(h.groupBy(*KEY, *by).agg(F.min("seg_id").alias("src")), [*KEY, *by]).where("src <> seg_id").select(*KEY, "src", F.col("seg_id").alias("dst")).distinct()
+    star = lambda h, *by: h.withColumn("src", F.min("seg_id").over(Window.partitionBy(*KEY, *by))).where("src <> seg_id").select(*KEY, "src", F.col("seg_id").alias("dst"))
     named = grid_join(labels.select(*KEY, "name", "x", "y"), s, KEY, point_box(grow=eps), seg_box(), 20.0, on).select("l.*", "r.seg_id")
-    named = named.groupBy(*KEY, "name", "x", "y").agg(F.min("seg_id").alias("seg_id")).withColumn("key", F.upper("name"))
+    named = named.groupBy(*KEY, "name", "x", "y").agg(F.min("seg_id").alias("seg_id")).withColumn("key", F.upper("name")).persist()
     edges = join_endpoints(s, eps).unionByName(star(hit, "x", "y")).unionByName(star(named, "key"))
-    root = connected_components(s, edges)
+    root = connected_components(s, edges).persist()
     first = root.groupBy(*KEY, "root").agg(F.min("seg_id").alias("first"))
     ids = first.withColumn("net_id", (F.row_number().over(Window.partitionBy(*KEY).orderBy("first")) - 1).cast("long")).select(*KEY, "root", "net_id")
-    nets = wires.join(root, [*KEY, "seg_id"]).join(ids, [*KEY, "root"]).drop("root")
-    return nets, named.join(nets.select(*KEY, "seg_id", "net_id"), [*KEY, "seg_id"]).select(*KEY, "net_id", plain_name(F.col("name")).alias("name")).distinct()
+    numbered = root.join(ids, [*KEY, "root"]).select(*KEY, "seg_id", "net_id")
+    return wires.join(numbered, [*KEY, "seg_id"]), named.join(numbered, [*KEY, "seg_id"]).select(*KEY, "net_id", plain_name(F.col("name")).alias("name")).distinct()
 
 
 LONGEST, SHORTEST, SAMPLE = 12, 5.0, 80
