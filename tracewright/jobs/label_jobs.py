@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labels as L
 from ..operators import symbols as S
-from ..sources.fixtures import table, with_ctes
+from ..sources.fixtures import table, tables, with_ctes
 from . import oracle as O
 from .oracle import dist, gap, power
 
@@ -38,7 +38,7 @@ attached AS (SELECT doc, page, text_id, seg_id, via, port FROM (SELECT *, row_nu
 
 
 def _t(*names):
-    return lambda spark, sf: [table(spark, sf, n) for n in names]
+    return lambda spark, sf: tables(spark, sf, *names)
 
 
 def pin_under_text(spark, sf):

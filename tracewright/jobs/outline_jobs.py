@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import outlines as B
-from ..sources.fixtures import table, with_ctes
+from ..sources.fixtures import table, tables, with_ctes
 
 
 def _t(spark, sf, *names):
-    return [table(spark, sf, n) for n in names]
+    return tables(spark, sf, *names)
 
 
 def port_outlines(spark, sf):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import labels as L
 from ..operators import part_links as K
 from ..operators import pens as P
-from ..sources.fixtures import table, with_ctes
+from ..sources.fixtures import tables, with_ctes
 from ..sources.shared import written
 from . import oracle as O
 from .label_jobs import _BARE, _CAND, _ENDS, _H, _IN, _MX, _MY, _NEAR
@@ -19,7 +19,7 @@ from .scalar_jobs import kinds
 
 
 def _t(spark, sf, *names):
-    return [table(spark, sf, n) for n in names]
+    return tables(spark, sf, *names)
 
 
 def pen_roles(spark, sf):
