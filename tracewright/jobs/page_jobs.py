@@ -9,16 +9,18 @@ from ..functions.text_rules import MARKER
 from ..operators import pens, repeats
 from ..operators.spatial import grid_join
 from ..sources.fixtures import table, with_ctes
+from ..sources.shared import by_page
 from .oracle import q
 
 
 def letters(spark, sf):
-    """Words of documents as texts on lines of a page: eight to a line, some gaps wide."""
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "[ \n]+")).alias("i", "str")).where("str <> ''")
+    """Words of documents as texts on lines of a page: eight to a line, some gaps wide. Documents are dealt by page before they are cut into words, so that words need no shuffle."""
+    page = [F.floor(F.col("doc_id") / 5).alias("doc"), (F.col("doc_id") % 5).alias("page")]
+    d = by_page(table(spark, sf, "documents").select("doc_id", "text", *page)).select("doc_id", "doc", "page", F.posexplode(F.split("text", "[ \n]+")).alias("i", "str")).where("str <> ''")
     kind = F.when(F.length("str") % 5 == 0, "pin").when(F.length("str") % 3 == 0, "value").otherwise("net")
     x = ((F.col("i") % 8) * 40).cast("double")
     size = F.when(F.col("doc_id") % 5 % 3 == 0, 6.0).otherwise(5.0)
-    return d.select(F.floor(F.col("doc_id") / 5).alias("doc"), (F.col("doc_id") % 5).alias("page"), F.col("i").alias("text_id"), "str", kind.alias("kind"), x.alias("x0"), (x + F.when(F.length("str") % 4 == 0, 38.0).otherwise(30.0)).alias("x1"), (F.floor(F.col("i") / 8) * 10).cast("double").alias("y"), (size + (F.col("i") % 4)).alias("size"))
+    return d.select("doc", "page", F.col("i").alias("text_id"), "str", kind.alias("kind"), x.alias("x0"), (x + F.when(F.length("str") % 4 == 0, 38.0).otherwise(30.0)).alias("x1"), (F.floor(F.col("i") / 8) * 10).cast("double").alias("y"), (size + (F.col("i") % 4)).alias("size"))
 
 
 LETTERS = """letters AS (SELECT doc, page, text_id, str, CASE WHEN length(str) % 5 = 0 THEN 'pin' WHEN length(str) % 3 = 0 THEN 'value' ELSE 'net' END AS kind, CAST(text_id % 8 * 40 AS DOUBLE) AS x0, CAST(text_id % 8 * 40 AS DOUBLE) + CASE WHEN length(str) % 4 = 0 THEN 38 ELSE 30 END AS x1,

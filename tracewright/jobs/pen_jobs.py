@@ -52,9 +52,7 @@ def sentence_pairs(spark, sf):
 
 def sentence_pen_restore(spark, sf):
     """Kinds of the words of documents after notes of two pens are undone."""
-    t = _colours(spark, sf)
-    pairs = P.sentence_pairs(t, ["y"])
-    return P.sentence_pen_restore(P.with_notes(t, pairs), pairs).select("doc", "page", "text_id", "kind")
+    return P.kinds_by_sentence(_colours(spark, sf).drop("str"), ["y"]).select("doc", "page", "text_id", "kind")
 
 
 def _part_links(spark, sf):

@@ -17,14 +17,29 @@ PEN = [*KEY, "color"]
 def sentence_pairs(texts: DataFrame, line: list[str]) -> DataFrame:
     """(doc, page, a, b): neighbours on one line (columns ``line``) that continue one another: closer than 0.6 of the smaller size, no pin among them, not two values unless a text before them in
     the same run is something else. ``texts`` (doc, page, text_id, kind, x0, x1, size)."""
+    return _in_line(texts.select(*KEY, *line, "text_id", "kind", "x0", "x1", "size"), line).where("pair").select(*KEY, "a", F.col("text_id").alias("b"))
+
+
+def _in_line(texts: DataFrame, line: list[str]) -> DataFrame:
+    """``texts`` with the text before on their line (a) and whether the two are a pair of ``sentence_pairs``. All of it is read off one order of a line: a run has a text that is no value if
+    the last of those stands at its start or after."""
     w = Window.partitionBy(*KEY, *line).orderBy("x0", "text_id")
     before = {c: F.lag(c).over(w) for c in ("x1", "size", "kind", "text_id")}
     gap = F.col("x0") - before["x1"]
     joined = (gap > -0.3) & (gap < F.least("size", before["size"]) * 0.6) & (F.col("kind") != "pin") & (before["kind"] != "pin")
-    t = texts.select(*KEY, *line, "text_id", "kind", "x0", "x1", "size").withColumns({"joined": F.coalesce(joined, F.lit(False)), "a": before["text_id"]})
-    t = t.withColumn("run", F.sum((~F.col("joined")).cast("int")).over(w))
-    seen = F.max((F.col("kind") != "value").cast("int")).over(Window.partitionBy(*KEY, *line, "run").orderBy("x0", "text_id"))
-    return t.withColumn("seen", seen).where("joined and seen = 1").select(*KEY, "a", F.col("text_id").alias("b"))
+    t = texts.withColumns({"joined": F.coalesce(joined, F.lit(False)), "a": before["text_id"], "at": F.row_number().over(w)})
+    start, other = F.max(F.when(~F.col("joined"), F.col("at"))).over(w), F.max(F.when(F.col("kind") != "value", F.col("at"))).over(w)
+    return t.withColumn("pair", F.col("joined") & F.coalesce(other >= start, F.lit(False))).drop("joined", "at")
+
+
+def kinds_by_sentence(texts: DataFrame, line: list[str]) -> DataFrame:
+    """``texts`` (doc, page, text_id, kind, x0, x1, size, color, columns ``line``) as ``sentence_pen_restore`` leaves the notes that ``with_notes`` makes of their ``sentence_pairs``, with kind alone changed. As a
+    text's pairs are with its neighbours on the line, they are read off one order of the line, without joins. Rows without a page are left as they are."""
+    w = Window.partitionBy(*KEY, *line).orderBy("x0", "text_id")
+    t = _in_line(texts, line).withColumn("pair", F.col("pair") & F.col("doc").isNotNull() & F.col("page").isNotNull())
+    t = t.withColumn("stays", F.when(F.col("pair"), F.coalesce(F.col("color") == F.lag("color").over(w), F.lit(True))))
+    note = F.coalesce(F.greatest("stays", F.lead("stays").over(w)), F.lit(False))
+    return t.withColumn("kind", F.when(note, "note").otherwise(F.col("kind"))).select(texts.columns)
 
 
 def with_notes(texts: DataFrame, pairs: DataFrame) -> DataFrame:
