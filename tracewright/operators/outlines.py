@@ -7,7 +7,7 @@ meet nothing, pages without a height have no outlines, empty tables give empty r
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,16 +51,18 @@ def _first_fit(walks: DataFrame) -> DataFrame:
     """Walks (doc, page, line, box, lines) in the order of ``line``, without those that start at a line which a walk that stays has used. A task holds one page, one narrow row for each
     closed walk; everything that searches for walks has been done over joins by then."""
 
-    def of_page(g: pd.DataFrame) -> pd.DataFrame:
-        used, keep = set(), []
-        for line, at in g.groupby("line", sort=True).indices.items():
-            if line not in used:
-                for i in at:
-                    keep.append(i)
-                    used.update(g["lines"].iloc[i])
-        return g.iloc[sorted(keep)]
+    def of_page(g: pa.Table) -> pa.Table:
+        line, lines = g["line"].to_pylist(), g["lines"].to_pylist()
+        used, keep, last, free = set(), [], None, False
+        for i in sorted(range(len(line)), key=line.__getitem__):
+            if line[i] != last:
+                last, free = line[i], line[i] not in used
+            if free:
+                keep.append(i)
+                used.update(lines[i])
+        return g.take(sorted(keep))
 
-    return walks.groupBy(*KEY).applyInPandas(of_page, _STARTS)
+    return walks.groupBy(*KEY).applyInArrow(of_page, _STARTS)
 
 
 def _boxed(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,14 +84,17 @@ def rect_from_lines(lines: DataFrame, heights: DataFrame) -> tuple[DataFrame, Da
     """
     tol = F.greatest(F.lit(0.1), F.col("s") * 0.03)
     e = _ends(lines.join(heights.select(*KEY, tol.alias("tol")), KEY), "seg_id", "tol").withColumn("level", _level(F.col("y"), F.col("fy")))
-    turn = lambda l, r: (l["seg_id"] != r["seg_id"]) & (l["level"] != r["level"]) & _meet(l, r, l["tol"])  # noqa: E731, E741
-    j = grid_join(e, e, KEY, point_box(grow=F.col("tol") * 2), point_box(), CELL, turn)
-    order = F.struct(_step(F.col("l"), F.col("r"), F.col("l.tol"), "x").alias("i"), _step(F.col("l"), F.col("r"), F.col("l.tol"), "y").alias("j"), (F.col("r.seg_id") * 2 + F.col("r.e")).alias("n"))
-    t = j.select("l.doc", "l.page", F.col("l.seg_id").alias("from"), F.col("l.e").alias("at"), F.col("l.level").alias("level"), F.col("r.seg_id").alias("to"), (1 - F.col("r.e")).alias("leave"), "l.tol", F.col("r.fx").alias("fx"), F.col("r.fy").alias("fy"), order.alias("o"))
-    named = lambda a, b, n: t.select(*KEY, F.col("from").alias(a), F.col("at").alias(f"{a}_at"), F.col("to").alias(b), F.col("leave").alias(f"{b}_at"), F.col("o").alias(n))
-    first = t.where("level and at = 1").select(*KEY, F.col("from").alias("a"), F.col("to").alias("b"), F.col("leave").alias("b_at"), F.col("o").alias("o1"))
-    third = t.where("level").select(*KEY, F.col("from").alias("c"), F.col("at").alias("c_at"), F.col("to").alias("d"), F.col("fx").alias("dx"), F.col("fy").alias("dy"), "tol", F.col("o").alias("o3"))
-    walk = first.join(named("b", "c", "o2"), [*KEY, "b", "b_at"]).where("c <> a").join(third, [*KEY, "c", "c_at"]).where("d <> b")
+    turn = lambda l, r: (l["seg_id"] != r["seg_id"]) & _meet(l, r, l["tol"])  # noqa: E731, E741
+    j = grid_join(e.where("level"), e.where("not level"), KEY, point_box(grow=F.col("tol") * 2), point_box(), CELL, turn)
+    # a turn from a level line into an upright one is also the turn back, so half of them are searched for, once for all three steps of a walk
+    i, k = (_step(F.col("l"), F.col("r"), F.col("l.tol"), c).cast("int") for c in "xy")
+    t = j.select("l.doc", "l.page", "l.tol", F.col("l.seg_id").alias("level"), F.col("l.e").alias("level_at"), F.col("r.seg_id").alias("upright"), F.col("r.e").alias("upright_at"), F.col("r.fx").alias("fx"), F.col("r.fy").alias("fy"), i.alias("i"), k.alias("k")).persist()
+    c = F.col
+    into, back = F.struct("i", "k", (c("upright") * 2 + c("upright_at")).alias("n")), F.struct((-c("i")).alias("i"), (-c("k")).alias("k"), (c("level") * 2 + c("level_at")).alias("n"))
+    first = t.where("level_at = 1").select(*KEY, c("level").alias("a"), c("upright").alias("b"), (1 - c("upright_at")).alias("b_at"), into.alias("o1"))
+    second = t.select(*KEY, c("upright").alias("b"), c("upright_at").alias("b_at"), c("level").alias("c"), (1 - c("level_at")).alias("c_at"), back.alias("o2"))
+    third = t.select(*KEY, c("level").alias("c"), c("level_at").alias("c_at"), c("upright").alias("d"), c("fx").alias("dx"), c("fy").alias("dy"), "tol", into.alias("o3"))
+    walk = first.join(second, [*KEY, "b", "b_at"]).where("c <> a").join(third, [*KEY, "c", "c_at"]).where("d <> b")
     start = lines.select(*KEY, F.col("seg_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in LINE])
     walk = walk.join(start, [*KEY, "a"]).where(F.hypot(F.col("dx") - F.col("a_x1"), F.col("dy") - F.col("a_y1")) <= F.col("tol") * 1.5)
     best = walk.groupBy(*KEY, "a").agg(F.min(F.struct("o1", "o2", "o3", "b", "c", "d", "a_x1", "a_y1", "a_x2")).alias("w")).select(*KEY, "a", "w.*")
