@@ -6,13 +6,17 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, pins
 from ..operators.spatial import contacts
-from ..sources.fixtures import table, with_ctes
+from ..sources.fixtures import tables, with_ctes
 from . import oracle as O
 from .oracle import gap
 
 
-def _located(spark, sf):
-    p, segs, heights, parts = (table(spark, sf, n) for n in ("pin_boxes", "segs", "heights", "parts"))
+def _made(spark, sf):
+    return tables(spark, sf, "pin_boxes", "segs", "heights", "parts", "dots")
+
+
+def _located(spark, sf, made=None):
+    p, segs, heights, parts, _ = made or _made(spark, sf)
     net = F.when(F.col("i") % 9 == 0, F.concat(F.lit("NetR"), (F.col("i") % 4).cast("string"))).otherwise(F.concat(F.lit("NET"), (F.col("i") % 9).cast("string")))
     netlist = parts.where("i % 4 <> 3").select("doc", "page", F.col("ref").alias("name"), net.alias("net"))
     return p, netlist, *pins.pin_segments(p, segs, netlist, heights)
@@ -38,9 +42,10 @@ def pin_net_names(spark, sf):
 
 def nets_with_stand_ins(spark, sf):
     """Components of wires and stand-ins under the netlist."""
-    p, netlist, located, stand = _located(spark, sf)
-    segs = table(spark, sf, "segs").select("doc", "page", "seg_id", "x1", "y1", "x2", "y2")
-    edges = contacts(segs, table(spark, sf, "dots")).unionByName(pins.netlist_edges(located, p, netlist)[0])
+    made = _made(spark, sf)
+    p, netlist, located, stand = _located(spark, sf, made)
+    segs = made[1].select("doc", "page", "seg_id", "x1", "y1", "x2", "y2")
+    edges = contacts(segs, made[4]).unionByName(pins.netlist_edges(located, p, netlist)[0])
     return graph.connected_components(segs.unionByName(stand), edges)
 
 
