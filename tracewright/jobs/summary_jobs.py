@@ -37,29 +37,30 @@ def loose_refs_by_pen(spark, sf):
 
 
 def _labelled(spark, sf):
-    """Named nets, wires, labels, and all texts of the drawings with the nets that labels name."""
-    nets, wires, labels = N._named(spark, sf)
-    t = table(spark, sf, "texts").withColumn("in_body", F.col("text_id") % 9 == 4).join(labels.select("doc", "page", "text_id", "net_id"), ["doc", "page", "text_id"], "left")
+    """Named nets, wires, the tables they are made of, and all texts of the drawings with the nets that labels name."""
+    nets, wires, labels, made = N.drawn(spark, sf, "part_texts", "strokes")
+    t = made["texts"].withColumn("in_body", F.col("text_id") % 9 == 4).join(labels.select("doc", "page", "text_id", "net_id"), ["doc", "page", "text_id"], "left")
     cols = ["doc", "page", "text_id", "str", "kind", "in_body", "net_id"]
-    more = table(spark, sf, "part_texts").withColumn("text_id", F.col("text_id") + 100000)
-    return nets, wires, labels, t.select(cols).unionByName(more.select(cols))
+    more = made["part_texts"].withColumn("text_id", F.col("text_id") + 100000)
+    return nets, wires, made, t.select(cols).unionByName(more.select(cols))
 
 
 def page_summary(spark, sf):
-    nets, wires, _, texts = _labelled(spark, sf)
-    glyphs = table(spark, sf, "strokes").where("page % 2 = 0 or prim_id % 4 = 0").select("doc", "page", "prim_id")
-    s = S.page_summary(table(spark, sf, "segs"), wires, nets, table(spark, sf, "dots"), texts, glyphs)
+    nets, wires, made, texts = _labelled(spark, sf)
+    glyphs = made["strokes"].where("page % 2 = 0 or prim_id % 4 = 0").select("doc", "page", "prim_id")
+    s = S.page_summary(made["segs"], wires, nets, made["dots"], texts, glyphs)
     kinds = F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
     return s.withColumns({"kinds": kinds, "loose": F.array_join("loose", ",")})
 
 
 def doc_summary(spark, sf):
-    return S.doc_summary(N._named(spark, sf)[0], table(spark, sf, "parts"))
+    nets, _, _, made = N.drawn(spark, sf, "parts")
+    return S.doc_summary(nets, made["parts"])
 
 
 def net_selection(spark, sf):
-    nets, wires, labels = N._named(spark, sf)
-    s = S.net_selection(nets, wires, labels, N.assign_nets(spark, sf))
+    nets, wires, labels, made = N.drawn(spark, sf)
+    s = S.net_selection(nets, wires, labels, N.dot_nets(wires, made))
     return s.withColumn("labels", F.array_join(F.transform("labels", lambda x: F.concat_ws(":", x["str"], x["n"].cast("string"))), ","))
 
 
