@@ -36,17 +36,8 @@ def loose_refs_by_pen(spark, sf):
     return pens.loose_refs_by_pen(t, segs.where("seg_id % 4 = 2"), pages.where("page % 2 = 0").withColumn("color", F.lit("#f00000")), pages.where("page % 4 = 3").withColumn("color", F.lit("#f00000")))
 
 
-def _labelled(spark, sf):
-    """Named nets, wires, the tables they are made of, and all texts of the drawings with the nets that labels name."""
-    nets, wires, labels, made = N.drawn(spark, sf, "part_texts", "strokes")
-    t = made["texts"].withColumn("in_body", F.col("text_id") % 9 == 4).join(labels.select("doc", "page", "text_id", "net_id"), ["doc", "page", "text_id"], "left")
-    cols = ["doc", "page", "text_id", "str", "kind", "in_body", "net_id"]
-    more = made["part_texts"].withColumn("text_id", F.col("text_id") + 100000)
-    return nets, wires, made, t.select(cols).unionByName(more.select(cols))
-
-
 def page_summary(spark, sf):
-    nets, wires, made, texts = _labelled(spark, sf)
+    nets, wires, made, texts = N.labelled(spark, sf)
     glyphs = made["strokes"].where("page % 2 = 0 or prim_id % 4 = 0").select("doc", "page", "prim_id")
     s = S.page_summary(made["segs"], wires, nets, made["dots"], texts, glyphs)
     kinds = F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
@@ -110,7 +101,7 @@ lines AS (SELECT * FROM segs WHERE seg_id % 4 = 2), pu AS ({_PU.format('may').re
 ok AS (SELECT m.* FROM may m WHERE NOT EXISTS (SELECT 1 FROM pu WHERE pu.doc = m.doc AND pu.page = m.page AND pu.text_id = m.text_id AND cover > 0.5)),
 near AS (SELECT DISTINCT a.doc, a.page, a.text_id FROM ok a JOIN part_texts b ON a.doc = b.doc AND a.page = b.page AND b.kind = 'value' AND b.x0 <= a.x1 + 15 AND b.x1 >= a.x0 - 15 AND b.y0 <= a.y1 + 12.5 AND b.y1 >= a.y0 - 12.5)
 SELECT * FROM near UNION SELECT o.doc, o.page, o.text_id FROM ok o WHERE page % 2 = 0 AND color = '#f00000' AND NOT EXISTS (SELECT 1 FROM pe WHERE pe.doc = o.doc AND pe.page = o.page AND pe.text_id = o.text_id)"""
-_PAGE = """, all_texts AS (SELECT t.doc, t.page, t.text_id, t.str, t.kind, t.text_id % 9 = 4 AS in_body, l.net_id FROM texts t LEFT JOIN labels l ON t.doc = l.doc AND t.page = l.page AND t.text_id = l.text_id UNION ALL SELECT doc, page, text_id + 100000, str, kind, in_body, net_id FROM part_texts),
+_PAGE = f""", {N.ALL_TEXTS},
 k AS (SELECT doc, page, string_agg(kind || ':' || n, ',' ORDER BY kind) AS kinds, CAST(sum(n) AS BIGINT) AS texts FROM (SELECT doc, page, kind, count(*) AS n FROM all_texts GROUP BY doc, page, kind) z GROUP BY doc, page),
 u AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY text_id) AS r FROM all_texts WHERE kind = 'net' AND NOT in_body AND net_id IS NULL), u1 AS (SELECT doc, page, count(*) AS unattached, string_agg(str, ',' ORDER BY r) FILTER (r <= 40) AS loose FROM u GROUP BY doc, page),
 s AS (SELECT doc, page, count(*) AS wires FROM segs GROUP BY doc, page), d AS (SELECT doc, page, count(*) AS dots FROM dots GROUP BY doc, page), n AS (SELECT doc, page, count(*) AS nets, count(*) FILTER (name <> '') AS named FROM nets GROUP BY doc, page), g AS (SELECT doc, page, count(*) AS glyphs FROM strokes WHERE page % 2 = 0 OR prim_id % 4 = 0 GROUP BY doc, page)
