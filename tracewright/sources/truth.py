@@ -189,37 +189,51 @@ LONGEST, SHORTEST, SAMPLE = 12, 5.0, 80
 
 
 class _Near:
-    """Points in square cells; asks whether, and which, point lies within a distance."""
+    """Points in square cells; asks whether, and which, point lies within a distance, at most a cell away."""
 
     def __init__(self, pts: np.ndarray, cell: float = 1.0):
-        self.cell, self.at = cell, {}
-        for p in pts:
-            self.at.setdefault((int(p[0] // cell), int(p[1] // cell)), []).append(p)
-
+        pts = pts[np.sort(np.unique(pts, axis=0, return_index=True)[1])]
         keys = np.floor(pts / cell).astype(np.int64) @ np.array([1 << 32, 1])
         order = np.argsort(keys, kind="stable")
-        self.pts, self.keys = pts[order], keys[order]
+        self.cell, self.pts, self.keys = cell, pts[order], keys[order]
 
-    def votes(self, x: np.ndarray, r: float) -> np.ndarray:
-        """How many points of each row of x (rows, points, 2) have a point within r, at most a cell away."""
-        hit = np.zeros(x.shape[:2], bool)
+    def _around(self, x: np.ndarray):
+        """Of each point of x (.., 2) the points in its cell and the eight around it, one at a time: which have one, and which one."""
         at = np.floor(x / self.cell).astype(np.int64) @ np.array([1 << 32, 1])
         for step in ((i << 32) + j for i in (-1, 0, 1) for j in (-1, 0, 1)):
             lo, hi = np.searchsorted(self.keys, at + step), np.searchsorted(self.keys, at + step, "right")
             for k in range(int((hi - lo).max(initial=0))):
-                p = self.pts[np.minimum(lo + k, len(self.pts) - 1)]
-                hit |= (lo + k < hi) & (((p - x) ** 2).sum(axis=2) <= r * r)
+                yield lo + k < hi, np.minimum(lo + k, len(self.pts) - 1)
+
+    def votes(self, x: np.ndarray, r: float) -> np.ndarray:
+        """How many points of each row of x (rows, points, 2) have a point within r."""
+        hit = np.zeros(x.shape[:2], bool)
+        for there, i in self._around(x):
+            hit |= there & (((self.pts[i] - x) ** 2).sum(axis=2) <= r * r)
         return hit.sum(axis=1)
 
-    def nearest(self, x: float, y: float, r: float):
-        gx, gy, best = int(x // self.cell), int(y // self.cell), None
-        for i in (-1, 0, 1):
-            for j in (-1, 0, 1):
-                for p in self.at.get((gx + i, gy + j), ()):
-                    d = (p[0] - x) ** 2 + (p[1] - y) ** 2
-                    if d <= r * r and (best is None or d < best[0]):
-                        best = (d, p)
-        return best
+    def most_votes(self, x: np.ndarray, r: float, above: int) -> tuple[int, int] | None:
+        """The first row of x with the most votes, and how many, if they are more than ``above``. Rows that can't reach the most any more are not looked at further."""
+        rows, votes, least = np.arange(len(x)), np.zeros(len(x), np.int64), above + 1
+        for at in range(0, x.shape[1], 8):
+            votes[rows] += self.votes(x[rows, at : at + 8], r)
+            if not at and len(rows):
+                least = max(least, int(self.votes(x[[votes.argmax()]], r)[0]))
+            rows = rows[votes[rows] + max(0, x.shape[1] - at - 8) >= least]
+            if not len(rows):
+                return None
+        best = int(rows[votes[rows].argmax()]) if len(rows) else None
+        return None if best is None else (best, int(votes[best]))
+
+    def nearest(self, x: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the points x (points, 2) have a point within r, and of these the nearest, of equally near ones the first."""
+        best, which = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+        for there, i in self._around(x):
+            d = ((self.pts[i] - x) ** 2).sum(axis=1)
+            nearer = there & (d <= r * r) & (d < best)
+            best[nearer], which[nearer] = d[nearer], i[nearer]
+        found = best < np.inf
+        return found, self.pts[which[found]]
 
 
 def _fit(truth: np.ndarray, drawn: np.ndarray, unit: float | None, down: bool):
@@ -246,24 +260,23 @@ def _fit(truth: np.ndarray, drawn: np.ndarray, unit: float | None, down: bool):
             ok &= ~unit_off(scale) if unit else True
             q0, scale = q0[ok], scale[ok]
             off = q0 - scale[:, None] * (one @ g[:2])
-            for at in range(0, len(q0), 256):
-                laid = scale[at : at + 256, None, None] * (sample @ one.T) + off[at : at + 256, None]
-                votes = near.votes(laid, 0.9)
-                if len(votes) and votes.max() > top:
-                    k = int(votes.argmax())
-                    best, top = (one, float(scale[at + k]), off[at + k]), int(votes.max())
+            for at in range(0, len(q0) if top < len(sample) else 0, 1024):  # nothing has more votes than all
+                laid = scale[at : at + 1024, None, None] * (sample @ one.T) + off[at : at + 1024, None]
+                if (found := near.most_votes(laid, 0.9, top)) is not None:
+                    k, top = found
+                    best = (one, float(scale[at + k]), off[at + k])
     if best is None:
         return None
     one, scale, off = best
     for _ in range(3):
-        hits = [(s, h[1]) for s in ends if (h := near.nearest(*(scale * one @ s + off), 1.0))]
-        if len(hits) < 4:
+        found, dst = near.nearest(ends @ (scale * one).T + off, 1.0)
+        if len(dst) < 4:
             break
-        src, dst = np.array([one @ s for s, _ in hits]), np.array([h for _, h in hits])
+        src = ends[found] @ one.T
         a, b = src - src.mean(axis=0), dst - dst.mean(axis=0)
         scale = float((a * b).sum() / (a * a).sum()) if (a * a).sum() else scale
         off = dst.mean(axis=0) - scale * src.mean(axis=0)
-    inliers = sum(near.nearest(*(scale * one @ s + off), 0.75) is not None for s in ends)
+    inliers = near.nearest(ends @ (scale * one).T + off, 0.75)[0].sum()
     m = scale * one
     return (m[0, 0], m[1, 0], m[0, 1], m[1, 1], off[0], off[1], inliers, len(ends))
 
