@@ -17,12 +17,14 @@ def style_stats(prims: DataFrame, strokes: DataFrame, heights: DataFrame) -> Dat
     that do not span 0.4 of the sheet. ``prims``: doc, page, prim_id, style, color, width, fill, closed, glyph, x0, y0, x1, y1; ``strokes``: doc, page, prim_id, x1, y1, x2, y2, straight ones.
     A style is as its first primitive says; null flags count as false."""
     yes = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("long"))
-    g = prims.groupBy(*STYLE).agg(F.count("*").alias("n"), yes("glyph").alias("glyph"), yes("closed").alias("closed"), F.min(F.struct("prim_id", "color", "width", F.coalesce("fill", F.lit(False)).alias("fill"))).alias("f"))
     span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    small = prims.join(heights.select(*KEY, "diag"), KEY).where(span <= F.col("diag") * 0.4).select(*KEY, "prim_id", "style")
     level = (F.abs(F.col("x1") - F.col("x2")) < 0.02) | (F.abs(F.col("y1") - F.col("y2")) < 0.02)
-    o = strokes.where(level).join(small, [*KEY, "prim_id"]).groupBy(*STYLE).agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("orth_len"), F.count("*").alias("orth_n"))
-    j = g.join(o, STYLE, "left").fillna(0, ["orth_len", "orth_n"])
+    o = strokes.where(level).groupBy(*KEY, "prim_id").agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("__len"), F.count("*").alias("__n"))
+    small = prims.join(heights.select(*KEY, F.col("diag").alias("__diag")), KEY, "left").withColumn("__small", span <= F.col("__diag") * 0.4)
+    p = small.join(o, [*KEY, "prim_id"], "left")
+    of_small = lambda c: F.sum(F.when(F.col("__small"), F.col(c)))
+    first = F.min(F.struct("prim_id", "color", "width", F.coalesce("fill", F.lit(False)).alias("fill"))).alias("f")
+    j = p.groupBy(*STYLE).agg(F.count("*").alias("n"), yes("glyph").alias("glyph"), yes("closed").alias("closed"), of_small("__len").alias("orth_len"), of_small("__n").alias("orth_n"), first).fillna(0, ["orth_len", "orth_n"])
     return j.select(*STYLE, "n", "glyph", "closed", "orth_len", "orth_n", "f.color", "f.width", "f.fill", F.col("f.prim_id").alias("first"))
 
 
